@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from .op4_quality import OP4_SQL, op4_quality
 from .op5_pack import op5_packing
 from .op9_shard import op9_shards
 
-QUERIES = {"op5_packing": op5_packing, "op9_shards": op9_shards}
+QUERIES = {
+    "op4_quality": op4_quality,
+    "op5_packing": op5_packing,
+    "op9_shards": op9_shards,
+}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_quality": OP4_SQL}
