@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from .op4_quality import OP4_SQL, op4_quality
 from .op5_pack import op5_packing
+from .op6_suffix import op6_suffixes
+from .op8_substring import OP8_SQL, op8_substrings
 from .op9_shard import op9_shards
 
 QUERIES = {
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
+    "op6_suffixes": op6_suffixes,
+    "op8_substrings": op8_substrings,
     "op9_shards": op9_shards,
 }
 
-SQL: dict[str, str] = {"op4_quality": OP4_SQL}
+SQL: dict[str, str] = {"op4_quality": OP4_SQL, "op8_substrings": OP8_SQL}

@@ -41,7 +41,7 @@ def second_hash(h: np.ndarray, k: int) -> np.ndarray:
 def repeated_windows(window: int):
     """Resolver: sorts the windows of the strings and finds those that occur in two or more."""
 
-    def resolve(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def resolve(buf: np.ndarray, offs: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         starts, ends, owners = word_spans(buf, offs)
         h = span_hash(prefix(buf), starts, ends)
         base = np.searchsorted(owners, np.arange(len(offs) - 1))

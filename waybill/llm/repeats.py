@@ -122,9 +122,9 @@ def segments(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], Units],
     return docs.mapInArrow(run, SEGMENTS)
 
 
-#: Gets the distinct strings of a bucket (bytes, offsets) that share a minimiser with another one or hold it twice;
+#: Gets the distinct strings of a bucket (bytes, offsets, minimiser's number, sorted by it) that share a minimiser with another one or hold it twice;
 #: returns the string and the first and past-last unit of every run of units that repeated windows cover.
-Resolver = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+Resolver = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def ranges(packed: DataFrame, resolve: Resolver, unit_count: Callable[[np.ndarray, np.ndarray], np.ndarray], n_blocks: int) -> DataFrame:
@@ -165,7 +165,8 @@ def ranges(packed: DataFrame, resolve: Resolver, unit_count: Callable[[np.ndarra
         found = [(whole, np.zeros(len(whole), np.int64), unit_count(buf, offs)[whole])]
         some = np.flatnonzero(shared[needed])
         if len(some):
-            part, a, b = resolve(gather(buf, offs[some], length[some]), np.append(0, np.cumsum(length[some])))
+            some = some[np.argsort(group[needed[some]], kind="stable")]
+            part, a, b = resolve(gather(buf, offs[some], length[some]), np.append(0, np.cumsum(length[some])), group[needed[some]])
             found.append((some[part], a, b))
         string, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         # from distinct strings to the places where they stand
