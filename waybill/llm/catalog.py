@@ -5,6 +5,7 @@ from __future__ import annotations
 from .op4_quality import OP4_SQL, op4_quality
 from .op5_pack import op5_packing
 from .op6_suffix import op6_suffixes
+from .op7_hmm import op7_scores
 from .op8_substring import OP8_SQL, op8_substrings
 from .op9_shard import op9_shards
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op6_suffixes": op6_suffixes,
+    "op7_scores": op7_scores,
     "op8_substrings": op8_substrings,
     "op9_shards": op9_shards,
 }
