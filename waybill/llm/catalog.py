@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .op10_jaccard import op10_jaccard
 from .op4_quality import OP4_SQL, op4_quality
 from .op5_pack import op5_packing
 from .op6_suffix import op6_suffixes
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_scores": op7_scores,
     "op8_substrings": op8_substrings,
     "op9_shards": op9_shards,
+    "op10_jaccard": op10_jaccard,
 }
 
 SQL: dict[str, str] = {"op4_quality": OP4_SQL, "op8_substrings": OP8_SQL}
