@@ -3,11 +3,16 @@
 A window is ``k`` consecutive units (words or bytes) of one text.  Its minimiser is the least hash
 among its grams of ``m`` units.  A run of consecutive windows with the same minimiser is a
 super-k-mer and travels as one packed string to the bucket of its minimiser, so equal windows always
-meet in one bucket.  Equal strings of one slice of the input travel once, with their places.
-A bucket returns the unit ranges that its repeated windows cover, dealt by blocks of documents, and
-the ranges meet their documents there.
+meet in one bucket.
 
-Everything that is shuffled is packed by (slice, bucket) or (bucket, block), not by row.
+Documents are dealt to blocks by a hash, once; blocks and buckets exchange packed columns:
+
+1. a block sends the distinct minimisers of its texts, a bucket answers which of them occur again;
+2. a block sends the distinct strings of those minimisers, each once however often it occurs, and a
+   bucket answers with the unit ranges that repeated windows cover in them;
+3. the block applies the ranges to every place where the string stands.
+
+So a string that a third of all texts share reaches its bucket once for each block.
 """
 
 from __future__ import annotations
@@ -23,8 +28,9 @@ from pyspark.sql import functions as F
 from .kernel import U64, buffer_of, cut, gather, mix, sliding_min, slices, window_rows
 from .store import parts, row_key
 
-SEGMENTS = "bucket int, minis binary, hashes binary, sizes binary, places binary, ids binary, keys binary, starts binary, loops binary, n_bytes bigint, text binary"
-RANGES = "_block int, ids binary, keys binary, starts binary, ends binary"
+MINIS = "bucket int, _block int, minis binary, again binary"
+SEGMENTS = "bucket int, _block int, minis binary, hashes binary, sizes binary, counts binary, loops binary, n_bytes bigint, text binary"
+RANGES = "_block int, hashes binary, starts binary, ends binary"
 
 
 def squeezed(raw: bytes) -> bytes:
@@ -72,54 +78,131 @@ def loops(grams: np.ndarray, mins: np.ndarray, first: np.ndarray, size: np.ndarr
     return again[np.maximum(b - 1, a)] > again[np.minimum(a, len(again) - 1)]
 
 
-def segments(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], Units], k: int, m: int, n_buckets: int) -> DataFrame:
-    """Packed super-k-mers of (id, key, text) rows by bucket."""
+Make = Callable[[np.ndarray, np.ndarray], Units]
 
-    def pack(u: Units, ids: np.ndarray, keys: np.ndarray) -> Iterator[tuple]:
+
+@dataclass(frozen=True)
+class Supers:
+    """The super-k-mers of a slice: first unit, its text, string bounds, minimiser, string hash, whether it loops."""
+
+    units: Units
+    first: np.ndarray
+    text: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    mini: np.ndarray
+    hashes: np.ndarray
+    loops: np.ndarray
+    base: np.ndarray
+
+
+def supers(column: pa.Array, make: Make, k: int, m: int) -> Iterator[tuple[int, Supers]]:
+    """The super-k-mers of slices of a text column, with the number of the slice's first text."""
+    buf, offs = buffer_of(column)
+    w = k - m + 1
+    for a, b in slices(offs):
+        u = make(*cut(buf, offs, a, b))
         if len(u.owners) < k:
-            return
-        base = np.append(0, np.cumsum(np.bincount(u.owners, minlength=len(ids))))
-        w = k - m + 1
+            continue
         mins = sliding_min(u.grams, w)
         first, size, mini = runs(mins, window_rows(u.owners, k), w)
-        if not len(first):
-            return
-        looped = loops(u.grams, mins, first, size, w)
-        begin, end = u.starts[first], u.ends[first + size + k - 2]
-        hashes = u.hash_of(begin, end)
-        bucket = (mix(mini ^ U64(0x5851F42D4C957F2D)) % U64(n_buckets)).astype(np.int64)
-        order = np.lexsort((hashes, bucket))
-        hs, bs = hashes[order], bucket[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (hs[1:] != hs[:-1]) | (bs[1:] != bs[:-1])
-        heads = np.flatnonzero(new)
-        places = np.diff(np.append(heads, len(order)))
-        one = order[heads]
-        cuts = np.flatnonzero(np.append(True, np.diff(bs[heads]) != 0))
-        text_owner = u.owners[first]
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(heads)], strict=True):
-            o = one[a:b]
-            every = order[heads[a] : heads[a] + int(places[a:b].sum())]
-            length = end[o] - begin[o]
-            text = gather(u.data, begin[o], length)
-            yield (
-                int(bucket[o[0]]), mini[o].tobytes(), hashes[o].tobytes(), length.astype(np.int32).tobytes(), places[a:b].astype(np.int32).tobytes(),
-                ids[text_owner[every]].tobytes(), keys[text_owner[every]].tobytes(), (first[every] - base[text_owner[every]]).tobytes(), looped[o].tobytes(), len(text),
-                squeezed(text.tobytes()),
-            )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "minis", "hashes", "sizes", "places", "ids", "keys", "starts", "loops", "n_bytes", "text"]
-        types = [pa.int32(), *[pa.binary()] * 8, pa.int64(), pa.binary()]
-        for batch in batches:
-            ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            buf, offs = buffer_of(batch.column(2))
-            for a, b in slices(offs):
-                rows = list(pack(units(*cut(buf, offs, a, b)), ids[a:b], keys[a:b]))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-    return docs.mapInArrow(run, SEGMENTS)
+        if len(first):
+            begin, end = u.starts[first], u.ends[first + size + k - 2]
+            counts = np.bincount(u.owners, minlength=b - a)
+            yield a, Supers(u, first, u.owners[first], begin, end, mini, u.hash_of(begin, end), loops(u.grams, mins, first, size, w), np.cumsum(counts) - counts)
+
+
+def bucket_of(minis: np.ndarray, n: int) -> np.ndarray:
+    return (mix(minis ^ U64(0x5851F42D4C957F2D)) % U64(n)).astype(np.int64)
+
+
+def grouped(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Every key with the places where it stands."""
+    order = np.argsort(keys, kind="stable")
+    cuts = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0)) if len(keys) else np.zeros(0, int)
+    for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+        yield int(keys[order[x]]), order[x:y]
+
+
+def table_of(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(f.split() for f in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.Table.from_arrays([pa.array(list(c), kinds[t]) for c, t in zip(columns, types, strict=True)], list(names))
+
+
+def joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
+
+def known(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted ones."""
+    if not len(sorted_values):
+        return np.zeros(len(values), bool)
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)] == values
+
+
+def minimisers(docs: DataFrame, make: Make, k: int, m: int, n_buckets: int) -> DataFrame:
+    """The distinct minimisers of every block, and whether they occur again in it."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        minis = [np.zeros(0, np.uint64)]
+        for _, s in supers(table.column("text"), make, k, m):
+            minis += [s.mini, s.mini[s.loops]]
+        uniq, n = np.unique(np.concatenate(minis), return_counts=True)
+        rows = [(b, key[0].as_py(), uniq[at].tobytes(), (n[at] > 1).tobytes()) for b, at in grouped(bucket_of(uniq, n_buckets))]
+        return table_of(rows, MINIS)
+
+    return docs.groupBy("_block").applyInArrow(run, MINIS)
+
+
+def occurring_again(minis: DataFrame) -> DataFrame:
+    """For every block those of its minimisers that occur more than once anywhere."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        values, again = joined(table, "minis", np.uint64), joined(table, "again", bool)
+        uniq, which, n = np.unique(values, return_inverse=True, return_counts=True)
+        often = (n > 1) | (np.bincount(which, weights=again, minlength=len(uniq)) > 0)
+        rows, at = [], 0
+        for block, blob in zip(table.column("_block").to_pylist(), table.column("minis").to_pylist(), strict=True):
+            n = len(blob) // 8
+            rows.append((block, values[at : at + n][often[which[at : at + n]]].tobytes()))
+            at += n
+        return table_of([r for r in rows if r[1]], "_block int, minis binary")
+
+    return minis.groupBy("bucket").applyInArrow(run, "_block int, minis binary")
+
+
+def segments(docs: DataFrame, again: DataFrame, make: Make, k: int, m: int, n_buckets: int) -> DataFrame:
+    """The distinct strings of every block whose minimiser occurs again, packed by bucket."""
+
+    def run(key: tuple, docs: pa.Table, again: pa.Table) -> pa.Table:
+        wanted = np.sort(joined(again, "minis", np.uint64))
+        held: list[tuple] = []
+        if docs.num_rows and len(wanted):
+            for _, s in supers(docs.column("text"), make, k, m):
+                at = np.flatnonzero(known(wanted, s.mini))
+                hashes, one, n = np.unique(s.hashes[at], return_index=True, return_counts=True)
+                o = at[one]
+                size = s.end[o] - s.begin[o]
+                held.append((hashes, s.mini[o], s.loops[o], n, size, gather(s.units.data, s.begin[o], size)))
+        if not held:
+            return table_of([], SEGMENTS)
+        hashes, minis, looped, n, size, text = (np.concatenate(x) for x in zip(*held, strict=True))
+        ends = np.cumsum(size)
+        uniq, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        count = np.bincount(which, weights=n).astype(np.int64)
+        rows = []
+        for b, at in grouped(bucket_of(minis[one], n_buckets)):
+            o = one[at]
+            raw = gather(text, ends[o] - size[o], size[o])
+            rows.append((
+                b, key[0].as_py() if key[0].is_valid else -1, minis[o].tobytes(), uniq[at].tobytes(), size[o].astype(np.int32).tobytes(),
+                count[at].tobytes(), looped[o].tobytes(), len(raw), squeezed(raw.tobytes()),
+            ))
+        return table_of(rows, SEGMENTS)
+
+    return docs.groupBy("_block").cogroup(again.groupBy("_block")).applyInArrow(run, SEGMENTS)
 
 
 #: Gets the distinct strings of a bucket (bytes, offsets, minimiser's number, sorted by it) that share a minimiser with another one or hold it twice;
@@ -127,120 +210,105 @@ def segments(docs: DataFrame, units: Callable[[np.ndarray, np.ndarray], Units],
 Resolver = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def ranges(packed: DataFrame, resolve: Resolver, unit_count: Callable[[np.ndarray, np.ndarray], np.ndarray], n_blocks: int) -> DataFrame:
-    """The covered unit ranges of every text, packed by block of documents."""
+def ranges(packed: DataFrame, resolve: Resolver, unit_count: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """For every block the unit ranges that repeated windows cover in its strings."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        def numbers(name: str, kind: type) -> np.ndarray:
-            return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-
-        minis, hashes = numbers("minis", np.uint64), numbers("hashes", np.uint64)
-        sizes, places = numbers("sizes", np.int32).astype(np.int64), numbers("places", np.int32).astype(np.int64)
-        # distinct strings of the bucket
+        hashes, sizes = joined(table, "hashes", np.uint64), joined(table, "sizes", np.int32).astype(np.int64)
         uniq, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-        count = np.bincount(which, weights=places, minlength=len(uniq)).astype(np.int64)
-        mini_of = minis[one]
-        _, group = np.unique(mini_of, return_inverse=True)
-        distinct = np.bincount(group)[group]
-        many, shared = count > 1, (distinct > 1) | numbers("loops", bool)[one]
+        count = np.bincount(which, weights=joined(table, "counts", np.int64), minlength=len(uniq))
+        _, group = np.unique(joined(table, "minis", np.uint64)[one], return_inverse=True)
+        shared = (np.bincount(group)[group] > 1) | joined(table, "loops", bool)[one]
+        many = count > 1
         needed = np.flatnonzero(many | shared)
         if not len(needed):
-            return answer([], [], [], [])
-        # their bytes, blob by blob
+            return table_of([], RANGES)
         slot = np.full(len(uniq), -1, np.int64)
         slot[needed] = np.arange(len(needed))
-        held: list[bytes] = [b""] * len(needed)
-        at = 0
-        for blob, n in zip(table.column("text").to_pylist(), table.column("n_bytes").to_pylist(), strict=True):
-            text, here = unsqueezed(blob, n), 0
-            while here < n:
-                if one[which[at]] == at and slot[which[at]] >= 0:
-                    held[slot[which[at]]] = text[here : here + sizes[at]]
-                here += int(sizes[at])
-                at += 1
-        length = np.fromiter(map(len, held), np.int64, len(held))
-        offs = np.append(0, np.cumsum(length))
-        buf = np.frombuffer(b"".join(held), np.uint8)
-        whole = np.flatnonzero(many[needed])
+        wanted = (one[which] == np.arange(len(which))) & (slot[which] >= 0)
+        texts, at = [], 0
+        for blob, n, strings in zip(table.column("text").to_pylist(), table.column("n_bytes").to_pylist(), table.column("hashes").to_pylist(), strict=True):
+            k = len(strings) // 8
+            size, own = sizes[at : at + k], np.flatnonzero(wanted[at : at + k])
+            if len(own):
+                texts.append(gather(np.frombuffer(unsqueezed(blob, n), np.uint8), (np.cumsum(size) - size)[own], size[own]))
+            at += k
+        # the strings stand in the order of the table; bring them into the order of their minimisers
+        order = np.flatnonzero(wanted)
+        length = sizes[order]
+        place = np.cumsum(length) - length
+        string = slot[which[order]]
+        by_group = np.argsort(group[needed[string]], kind="stable")
+        string, place, length = string[by_group], place[by_group], length[by_group]
+        buf, offs = gather(np.concatenate(texts), place, length), np.append(0, np.cumsum(length))
+        del texts
+        ids = needed[string]
+        whole, some = np.flatnonzero(many[ids]), np.flatnonzero(shared[ids])
         found = [(whole, np.zeros(len(whole), np.int64), unit_count(buf, offs)[whole])]
-        some = np.flatnonzero(shared[needed])
         if len(some):
-            some = some[np.argsort(group[needed[some]], kind="stable")]
-            part, a, b = resolve(gather(buf, offs[some], length[some]), np.append(0, np.cumsum(length[some])), group[needed[some]])
+            part, a, b = resolve(gather(buf, offs[some], length[some]), np.append(0, np.cumsum(length[some])), group[ids[some]])
             found.append((some[part], a, b))
         string, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        # from distinct strings to the places where they stand
+        string = ids[string]
         order = np.argsort(string, kind="stable")
         string, a, b = string[order], a[order], b[order]
-        n_ranges = np.bincount(string, minlength=len(needed))
-        first_range = np.cumsum(n_ranges) - n_ranges
-        occ_slot = slot[np.repeat(which, places)]
-        occ = np.flatnonzero(occ_slot >= 0)
-        occ = occ[n_ranges[occ_slot[occ]] > 0]
-        times = n_ranges[occ_slot[occ]]
-        total = int(times.sum())
-        if not total:
-            return answer([], [], [], [])
-        pick = np.arange(total) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first_range[occ_slot[occ]], times)
-        of = np.repeat(occ, times)
-        ids, keys, starts = numbers("ids", np.int64)[of], numbers("keys", np.int64)[of], numbers("starts", np.int64)[of]
-        return answer(ids, keys, starts + a[pick], starts + b[pick])
-
-    def answer(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Table:
-        names, types = ["_block", "ids", "keys", "starts", "ends"], [pa.int32(), *[pa.binary()] * 4]
-        rows = []
-        if len(ids):
-            block = np.mod(keys, n_blocks)
-            order = np.argsort(block, kind="stable")
-            cuts = np.flatnonzero(np.append(True, np.diff(block[order]) != 0))
-            for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
-                o = order[x:y]
-                rows.append((int(block[o[0]]), ids[o].tobytes(), keys[o].tobytes(), starts[o].astype(np.int64).tobytes(), ends[o].astype(np.int64).tobytes()))
-        columns = zip(*rows, strict=True) if rows else [[]] * 5
-        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
+        n_ranges = np.bincount(string, minlength=len(uniq))
+        first = np.cumsum(n_ranges) - n_ranges
+        rows, at = [], 0
+        for block, blob in zip(table.column("_block").to_pylist(), table.column("hashes").to_pylist(), strict=True):
+            own = which[at : at + len(blob) // 8]
+            at += len(own)
+            pick = spread(first[own], n_ranges[own])
+            if len(pick):
+                rows.append((block, uniq[string[pick]].tobytes(), a[pick].astype(np.int32).tobytes(), b[pick].astype(np.int32).tobytes()))
+        return table_of(rows, RANGES)
 
     return packed.groupBy("bucket").applyInArrow(run, RANGES)
 
 
-#: Gets (bytes, offsets, text index, first unit, past-last unit of ranges) of some documents; returns columns.
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... count times, for each pair."""
+    total = int(count.sum())
+    return np.arange(total) - np.repeat(np.cumsum(count) - count - first, count)
+
+
+#: Gets (bytes, offsets, text, first unit, past-last unit of ranges) of some documents; returns columns.
 Remover = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[pa.Array]]
 
 
-def applied(docs: DataFrame, found: DataFrame, remove: Remover, names: list[str], schema: str, n_blocks: int) -> DataFrame:
+def applied(docs: DataFrame, found: DataFrame, make: Make, k: int, m: int, remove: Remover, names: list[str], schema: str) -> DataFrame:
     """The documents with what ``remove`` makes of each and its ranges."""
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        ids, keys = docs.column("_id").to_numpy(), docs.column("_key").to_numpy()
-        f_ids, f_keys, starts, ends = (np.frombuffer(b"".join(found.column(c).to_pylist()), np.int64) for c in ("ids", "keys", "starts", "ends"))
-        # rows that are equal in id and text share their ranges
-        f_order = np.lexsort((f_ids, f_keys))
-        f_new = np.ones(len(f_order), bool)
-        f_new[1:] = (f_ids[f_order][1:] != f_ids[f_order][:-1]) | (f_keys[f_order][1:] != f_keys[f_order][:-1])
-        heads = np.flatnonzero(f_new)
-        size = np.diff(np.append(heads, len(f_order)))
-        at = {(f_ids[f_order[h]], f_keys[f_order[h]]): i for i, h in enumerate(heads.tolist())}
-        group = np.array([at.get(x, -1) for x in zip(ids, keys, strict=True)], np.int64)
-        has = np.flatnonzero(group >= 0)
-        times = size[group[has]] if len(has) else np.zeros(0, np.int64)
-        total = int(times.sum())
-        pick = f_order[np.arange(total) - np.repeat(np.cumsum(times) - times, times) + np.repeat(heads[group[has]], times)] if total else np.zeros(0, np.int64)
+        hashes, starts, ends = joined(found, "hashes", np.uint64), joined(found, "starts", np.int32), joined(found, "ends", np.int32)
+        order = np.argsort(hashes, kind="stable")
+        uniq, first, count = np.unique(hashes[order], return_index=True, return_counts=True)
+        hits: list[tuple] = [(np.zeros(0, np.int64),) * 3]
+        if docs.num_rows and len(uniq):
+            for text, s in supers(docs.column("text"), make, k, m):
+                at = np.flatnonzero(known(uniq, s.hashes))
+                which = np.searchsorted(uniq, s.hashes[at])
+                pick = order[spread(first[which], count[which])]
+                own = np.repeat(at, count[which])
+                begin = s.first[own] - s.base[s.text[own]]
+                hits.append((s.text[own] + text, begin + starts[pick], begin + ends[pick]))
+        text, a, b = (np.concatenate(x).astype(np.int64) for x in zip(*hits, strict=True))
         buf, offs = buffer_of(docs.column("text"))
-        made = remove(buf, offs, np.repeat(has, times), starts[pick], ends[pick])
-        return pa.Table.from_arrays([docs.column("doc_id"), *made], ["doc_id", *names])
+        return pa.Table.from_arrays([docs.column("doc_id"), *remove(buf, offs, text, a, b)], ["doc_id", *names])
 
-    left = docs.withColumn("_block", F.pmod("_key", F.lit(n_blocks)).cast("int"))
-    return left.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(run, schema)
+    return docs.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(run, schema)
 
 
 def without_repeats(
-    docs: DataFrame, units: Callable, k: int, m: int, resolve: Resolver, unit_count: Callable, remove: Remover, names: list[str], schema: str, bucket_mb: float = 6, block_mb: float = 8
+    docs: DataFrame, make: Make, k: int, m: int, resolve: Resolver, unit_count: Callable, remove: Remover, names: list[str], schema: str, bucket_mb: float = 4, block_mb: float = 6
 ) -> DataFrame:
     """Documents without the units that repeated windows cover; one row per row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), row_key().alias("_key"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     n_buckets, n_blocks = parts(docs, bucket_mb), parts(docs, block_mb)
-    packed = segments(docs.select("_id", "_key", "text"), units, k, m, n_buckets)
-    found = ranges(packed, resolve, unit_count, n_blocks)
-    return applied(docs, found, remove, names, schema, n_blocks)
+    blocks = docs.withColumn("_block", F.pmod(row_key(), F.lit(n_blocks)).cast("int"))
+    again = occurring_again(minimisers(blocks, make, k, m, n_buckets))
+    found = ranges(segments(blocks, again, make, k, m, n_buckets), resolve, unit_count)
+    return applied(blocks, found, make, k, m, remove, names, schema)
 
 
 def covered(n_units: int, base: np.ndarray, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
