@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .op10_jaccard import op10_jaccard
+from .op3_secrets import op3_secrets
 from .op4_quality import OP4_SQL, op4_quality
 from .op5_pack import op5_packing
 from .op6_suffix import op6_suffixes
@@ -11,6 +12,7 @@ from .op8_substring import OP8_SQL, op8_substrings
 from .op9_shard import op9_shards
 
 QUERIES = {
+    "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op6_suffixes": op6_suffixes,
