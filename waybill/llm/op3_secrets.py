@@ -58,6 +58,13 @@ def labelled_samples(spark: SparkSession, n: int = 6000) -> DataFrame:
     camel = F.concat(some[0], *[F.initcap(w) for w in some[1:]])
     number = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(3000)).cast("string")
     forms = [F.concat_ws("_", *some), camel, F.concat_ws("-", *some), F.concat(F.lit("/"), F.concat_ws("/", *some)), F.concat(*some), F.upper(F.concat_ws("_", *some)), F.concat_ws("_", *some, number), F.initcap(F.concat(*some))]
+    # runs of one character, rulers, alphabets, counters and dates are ordinary too
+    symbol = F.substring(F.lit("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"), 1, 67)
+    one = symbol.substr((F.pmod(F.xxhash64("id", F.lit(5)), F.lit(67)) + 1).cast("int"), F.lit(1))
+    lower, shift = "abcdefghijklmnopqrstuvwxyz", (F.pmod(F.xxhash64("id", F.lit(6)), F.lit(26)) + 1).cast("int")
+    date = F.date_format(F.timestamp_seconds(F.xxhash64("id") % 2_000_000_000), "yyyy-MM-dd_HH-mm-ss")
+    rows = [F.lit(lower + lower), F.lit((lower + lower).upper()), F.lit("01234567890123456789012345678901234567890123456789")]
+    forms += [F.repeat(one, 30), F.concat(F.repeat(one, 12), some[0], F.repeat(one, 12)), *[r.substr(shift, F.lit(26)) for r in rows], F.concat(some[0], F.lit("-"), date), F.concat(date, F.lit("-00"))]
     ordinary = ids.select(F.element_at(F.array(*forms), (F.pmod("id", F.lit(len(forms))) + 1).cast("int")).alias("token"), F.lit(False).alias("random"), "id")
     return random.union(ordinary)
 
