@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .op10_jaccard import op10_jaccard
+from .op2_html import op2_main_text
 from .op3_secrets import op3_secrets
 from .op4_quality import OP4_SQL, op4_quality
 from .op5_pack import op5_packing
@@ -12,6 +13,7 @@ from .op8_substring import OP8_SQL, op8_substrings
 from .op9_shard import op9_shards
 
 QUERIES = {
+    "op2_main_text": op2_main_text,
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
