@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .op1_decontaminate import op1_leaks
 from .op10_jaccard import op10_jaccard
 from .op2_html import op2_main_text
 from .op3_secrets import op3_secrets
@@ -13,6 +14,7 @@ from .op8_substring import OP8_SQL, op8_substrings
 from .op9_shard import op9_shards
 
 QUERIES = {
+    "op1_leaks": op1_leaks,
     "op2_main_text": op2_main_text,
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
