@@ -131,8 +131,23 @@ def pivoted(group: np.ndarray, sig: np.ndarray, alive: np.ndarray) -> list[np.nd
     return edges
 
 
+def least_labels(n: int, edges: np.ndarray) -> np.ndarray:
+    """The least member of the component of each of n nodes."""
+    label = np.arange(n)
+    while True:
+        a, b = label[edges[:, 0]], label[edges[:, 1]]
+        open_ = a != b
+        if not open_.any():
+            return label
+        edges = edges[open_]
+        np.minimum.at(label, np.maximum(a, b)[open_], np.minimum(a, b)[open_])
+        while (label != label[label]).any():
+            label = label[label]
+
+
 def candidate_edges(matches: DataFrame, n_buckets: int, least: int) -> DataFrame:
-    """Edges between texts (key, tid, sig) that share a key and are close by their signatures."""
+    """Edges that span the groups of texts (key, tid, sig) that share a key and are close by their
+    signatures: at most one for each text and bucket."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         tids, keys = table.column("tid").to_numpy(), table.column("key").to_numpy()
@@ -150,8 +165,10 @@ def candidate_edges(matches: DataFrame, n_buckets: int, least: int) -> DataFrame
             group = np.empty(len(trie), np.int64)
             group[trie] = np.append(0, np.cumsum(differs))
             edges += pivoted(group, sig, alive)
-        found = np.unique(tids[np.concatenate(edges)], axis=0) if edges else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+        nodes, place = np.unique(tids, return_inverse=True)
+        label = least_labels(len(nodes), place[np.concatenate(edges)] if edges else np.zeros((0, 2), np.int64))
+        linked = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.table({"a": pa.array(nodes[linked]), "b": pa.array(nodes[label[linked]])})
 
     dealt = matches.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(n_buckets)).cast("int"))
     return dealt.groupBy("bucket").applyInArrow(run, "a bigint, b bigint")
