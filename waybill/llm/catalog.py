@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .op1_decontaminate import op1_leaks
 from .op10_jaccard import op10_jaccard
 from .op2_html import op2_main_text
@@ -24,6 +26,11 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_shards": op9_shards,
     "op10_jaccard": op10_jaccard,
+    "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {"op4_quality": OP4_SQL, "op8_substrings": OP8_SQL}
+SQL: dict[str, str] = {
+    "op4_quality": OP4_SQL,
+    "op8_substrings": OP8_SQL,
+    **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
+}

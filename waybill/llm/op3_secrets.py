@@ -137,7 +137,7 @@ def listed(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
-    """The rows of docs with every span replaced by the mark; overlapping spans are replaced as one."""
+    """The rows of docs with every span replaced by the mark, and n_chars to match; overlapping spans are replaced as one."""
     held = found_spans(docs).withColumn("_all", F.array_sort(F.concat("_base", "_more")))
     text = F.coalesce(F.col("text"), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -149,7 +149,10 @@ def redacted(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
         ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
 
     clean = F.aggregate("_all", start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    return held.withColumn("text", F.when(F.size("_all") > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
+    out = held.withColumn("text", F.when(F.size("_all") > 0, clean).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size("_all") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
