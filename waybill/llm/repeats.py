@@ -100,7 +100,7 @@ def supers(column: pa.Array, make: Make, k: int, m: int) -> Iterator[tuple[int,
     """The super-k-mers of slices of a text column, with the number of the slice's first text."""
     buf, offs = buffer_of(column)
     w = k - m + 1
-    for a, b in slices(offs):
+    for a, b in slices(offs, 1 << 20):
         u = make(*cut(buf, offs, a, b))
         if len(u.owners) < k:
             continue
@@ -300,7 +300,7 @@ def applied(docs: DataFrame, found: DataFrame, make: Make, k: int, m: int, remov
 
 
 def without_repeats(
-    docs: DataFrame, make: Make, k: int, m: int, resolve: Resolver, unit_count: Callable, remove: Remover, names: list[str], schema: str, bucket_mb: float = 4, block_mb: float = 6
+    docs: DataFrame, make: Make, k: int, m: int, resolve: Resolver, unit_count: Callable, remove: Remover, names: list[str], schema: str, bucket_mb: float = 3, block_mb: float = 2
 ) -> DataFrame:
     """Documents without the units that repeated windows cover; one row per row of docs."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
