@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .kernel import U64, buffer_of, cut, mix, prefix, slices, span_hash, window_hash, window_rows, word_spans
-from .store import parts, written
+from .store import fresh, parts, written
 
 SHINGLE, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 16, 6, 0.9999
 SETTLED, LINKED = 0.7, 0.2
@@ -186,7 +186,7 @@ def linked_pairs(sets: list[np.ndarray], left: int, threshold: float) -> np.ndar
     _, column = np.unique(column[shared], return_inverse=True)
     own = own[shared]
     inter = np.zeros((left or n, n - left), np.float32)
-    cuts = np.searchsorted(column, np.arange(0, int(column[-1]) + 1 if len(column) else 0, 4096))
+    cuts = np.searchsorted(column, np.arange(0, int(column[-1]) + 1 if len(column) else 1, 4096))
     for a, b in zip(cuts, [*cuts[1:], len(column)], strict=True):
         block = np.zeros((n, 4096), np.float32)
         block[own[a:b], column[a:b] % 4096] = 1
@@ -285,9 +285,10 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = classes(docs, threshold)
     best = F.coalesce("doc_id", F.lit(-(1 << 63)))
     heads = found.groupBy("class_id").agg(F.min(F.struct(F.coalesce(F.col("doc_id") != F.col("class_id"), F.lit(True)).alias("late"), best.alias("doc"), F.col("tid"))).alias("m"))
-    heads = heads.select(F.col("m.doc").alias("_doc"), F.col("m.tid").alias("_tid"))
-    keyed = docs.withColumn("_tid", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    return keyed.join(heads, ["_doc", "_tid"]).dropDuplicates(["_doc", "_tid"]).select(*docs.columns)
+    doc, tid = fresh(docs, "_doc", "_tid")
+    heads = heads.select(F.col("m.doc").alias(doc), F.col("m.tid").alias(tid))
+    keyed = docs.withColumn(tid, F.xxhash64(F.coalesce("text", F.lit("")))).withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    return keyed.join(heads, [doc, tid]).dropDuplicates([doc, tid]).select(*docs.columns)
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import fresh
+
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Runs of the base patterns that are long enough; the same matches as the open patterns, filtered.
@@ -121,14 +123,14 @@ def spans(text: Column, pattern: str, kind: int, keep: tuple[int, int] | None =
     return F.when(text.rlike(pattern), some).otherwise(start["out"])
 
 
-def found_spans(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
-    """docs with ``_base`` (spans of the fixed patterns) and ``_more`` (spans of the models that touch none of them)."""
+def found_spans(docs: DataFrame, names: list[str], samples: DataFrame | None = None) -> DataFrame:
+    """docs with two columns: spans of the fixed patterns, and spans of the models that touch none of them."""
     table, least = trained(labelled_samples(docs.sparkSession) if samples is None else samples)
+    base_name, more_name = names
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.array_sort(F.concat(spans(text, ASSIGN, 0, (2, 6)), spans(text, ACCESS, 1), spans(text, HEX, 2)))
-    held = docs.withColumn("_base", base).withColumn("_markov", spans(text, TOKEN, 3, score=table_column(table), least=least))
-    apart = F.filter("_markov", lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return held.withColumn("_more", apart).drop("_markov")
+    held = docs.withColumn(base_name, base).withColumn(more_name, spans(text, TOKEN, 3, score=table_column(table), least=least))
+    return held.withColumn(more_name, F.filter(more_name, lambda m: ~F.exists(base_name, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
 
 
 def listed(spans: Column) -> Column:
@@ -138,7 +140,8 @@ def listed(spans: Column) -> Column:
 
 def redacted(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
     """The rows of docs with every span replaced by the mark, and n_chars to match; overlapping spans are replaced as one."""
-    held = found_spans(docs).withColumn("_all", F.array_sort(F.concat("_base", "_more")))
+    base, more, every = fresh(docs, "_base", "_more", "_all")
+    held = found_spans(docs, [base, more]).withColumn(every, F.array_sort(F.concat(base, more)))
     text = F.coalesce(F.col("text"), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -148,16 +151,16 @@ def redacted(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
             s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mark)).alias("out"))
         ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
 
-    clean = F.aggregate("_all", start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    out = held.withColumn("text", F.when(F.size("_all") > 0, clean).otherwise(F.col("text")))
+    clean = F.aggregate(every, start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+    out = held.withColumn("text", F.when(F.size(every) > 0, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_all") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(every) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document."""
-    held = found_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    held = found_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), ["_base", "_more"])
 
     def count(kind: int) -> Column:
         return F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")

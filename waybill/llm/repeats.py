@@ -118,8 +118,10 @@ def bucket_of(minis: np.ndarray, n: int) -> np.ndarray:
 
 def grouped(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Every key with the places where it stands."""
+    if not len(keys):
+        return
     order = np.argsort(keys, kind="stable")
-    cuts = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0)) if len(keys) else np.zeros(0, int)
+    cuts = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0))
     for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
         yield int(keys[order[x]]), order[x:y]
 
