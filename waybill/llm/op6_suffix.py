@@ -20,11 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .kernel import U64, mix, powers, prefix, span_hash
+from .kernel import U64, gather, mix, powers, prefix, span_hash
 from .repeats import Units, covered, flagged_runs, without_repeats
 
 WINDOW, GRAM = 200, 32
-COLLECTION = 192 << 10
+COLLECTION = 96 << 10
 
 
 class Column:
@@ -141,20 +141,58 @@ class _nothing:
         return None
 
 
-def by_suffixes(window: int, collection: int = COLLECTION):
+def narrowed(buf: np.ndarray, offs: np.ndarray, group: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The strings that can hold a window of another one, cut to where it can lie: string, begin, end.
+
+    A window holds its minimiser with half of its other bytes on one side at least, so equal windows
+    agree on the minimiser and the half before it, or on the minimiser and the half behind it.
+    """
+    n, half, w = len(offs) - 1, (window - gram) // 2, window - gram + 1
+    grams = byte_units(buf, np.array([0, len(buf)]), gram).grams
+    begin, end = offs[:-1], offs[1:]
+    at = np.empty(n, np.int64)
+    for x in range(0, n, 4096):
+        rows = begin[x : x + 4096, None] + np.arange(w)
+        at[x : x + 4096] = begin[x : x + 4096] + grams[rows].argmin(1)
+    least = np.append(grams[at], U64(0))
+    own = np.repeat(np.arange(n), end - begin)[: len(grams)]
+    same = np.flatnonzero(grams == least[own])
+    loops = np.bincount(own[same][same + gram <= end[own[same]]], minlength=n) > 1
+    pre = prefix(buf)
+
+    def again(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        inside = np.flatnonzero((a >= begin) & (b <= end))
+        keys = mix(span_hash(pre, a[inside], b[inside]) + group[inside].astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+        _, which, count = np.unique(keys, return_inverse=True, return_counts=True)
+        out = np.zeros(n, bool)
+        out[inside] = count[which] > 1
+        return out
+
+    before, behind = again(at - half, at + gram), again(at, at + gram + half)
+    keep = np.flatnonzero(loops | before | behind)
+    low = np.where(loops | before, begin, np.maximum(begin, at - (window - gram - half)))[keep]
+    high = np.where(loops | behind, end, np.minimum(end, at + window - half))[keep]
+    long = high - low >= window
+    return keep[long], low[long], high[long]
+
+
+def by_suffixes(window: int, gram: int, collection: int = COLLECTION):
     """Resolver: one collection for the strings of some minimisers after another."""
 
     def resolve(buf: np.ndarray, offs: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        string, low, high = narrowed(buf, offs, group, window, gram)
+        group, shift, size = group[string], low - offs[string], high - low
+        buf, offs = gather(buf, low, size), np.append(0, np.cumsum(size))
         flags = np.zeros(len(buf), bool)
-        heads = np.append(np.flatnonzero(np.append(True, np.diff(group) != 0)), len(group))
+        heads = np.append(np.flatnonzero(np.append(True, np.diff(group) != 0)), len(group)) if len(group) else np.zeros(1, int)
         a = 0
         while a < len(heads) - 1:
             b = max(a + 1, int(np.searchsorted(offs[heads], offs[heads[a]] + collection, "right")) - 1)
             x, y = heads[a], heads[b]
             flags[offs[x] : offs[y]] = repeated_starts(buf[offs[x] : offs[y]], offs[x : y + 1] - offs[x], window)
             a = b
-        owners = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-        return flagged_runs(flags, owners, offs[:-1], window)
+        own, a, b = flagged_runs(flags, np.repeat(np.arange(len(offs) - 1), size), offs[:-1], window)
+        return string[own], a + shift[own], b + shift[own]
 
     return resolve
 
@@ -198,7 +236,7 @@ def remover(with_bytes: bool):
 def dedup_suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_bytes: bool = False) -> DataFrame:
     """n_bytes, n_removed, n_spans and the hash of the kept bytes (and, if asked, the bytes) for each row."""
     return without_repeats(
-        docs, lambda b, o: byte_units(b, o, gram), window, gram, by_suffixes(window), count_bytes, remover(with_bytes),
+        docs, lambda b, o: byte_units(b, o, gram), window, gram, by_suffixes(window, gram), count_bytes, remover(with_bytes),
         NAMES[: 4 + with_bytes], SCHEMA + ", kept binary" * with_bytes,
     )
 
