@@ -9,7 +9,7 @@ PLACES = 12
 
 
 def quotient(n: Column, d: Column, places: int = PLACES) -> Column:
-    """n / d times 10**places, rounded half to even, as DECIMAL(38,0); n below 10**24, d positive."""
+    """n / d times 10**places, rounded half to even, as DECIMAL(38,0); n below 10**24, d positive, n / d below 10**20."""
     scaled = n.cast("decimal(24,0)") * F.lit(10**places).cast("decimal(13,0)")
     d = d.cast("decimal(24,0)")
     rest = scaled % d
