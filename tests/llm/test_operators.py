@@ -81,7 +81,8 @@ def test_substring_words(docs, rows, empty):
             if seen[tuple(w[j : j + k])] > 1:
                 gone[j : j + k] = [True] * k
         want[i, len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone) if not g).encode())] += 1
-    assert as_rows(dedup_substrings(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+    for hot in (20_000, 4, 0):  # hot minimisers go window by window
+        assert as_rows(dedup_substrings(docs, hot=hot), "doc_id", "n_words", "n_removed", "kept_sha256") == want
     assert dedup_substrings(empty).count() == 0
 
 
@@ -102,7 +103,8 @@ def test_substring_bytes(docs, rows, empty):
                 gone[j : j + k] = [True] * k
         spans = sum(g and not (j and gone[j - 1]) for j, g in enumerate(gone))
         want[i, len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone) if not g))] += 1
-    assert as_rows(dedup_suffixes(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    for hot in (20_000, 4, 0):
+        assert as_rows(dedup_suffixes(docs, hot=hot), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
     assert dedup_suffixes(empty).count() == 0
 
 

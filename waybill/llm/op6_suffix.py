@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .kernel import U64, gather, mix, powers, prefix, span_hash
-from .repeats import Units, covered, flagged_runs, without_repeats
+from .repeats import HOT, Units, covered, flagged_runs, without_repeats
 
 WINDOW, GRAM = 200, 32
 COLLECTION = 96 << 10
@@ -233,11 +233,11 @@ def remover(with_bytes: bool):
     return remove
 
 
-def dedup_suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_bytes: bool = False) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_bytes: bool = False, hot: int = HOT) -> DataFrame:
     """n_bytes, n_removed, n_spans and the hash of the kept bytes (and, if asked, the bytes) for each row."""
     return without_repeats(
         docs, lambda b, o: byte_units(b, o, gram), window, gram, by_suffixes(window, gram), count_bytes, remover(with_bytes),
-        NAMES[: 4 + with_bytes], SCHEMA + ", kept binary" * with_bytes,
+        NAMES[: 4 + with_bytes], SCHEMA + ", kept binary" * with_bytes, hot=hot,
     )
 
 

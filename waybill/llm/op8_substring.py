@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .kernel import U64, gather, joined_words, mix, powers, prefix, span_hash, window_hash, window_rows, word_spans
-from .repeats import Units, covered, flagged_runs, without_repeats
+from .repeats import HOT, Units, covered, flagged_runs, without_repeats
 
 WINDOW, GRAM = 35, 8
 
@@ -88,11 +88,11 @@ def remover(with_text: bool):
     return remove
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """n_words, n_removed and the hash of the kept words (and, if asked, their text) for each row."""
     return without_repeats(
         docs, lambda b, o: word_units(b, o, gram), window, gram, repeated_windows(window), count_words, remover(with_text),
-        NAMES[: 3 + with_text], SCHEMA + ", kept_text string" * with_text,
+        NAMES[: 3 + with_text], SCHEMA + ", kept_text string" * with_text, hot=hot,
     )
 
 

@@ -12,7 +12,10 @@ Documents are dealt to blocks by a hash, once; blocks and buckets exchange packe
    bucket answers with the unit ranges that repeated windows cover in them;
 3. the block applies the ranges to every place where the string stands.
 
-So a string that a third of all texts share reaches its bucket once for each block.
+So a string that a third of all texts share reaches its bucket once for each block.  A minimiser with
+more than ``HOT`` distinct strings (such as one at the edge of a passage that very many texts hold)
+would still overload one bucket: its windows are dealt one by one by their own 128-bit hashes
+instead, and counted there.
 """
 
 from __future__ import annotations
@@ -22,13 +25,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import U64, buffer_of, cut, gather, mix, sliding_min, slices, window_rows
 from .store import parts, row_key
 
-MINIS = "bucket int, _block int, minis binary, again binary"
+HOT = 20_000
+MINIS = "bucket int, _block int, minis binary, again binary, strings binary"
+AGAIN = "_block int, minis binary, hot binary"
 SEGMENTS = "bucket int, _block int, minis binary, hashes binary, sizes binary, counts binary, loops binary, n_bytes bigint, text binary"
 RANGES = "_block int, hashes binary, starts binary, ends binary"
 
@@ -83,10 +89,11 @@ Make = Callable[[np.ndarray, np.ndarray], Units]
 
 @dataclass(frozen=True)
 class Supers:
-    """The super-k-mers of a slice: first unit, its text, string bounds, minimiser, string hash, whether it loops."""
+    """The super-k-mers of a slice: first unit, number of windows, text, string bounds, minimiser, string hash, whether it loops."""
 
     units: Units
     first: np.ndarray
+    size: np.ndarray
     text: np.ndarray
     begin: np.ndarray
     end: np.ndarray
@@ -109,7 +116,7 @@ def supers(column: pa.Array, make: Make, k: int, m: int) -> Iterator[tuple[int,
         if len(first):
             begin, end = u.starts[first], u.ends[first + size + k - 2]
             counts = np.bincount(u.owners, minlength=b - a)
-            yield a, Supers(u, first, u.owners[first], begin, end, mini, u.hash_of(begin, end), loops(u.grams, mins, first, size, w), np.cumsum(counts) - counts)
+            yield a, Supers(u, first, size, u.owners[first], begin, end, mini, u.hash_of(begin, end), loops(u.grams, mins, first, size, w), np.cumsum(counts) - counts)
 
 
 def bucket_of(minis: np.ndarray, n: int) -> np.ndarray:
@@ -148,58 +155,81 @@ def minimisers(docs: DataFrame, make: Make, k: int, m: int, n_buckets: int) -> D
     """The distinct minimisers of every block, and whether they occur again in it."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        minis = [np.zeros(0, np.uint64)]
-        for _, s in supers(table.column("text"), make, k, m):
-            minis += [s.mini, s.mini[s.loops]]
-        uniq, n = np.unique(np.concatenate(minis), return_counts=True)
-        rows = [(b, key[0].as_py(), uniq[at].tobytes(), (n[at] > 1).tobytes()) for b, at in grouped(bucket_of(uniq, n_buckets))]
+        held = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+        held += [(s.mini, s.mini[s.loops], s.hashes) for _, s in supers(table.column("text"), make, k, m)]
+        minis, looped, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
+        uniq, n = np.unique(np.concatenate([minis, looped]), return_counts=True)
+        _, one = np.unique(hashes, return_index=True)
+        strings = np.bincount(np.searchsorted(uniq, minis[one]), minlength=len(uniq)).astype(np.int32)
+        rows = [(b, key[0].as_py(), uniq[at].tobytes(), (n[at] > 1).tobytes(), strings[at].tobytes()) for b, at in grouped(bucket_of(uniq, n_buckets))]
         return table_of(rows, MINIS)
 
     return docs.groupBy("_block").applyInArrow(run, MINIS)
 
 
-def occurring_again(minis: DataFrame) -> DataFrame:
-    """For every block those of its minimisers that occur more than once anywhere."""
+def occurring_again(minis: DataFrame, hot: int) -> DataFrame:
+    """For every block those of its minimisers that occur more than once anywhere, and which are hot."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         values, again = joined(table, "minis", np.uint64), joined(table, "again", bool)
         uniq, which, n = np.unique(values, return_inverse=True, return_counts=True)
         often = (n > 1) | (np.bincount(which, weights=again, minlength=len(uniq)) > 0)
+        many = np.bincount(which, weights=joined(table, "strings", np.int32), minlength=len(uniq)) > hot
         rows, at = [], 0
         for block, blob in zip(table.column("_block").to_pylist(), table.column("minis").to_pylist(), strict=True):
             n = len(blob) // 8
-            rows.append((block, values[at : at + n][often[which[at : at + n]]].tobytes()))
+            own = which[at : at + n][often[which[at : at + n]]]
+            rows.append((block, uniq[own].tobytes(), many[own].tobytes()))
             at += n
-        return table_of([r for r in rows if r[1]], "_block int, minis binary")
+        return table_of([r for r in rows if r[1]], AGAIN)
 
-    return minis.groupBy("bucket").applyInArrow(run, "_block int, minis binary")
+    return minis.groupBy("bucket").applyInArrow(run, AGAIN)
+
+
+def window_hashes(s: Supers, which: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of some super-k-mers, and two hashes of each: of the whole, and of its halves."""
+    at = spread(s.first[which], s.size[which])
+    u, half = s.units, k // 2
+    a, b = u.starts[at], u.ends[at + k - 1]
+    halves = mix(u.hash_of(a, u.ends[at + half - 1]) * U64(0x9E3779B97F4A7C15) + u.hash_of(u.starts[at + half], b))
+    return at, u.hash_of(a, b), halves
 
 
 def segments(docs: DataFrame, again: DataFrame, make: Make, k: int, m: int, n_buckets: int) -> DataFrame:
     """The distinct strings of every block whose minimiser occurs again, packed by bucket."""
 
     def run(key: tuple, docs: pa.Table, again: pa.Table) -> pa.Table:
-        wanted = np.sort(joined(again, "minis", np.uint64))
+        wanted, is_hot = joined(again, "minis", np.uint64), joined(again, "hot", bool)
+        hot, wanted = np.sort(wanted[is_hot]), np.sort(wanted[~is_hot])
         held: list[tuple] = []
-        if docs.num_rows and len(wanted):
+        single: list[np.ndarray] = []
+        block = key[0].as_py()
+        if docs.num_rows and len(wanted) + len(hot):
             for _, s in supers(docs.column("text"), make, k, m):
+                if len(hot):
+                    single.append(np.stack(window_hashes(s, np.flatnonzero(known(hot, s.mini)), k)[1:], 1))
                 at = np.flatnonzero(known(wanted, s.mini))
                 hashes, one, n = np.unique(s.hashes[at], return_index=True, return_counts=True)
                 o = at[one]
                 size = s.end[o] - s.begin[o]
                 held.append((hashes, s.mini[o], s.loops[o], n, size, gather(s.units.data, s.begin[o], size)))
+        rows = []
+        if single:
+            pairs, n = np.unique(np.concatenate(single), axis=0, return_counts=True)
+            for b, at in grouped(bucket_of(pairs[:, 0], n_buckets)):
+                whole, halves = (np.ascontiguousarray(pairs[at, i]).tobytes() for i in (0, 1))
+                rows.append((b, block, halves, whole, b"", n[at].astype(np.int64).tobytes(), b"", -1, b""))
         if not held:
-            return table_of([], SEGMENTS)
+            return table_of(rows, SEGMENTS)
         hashes, minis, looped, n, size, text = (np.concatenate(x) for x in zip(*held, strict=True))
         ends = np.cumsum(size)
         uniq, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-        count = np.bincount(which, weights=n).astype(np.int64)
-        rows = []
+        count = np.bincount(which, weights=n, minlength=len(uniq)).astype(np.int64)
         for b, at in grouped(bucket_of(minis[one], n_buckets)):
             o = one[at]
             raw = gather(text, ends[o] - size[o], size[o])
             rows.append((
-                b, key[0].as_py() if key[0].is_valid else -1, minis[o].tobytes(), uniq[at].tobytes(), size[o].astype(np.int32).tobytes(),
+                b, block, minis[o].tobytes(), uniq[at].tobytes(), size[o].astype(np.int32).tobytes(),
                 count[at].tobytes(), looped[o].tobytes(), len(raw), squeezed(raw.tobytes()),
             ))
         return table_of(rows, SEGMENTS)
@@ -215,7 +245,28 @@ Resolver = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.n
 def ranges(packed: DataFrame, resolve: Resolver, unit_count: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """For every block the unit ranges that repeated windows cover in its strings."""
 
+    def counted(table: pa.Table) -> list[tuple]:
+        """Hot windows: those whose two hashes occur twice or more, marked by a start of -1."""
+        pairs = np.stack([joined(table, "hashes", np.uint64), joined(table, "minis", np.uint64)], 1)
+        uniq, which = np.unique(pairs, axis=0, return_inverse=True)
+        which = which.ravel()
+        often = np.bincount(which, weights=joined(table, "counts", np.int64), minlength=len(uniq)) > 1
+        rows, at = [], 0
+        for block, blob in zip(table.column("_block").to_pylist(), table.column("hashes").to_pylist(), strict=True):
+            own = which[at : at + len(blob) // 8]
+            at += len(own)
+            found = np.ascontiguousarray(uniq[own[often[own]], 0])
+            if len(found):
+                none = np.full(len(found), -1, np.int32).tobytes()
+                rows.append((block, found.tobytes(), none, none))
+        return rows
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        single = pa.compute.equal(table.column("n_bytes"), -1)
+        rows = counted(table.filter(single)) if pa.compute.any(single).as_py() else []
+        table = table.filter(pa.compute.invert(single))
+        if not table.num_rows:
+            return table_of(rows, RANGES)
         hashes, sizes = joined(table, "hashes", np.uint64), joined(table, "sizes", np.int32).astype(np.int64)
         uniq, one, which = np.unique(hashes, return_index=True, return_inverse=True)
         count = np.bincount(which, weights=joined(table, "counts", np.int64), minlength=len(uniq))
@@ -224,7 +275,7 @@ def ranges(packed: DataFrame, resolve: Resolver, unit_count: Callable[[np.ndarra
         many = count > 1
         needed = np.flatnonzero(many | shared)
         if not len(needed):
-            return table_of([], RANGES)
+            return table_of(rows, RANGES)
         slot = np.full(len(uniq), -1, np.int64)
         slot[needed] = np.arange(len(needed))
         wanted = (one[which] == np.arange(len(which))) & (slot[which] >= 0)
@@ -256,7 +307,7 @@ def ranges(packed: DataFrame, resolve: Resolver, unit_count: Callable[[np.ndarra
         string, a, b = string[order], a[order], b[order]
         n_ranges = np.bincount(string, minlength=len(uniq))
         first = np.cumsum(n_ranges) - n_ranges
-        rows, at = [], 0
+        at = 0
         for block, blob in zip(table.column("_block").to_pylist(), table.column("hashes").to_pylist(), strict=True):
             own = which[at : at + len(blob) // 8]
             at += len(own)
@@ -283,11 +334,18 @@ def applied(docs: DataFrame, found: DataFrame, make: Make, k: int, m: int, remov
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         hashes, starts, ends = joined(found, "hashes", np.uint64), joined(found, "starts", np.int32), joined(found, "ends", np.int32)
+        hot = np.unique(hashes[starts < 0])
+        hashes, starts, ends = hashes[starts >= 0], starts[starts >= 0], ends[starts >= 0]
         order = np.argsort(hashes, kind="stable")
         uniq, first, count = np.unique(hashes[order], return_index=True, return_counts=True)
         hits: list[tuple] = [(np.zeros(0, np.int64),) * 3]
-        if docs.num_rows and len(uniq):
+        if docs.num_rows and len(uniq) + len(hot):
             for text, s in supers(docs.column("text"), make, k, m):
+                if len(hot):
+                    at, whole, _ = window_hashes(s, np.arange(len(s.first)), k)
+                    at = at[known(hot, whole)]
+                    own = s.units.owners[at]
+                    hits.append((own + text, at - s.base[own], at - s.base[own] + k))
                 at = np.flatnonzero(known(uniq, s.hashes))
                 which = np.searchsorted(uniq, s.hashes[at])
                 pick = order[spread(first[which], count[which])]
@@ -302,13 +360,13 @@ def applied(docs: DataFrame, found: DataFrame, make: Make, k: int, m: int, remov
 
 
 def without_repeats(
-    docs: DataFrame, make: Make, k: int, m: int, resolve: Resolver, unit_count: Callable, remove: Remover, names: list[str], schema: str, bucket_mb: float = 3, block_mb: float = 2
+    docs: DataFrame, make: Make, k: int, m: int, resolve: Resolver, unit_count: Callable, remove: Remover, names: list[str], schema: str, bucket_mb: float = 3, block_mb: float = 2, hot: int = HOT
 ) -> DataFrame:
     """Documents without the units that repeated windows cover; one row per row of docs."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     n_buckets, n_blocks = parts(docs, bucket_mb), parts(docs, block_mb)
     blocks = docs.withColumn("_block", F.pmod(row_key(), F.lit(n_blocks)).cast("int"))
-    again = occurring_again(minimisers(blocks, make, k, m, n_buckets))
+    again = occurring_again(minimisers(blocks, make, k, m, n_buckets), hot)
     found = ranges(segments(blocks, again, make, k, m, n_buckets), resolve, unit_count)
     return applied(blocks, found, make, k, m, remove, names, schema)
 
