@@ -253,7 +253,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("tid", F.xxhash64("text"))
     depth = least_depth(threshold)
-    n = parts(rows, 16)
+    n = parts(rows, 4)
     texts = signed(rows.select("tid", "doc_id", "text"), depth).groupBy("tid").agg(
         F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc"), F.min("doc_id").alias("least"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"), F.first("keys").alias("keys")
     )
