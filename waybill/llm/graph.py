@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .store import written
@@ -20,8 +20,9 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("before"))
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("onward"))
-        step = written(step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("onward", "label")).alias("label"), "before"), "labels")
-        labels = step.select("node", "label")
-        if step.filter("label <> before").isEmpty():
+        step = step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("onward", "label")).alias("label"), "before")
+        seen = Observation()
+        labels = written(step.observe(seen, F.count_if(F.col("label") != F.col("before")).alias("changed")).select("node", "label"), "labels")
+        if not seen.get["changed"]:
             return labels
     raise RuntimeError(f"components did not settle in {most} rounds")
