@@ -242,11 +242,11 @@ def test_latency_rank_and_median(spark):
 @pytest.mark.parametrize(
     ("kinds", "want"),
     [
-        (["execution_failure", "valid"], ("selected", 2, 0, 2)),
-        (["execution_failure"] * 3 + ["valid"], ("tier_zero", 3, 0, None)),
-        (["fairness_violation", "valid"], ("disqualified", 1, 0, None)),
-        (["infrastructure_failure"] * 3, ("inconclusive", 0, 3, None)),
-        (["infrastructure_failure", "execution_failure", "valid"], ("selected", 2, 1, 3)),
+        (["execution_failure", "valid"], ("valid", 2, 0, 2)),
+        (["execution_failure"] * 3 + ["valid"], ("tier_score_zero", 3, 0, None)),
+        (["fairness_violation", "valid"], ("disqualified", 0, 0, None)),
+        (["infrastructure_failure"] * 3, ("infrastructure_unavailable", 0, 3, None)),
+        (["infrastructure_failure", "execution_failure", "valid"], ("valid", 2, 1, 3)),
         (["execution_failure"], ("running", 1, 0, None)),
     ],
 )
@@ -258,13 +258,13 @@ def test_retry_fold(spark, kinds, want):
 
 def test_clean_up_pending_stops(spark):
     log = spark.createDataFrame([("r", 1, "infrastructure_failure", True), ("r", 2, "valid", False)], "run string, seq bigint, kind string, cleanup_pending boolean")
-    assert audit.retry_outcomes(log, "run").first()["state"] == "inconclusive"
+    assert audit.retry_outcomes(log, "run").first()["state"] == "infrastructure_unavailable"
 
 
 def test_derangement(spark):
     for n in (1, 2, 3, 40):
         e = spark.createDataFrame([(f"e{i}", i) for i in range(n)], "episode_id string, pos bigint")
-        got = audit.audit_map(e, b"secret").collect()
+        got = audit.audit_map(e, b"a secret of 16 bytes").collect()
         assert sorted(r["audit_id"] for r in got) == sorted(r["original_id"] for r in got) and sorted(r["audit_pos"] for r in got) == list(range(n))
         assert n == 1 or all(r["audit_id"] != r["original_id"] for r in got)
 
@@ -310,13 +310,35 @@ def test_strict_documents(spark):
     assert (r["episode_id"], r["model_id"], r["score"], r["output_tokens"]) == ("a", "m", Decimal("0.25"), 3)
 
 
+def test_file_sources(spark, tmp_path):
+    from waybill.sources import files
+
+    spark.createDataFrame([(7, "p", "x")], "id bigint, problem string, other string").write.parquet(str(tmp_path / "p"))
+    assert files.parquet_problems(spark, str(tmp_path / "p")).collect() == [("7", "p")]
+    (tmp_path / "j.jsonl").write_text('{"id": 1, "problem": "a\\fb\\tc"}\n{"id": "2", "problem": "d"}\n')
+    assert sorted(map(tuple, files.jsonl_problems(spark, str(tmp_path / "j.jsonl")).collect())) == [("1", "a\\fb\\tc"), ("2", "d")]
+    (tmp_path / "s.tsv").write_text("id-1\tone\t1\nid-2\ttwo\t2")
+    assert sorted(map(tuple, files.tsv_samples(spark, str(tmp_path / "s.tsv")).collect())) == [("id-1", "one", "1"), ("id-2", "two", "2")]
+    (tmp_path / "cg").write_text("oom 0\noom_kill 3\n")
+    assert {r["key"]: r["value"] for r in files.key_values(spark, str(tmp_path / "cg")).collect()} == {"oom": 0, "oom_kill": 3}
+    pins = {"schema_version": 1, "sources": [{"source_id": "s", "source_type": "hub", "revision": "r/1", "repo_id": "o/n", "files": [{"path": "a b/c.txt", "sha256": "0" * 64}, {"path": "d", "sha256": "1" * 64, "url": "https://x.y/d"}]}]}
+    (tmp_path / "pins.json").write_text(json.dumps(pins))
+    got = files.source_files(spark, str(tmp_path / "pins.json"))
+    assert {r["path"]: r["url"] for r in files.with_urls(got, "https://host", "datasets").collect()} == {"a b/c.txt": "https://host/datasets/o/n/resolve/r%2F1/a%20b/c.txt", "d": "https://x.y/d"}
+    digest = hashlib.sha256((tmp_path / "cg").read_bytes()).hexdigest()
+    pinned = spark.createDataFrame([("cg", digest), ("s.tsv", "0" * 64), ("gone", digest)], "name string, sha256 string")
+    assert {r["name"]: r["status"] for r in files.verified(spark, str(tmp_path), pinned).collect()} == {"cg": "ok", "s.tsv": "hash_mismatch", "gone": "missing"}
+
+
 def test_checks(spark):
     urls = spark.createDataFrame([("https://a.b/c",), ("http://a.b",), ("https://u@a.b/",), ("https://a.b/#x",), (None,)], "u string")
-    assert checks.unsafe_urls(urls, "u").count() == 4
-    paths = spark.createDataFrame([("a/b",), ("/a",), ("a/../b",), ("a//b",), ("a\\b",)], "p string")
+    assert checks.unsafe_urls(urls, "u").count() == 2
+    paths = spark.createDataFrame([("a/b",), ("/a",), ("a/../b",), ("a//b",), ("./.",), ("",)], "p string")
     assert checks.unsafe_paths(paths, "p").count() == 4
-    images = spark.createDataFrame([("reg.io/a/b@sha256:" + "0" * 64,), ("a:latest",), ("A/b@sha256:" + "0" * 64,)], "i string")
-    assert checks.bad_images(images, "i").count() == 2
+    d = "@sha256:" + "0" * 64
+    good, bad = ["reg.io/a/b" + d, "localhost:5000/a" + d, "a/b__c-d.e" + d, "sha256:" + "0" * 64], ["a:latest", "A/b" + d, "a//b" + d, "reg.io:x/a" + d, "a" * 400 + d, "a" + d + "\n"]
+    images = spark.createDataFrame([(i,) for i in good + bad], "i string")
+    assert {r["i"] for r in checks.bad_images(images, "i").collect()} == set(bad)
     subs = spark.createDataFrame([("fast",), ("fast",), ("odd",)], "tier string")
     assert {(r["tier"], r["n"]) for r in checks.tier_problems(subs, ["fast", "balanced"]).collect()} == {("fast", 2), ("balanced", 0), ("odd", 1)}
     heads = spark.createDataFrame([(1, "a"), (1, "b")], "v int, c string")

@@ -13,12 +13,14 @@ from .order import ranked
 ATTEMPTS, INFRASTRUCTURE_FAILURES = 3, 3
 
 
-def audit_map(episodes: DataFrame, secret: bytes, id_domain: str = "id", order_domain: str = "order") -> DataFrame:
+def audit_map(episodes: DataFrame, secret: bytes, id_domain: str = "id-cycle", order_domain: str = "order") -> DataFrame:
     """(original_id, audit_id, audit_pos) of rows (episode_id, pos).
 
     By the first token each row takes its successor's id around the circle, so no row keeps its own
     unless it is alone; the second token shuffles the order, turned by one if that changes nothing.
     """
+    if len(secret) < 16:
+        raise ValueError("the secret has fewer than 16 bytes")
     held = episodes.select("episode_id", "pos")
     held = held.withColumn("id_token", audit_token(secret, id_domain, F.col("pos"), F.col("episode_id")))
     held = held.withColumn("order_token", audit_token(secret, order_domain, F.col("pos"), F.col("episode_id")))
@@ -51,8 +53,9 @@ def numbered(log: DataFrame, key: str, order: list[str], counted: tuple[str, ...
 def retry_outcomes(log: DataFrame, key: str) -> DataFrame:
     """Folds each log of (seq, kind, cleanup_pending) to the state in which its run stops.
 
-    The first valid attempt is selected; a fairness violation disqualifies; infrastructure failures
-    count apart and stop the run at the limit or when clean-up is pending; as many failed attempts as the limit give zero.
+    The first valid attempt is selected; a fairness violation disqualifies and is no attempt;
+    infrastructure failures count apart and stop the run at the limit or when clean-up is pending; as
+    many failed attempts as the limit give zero.
     """
     rows = F.array_sort(F.collect_list(F.struct("seq", "kind", "cleanup_pending")))
     held = log.groupBy(key).agg(rows.alias("rows"))
@@ -60,12 +63,11 @@ def retry_outcomes(log: DataFrame, key: str) -> DataFrame:
 
     def step(acc: Column, r: Column) -> Column:
         infra = r["kind"] == "infrastructure_failure"
-        attempts = acc["attempts"] + F.when(infra, 0).otherwise(1)
+        attempts = acc["attempts"] + F.when(r["kind"].isin("valid", "execution_failure"), 1).otherwise(0)
         failures = acc["infrastructure"] + F.when(infra, 1).otherwise(0)
-        state = (
-            F.when(r["kind"] == "valid", "selected").when(r["kind"] == "fairness_violation", "disqualified")
-            .when(infra & ((failures >= INFRASTRUCTURE_FAILURES) | r["cleanup_pending"]), "inconclusive").when(~infra & (attempts >= ATTEMPTS), "tier_zero").otherwise("running")
-        )
+        stopped = infra & ((failures >= INFRASTRUCTURE_FAILURES) | r["cleanup_pending"])
+        state = F.when(r["kind"] == "valid", "valid").when(r["kind"] == "fairness_violation", "disqualified").when(stopped, "infrastructure_unavailable")
+        state = state.when(attempts >= ATTEMPTS, "tier_score_zero").otherwise("running")
         new = F.struct(state.alias("state"), attempts.alias("attempts"), failures.alias("infrastructure"), F.when(r["kind"] == "valid", r["seq"]).alias("selected"))
         return F.when(acc["state"] == "running", new).otherwise(acc)
 
@@ -74,22 +76,31 @@ def retry_outcomes(log: DataFrame, key: str) -> DataFrame:
 
 
 def audit_status(invalid: Column, mismatches: Column, failures: Column) -> Column:
-    """passed, review or inconclusive."""
-    return F.when(failures >= INFRASTRUCTURE_FAILURES, "inconclusive").when(invalid | (mismatches > 0), "review").otherwise("passed")
+    """passed, review_required or inconclusive_infrastructure."""
+    return F.when(failures >= INFRASTRUCTURE_FAILURES, "inconclusive_infrastructure").when(invalid | (mismatches > 0), "review_required").otherwise("passed")
 
 
-def attempt_reason(kind: Column, timed_out: Column, terminated: Column, code: Column, n_bytes: Column, limit: int) -> Column:
-    """Why an attempt ended as it did."""
+def attempt_reason(kind: Column, cleanup_pending: Column, timed_out: Column, terminated: Column, code: Column) -> Column:
+    """Reason code of a logged attempt."""
     return (
-        F.when(kind == "valid", "valid").when(terminated, "operator_terminated").when(timed_out, "timeout")
-        .when(kind == "infrastructure_failure", "infrastructure").when(kind == "fairness_violation", "fairness")
-        .when(n_bytes > limit, "output_too_large").when(code != 0, "nonzero_exit").otherwise("invalid_output")
+        F.when(kind == "valid", "valid_submission").when(kind == "fairness_violation", "fairness_review_required").when(cleanup_pending, "operator_cleanup_pending")
+        .when(kind == "infrastructure_failure", "operator_infrastructure_failure").when(timed_out, "wall_time_limit_exceeded").when(terminated, "operator_limit_terminated")
+        .when(F.coalesce(code, F.lit(0)) != 0, "participant_nonzero_exit").otherwise("submission_validation_failure")
     )
 
 
-#: Exit codes of a tier's status.
-EXIT_CODES = {"selected": 0, "tier_zero": 10, "disqualified": 20, "inconclusive": 30}
+def tier_status(retry: Column, audit: Column) -> Column:
+    """The status of a tier from its retry state and audit status (null if there was no audit)."""
+    failed = F.when(retry.isin("infrastructure_unavailable", "disqualified", "tier_score_zero"), retry)
+    return (
+        failed.when(audit == "review_required", "review_required").when(audit == "inconclusive_infrastructure", "audit_inconclusive_infrastructure")
+        .when(audit.isNull(), "audit_skipped").otherwise("valid")
+    )
+
+
+# Exit code of each status.
+EXIT_CODES = {"valid": 0, "tier_score_zero": 0, "disqualified": 0, "infrastructure_unavailable": 4, "audit_inconclusive_infrastructure": 4, "review_required": 5, "audit_skipped": 5}
 
 
-def exit_code(state: Column) -> Column:
-    return F.coalesce(*[F.when(state == s, F.lit(c)) for s, c in EXIT_CODES.items()], F.lit(1))
+def exit_code(status: Column) -> Column:
+    return F.coalesce(*[F.when(status == s, F.lit(c)) for s, c in EXIT_CODES.items()])

@@ -107,27 +107,34 @@ def wrong_count(frame: DataFrame, expected: int) -> DataFrame:
 
 
 def unsafe_paths(frame: DataFrame, column: str) -> DataFrame:
-    """Absolute paths, and paths with empty, ``.`` or ``..`` parts or a backslash."""
-    parts = F.split(F.col(column), "/")
-    bad = F.exists(parts, lambda p: p.isin("", ".", "..")) | F.contains(F.col(column), F.lit("\\"))
-    return frame.filter(F.coalesce(bad, F.lit(True)))
+    """Paths that are absolute, climb with ``..``, or have no part besides empty ones and ``.``."""
+    path = F.col(column)
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    return frame.filter(F.coalesce(F.startswith(path, F.lit("/")) | (F.size(parts) == 0) | F.array_contains(parts, ".."), F.lit(True)))
 
 
 def unsafe_urls(frame: DataFrame, column: str) -> DataFrame:
-    """URLs that are not https, lack a host, or carry user information or a fragment."""
-    u = F.col(column)
-    good = (F.try_parse_url(u, F.lit("PROTOCOL")) == "https") & F.try_parse_url(u, F.lit("HOST")).isNotNull()
-    good &= F.try_parse_url(u, F.lit("USERINFO")).isNull() & F.try_parse_url(u, F.lit("REF")).isNull()
-    return frame.filter(~F.coalesce(good, F.lit(False)))
+    """URLs that are not absolute https URLs with a host."""
+    return frame.filter(~F.coalesce(F.regexp_like(F.col(column), F.lit(r"\A(?i:https)://[^/?#]+")), F.lit(False)))
+
+
+# Parts of image references.
+NAMED_IMAGE = r"\A(.+)@sha256:[0-9a-f]{64}\z"
+REPOSITORY_PART = r"\A[a-z0-9]+(?:(?:[._]|__|[-]+)[a-z0-9]+)*\z"
+REGISTRY = r"\A(?:localhost|[a-z0-9]+(?:[.-][a-z0-9]+)*)(?::[0-9]+)?\z"
+LONGEST_IMAGE = 336
 
 
 def bad_images(frame: DataFrame, column: str) -> DataFrame:
-    """Image references that are not name@sha256:digest with lower-case path parts."""
-    name, digest = F.split_part(F.col(column), F.lit("@"), F.lit(1)), F.split_part(F.col(column), F.lit("@"), F.lit(2))
-    parts = F.split(name, "/")
-    good = (F.size(F.split(F.col(column), "@")) == 2) & F.regexp_like(digest, F.lit(DIGEST))
-    good &= F.forall(parts, lambda p: F.regexp_like(p, F.lit(r"\A[a-z0-9]+(?:[._:-]+[a-z0-9]+)*\z")))
-    return frame.filter(~F.coalesce(good, F.lit(False)))
+    """Image references that are neither a local image id nor registry/repository@sha256:digest."""
+    image = F.col(column)
+    parts = F.split(F.regexp_extract(image, NAMED_IMAGE, 1), "/")
+    head = F.get(parts, F.lit(0))
+    has_registry = (F.size(parts) > 1) & (F.contains(head, F.lit(".")) | F.contains(head, F.lit(":")) | (head == "localhost"))
+    names = F.when(has_registry, F.slice(parts, 2, F.size(parts))).otherwise(parts)
+    named = F.regexp_like(image, F.lit(NAMED_IMAGE)) & (F.length(image) <= LONGEST_IMAGE) & (~has_registry | F.regexp_like(head, F.lit(REGISTRY)))
+    named &= F.forall(names, lambda p: F.regexp_like(p, F.lit(REPOSITORY_PART)))
+    return frame.filter(~F.coalesce(named | F.regexp_like(image, F.lit(DIGEST)), F.lit(False)))
 
 
 def nonzero_events(frame: DataFrame, column: str) -> DataFrame:

@@ -27,10 +27,10 @@ def base_and_fetched(base: DataFrame, fetched: DataFrame) -> DataFrame:
 def table_bytes(samples: DataFrame, keys: list[str]) -> DataFrame:
     """For each group the tab-separated rows joined by line feeds without a last one, with their hash.
 
-    Fields with a tab, line feed or carriage return make ``valid`` false.
+    Empty fields and fields with a tab, line feed or carriage return make ``valid`` false.
     """
     fields = ["sample_id", "problem", "answer"]
-    clean = F.forall(F.array(*fields), lambda f: ~F.regexp_like(f, F.lit("[\t\n\r]")))
+    clean = F.forall(F.array(*fields), lambda f: (F.length(f) > 0) & ~F.regexp_like(f, F.lit("[\t\n\r]")))
     held = samples.withColumn("_row", F.struct("pos", F.concat_ws("\t", *fields).alias("line"), clean.alias("clean")))
     held = held.groupBy(*keys).agg(F.array_sort(F.collect_list("_row")).alias("rows"))
     text = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")

@@ -131,7 +131,7 @@ SELECT * FROM (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN lang END AS prompt,
     "bad_decimals": r"""
 SELECT doc_id, upper(hex(score)) AS score_hex FROM (SELECT doc_id, ['0', '0.5', '1', '00.5', '.5', '1e-1', '-0', '1.', '0.25' || chr(10), '2', '0.1234567890123456789012345678901'][doc_id % 11 + 1] AS score FROM documents)
 WHERE NOT regexp_full_match(score, '(0|[1-9][0-9]{0,39})(\.[0-9]{1,30})?') OR TRY_CAST(score AS DOUBLE) > 1""",
-    "unsafe_urls": r"SELECT page_id, url FROM pages WHERE NOT (regexp_matches(url, '^https://[^/@#?]+([/?][^#]*)?$'))",
+    "unsafe_urls": r"SELECT page_id, url FROM pages WHERE NOT (regexp_matches(url, '^(?i)https://[^/?#]+'))",
     "rule_table": r"""
 SELECT doc_id, 'short' AS rule FROM documents WHERE n_chars < 100 UNION ALL SELECT doc_id, 'language' FROM documents WHERE lang NOT IN ('en', 'fr', 'de')
 UNION ALL SELECT doc_id, 'source' FROM documents WHERE NOT regexp_full_match(source, 'src[0-9]')""",
@@ -159,13 +159,17 @@ SELECT turn::INT AS turn, ((i - turn + n) % n)::BIGINT AS place, n_name AS submi
 SELECT l_returnflag, l_linestatus, min(l_quantity::BIGINT) AS least, median(l_quantity::BIGINT) AS median, max(l_quantity::BIGINT) AS most, count(*) AS n FROM lineitem GROUP BY ALL""",
     "determinism": "SELECT o_custkey, count(DISTINCT o_orderstatus) = 1 AS deterministic, count(*) AS n FROM orders GROUP BY 1",
     "audit_mapping": f"""
-WITH t AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, {_hmac('id')} AS a, {_hmac('order')} AS b FROM documents)
+WITH t AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, {_hmac('id-cycle')} AS a, {_hmac('order')} AS b FROM documents)
 SELECT id AS original_id, coalesce(lead(id) OVER (ORDER BY a, doc_id), first_value(id) OVER (ORDER BY a, doc_id)) AS audit_id, row_number() OVER (ORDER BY b, doc_id) - 1 AS audit_pos FROM t""",
     "audit_mismatches": _with(_FEATURES) + """
 SELECT episode_id AS original_id, 'a' || episode_id AS audit_id, model_id AS official_model, 'think' AS audit_model FROM decisions WHERE tier = 'balanced' AND doc_id % 10 = 4""",
     "attempt_numbers": _with(_LOG) + """
 SELECT event_id, row_number() OVER w AS seq, 1 + coalesce(sum((kind IN ('execution_failure', 'valid'))::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS attempt
 FROM log WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
+    "attempt_reasons": _with(_LOG) + """
+SELECT CASE WHEN kind = 'valid' THEN 'valid_submission' WHEN kind = 'fairness_violation' THEN 'fairness_review_required' WHEN cleanup_pending THEN 'operator_cleanup_pending'
+  WHEN kind = 'infrastructure_failure' THEN 'operator_infrastructure_failure' WHEN event_id % 5 = 0 THEN 'wall_time_limit_exceeded' WHEN event_id % 7 = 0 THEN 'operator_limit_terminated'
+  WHEN event_id % 3 = 2 THEN 'participant_nonzero_exit' ELSE 'submission_validation_failure' END AS reason, count(*) AS n FROM log GROUP BY 1""",
     "token_lists": _with(_TOKENS) + " SELECT item_id, len(tokens)::BIGINT AS n_tokens, sha256(array_to_string(tokens, ' ')) AS sha256 FROM found",
     "linear_scores": f"SELECT vec_id, {_score(0)} AS score_light, {_score(1)} AS score_middle, {_score(2)} AS score_think FROM embeddings",
     "argmax_model": f"""

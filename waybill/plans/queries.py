@@ -258,7 +258,20 @@ def attempt_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 def retry_fold(spark: SparkSession, d: str) -> DataFrame:
     log = audit.numbered(attempt_log(spark, d), "user_id", ["ts", "event_id"], ("execution_failure",))
-    return audit.retry_outcomes(log, "user_id").withColumn("exit_code", audit.exit_code(F.col("state")).cast("bigint"))
+    return audit.retry_outcomes(log, "user_id")
+
+
+def tier_status(spark: SparkSession, d: str) -> DataFrame:
+    audited = F.element_at(F.array(*map(F.lit, ["passed", "review_required", "inconclusive_infrastructure"])), (F.col("user_id") % 4 + 1).cast("int"))
+    held = retry_fold(spark, d).filter("state <> 'running'").withColumn("audit", F.when(F.col("user_id") % 4 < 3, audited))
+    held = held.withColumn("status", audit.tier_status(F.col("state"), F.col("audit")))
+    return held.groupBy("state", "audit", "status").agg(F.count("*").alias("n")).withColumn("exit_code", audit.exit_code(F.col("status")).cast("bigint"))
+
+
+def attempt_reasons(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("event_id")
+    reason = audit.attempt_reason(F.col("kind"), F.col("cleanup_pending"), n % 5 == 0, n % 7 == 0, F.when(n % 3 > 0, n % 3 - 1))
+    return attempt_log(spark, d).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
 def term_bins(spark: SparkSession, d: str) -> DataFrame:
