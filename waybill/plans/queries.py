@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from waybill.functions import exact, hashing, text
 from waybill.operators import audit, checks, learn, materialise, routing, scoring, stats
 from waybill.operators.order import ranked
+from waybill.sources.shared import spread
 
 MODELS = ("light", "middle", "think")
 TIERS = ("fast", "balanced", "premium")
@@ -23,7 +24,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def episodes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("episode_id"), F.col("doc_id").alias("pos"), "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.select(F.col("doc_id").cast("string").alias("episode_id"), F.col("doc_id").alias("pos"), "text")
 
 
 def outcomes(spark: SparkSession, d: str) -> DataFrame:

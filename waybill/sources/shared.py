@@ -15,3 +15,15 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{base.rstrip('/')}/waybill/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+SMALL_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input dealt over all cores; a file with one row group would keep them all but one idle.
+
+    Larger inputs are left as they are scanned, so nothing is shuffled at scale.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
