@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .kernel import U64, buffer_of, cut, mix, prefix, slices, span_hash, window_hash, window_rows, word_spans
-from .store import fresh, parts, written
+from .store import fresh, parts, spread, written
 
 SHINGLE, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 16, 6, 0.9999
 SETTLED, LINKED = 0.7, 0.2
@@ -98,7 +98,7 @@ def signed(docs: DataFrame, depth: int) -> DataFrame:
                 sigs = pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), sigs, keys], ["tid", "doc_id", "sig", "keys"])
 
-    return docs.mapInArrow(run, "tid bigint, doc_id bigint, sig binary, keys array<bigint>")
+    return spread(docs).mapInArrow(run, "tid bigint, doc_id bigint, sig binary, keys array<bigint>")
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:

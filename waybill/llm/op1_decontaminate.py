@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import U64, buffer_of, cut, mix, prefix, slices, span_hash, window_hash, window_rows, word_spans
+from .store import spread
 
 WINDOW, NEED, LITERALS, BLOCK_MB = 8, 13, 4, 32
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
@@ -188,6 +189,7 @@ def scanned(column: pa.Array, index: Index) -> Iterator[list[tuple]]:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and benchmark item that it leaks."""
     spark, out = docs.sparkSession, None
+    docs = spread(docs.select(F.col("doc_id").cast("long"), "text"))
     for block in blocks(benchmark):
         shared = spark.sparkContext.broadcast(Index(block))
 
@@ -199,14 +201,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 columns = zip(*rows, strict=True) if rows else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
 
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FOUND)
+        part = docs.mapInArrow(run, FOUND)
         out = part if out is None else out.union(part)
     return out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that leak no item."""
-    at = docs.columns.index("text")
+    docs, at = spread(docs), docs.columns.index("text")
     for block in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(Index(block))
 

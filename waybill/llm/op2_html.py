@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .boost import Trees, fitted
 from .dom import Page, features, parse
 from .page_samples import Writer, pages
+from .store import spread
 
 SAMPLE = 900
 
@@ -133,7 +134,7 @@ def extracted(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return rows.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return spread(rows).mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import fresh
+from .store import fresh, spread
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -129,7 +129,7 @@ def found_spans(docs: DataFrame, names: list[str], samples: DataFrame | None = N
     base_name, more_name = names
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.array_sort(F.concat(spans(text, ASSIGN, 0, (2, 6)), spans(text, ACCESS, 1), spans(text, HEX, 2)))
-    held = docs.withColumn(base_name, base).withColumn(more_name, spans(text, TOKEN, 3, score=table_column(table), least=least))
+    held = spread(docs).withColumn(base_name, base).withColumn(more_name, spans(text, TOKEN, 3, score=table_column(table), least=least))
     return held.withColumn(more_name, F.filter(more_name, lambda m: ~F.exists(base_name, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
 
 

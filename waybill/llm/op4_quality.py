@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernel import DELIM, U64, buffer_of, cut, gather, mix, owner, prefix, slices, span_hash, window_hash, window_rows, word_spans
+from .store import spread
 
 WINDOW = 8
 SYMBOLS = np.zeros(256, bool)
@@ -208,7 +209,7 @@ def judged(docs: DataFrame, rules: Sequence[Rule] = RULES, measured: Sequence[st
             arrays = [batch.column(i) for i in columns] + [pa.array(np.concatenate(found[n])) for n in names]
             yield pa.RecordBatch.from_arrays(arrays, [*(f.name for f in fields), *names])
 
-    return rest.mapInArrow(run, schema)
+    return spread(rest).mapInArrow(run, schema)
 
 
 def kept_documents(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:

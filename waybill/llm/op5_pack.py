@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import U64, buffer_of, cut, mix, powers, slices
-from .store import row_key, written
+from .store import row_key, spread, written
 
 WINDOW = 2048
 END_ID = 1
@@ -209,7 +209,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str = "byte_bpe_50k
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names)
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"), row_key().alias("key"))
-    return docs.mapInArrow(run, PIECES)
+    return spread(docs).mapInArrow(run, PIECES)
 
 
 class CapacityTree:
