@@ -229,6 +229,19 @@ def test_ridge_equals_numpy(spark):
     assert learn.safety_grid(0.5, 3) == [0.5, 0.75, 1.0]
 
 
+def test_router_document_round_trip():
+    from waybill.operators import learned
+
+    n = 14 + 16
+    router = learned.Router(16, ("a", "b"), np.zeros(n), np.ones(n), np.arange(n * 4.0).reshape(n, 4), np.arange(4.0), {"fast": 0.9}, "0" * 64, {"rows": 3})
+    document = json.loads(json.dumps(router.document()))
+    again = learned.parsed(document, ("fast",))
+    assert np.array_equal(again.coefficients, router.coefficients) and again.document() == document
+    for change in ({"hash_bins": 24}, {"more": 1}, {"schema_version": True}, {"feature_scale": [0.0] * n}, {"feature_mean": [math.inf] * n}, {"tier_safety_ratios": {"fast": 0}}, {"policy_sha256": "x"}):
+        with pytest.raises(ValueError):
+            learned.parsed({**document, **change}, ("fast",))
+
+
 def test_latency_rank_and_median(spark):
     runs = spark.createDataFrame([("a", "fast", v, "ok") for v in (5, 1, 3, 2, 4)] + [("b", "fast", v, "ok") for v in (1, 2, 3)], "submission_id string, tier string, elapsed_ns bigint, kind string")
     assert {(r["submission_id"], r["median_ns"]) for r in stats.tier_medians(runs).collect()} == {("a", 3), ("b", None)}

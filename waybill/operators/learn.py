@@ -14,6 +14,7 @@ from waybill.functions.text import CONSTRAINT, FORMAL, PROGRAM, TRANSFORM, count
 
 # Bounds of the hash bins, penalties, weight of the cost error, floor of a scale.
 LEAST_BINS, MOST_BINS = 16, 16384
+DENSE_FEATURES = 14
 ALPHAS = (0.1, 1.0, 10.0, 100.0)
 COST_WEIGHT, SCALE_FLOOR = 0.05, 1e-12
 

@@ -134,8 +134,8 @@ def _totals(predictions: DataFrame, models: list[str], fill: bool, light: float,
     return out
 
 
-def _least_penalty(predictions: DataFrame, models: list[str], fill: bool, light: float, cap: float, grid: int = 64) -> float | None:
-    """The least penalty, to the last bits, whose choice fits the cap; each round is one pass over a grid of penalties."""
+def _least_penalty(predictions: DataFrame, models: list[str], fill: bool, light: float, cap: float, rounds: int, grid: int = 64) -> float | None:
+    """The least penalty whose choice fits the cap; each round is one pass over a grid of penalties, about nine reach the last bits."""
     ladder = [0.0] + [2.0**k for k in range(61)]
     fits = _totals(predictions, models, fill, light, ladder) <= cap
     if not fits.any():
@@ -144,7 +144,7 @@ def _least_penalty(predictions: DataFrame, models: list[str], fill: bool, light:
     if at == 0:
         return 0.0
     low, high = ladder[at - 1], ladder[at]
-    for _ in range(12):
+    for _ in range(rounds):
         middle = [x for x in np.linspace(low, high, grid + 2)[1:-1].tolist() if low < x < high]
         if not middle:
             break
@@ -154,7 +154,7 @@ def _least_penalty(predictions: DataFrame, models: list[str], fill: bool, light:
     return high
 
 
-def lagrangian_route(predictions: DataFrame, models: list[str], multiplier: float, safety: float) -> DataFrame:
+def lagrangian_route(predictions: DataFrame, models: list[str], multiplier: float, safety: float, rounds: int = 12) -> DataFrame:
     """One model per row of score_<model> and cost_<model>, best score less penalised cost, within a budget of the batch.
 
     Adds model_id; the penalty is the least that fits, all rows take the first model if none does.
@@ -164,11 +164,11 @@ def lagrangian_route(predictions: DataFrame, models: list[str], multiplier: floa
     if not light:
         return predictions.withColumn("model_id", F.lit(models[0]))
     cap = light * max(1.0, multiplier * safety)
-    found = _least_penalty(predictions, models, False, light, cap)
+    found = _least_penalty(predictions, models, False, light, cap, rounds)
     return predictions.withColumn("model_id", F.lit(models[0]) if found is None else penalised(models, found, light))
 
 
-def filled_route(routed: DataFrame, models: list[str], multiplier: float, safety: float = FILL_SAFETY) -> DataFrame:
+def filled_route(routed: DataFrame, models: list[str], multiplier: float, safety: float = FILL_SAFETY, rounds: int = 12) -> DataFrame:
     """Rows at the first model move to the second while the gain exceeds the penalised cost and the budget holds."""
     if not 0 < safety <= 1:
         raise ValueError("the safety ratio is not in (0, 1]")
@@ -184,7 +184,7 @@ def filled_route(routed: DataFrame, models: list[str], multiplier: float, safety
         more = F.col(f"cost_{second}") - F.col(f"cost_{first}")
         return F.when((F.col("model_id") == first) & (gain - F.lit(penalty) * more / F.lit(light) > 0), second).otherwise(F.col("model_id"))
 
-    found = _least_penalty(routed, models, True, light, cap)
+    found = _least_penalty(routed, models, True, light, cap, rounds)
     return routed if found is None else routed.withColumn("model_id", choose(found))
 
 

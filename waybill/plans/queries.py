@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waybill.functions import exact, hashing, text
-from waybill.operators import audit, checks, learn, materialise, routing, scoring, stats
+from waybill.operators import audit, checks, learn, learned, materialise, routing, scoring, stats
 from waybill.operators.order import ranked
 from waybill.sources.shared import spread
 
@@ -365,6 +365,13 @@ def safety_selection(spark: SparkSession, d: str) -> DataFrame:
     return learn.best_candidates(found)
 
 
+def learned_route(spark: SparkSession, d: str) -> DataFrame:
+    """Trained on the documents and their outcomes, then applied to them."""
+    e = episodes(spark, d)
+    router = learned.train(e, outcomes(spark, d), "0" * 64, bins=16, grid=(0.9, 2))
+    return learned.learned_route(e, learned.parsed(router.document(), tuple(scoring.PUBLIC.tiers))).groupBy("tier", "model_id").agg(F.count("*").alias("n"))
+
+
 def hangul_markers(spark: SparkSession, d: str) -> DataFrame:
     """Keyword rules on literal prompts that driver tables never hold."""
     rows = ["증명 하라. 증명하라 유도 분석", "Prove x^2 + 2*x + 1 = 0", "Summarize and list only", "```python\ndef f(x):\n    return x;\n```", "big-O 시간  복잡도 must exactly", "plain words"]
