@@ -252,6 +252,21 @@ def test_latency_rank_and_median(spark):
     assert sorted(r["elapsed_ns"] for r in stats.settled(failed).collect()) == [3, 90_000_000_000]
 
 
+def test_latency_reads_all_events(spark):
+    runs = {}
+    for e in spark.read.parquet(f"{D}/events.parquet").select("event_id", "event_type", "value").collect():
+        key = (f"s{e['event_id'] // 15}", ("fast", "balanced", "premium")[e["event_id"] // 5 % 3])
+        runs.setdefault(key, []).append(90_000_000_000 if e["event_type"] == "error" else math.floor(abs(e["value"]) * 1000))
+    want = {k: sorted(v)[2] if len(v) == 5 else None for k, v in runs.items()}
+    assert sum(map(len, runs.values())) == 1000 and {(r["submission_id"], r["tier"]): r["median_ns"] for r in QUERIES["latency_medians"](spark, D).collect()} == want
+    totals: dict = {}
+    for (s, _), v in want.items():
+        totals[s] = (totals.get(s, 0) or 0) + v if v is not None else totals.get(s)
+    rounded = {s: None if v is None else (v + 500) // 1000 * 1000 for s, v in totals.items()}
+    rank = {s: 1 + sum((b is None, b or 0) != (v is None, v or 0) and (b is None or (v is not None and b < v)) for b in rounded.values()) for s, v in rounded.items()}
+    assert {r["submission_id"]: r["rank"] for r in QUERIES["tiebreak_rank"](spark, D).collect()} == rank
+
+
 @pytest.mark.parametrize(
     ("kinds", "want"),
     [

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waybill.functions.exact import timer_round
+from waybill.operators.order import ranked
 
 # Measured runs per tier, and the time in ns that a failed run counts.
 RUNS, FAILED_NS = 5, 90_000_000_000
@@ -32,7 +33,9 @@ def tier_medians(runs: DataFrame, runs_per_tier: int = RUNS) -> DataFrame:
 def ranking(totals: DataFrame, resolution: int) -> DataFrame:
     """Competition rank (1, 1, 3) of rows (submission_id, total_ns) by the time rounded to the timer's resolution."""
     held = totals.withColumn("comparison_ns", timer_round(F.col("total_ns"), F.lit(resolution).cast("bigint")))
-    return held.withColumn("rank", F.rank().over(Window.orderBy("comparison_ns")).cast("bigint"))
+    placed = ranked(held, ["comparison_ns", "submission_id"], "_place")
+    first = placed.groupBy(F.col("comparison_ns").alias("_ns")).agg((F.min("_place") + 1).cast("bigint").alias("rank"))
+    return placed.join(first, F.col("comparison_ns").eqNullSafe(F.col("_ns"))).select(*held.columns, "rank")
 
 
 def rotated(candidates: DataFrame, turns: int) -> DataFrame:
