@@ -379,6 +379,19 @@ def test_decontamination(spark, empty):
     assert leaks(docs, items.limit(0)).count() == 0 and leaks(docs.limit(0), items).count() == 0
 
 
+def test_decontamination_of_short_and_slot_heavy_items(spark):
+    from waybill.llm.op1_decontaminate import decontaminated, leaks
+
+    numbers = " ".join(str(7 * i % 101) for i in range(16))
+    names = "we met " + " ".join(["Anna", "Maria", "Peter", "Paula", "Oscar", "Emil", "Nina", "Clara", "Hugo", "Ida", "Karl", "Lena", "Otto", "Rosa"])
+    items = ["What is 15 + 27?", numbers, names, "Which planet is largest in size", "three 3 km"]
+    rows = [(i, f"Question 5 {t} and more text") for i, t in enumerate(items)] + [(9, "Question 5 What is 16 + 27? " + numbers[8:30] + " three 4 km")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"], r["kind"]) for r in leaks(docs, bench).collect()} == {(i, i, "exact") for i in range(len(items))}
+    assert [r["doc_id"] for r in decontaminated(docs, bench).collect()] == [9]
+
+
 def test_secrets(spark, docs, empty):
     from waybill.llm.op3_secrets import ASSIGN, op3_secrets, redacted  # noqa: F401
     from waybill.llm.op3_secrets import found_spans, listed

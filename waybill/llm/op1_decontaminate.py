@@ -3,7 +3,8 @@
 Words lose case and outer punctuation; numbers, units and names (capitalised inside a sentence)
 become typed placeholders.  Windows of ``WINDOW`` template words (shorter items: the whole item) with
 enough literal words are hashed, and every document's windows are looked up in the hashes of the
-benchmark's.  Hits are put on diagonals, extended word by word, and checked slot by slot: a value of
+benchmark's; so are all windows of bare words without placeholders, however few of them are literal.
+Hits are put on diagonals, extended word by word, and checked slot by slot: a value of
 the item must stand for the same value of the document wherever it occurs, and the other way round.
 A document leaks an item if at least ``NEED`` words of it (all, if it has fewer) are covered and the
 slots are consistent, or as many are covered literally.
@@ -96,27 +97,32 @@ class Index:
         self.t = template(buf, offs)
         count = np.bincount(self.t.owner, minlength=len(items))
         self.size, self.begin = count, np.cumsum(count) - count
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.tables: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for k in sorted({min(WINDOW, int(n)) for n in count if n}):
-            keys, good = windows(self.t, k)
-            at = np.flatnonzero(good & ((k == WINDOW) | (count[self.t.owner[: len(keys)]] == k)))
-            at = at[np.argsort(keys[at], kind="stable")]
-            seen = np.zeros(1 << 22, bool)
-            seen[(keys[at] & U64((1 << 22) - 1)).astype(np.int64)] = True
-            self.tables[k] = (keys[at], at, seen)
-
-
-def windows(t: Template, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all windows of k template words, and whether each may be used."""
+            for exact in (False, True):
+                keys, good = windows(self.t, k, exact)
+                at = np.flatnonzero(good & ((k == WINDOW) | (count[self.t.owner[: len(keys)]] == k)))
+                at = at[np.argsort(keys[at], kind="stable")]
+                seen = np.zeros(1 << 22, bool)
+                seen[(keys[at] & U64((1 << 22) - 1)).astype(np.int64)] = True
+                self.tables[k, exact] = (keys[at], at, seen)
+
+
+def windows(t: Template, k: int, exact: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all windows of k template words, or of k bare words, and whether each may be used."""
+    if exact:
+        return window_hash(t.literal, k), window_rows(t.owner, k)
     keys = window_hash(t.canon, k)
     literal = np.append(0, np.cumsum(t.kind == LITERAL))
     return keys, window_rows(t.owner, k) & (literal[k:] - literal[:-k] >= min(LITERALS, k))
 
 
-def hits(index: Index, t: Template) -> Iterator[tuple[int, int, int, int]]:
-    """(text, item, place in the slice, place in the index) of equal windows, with their length in words."""
-    for k, (keys, places, seen) in index.tables.items():
-        own, good = windows(t, k)
+def hits(index: Index, t: Template, exact: bool) -> Iterator[tuple[int, int, int]]:
+    """(place in the slice, place in the index, length in words) of equal windows."""
+    for (k, bare), (keys, places, seen) in index.tables.items():
+        if bare != exact:
+            continue
+        own, good = windows(t, k, exact)
         at = np.flatnonzero(seen[(own & U64((1 << 22) - 1)).astype(np.int64)] & good)
         low, high = np.searchsorted(keys, own[at], "left"), np.searchsorted(keys, own[at], "right")
         for p, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
@@ -124,49 +130,71 @@ def hits(index: Index, t: Template) -> Iterator[tuple[int, int, int, int]]:
                 yield p, q, k
 
 
-def found_in(index: Index, t: Template, n_texts: int) -> list[list[tuple]]:
-    """For each text (item id, covered words, words of the item, slots, changed slots, kind of leak)."""
-    spans: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(dict)
-    for p, q, k in hits(index, t):
+def diagonals(index: Index, t: Template, exact: bool) -> dict[tuple[int, int], dict[int, list[list[int]]]]:
+    """The hits of each text and item as runs of the item's words, by the shift between the two."""
+    spans: dict[tuple[int, int], dict[int, list[list[int]]]] = defaultdict(dict)
+    for p, q, k in hits(index, t, exact):
         text, item = int(t.owner[p]), int(index.t.owner[q])
         if p - q in (d := spans[text, item]) and q <= d[p - q][-1][1]:
             d[p - q][-1][1] = max(d[p - q][-1][1], q + k)
         else:
             d.setdefault(p - q, []).append([q, q + k])
+    return spans
+
+
+def found_in(index: Index, t: Template, n_texts: int) -> list[list[tuple]]:
+    """For each text (item id, covered words, words of the item, slots, changed slots, kind of leak)."""
+    spans, bare = diagonals(index, t, False), diagonals(index, t, True)
     count = np.bincount(t.owner, minlength=n_texts)
     begin = np.cumsum(count) - count
     out: list[list[tuple]] = [[] for _ in range(n_texts)]
-    for (text, item), diagonals in spans.items():
+    for text, item in {**spans, **bare}:
         low, high = int(index.begin[item]), int(index.begin[item] + index.size[item])
         first, last = int(begin[text]), int(begin[text] + count[text])
-        covered: dict[int, int] = {}
-        for shift, runs in diagonals.items():
-            for a, b in runs:
-                while a > low and a + shift > first and index.t.literal[a - 1] == t.literal[a + shift - 1]:
-                    a -= 1
-                while b < high and b + shift < last and index.t.literal[b] == t.literal[b + shift]:
-                    b += 1
-                for q in range(a, b):
-                    covered.setdefault(q, q + shift)
-        need = min(NEED, high - low)
-        if len(covered) < need:
-            continue
-        there: dict[tuple[int, int], int] = {}
-        back: dict[tuple[int, int], int] = {}
-        literal = slots = changed = 0
-        consistent = True
-        for q, p in covered.items():
-            kind, a, b = int(index.t.kind[q]), int(index.t.literal[q]), int(t.literal[p])
-            literal += a == b
-            if kind in (NUMBER, UNIT, NAME):
-                slots += 1
-                changed += a != b
-                consistent &= there.setdefault((kind, a), b) == b and back.setdefault((kind, b), a) == a
-        if consistent or literal >= need:
-            out[text].append((index.ids[item], len(covered), high - low, slots, changed, "exact" if not changed else "reparameterised" if consistent else "edited"))
+
+        def cover(by_shift: dict[int, list[list[int]]], low: int = low, high: int = high, first: int = first, last: int = last) -> dict[int, int]:
+            covered: dict[int, int] = {}
+            for shift, runs in by_shift.items():
+                for a, b in runs:
+                    while a > low and a + shift > first and index.t.literal[a - 1] == t.literal[a + shift - 1]:
+                        a -= 1
+                    while b < high and b + shift < last and index.t.literal[b] == t.literal[b + shift]:
+                        b += 1
+                    for q in range(a, b):
+                        covered.setdefault(q, q + shift)
+            return covered
+
+        covered = cover(spans.get((text, item), {}))
+        row = judged(index, t, item, covered)
+        if row is None and (text, item) in bare:
+            row = judged(index, t, item, {**covered, **cover(bare[text, item])})
+        if row is not None:
+            out[text].append(row)
     return out
 
 
+def judged(index: Index, t: Template, item: int, covered: dict[int, int]) -> tuple | None:
+    """The row of a leak, given the places in the slice of the item's covered words."""
+    size = int(index.size[item])
+    need = min(NEED, size)
+    if len(covered) < need:
+        return None
+    there: dict[tuple[int, int], int] = {}
+    back: dict[tuple[int, int], int] = {}
+    literal = slots = changed = 0
+    consistent = True
+    for q, p in covered.items():
+        kind, a, b = int(index.t.kind[q]), int(index.t.literal[q]), int(t.literal[p])
+        literal += a == b
+        if kind in (NUMBER, UNIT, NAME):
+            slots += 1
+            changed += a != b
+            consistent &= there.setdefault((kind, a), b) == b and back.setdefault((kind, b), a) == a
+    if not consistent and literal < need:
+        return None
+    return index.ids[item], len(covered), size, slots, changed, "exact" if not changed else "reparameterised" if consistent else "edited"
+
+
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
     """The items in blocks of bounded size."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
