@@ -2,7 +2,8 @@
 
 Two first-order character models are trained from labelled samples; a token of at least
 ``LEAST`` characters is a secret if the log-likelihood ratio of the random model over the ordinary
-one exceeds a threshold set on the held-out half of the samples.  Everything is DataFrame functions:
+one exceeds a threshold set on the held-out half of the samples.  Matches of the fixed patterns are cut
+out of the tokens, and each piece that remains is scored on its own.  Everything is DataFrame functions:
 match positions come from the lengths of the pieces between matches.
 
 Null text counts as empty (no spans); repeated rows are scanned each; an empty table gives an empty
@@ -101,36 +102,53 @@ def trained(samples: DataFrame) -> tuple[list[float], float]:
     return table, max(by[False]["most"], (by[False]["most"] + by[True]["low"]) / 2)
 
 
-def spans(text: Column, pattern: str, kind: int, keep: tuple[int, int] | None = None, score: Column | None = None, least: float = 0.0) -> Column:
-    """Array of (start, kind, end) of the matches; keep: a group and its least length; score: table for ``ratio``."""
+def spans(text: Column, pattern: str, kind: int, keep: tuple[int, int] | None = None, words: bool = False) -> Column:
+    """Array of (start, kind, end) of the matches; keep: a group and its least length; words: also the matches themselves."""
     rx = F.lit(pattern)
     found = F.regexp_extract_all(text, rx, F.lit(0))
     group = F.regexp_extract_all(text, rx, F.lit(keep[0])) if keep else found
     gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
     parts = F.arrays_zip(gaps.alias("gap"), found.alias("match"), group.alias("group"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<start:int,kind:int,end:int{',word:string' * words}>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
         end = begin + F.length(x["match"])
         good = F.length(x["group"]) >= (keep[1] if keep else 0)
-        if score is not None:
-            good = ratio(x["match"], score) > least
-        span = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
+        span = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), *[x["match"].alias("word")] * words))
         return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
     some = F.aggregate(parts, start, step, lambda acc: acc["out"])
     return F.when(text.rlike(pattern), some).otherwise(start["out"])
 
 
+def pieces(token: Column, base: Column) -> Column:
+    """What the sorted base spans leave of a token, as spans with their characters."""
+    start = F.struct(token["start"].alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,word:string>>").alias("out"))
+
+    def until(acc: Column, end: Column) -> Column:
+        word = token["word"].substr(acc["at"] - token["start"] + 1, end - acc["at"])
+        piece = F.array(F.struct(acc["at"].alias("start"), token["kind"].alias("kind"), end.alias("end"), word.alias("word")))
+        return F.when(acc["at"] < end, F.concat(acc["out"], piece)).otherwise(acc["out"])
+
+    def step(acc: Column, b: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), until(acc, b["start"]).alias("out"))
+
+    touching = F.filter(base, lambda b: (b["start"] < token["end"]) & (token["start"] < b["end"]))
+    return F.aggregate(touching, start, step, lambda acc: until(acc, token["end"]))
+
+
 def found_spans(docs: DataFrame, names: list[str], samples: DataFrame | None = None) -> DataFrame:
-    """docs with two columns: spans of the fixed patterns, and spans of the models that touch none of them."""
+    """docs with two columns: spans of the fixed patterns, and spans of the models in what these leave of the tokens."""
     table, least = trained(labelled_samples(docs.sparkSession) if samples is None else samples)
     base_name, more_name = names
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.array_sort(F.concat(spans(text, ASSIGN, 0, (2, 6)), spans(text, ACCESS, 1), spans(text, HEX, 2)))
-    held = spread(docs).withColumn(base_name, base).withColumn(more_name, spans(text, TOKEN, 3, score=table_column(table), least=least))
-    return held.withColumn(more_name, F.filter(more_name, lambda m: ~F.exists(base_name, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
+    held = spread(docs).withColumn(base_name, base).withColumn(more_name, spans(text, TOKEN, 3, words=True))
+    scored = table_column(table)
+    left = F.flatten(F.transform(more_name, lambda m: pieces(m, F.col(base_name))))
+    secret = F.filter(left, lambda m: ratio(m["word"], scored) > least)
+    return held.withColumn(more_name, F.transform(secret, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"))))
 
 
 def listed(spans: Column) -> Column:
