@@ -352,6 +352,19 @@ def test_large_components_are_verified_in_blocks(spark):
     assert {(x["doc_id"], x["class_id"], x["n_links"]) for x in got} == {(i, want[t][0], want[t][2]) for i, t in rows}
 
 
+def test_classes_with_repeated_ids_stay_apart(spark):
+    from waybill.llm.op10_jaccard import classes, one_of_each
+
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcd"]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[1] + " more"), (1, texts[2]), (1, texts[2] + " more"), (None, texts[3]), (1, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = classes(docs).collect()
+    assert len({r["class_id"] for r in found}) == len({r["label"] for r in found}) == 4 and 1 in {r["class_id"] for r in found}
+    assert sorted(r["class_size"] for r in found) == [1, 2, 2, 2, 2, 2, 2]
+    kept = [(r["doc_id"], r["text"]) for r in one_of_each(docs).collect()]
+    assert len(kept) == 4 and {t[0] for _, t in kept} == set("abcd") and (1, texts[1]) in kept
+
+
 def test_forest_recall():
     from waybill.llm.op10_jaccard import DEPTH, RECALL, THRESHOLD, TREES, least_depth
 

@@ -248,8 +248,9 @@ def verified(members: DataFrame, docs: DataFrame, n_tasks: int, threshold: float
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """For each row doc_id, tid (its text), class_id (the least doc_id of its class), class_size, n_links
-    (other texts at or over the threshold) and n_copies (rows with its text)."""
+    """For each row doc_id, tid (its text), label (of its class), class_id (the least doc_id of its class), class_size,
+    n_links (other texts at or over the threshold) and n_copies (rows with its text).  Where ids repeat, classes can share
+    their least doc_id: the one with the least label keeps it as class_id, the others get their label."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("tid", F.xxhash64("text"))
     depth = least_depth(threshold)
@@ -275,8 +276,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .join(counts, "tid", "left")
         .select("tid", "least", "n_copies", F.coalesce("label", "tid").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
-    heads = full.groupBy("label").agg(F.coalesce(F.min("least"), F.min("tid")).alias("class_id"), F.sum("n_copies").alias("class_size"))
-    full = full.join(heads, "label").select("tid", "class_id", "class_size", "n_links", "n_copies")
+    heads = full.groupBy("label").agg(F.coalesce(F.min("least"), F.min("label")).alias("class_id"), F.sum("n_copies").alias("class_size"))
+    owners = heads.groupBy("class_id").agg(F.min("label").alias("owner"))
+    heads = heads.join(owners, "class_id").withColumn("class_id", F.when(F.col("owner") == F.col("label"), F.col("class_id")).otherwise(F.col("label")))
+    full = full.join(heads.drop("owner"), "label").select("tid", "label", "class_id", "class_size", "n_links", "n_copies")
     return rows.select("doc_id", "tid").join(full, "tid")
 
 
@@ -284,7 +287,7 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs with the least doc_id of every class."""
     found = classes(docs, threshold)
     best = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    heads = found.groupBy("class_id").agg(F.min(F.struct(F.coalesce(F.col("doc_id") != F.col("class_id"), F.lit(True)).alias("late"), best.alias("doc"), F.col("tid"))).alias("m"))
+    heads = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), best.alias("doc"), F.col("tid"))).alias("m"))
     doc, tid = fresh(docs, "_doc", "_tid")
     heads = heads.select(F.col("m.doc").alias(doc), F.col("m.tid").alias(tid))
     keyed = docs.withColumn(tid, F.xxhash64(F.coalesce("text", F.lit("")))).withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
