@@ -19,6 +19,12 @@ def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+def thue_morse(n: int) -> tuple[str, str]:
+    """The Thue-Morse word of n letters and its complement, which collide in polynomial hashes modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 def corpus(seed: int = 1) -> list[tuple]:
     r = random.Random(seed)
     vocabulary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(r.randint(1, 9))) for _ in range(400)]
@@ -40,6 +46,10 @@ def corpus(seed: int = 1) -> list[tuple]:
         w = list(base)
         w[7 * i % 150] = f"changed{i}"
         texts.append(" ".join(w))
+    for n in (1024, 4096):
+        a, b = thue_morse(n)
+        texts += [f"{a} {b}", f"{a}\n{b}\n{a[:-1]}", f"one two three {a} four five six seven", f"one two three {b} four five six seven"]
+    texts += [" ".join(w[:64] * 3) for w in thue_morse(64)] + [" ".join(w) for w in thue_morse(256)]
     texts += [None, "", "   \n\t ", "one", "two words", "ab " * 400, "x" * 5000, texts[0], texts[1], texts[1], prose(9000)]
     rows = [(i, t) for i, t in enumerate(texts)]
     return [*rows, rows[3], rows[3], (None, prose(40)), (None, None), (None, texts[2])]
@@ -86,6 +96,25 @@ def test_substring_words(docs, rows, empty):
     assert dedup_substrings(empty).count() == 0
 
 
+def test_hashes_have_no_structural_collisions():
+    import numpy as np
+
+    from waybill.llm.kernel import exact_ids, span_hash, window_hash
+
+    for n in (1024, 2048, 4096):
+        words = [w.encode() for w in thue_morse(n)]
+        buf, offs = np.frombuffer(b"".join(words), np.uint8), np.array([0, n, 2 * n])
+        one, two = span_hash(buf, offs[:-1], offs[1:])
+        assert one != two
+        h = np.where(np.frombuffer(words[0], np.uint8) == ord("a"), one, two)
+        assert window_hash(h, n // 2)[0] != window_hash(h[::-1].copy(), n // 2)[0] or words[0] == words[0][::-1]
+        assert window_hash(h, n)[0] != window_hash(np.where(h == one, two, one), n)[0]
+    buf, offs = np.frombuffer(b"aabbaaab", np.uint8), np.arange(0, 9, 2)
+    for hashes in (None, np.zeros(4, np.uint64)):  # even if all hashes collide
+        ids, first = exact_ids(buf, offs[:-1], offs[1:], hashes)
+        assert ids[0] == ids[2] and len(set(ids.tolist())) == 3 == len(first) and set(first.tolist()) == {0, 1, 3}
+
+
 def test_substring_bytes(docs, rows, empty):
     from waybill.llm.op6_suffix import dedup_suffixes
 

@@ -1,8 +1,10 @@
 """Vectorised text kernels on Arrow buffers, shared by the operators of this subpackage.
 
 Every function here works on one flat byte buffer and the offsets of the texts in it, so that no
-Python object is made for each word.  Hashes are 64-bit polynomial hashes with a random value per
-byte; equal byte strings always get equal hashes.
+Python object is made for each word.  ``span_hash`` scrambles every eight bytes together with their
+place before it adds them up, so no algebra ties the hashes of different strings; equality that must
+be exact is settled on the bytes by ``exact_ids``.  ``prefix`` and ``rough_hash`` are polynomial
+hashes at constant cost a span: they only order grams and preselect, and decide nothing.
 """
 
 from __future__ import annotations
@@ -111,24 +113,80 @@ def prefix(buf: np.ndarray) -> np.ndarray:
     return p
 
 
-def span_hash(pre: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the byte spans, given ``prefix`` of their buffer."""
+def rough_hash(pre: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of the byte spans, given ``prefix`` of their buffer; some strings collide by their structure."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
     q = powers(len(pre))[1]
     return mix((pre[ends] - pre[starts]) * q[starts] + (ends - starts).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
 
 
+def _eights(view: np.ndarray, at: np.ndarray, place: np.ndarray | int, left: np.ndarray, seed: int) -> np.ndarray:
+    """Scrambled values of eight bytes each; ``left`` bytes of the span remain from there."""
+    value = view[at] & ((~U64(0)) >> (U64(8) * np.clip(8 - left, 0, 7).astype(np.uint64)))
+    key = mix(np.asarray(place, np.uint64).reshape(-1) * U64(0x9E3779B97F4A7C15) + U64(seed + 1))
+    return mix(value + key)
+
+
+def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of the bytes of the spans; another seed gives an independent hash."""
+    if len(starts) == 0:
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    view = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+    size = ends - starts
+    out = np.where(size > 0, _eights(view, starts, 0, size, seed), U64(0))
+    more = np.flatnonzero(size > 8)
+    for low in range(0, len(more), 1 << 16):
+        some = more[low : low + (1 << 16)]
+        n = (size[some] - 1) >> 3
+        first = np.cumsum(n) - n
+        place = np.arange(1, int(n.sum()) + 1) - np.repeat(first, n)
+        at = np.repeat(starts[some], n) + 8 * place
+        out[some] += np.add.reduceat(_eights(view, at, place, np.repeat(ends[some], n) - at, seed), first)
+    return mix(out + size.astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+
+
+def exact_ids(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the spans, equal where the bytes are equal and only there, and the first span of every number."""
+    h = span_hash(buf, starts, ends) if hashes is None else hashes
+    _, first, ids = np.unique(h, return_index=True, return_inverse=True)
+    size, head = ends - starts, first[ids]
+    again = np.flatnonzero(head != np.arange(len(h)))
+    same = size[again] == size[head[again]]
+    if same.all():
+        for low in range(0, len(again), 1 << 18):
+            some = again[low : low + (1 << 18)]
+            if not np.array_equal(gather(buf, starts[some], size[some]), gather(buf, starts[head[some]], size[some])):
+                break
+        else:
+            return ids, first
+    raw, known, first = buf.tobytes(), {}, []
+    for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        if (ids_of := known.setdefault(raw[a:b], len(known))) == len(first):
+            first.append(i)
+        ids[i] = ids_of
+    return ids, np.array(first)
+
+
+def joined_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in their order."""
+    return mix(a * U64(0xC2B2AE3D27D4EB4F) + b)
+
+
 def window_hash(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every k consecutive values; empty if there are fewer."""
+    """Hash of every k consecutive hashes, by doubling; empty if there are fewer."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    mult = powers(k + 1)[0]
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out += h[i : i + n] * mult[i]
-    return mix(out)
+    out, done, span = None, 0, 1
+    while True:
+        if k & span:
+            out = h[done : done + n] if out is None else joined_hash(out, h[done : done + n])
+            done += span
+        if 2 * span > k:
+            return out
+        h, span = joined_hash(h[:-span], h[span:]), 2 * span
 
 
 def window_rows(owners: np.ndarray, k: int) -> np.ndarray:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .kernel import U64, buffer_of, cut, mix, prefix, slices, span_hash, window_hash, window_rows, word_spans
+from .kernel import U64, buffer_of, cut, mix, slices, span_hash, window_hash, window_rows, word_spans
 from .store import fresh, parts, spread, written
 
 SHINGLE, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 16, 6, 0.9999
@@ -36,7 +36,7 @@ _MULTIPLIERS = np.random.default_rng(20240301).integers(1, 1 << 62, TREES * DEPT
 def shingles(buf: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text of every shingle, in the order of the texts; repeats stay."""
     starts, ends, own = word_spans(buf, offs)
-    h = span_hash(prefix(buf), starts, ends)
+    h = span_hash(buf, starts, ends)
     at = np.flatnonzero(window_rows(own, k))
     keys, texts = window_hash(h, k)[at], own[at]
     n_words = np.bincount(own, minlength=len(offs) - 1)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import U64, buffer_of, cut, mix, prefix, slices, span_hash, window_hash, window_rows, word_spans
+from .kernel import U64, buffer_of, cut, exact_ids, mix, slices, span_hash, window_hash, window_rows, word_spans
 from .store import spread
 
 WINDOW, NEED, LITERALS, BLOCK_MB = 8, 13, 4, 32
@@ -70,13 +70,12 @@ class Template:
 
 def template(buf: np.ndarray, offs: np.ndarray) -> Template:
     starts, ends, own = word_spans(buf, offs)
-    h = span_hash(prefix(buf), starts, ends)
-    uniq, first, which = np.unique(h, return_index=True, return_inverse=True)
+    which, first = exact_ids(buf, starts, ends)
     raw = buf.tobytes()
     spans = zip(starts[first].tolist(), ends[first].tolist(), strict=True)
     kinds = [word_kind(raw[a:b].decode("utf-8", "replace")) for a, b in spans]
     bare, at = buffer_of(pa.array([k[1] for k in kinds], pa.string()))
-    literal = span_hash(prefix(bare), at[:-1], at[1:])[which]
+    literal = span_hash(bare, at[:-1], at[1:])[which]
     kind = np.array([k[0] for k in kinds], np.int8)[which]
     name = np.array([k[2] for k in kinds], bool)[which]
     stop = np.array([k[3] for k in kinds], bool)[which]

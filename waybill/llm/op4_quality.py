@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import DELIM, U64, buffer_of, cut, gather, mix, owner, prefix, slices, span_hash, window_hash, window_rows, word_spans
+from .kernel import DELIM, U64, buffer_of, cut, exact_ids, gather, mix, owner, slices, span_hash, window_hash, window_rows, word_spans
 from .store import spread
 
 WINDOW = 8
@@ -64,9 +64,6 @@ class Measures:
     def words(self) -> tuple:
         return self.part("words", lambda: word_spans(self.buf, self.offs))
 
-    def prefix(self) -> np.ndarray:
-        return self.part("prefix", lambda: prefix(self.buf))
-
     def n_words(self) -> np.ndarray:
         return np.bincount(self.words()[2], minlength=self.n)
 
@@ -83,7 +80,7 @@ class Measures:
         return self.count(LETTER[self.buf])
 
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and text of every line that has a word."""
+        """Number and text of every line that has a word; equal lines have one number."""
 
         def make() -> tuple:
             cuts = np.flatnonzero(self.buf == 10)
@@ -92,7 +89,7 @@ class Measures:
             total = np.append(0, np.cumsum(~DELIM[self.buf]))
             some = total[ends] > total[starts]
             starts, ends = starts[some], ends[some]
-            return span_hash(self.prefix(), starts, ends), owner(self.offs, starts)
+            return exact_ids(self.buf, starts, ends)[0], owner(self.offs, starts)
 
         return self.part("lines", make)
 
@@ -100,21 +97,25 @@ class Measures:
         return np.bincount(self.lines()[1], minlength=self.n)
 
     def n_dup_lines(self) -> np.ndarray:
-        h, own = self.lines()
-        _, first = np.unique(mix(h ^ (own.astype(np.uint64) * U64(0xA24BAED4963EE407))), return_index=True)
+        ids, own = self.lines()
+        _, first = np.unique(ids + own * (len(ids) + 1), return_index=True)
         return np.bincount(own, minlength=self.n) - np.bincount(own[first], minlength=self.n)
 
     def n_repeat_words(self) -> np.ndarray:
         starts, ends, own = self.words()
-        keys = window_hash(span_hash(self.prefix(), starts, ends), WINDOW)
+        h = span_hash(self.buf, starts, ends)
         at = np.flatnonzero(window_rows(own, WINDOW))
-        keys = mix(keys[at] ^ (own[at].astype(np.uint64) * U64(0xA24BAED4963EE407)))
-        order = np.sort(keys)
-        twice = np.unique(order[1:][order[1:] == order[:-1]])
-        if not len(twice):
+        keys = mix(window_hash(h, WINDOW)[at] ^ (own[at].astype(np.uint64) * U64(0xA24BAED4963EE407)))
+        order = np.argsort(keys, kind="stable")
+        same = keys[order[1:]] == keys[order[:-1]]
+        if not same.any():
             return np.zeros(self.n, np.int64)
-        place = np.minimum(np.searchsorted(twice, keys), len(twice) - 1)
-        hits = at[twice[place] == keys]
+        twice = np.append(False, same) | np.append(same, False)
+        hits = at[order[twice]]
+        # equal hashes are settled on the words themselves
+        ids, _ = exact_ids(self.buf, starts, ends, h)
+        _, which, n = np.unique(np.stack([own[hits], *(ids[hits + j] for j in range(WINDOW))], 1), axis=0, return_inverse=True, return_counts=True)
+        hits = hits[n[which.ravel()] > 1]
         edge = np.zeros(len(starts) + 1, np.int32)
         edge[hits] += 1
         np.subtract.at(edge, hits + WINDOW, 1)

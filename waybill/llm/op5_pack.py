@@ -7,7 +7,7 @@ by remaining capacity.  Remainders are dealt by hash into groups of about ``grou
 packed on its own, so padding per group is at most that of one or a few unfilled windows.
 
 Tokenisation is vectorised: the pre-token boundaries of a whole batch are found on code points, each
-distinct pre-token is encoded once, and ids are gathered by pre-token.
+distinct pre-token (told apart by its bytes) is encoded once, and ids are gathered by pre-token.
 
 Null text is an empty document (one end id); repeated rows are packed each; an empty table gives
 no rows; extra columns are not carried.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import U64, buffer_of, cut, mix, powers, slices
+from .kernel import buffer_of, cut, exact_ids, slices
 from .store import row_key, spread, written
 
 WINDOW = 2048
@@ -62,7 +62,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known = np.zeros(0, np.uint64)
+        self.known: dict[bytes, int] = {}
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
@@ -105,18 +105,15 @@ class Encoder:
             starts[rest] = True
         return np.flatnonzero(starts[:n])
 
-    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         encode = self.core.encode_single_piece
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
         ids = [encode(w) for w in words]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
-        at = len(self.flat) + np.cumsum(size) - size
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, flat])
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known, kind="stable")
-        self.known = known[order]
-        self.at = np.concatenate([self.at, at])[order]
-        self.size = np.concatenate([self.size, size])[order]
 
     def encode(self, raw: bytes, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the offset of each text in them."""
@@ -131,22 +128,14 @@ class Encoder:
         where = offs if ascii_only else count[offs]
         starts = self.cuts(cp, where)
         ends = np.append(starts[1:], len(cp))
-        pre = np.zeros(len(cp) + 1, np.uint64)
-        p, q = powers(len(cp) + 1)
-        np.cumsum((cp.astype(np.uint64) + U64(1)) * p[:-1], out=pre[1:])
-        h = mix((pre[ends] - pre[starts]) * q[starts] + (ends - starts).astype(np.uint64))
-        uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) + len(uniq) > self.keep:
+        byte_at = np.arange(len(cp) + 1) if ascii_only else np.append(np.flatnonzero(lead), len(data))
+        begin, stop = byte_at[starts], byte_at[ends]
+        inverse, first = exact_ids(data, begin, stop)
+        words = [raw[i:j] for i, j in zip(begin[first].tolist(), stop[first].tolist(), strict=True)]
+        if len(self.known) + len(words) > self.keep:
             self.clear()
-        place = np.searchsorted(self.known, uniq)
-        hit = place < len(self.known)
-        hit[hit] = self.known[place[hit]] == uniq[hit]
-        if not hit.all():
-            byte_at = np.arange(len(cp) + 1) if ascii_only else np.append(np.flatnonzero(lead), len(data))
-            miss = first[~hit]
-            b, e = byte_at[starts[miss]].tolist(), byte_at[ends[miss]].tolist()
-            self.learn(uniq[~hit], [raw[i:j] for i, j in zip(b, e, strict=True)])
-            place = np.searchsorted(self.known, uniq)
+        self.learn([w for w in words if w not in self.known])
+        place = np.fromiter((self.known[w] for w in words), np.int64, len(words))
         at, size = self.at[place][inverse], self.size[place][inverse]
         done = np.cumsum(size)
         flat_at = np.arange(int(done[-1]), dtype=np.int64)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .kernel import U64, gather, mix, powers, prefix, span_hash
+from .kernel import U64, gather, mix, powers, prefix, rough_hash
 from .repeats import HOT, Units, covered, flagged_runs, without_repeats
 
 WINDOW, GRAM = 200, 32
@@ -162,7 +162,7 @@ def narrowed(buf: np.ndarray, offs: np.ndarray, group: np.ndarray, window: int,
 
     def again(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         inside = np.flatnonzero((a >= begin) & (b <= end))
-        keys = mix(span_hash(pre, a[inside], b[inside]) + group[inside].astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+        keys = mix(rough_hash(pre, a[inside], b[inside]) + group[inside].astype(np.uint64) * U64(0x9E3779B97F4A7C15))
         _, which, count = np.unique(keys, return_inverse=True, return_counts=True)
         out = np.zeros(n, bool)
         out[inside] = count[which] > 1
@@ -202,7 +202,7 @@ def byte_units(buf: np.ndarray, offs: np.ndarray, gram: int = GRAM) -> Units:
     at = np.arange(n)
     grams = mix((pre[gram:] - pre[: max(n + 1 - gram, 0)]) * powers(n + 1)[1][: max(n + 1 - gram, 0)]) if n >= gram else np.zeros(0, np.uint64)
     owners = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(offs))
-    return Units(buf, at, at + 1, owners, grams, lambda a, b: span_hash(pre, a, b))
+    return Units(buf, at, at + 1, owners, grams)
 
 
 def count_bytes(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:

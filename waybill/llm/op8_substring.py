@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .kernel import U64, gather, joined_words, mix, powers, prefix, span_hash, window_hash, window_rows, word_spans
+from .kernel import gather, joined_words, span_hash, window_hash, window_rows, word_spans
 from .repeats import HOT, Units, covered, flagged_runs, without_repeats
 
 WINDOW, GRAM = 35, 8
@@ -25,17 +25,7 @@ WINDOW, GRAM = 35, 8
 
 def word_units(buf: np.ndarray, offs: np.ndarray, gram: int = GRAM) -> Units:
     data, starts, ends, owners = joined_words(buf, offs)
-    pre = prefix(data)
-    return Units(data, starts, ends, owners, window_hash(span_hash(pre, starts, ends), gram), lambda a, b: span_hash(pre, a, b))
-
-
-def second_hash(h: np.ndarray, k: int) -> np.ndarray:
-    """Another hash of every k consecutive values, independent of ``window_hash``."""
-    mult = mix(powers(k + 1)[0].copy()) | U64(1)
-    out = np.zeros(len(h) - k + 1, np.uint64)
-    for i in range(k):
-        out += mix(h[i : len(h) - k + 1 + i] + U64(i)) * mult[i]
-    return out
+    return Units(data, starts, ends, owners, window_hash(span_hash(data, starts, ends), gram))
 
 
 def repeated_windows(window: int):
@@ -43,17 +33,16 @@ def repeated_windows(window: int):
 
     def resolve(buf: np.ndarray, offs: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         starts, ends, owners = word_spans(buf, offs)
-        h = span_hash(prefix(buf), starts, ends)
         base = np.searchsorted(owners, np.arange(len(offs) - 1))
         at = np.flatnonzero(window_rows(owners, window))
-        key = window_hash(h, window)[at]
+        key = window_hash(span_hash(buf, starts, ends), window)[at]
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
-        # equal sort keys are told apart by a second hash, so a chance collision counts nothing
+        # equal sort keys are told apart by windows of independent word hashes, so a chance collision counts nothing
         close = np.unique(np.concatenate([order[1:][same], order[:-1][same]]))
         flags = np.zeros(max(len(owners) - window + 1, 0), bool)
         if len(close):
-            pair = np.stack([key[close], second_hash(h, window)[at[close]]], 1)
+            pair = np.stack([key[close], window_hash(span_hash(buf, starts, ends, 1), window)[at[close]]], 1)
             _, which, n = np.unique(pair, axis=0, return_inverse=True, return_counts=True)
             flags[at[close[n[which.ravel()] > 1]]] = True
         return flagged_runs(flags, owners, base, window)

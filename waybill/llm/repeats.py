@@ -29,14 +29,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U64, buffer_of, cut, gather, mix, sliding_min, slices, window_rows
+from .kernel import U64, buffer_of, cut, gather, joined_hash, mix, prefix, rough_hash, sliding_min, slices, span_hash, window_rows
 from .store import parts, row_key
 
 HOT = 20_000
 MINIS = "bucket int, _block int, minis binary, again binary, strings binary"
 AGAIN = "_block int, minis binary, hot binary"
 SEGMENTS = "bucket int, _block int, minis binary, hashes binary, sizes binary, counts binary, loops binary, n_bytes bigint, text binary"
-RANGES = "_block int, hashes binary, starts binary, ends binary"
+RANGES = "_block int, hashes binary, starts binary, ends binary, strong binary"
 
 
 def squeezed(raw: bytes) -> bytes:
@@ -49,14 +49,13 @@ def unsqueezed(blob: bytes, n: int) -> bytes:
 
 @dataclass(frozen=True)
 class Units:
-    """The units of a slice: bytes in which they lie, bounds, owning text, and gram and span hashes."""
+    """The units of a slice: bytes in which they lie, bounds, owning text, and hashes of the grams."""
 
     data: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     owners: np.ndarray
     grams: np.ndarray
-    hash_of: Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def runs(mins: np.ndarray, valid: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,7 +88,7 @@ Make = Callable[[np.ndarray, np.ndarray], Units]
 
 @dataclass(frozen=True)
 class Supers:
-    """The super-k-mers of a slice: first unit, number of windows, text, string bounds, minimiser, string hash, whether it loops."""
+    """The super-k-mers of a slice: first unit, number of windows, text, string bounds, minimiser, whether it loops, first unit of each text."""
 
     units: Units
     first: np.ndarray
@@ -98,10 +97,12 @@ class Supers:
     begin: np.ndarray
     end: np.ndarray
     mini: np.ndarray
-    hashes: np.ndarray
     loops: np.ndarray
     base: np.ndarray
 
+    def hashes(self, which: np.ndarray) -> np.ndarray:
+        return span_hash(self.units.data, self.begin[which], self.end[which])
+
 
 def supers(column: pa.Array, make: Make, k: int, m: int) -> Iterator[tuple[int, Supers]]:
     """The super-k-mers of slices of a text column, with the number of the slice's first text."""
@@ -116,7 +117,7 @@ def supers(column: pa.Array, make: Make, k: int, m: int) -> Iterator[tuple[int,
         if len(first):
             begin, end = u.starts[first], u.ends[first + size + k - 2]
             counts = np.bincount(u.owners, minlength=b - a)
-            yield a, Supers(u, first, size, u.owners[first], begin, end, mini, u.hash_of(begin, end), loops(u.grams, mins, first, size, w), np.cumsum(counts) - counts)
+            yield a, Supers(u, first, size, u.owners[first], begin, end, mini, loops(u.grams, mins, first, size, w), np.cumsum(counts) - counts)
 
 
 def bucket_of(minis: np.ndarray, n: int) -> np.ndarray:
@@ -156,7 +157,7 @@ def minimisers(docs: DataFrame, make: Make, k: int, m: int, n_buckets: int) -> D
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         held = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
-        held += [(s.mini, s.mini[s.loops], s.hashes) for _, s in supers(table.column("text"), make, k, m)]
+        held += [(s.mini, s.mini[s.loops], rough_hash(prefix(s.units.data), s.begin, s.end)) for _, s in supers(table.column("text"), make, k, m)]
         minis, looped, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
         uniq, n = np.unique(np.concatenate([minis, looped]), return_counts=True)
         _, one = np.unique(hashes, return_index=True)
@@ -186,13 +187,15 @@ def occurring_again(minis: DataFrame, hot: int) -> DataFrame:
     return minis.groupBy("bucket").applyInArrow(run, AGAIN)
 
 
-def window_hashes(s: Supers, which: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows of some super-k-mers, and two hashes of each: of the whole, and of its halves."""
-    at = spread(s.first[which], s.size[which])
-    u, half = s.units, k // 2
-    a, b = u.starts[at], u.ends[at + k - 1]
-    halves = mix(u.hash_of(a, u.ends[at + half - 1]) * U64(0x9E3779B97F4A7C15) + u.hash_of(u.starts[at + half], b))
-    return at, u.hash_of(a, b), halves
+def window_hashes(s: Supers, which: np.ndarray, k: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of some super-k-mers with a rough and a strong hash of each; ``among``: only windows with these rough hashes."""
+    at, u = spread(s.first[which], s.size[which]), s.units
+    rough = rough_hash(prefix(u.data), u.starts[at], u.ends[at + k - 1])
+    if among is not None:
+        some = known(among, rough)
+        at, rough = at[some], rough[some]
+    strong = [span_hash(u.data, u.starts[x], u.ends[x + k - 1]) for x in np.split(at, range(1 << 15, len(at), 1 << 15))]
+    return at, rough, np.concatenate(strong)
 
 
 def segments(docs: DataFrame, again: DataFrame, make: Make, k: int, m: int, n_buckets: int) -> DataFrame:
@@ -209,7 +212,7 @@ def segments(docs: DataFrame, again: DataFrame, make: Make, k: int, m: int, n_bu
                 if len(hot):
                     single.append(np.stack(window_hashes(s, np.flatnonzero(known(hot, s.mini)), k)[1:], 1))
                 at = np.flatnonzero(known(wanted, s.mini))
-                hashes, one, n = np.unique(s.hashes[at], return_index=True, return_counts=True)
+                hashes, one, n = np.unique(s.hashes(at), return_index=True, return_counts=True)
                 o = at[one]
                 size = s.end[o] - s.begin[o]
                 held.append((hashes, s.mini[o], s.loops[o], n, size, gather(s.units.data, s.begin[o], size)))
@@ -217,8 +220,8 @@ def segments(docs: DataFrame, again: DataFrame, make: Make, k: int, m: int, n_bu
         if single:
             pairs, n = np.unique(np.concatenate(single), axis=0, return_counts=True)
             for b, at in grouped(bucket_of(pairs[:, 0], n_buckets)):
-                whole, halves = (np.ascontiguousarray(pairs[at, i]).tobytes() for i in (0, 1))
-                rows.append((b, block, halves, whole, b"", n[at].astype(np.int64).tobytes(), b"", -1, b""))
+                rough, strong = (np.ascontiguousarray(pairs[at, i]).tobytes() for i in (0, 1))
+                rows.append((b, block, strong, rough, b"", n[at].astype(np.int64).tobytes(), b"", -1, b""))
         if not held:
             return table_of(rows, SEGMENTS)
         hashes, minis, looped, n, size, text = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -255,10 +258,10 @@ def ranges(packed: DataFrame, resolve: Resolver, unit_count: Callable[[np.ndarra
         for block, blob in zip(table.column("_block").to_pylist(), table.column("hashes").to_pylist(), strict=True):
             own = which[at : at + len(blob) // 8]
             at += len(own)
-            found = np.ascontiguousarray(uniq[own[often[own]], 0])
+            found = own[often[own]]
             if len(found):
                 none = np.full(len(found), -1, np.int32).tobytes()
-                rows.append((block, found.tobytes(), none, none))
+                rows.append((block, np.ascontiguousarray(uniq[found, 0]).tobytes(), none, none, np.ascontiguousarray(uniq[found, 1]).tobytes()))
         return rows
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -313,7 +316,7 @@ def ranges(packed: DataFrame, resolve: Resolver, unit_count: Callable[[np.ndarra
             at += len(own)
             pick = spread(first[own], n_ranges[own])
             if len(pick):
-                rows.append((block, uniq[string[pick]].tobytes(), a[pick].astype(np.int32).tobytes(), b[pick].astype(np.int32).tobytes()))
+                rows.append((block, uniq[string[pick]].tobytes(), a[pick].astype(np.int32).tobytes(), b[pick].astype(np.int32).tobytes(), b""))
         return table_of(rows, RANGES)
 
     return packed.groupBy("bucket").applyInArrow(run, RANGES)
@@ -334,7 +337,7 @@ def applied(docs: DataFrame, found: DataFrame, make: Make, k: int, m: int, remov
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         hashes, starts, ends = joined(found, "hashes", np.uint64), joined(found, "starts", np.int32), joined(found, "ends", np.int32)
-        hot = np.unique(hashes[starts < 0])
+        hot, pairs = np.unique(hashes[starts < 0]), np.sort(joined_hash(hashes[starts < 0], joined(found, "strong", np.uint64)))
         hashes, starts, ends = hashes[starts >= 0], starts[starts >= 0], ends[starts >= 0]
         order = np.argsort(hashes, kind="stable")
         uniq, first, count = np.unique(hashes[order], return_index=True, return_counts=True)
@@ -342,12 +345,13 @@ def applied(docs: DataFrame, found: DataFrame, make: Make, k: int, m: int, remov
         if docs.num_rows and len(uniq) + len(hot):
             for text, s in supers(docs.column("text"), make, k, m):
                 if len(hot):
-                    at, whole, _ = window_hashes(s, np.arange(len(s.first)), k)
-                    at = at[known(hot, whole)]
+                    at, rough, strong = window_hashes(s, np.arange(len(s.first)), k, hot)
+                    at = at[known(pairs, joined_hash(rough, strong))]
                     own = s.units.owners[at]
                     hits.append((own + text, at - s.base[own], at - s.base[own] + k))
-                at = np.flatnonzero(known(uniq, s.hashes))
-                which = np.searchsorted(uniq, s.hashes[at])
+                hashed = s.hashes(np.arange(len(s.first)))
+                at = np.flatnonzero(known(uniq, hashed))
+                which = np.searchsorted(uniq, hashed[at])
                 pick = order[spread(first[which], count[which])]
                 own = np.repeat(at, count[which])
                 begin = s.first[own] - s.base[s.text[own]]
