@@ -434,6 +434,108 @@ def test_decontamination_of_short_and_slot_heavy_items(spark):
     assert [r["doc_id"] for r in decontaminated(docs, bench).collect()] == [9]
 
 
+def test_decontamination_checks_every_copy(spark):
+    """Fragments and complete variants of one item in both orders, templates shared by items, a very long text."""
+    from waybill.llm.op1_decontaminate import decontaminated, leaks
+
+    r = random.Random(6)
+    filler = ["".join(r.choice("klmnopqrstuvw") for _ in range(r.randint(2, 7))) for _ in range(300)]
+
+    def prose(n):
+        return " ".join(r.choice(filler) for _ in range(n))
+
+    box = "if each box holds {0} pens how many pens fit in {0} boxes now"
+    fragment = " ".join(box.format(31).split()[:9])
+    items = [box.format(12), box.format(88), "one sells {0} eggs with {1} hens then buys {0} eggs for {1} children".format(5, 7)]
+    eggs = "one sells {} eggs with {} hens then buys {} eggs for {} children"
+    texts = {
+        0: (f"{prose(5)} {fragment} {prose(9)} {box.format(47)} {prose(4)}", {0, 1}),  # a fragment with other values before a whole variant
+        1: (f"{prose(5)} {box.format(47)} {prose(9)} {fragment} {prose(4)}", {0, 1}),
+        2: (f"{prose(5)} {fragment} {prose(4)}", set()),
+        3: (box.format(47).replace("47 boxes", "48 boxes"), set()),  # one value became two
+        4: (eggs.format(8, 9, 8, 9), {2}),
+        5: (eggs.format(8, 9, 4, 9), set()),
+        6: (eggs.format(8, 8, 8, 8), set()),  # two values became one
+        7: (f"{prose(40_000)} {box.format(47)} {prose(30_000)}", {0, 1}),
+        8: (" ".join([fragment] * 300) + " " + prose(3) + " " + box.format(12), {0, 1}),
+        9: (prose(400), set()),
+        10: (f"{prose(3)} {items[0]}", {0, 1}),
+        11: (None, set()),
+    }
+    docs = spark.createDataFrame([(i, t, 0) for i, (t, _) in texts.items()] + [(0, texts[0][0], 1)], "doc_id bigint, text string, row int")
+    bench = spark.createDataFrame([*enumerate(items), (9, items[1]), (None, items[1]), (5, None)], "item_id bigint, text string")
+    want = Counter((d, i) for d, (_, found) in [*texts.items(), (0, texts[0])] for i in found)
+    want += Counter({(d, i): n for (d, x), n in want.items() if x == 1 for i in (9, None)})
+    for block_mb in (32, 0):  # a broadcast index, and the join by window keys
+        got = leaks(docs, bench, block_mb)
+        assert as_rows(got, "doc_id", "item_id") == want, block_mb
+        kept = decontaminated(docs, bench, block_mb)
+        assert kept.columns == docs.columns and {x["doc_id"] for x in kept.collect()} == {d for d, (_, found) in texts.items() if not found}
+    kinds = {x["doc_id"]: x["kind"] for x in got.filter("item_id = 0").collect()}
+    assert kinds[10] == "exact" and kinds[0] == "reparameterised"
+    assert leaks(docs.limit(0), bench, 0).count() == 0 and leaks(docs, bench.limit(0), 0).count() == 0
+
+
+def test_decontamination_equals_brute_force():
+    """Every maximal run of equal template words without contradictions, every set of runs that agree on the slots."""
+    import pyarrow as pa
+
+    from waybill.llm.op1_decontaminate import LITERAL, LITERALS, NEED, WINDOW, Index, scanned, template
+    from waybill.llm.kernel import buffer_of
+
+    r = random.Random(12)
+    words = "red blue box hen egg farm sells buys holds with from into".split()
+
+    def sentence(n):
+        return [r.choice([*words, str(r.randint(1, 3)), str(r.randint(1, 3)), "km"]) for _ in range(n)]
+
+    def agree(runs, a, b):
+        slots = {(a.kind[q], a.literal[q], b.literal[q + s]) for x, y, s in runs for q in range(x, y) if a.kind[q] != LITERAL}
+        return len({(k, x) for k, x, _ in slots}) == len(slots) == len({(k, y) for k, _, y in slots})
+
+    def brute(item, text):
+        a, b = (template(*buffer_of(pa.array([" ".join(x)]))) for x in (item, text))
+        n, m, need = len(item), len(text), min(NEED, len(item))
+        if not n:
+            return False
+        k, pairs = min(WINDOW, n), [set(), set()]
+        for i in range(n - k + 1):
+            for j in range(m - k + 1):
+                lit = all(a.literal[i + x] == b.literal[j + x] for x in range(k))
+                canon = all(a.canon[i + x] == b.canon[j + x] for x in range(k)) and sum(a.kind[i + x] == LITERAL for x in range(k)) >= min(LITERALS, k)
+                for kind in [0] * bool(canon) + [1] * bool(lit):
+                    pairs[kind] |= {(i + x, j - i) for x in range(k)}
+        runs = set()
+        for own in pairs:
+            for _ in range(n):  # literal neighbours
+                own |= {(q + d, s) for q, s in own for d in (-1, 1) if 0 <= q + d < n and 0 <= q + d + s < m and a.literal[q + d] == b.literal[q + d + s]}
+            for low in range(n):
+                for high in range(low + 1, n + 1):
+                    runs |= {(low, high, s) for s in {s for _, s in own} if all((q, s) in own for q in range(low, high)) and agree([(low, high, s)], a, b)}
+        runs = sorted(x for x in runs if not any(y != x and y[2] == x[2] and y[0] <= x[0] and x[1] <= y[1] for y in runs))
+        if len({q for x, y, s in runs for q in range(x, y) if a.literal[q] == b.literal[q + s]}) >= need:
+            return True
+        for mask in range(1, 1 << len(runs)):
+            some = [x for i, x in enumerate(runs) if mask >> i & 1]
+            if len({q for x, y, _ in some for q in range(x, y)}) >= need and agree(some, a, b):
+                return True
+        return False
+
+    leaked = 0
+    for _ in range(400):
+        item = sentence(r.choice([5, 9, 14, 18]))
+        value = {str(i): str(r.randint(4, 9)) for i in range(1, 4)}
+        parts = []
+        for _ in range(r.randint(1, 3)):
+            x = r.randint(0, max(0, len(item) - 9))
+            parts.append([value.get(w, w) if r.random() < 0.97 else "7" for w in item[x : x + r.choice([8, 12, 18])]] if r.random() < 0.8 else sentence(6))
+        text = [w for p in parts for w in p]
+        got = bool(list(scanned(pa.array([" ".join(text)]), Index([(1, " ".join(item))])))[0])
+        assert got == brute(item, text), (item, text)
+        leaked += got
+    assert 60 < leaked < 340
+
+
 def test_secrets(spark, docs, empty):
     from waybill.llm.op3_secrets import ASSIGN, op3_secrets, redacted  # noqa: F401
     from waybill.llm.op3_secrets import found_spans, listed

@@ -4,12 +4,13 @@ Words lose case and outer punctuation; numbers, units and names (capitalised ins
 become typed placeholders.  Windows of ``WINDOW`` template words (shorter items: the whole item) with
 enough literal words are hashed, and every document's windows are looked up in the hashes of the
 benchmark's; so are all windows of bare words without placeholders, however few of them are literal.
-Hits are put on diagonals, extended word by word, and checked slot by slot: a value of
-the item must stand for the same value of the document wherever it occurs, and the other way round.
-A document leaks an item if at least ``NEED`` words of it (all, if it has fewer) are covered and the
-slots are consistent, or as many are covered literally.
+Hits are put on diagonals, extended word by word to runs, and runs are put together to copies.  Both
+are checked slot by slot: a value of the item must stand for the same value of the document wherever
+it occurs in the run or copy, and the other way round; a run that breaks this is cut up.  A document leaks an item if a consistent copy covers
+at least ``NEED`` words of it (all, if it has fewer), or as many stand in the document literally.
 
-Benchmark items are broadcast in blocks of at most ``BLOCK_MB``, one pass over the documents for each.
+The windows meet by hash join.  The index of a benchmark of at most ``BLOCK_MB`` of text and
+``MOST_ITEMS`` items is broadcast; a larger one is joined by shuffled window keys (``joined_leaks``).
 
 Null texts have no words; items without words match nothing; equal items are reported each; repeated
 rows are judged each; empty tables give empty results; extra columns are kept by ``decontaminated``
@@ -19,6 +20,7 @@ and dropped by ``leaks``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import U64, buffer_of, cut, exact_ids, mix, slices, span_hash, window_hash, window_rows, word_spans
-from .store import spread
+from .kernel import U64, buffer_of, cut, exact_ids, joined_hash, mix, slices, span_hash, window_hash, window_rows, word_spans
+from .store import fresh, parts, row_key, spread, written
 
-WINDOW, NEED, LITERALS, BLOCK_MB = 8, 13, 4, 32
+WINDOW, NEED, LITERALS, BLOCK_MB, MOST_ITEMS = 8, 13, 4, 32, 200_000
+BITS, U8 = 1 << 27, np.uint8
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#%$&`~_=+-/\\«»„“”‘’…–—¿¡"
 A_NUMBER = re.compile(r"[+\-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%|\$|€|£)?")
@@ -141,8 +144,17 @@ def diagonals(index: Index, t: Template, exact: bool) -> dict[tuple[int, int], d
     return spans
 
 
+@dataclass(frozen=True)
+class Run:
+    """Consecutive words of an item [low, high) that stand in the text, ``shift`` words further on."""
+
+    low: int
+    high: int
+    shift: int
+
+
 def found_in(index: Index, t: Template, n_texts: int) -> list[list[tuple]]:
-    """For each text (item id, covered words, words of the item, slots, changed slots, kind of leak)."""
+    """For each text (item, covered words, words of the item, slots, changed slots, kind of leak)."""
     spans, bare = diagonals(index, t, False), diagonals(index, t, True)
     count = np.bincount(t.owner, minlength=n_texts)
     begin = np.cumsum(count) - count
@@ -151,60 +163,103 @@ def found_in(index: Index, t: Template, n_texts: int) -> list[list[tuple]]:
         low, high = int(index.begin[item]), int(index.begin[item] + index.size[item])
         first, last = int(begin[text]), int(begin[text] + count[text])
 
-        def cover(by_shift: dict[int, list[list[int]]], low: int = low, high: int = high, first: int = first, last: int = last) -> dict[int, int]:
-            covered: dict[int, int] = {}
+        def extended(by_shift: dict[int, list[list[int]]], low: int = low, high: int = high, first: int = first, last: int = last) -> Iterator[Run]:
             for shift, runs in by_shift.items():
                 for a, b in runs:
                     while a > low and a + shift > first and index.t.literal[a - 1] == t.literal[a + shift - 1]:
                         a -= 1
                     while b < high and b + shift < last and index.t.literal[b] == t.literal[b + shift]:
                         b += 1
-                    for q in range(a, b):
-                        covered.setdefault(q, q + shift)
-            return covered
-
-        covered = cover(spans.get((text, item), {}))
-        row = judged(index, t, item, covered)
-        if row is None and (text, item) in bare:
-            row = judged(index, t, item, {**covered, **cover(bare[text, item])})
+                    yield Run(a, b, shift)
+
+        runs = {*extended(spans.get((text, item), {})), *extended(bare.get((text, item), {}))}
+        row = judged(index, t, item, sorted(runs, key=lambda r: (r.low + r.shift, r.shift, r.high)))
         if row is not None:
             out[text].append(row)
     return out
 
 
-def judged(index: Index, t: Template, item: int, covered: dict[int, int]) -> tuple | None:
-    """The row of a leak, given the places in the slice of the item's covered words."""
-    size = int(index.size[item])
-    need = min(NEED, size)
-    if len(covered) < need:
-        return None
+def consistent(index: Index, t: Template, run: Run) -> Iterator[tuple[Run, frozenset]]:
+    """The longest parts of a run without a contradiction among their slots, and these slots (kind, value there, value here)."""
+    at = [q for q in range(run.low, run.high) if index.t.kind[q] != LITERAL]
+    slots = [(int(index.t.kind[q]), int(index.t.literal[q]), int(t.literal[q + run.shift])) for q in at]
+    low, first, last = run.low, 0, 0
     there: dict[tuple[int, int], int] = {}
     back: dict[tuple[int, int], int] = {}
-    literal = slots = changed = 0
-    consistent = True
-    for q, p in covered.items():
-        kind, a, b = int(index.t.kind[q]), int(index.t.literal[q]), int(t.literal[p])
-        literal += a == b
-        if kind in (NUMBER, UNIT, NAME):
-            slots += 1
-            changed += a != b
-            consistent &= there.setdefault((kind, a), b) == b and back.setdefault((kind, b), a) == a
-    if not consistent and literal < need:
+    while True:
+        while last < len(at) and there.get(slots[last][:2], slots[last][2]) == slots[last][2] and back.get(slots[last][::2], slots[last][1]) == slots[last][1]:
+            there[slots[last][:2]], back[slots[last][::2]] = slots[last][2], slots[last][1]
+            last += 1
+        high = at[last] if last < len(at) else run.high
+        yield Run(low, high, run.shift), frozenset(slots[first:last])
+        if last == len(at):
+            return
+        k, a, b = slots[last]
+        while any(x == k and (y == a) != (z == b) for x, y, z in slots[first:last]):
+            low, first = at[first] + 1, first + 1
+        there = {(x, y): z for x, y, z in slots[first:last]}
+        back = {(x, z): y for x, y, z in slots[first:last]}
+
+
+def judged(index: Index, t: Template, item: int, runs: list[Run]) -> tuple | None:
+    """The row of a leak, from the runs of the item's words in a text, in the text's order.
+
+    Every run starts a copy: the other runs near it, nearest first, are added as far as their slots
+    agree with those already in.  One more copy starts at the longest run and takes in runs from the
+    whole text, and so does the set of all words that stand in the text literally.
+    """
+    size = int(index.size[item])
+    need = min(NEED, size)
+    slot = index.t.kind != LITERAL
+    runs, held = zip(*(x for r in runs for x in consistent(index, t, r)), strict=True)
+    start = [r.low + r.shift for r in runs]
+
+    def copy(anchor: int, others: list[int]) -> tuple[int, dict[int, int]]:
+        there: dict[tuple[int, int], int] = {}
+        back: dict[tuple[int, int], int] = {}
+        covered: dict[int, int] = {}
+        for i in (anchor, *others):
+            if any(there.get((k, a), b) != b or back.get((k, b), a) != a for k, a, b in held[i]):
+                continue
+            there.update({(k, a): b for k, a, b in held[i]})
+            back.update({(k, b): a for k, a, b in held[i]})
+            for q in range(runs[i].low, runs[i].high):
+                covered.setdefault(q, q + runs[i].shift)
+            if len(covered) == size:
+                break
+        changed = sum(int(index.t.literal[q]) != int(t.literal[p]) for q, p in covered.items() if slot[q])
+        return changed, covered
+
+    best: tuple | None = None
+    reach = 2 * size + 64
+    longest = max(range(len(runs)), key=lambda i: runs[i].high - runs[i].low)
+    anchors = {(runs[i].low, runs[i].high, held[i]): i for i in range(len(runs) - 1, -1, -1)}
+    for i in (longest, *sorted(anchors.values())):
+        a, b = (0, len(runs)) if i == longest else (bisect_left(start, start[i] - reach), bisect_right(start, start[i] + reach))
+        changed, covered = copy(i, sorted((j for j in range(a, b) if j != i), key=lambda j: (abs(start[j] - start[i]), j)))
+        if len(covered) >= need and (best is None or (-len(covered), changed) < best[0]):
+            slots = sum(bool(slot[q]) for q in covered)
+            best = (-len(covered), changed), (index.ids[item], len(covered), size, slots, changed, "reparameterised" if changed else "exact")
+        if len(covered) == size and not changed:
+            break
+    if best is not None:
+        return best[1]
+    literal = {q for r in runs for q in range(r.low, r.high) if index.t.literal[q] == t.literal[q + r.shift]}
+    if len(literal) < need:
         return None
-    return index.ids[item], len(covered), size, slots, changed, "exact" if not changed else "reparameterised" if consistent else "edited"
+    covered = {q for r in runs for q in range(r.low, r.high)}
+    slots = sum(bool(slot[q]) for q in covered)
+    return index.ids[item], len(covered), size, slots, sum(bool(slot[q]) and q not in literal for q in covered), "edited"
 
 
-def blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
-    """The items in blocks of bounded size."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = items.agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))), F.count("*")).first()
-    n = max(1, -(-(total[0] or 0) // (BLOCK_MB << 20)), -(-total[1] // 200_000))
-    for i in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-        yield [(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]
+FOUND = "doc_id bigint, item_id bigint, n_covered bigint, n_item_words bigint, n_slots bigint, n_changed bigint, kind string"
+NAMES = [c.split()[0] for c in FOUND.split(", ")]
 
 
-FOUND = "doc_id bigint, item_id bigint, n_covered bigint, n_item_words bigint, n_slots bigint, n_changed bigint, kind string"
+def found_batch(ids: list, found: list[list[tuple]]) -> pa.RecordBatch:
+    rows = [(i, *f) for i, own in zip(ids, found, strict=True) for f in own]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [*[pa.int64()] * 6, pa.string()], strict=True)], NAMES)
 
 
 def scanned(column: pa.Array, index: Index) -> Iterator[list[tuple]]:
@@ -213,38 +268,143 @@ def scanned(column: pa.Array, index: Index) -> Iterator[list[tuple]]:
         yield from found_in(index, template(*cut(buf, offs, a, b)), b - a)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document and benchmark item that it leaks."""
-    spark, out = docs.sparkSession, None
-    docs = spread(docs.select(F.col("doc_id").cast("long"), "text"))
-    for block in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Index(block))
-
-        def run(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
-            names = [c.split()[0] for c in FOUND.split(", ")]
-            types = [*[pa.int64()] * 6, pa.string()]
-            for batch in batches:
-                rows = [(i, *f) for i, found in zip(batch.column(0).to_pylist(), scanned(batch.column(1), shared.value), strict=True) for f in found]
-                columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
-
-        part = docs.mapInArrow(run, FOUND)
-        out = part if out is None else out.union(part)
+def plain_items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def small_index(benchmark: DataFrame, block_mb: float) -> Index | None:
+    """An index of all items if they are at most ``block_mb`` of text and ``MOST_ITEMS`` rows."""
+    items = plain_items(benchmark)
+    size, n = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    if (size or 0) > block_mb * (1 << 20) or n > MOST_ITEMS:
+        return None
+    return Index([(r["item_id"], r["text"]) for r in items.orderBy("item_id", "text").collect()])
+
+
+# -- benchmarks of any size: a hash join of window keys ----------------------------------------------------
+
+
+def tag(k: int, exact: bool) -> U64:
+    return U64(2 * k + exact + 1)
+
+
+def text_keys(t: Template, n_texts: int, sizes: list[int], whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Text and key of all windows that may be used; ``whole``: windows shorter than ``WINDOW`` must be the whole text."""
+    count = np.bincount(t.owner, minlength=n_texts)
+    for k in sizes:
+        for exact in (False, True):
+            keys, good = windows(t, k, exact)
+            if whole and k < WINDOW:
+                good = good & (count[t.owner[: len(keys)]] == k)
+            yield t.owner[: len(keys)][good], joined_hash(keys[good], np.full(int(good.sum()), tag(k, exact)))
+
+
+def keyed(rows: DataFrame, sizes: list[int], bits: object | None) -> DataFrame:
+    """(row, text, key) for every distinct window key of rows (row, text), of documents only keys whose bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offs = buffer_of(batch.column(1))
+            for a, b in slices(offs):
+                held = [x for x in text_keys(template(*cut(buf, offs, a, b)), b - a, sizes, bits is None)]
+                own, keys = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, int), np.zeros(0, np.uint64))
+                if bits is not None:
+                    some = np.flatnonzero(bits.value[(keys & U64(BITS - 1)).astype(np.int64) >> 3] >> (keys & U64(7)).astype(np.uint8) & 1)
+                    own, keys = own[some], keys[some]
+                if len(keys):
+                    own, keys = np.unique(np.stack([own.astype(np.uint64), keys], 1), axis=0).T
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own.astype(np.int64) + a)), pa.array(np.ascontiguousarray(keys).view(np.int64))], ["row", "key"])
+
+    return rows.select("row", "text").mapInArrow(run, "row bigint, key bigint")
+
+
+def key_bits(keys: DataFrame) -> np.ndarray:
+    """A bit set of ``BITS`` bits, whatever the number of keys, put together by parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BITS >> 3, np.uint8)
+        for batch in batches:
+            k = batch.column(0).to_numpy().view(np.uint64)
+            np.bitwise_or.at(total, (k & U64(BITS - 1)).astype(np.int64) >> 3, U8(1) << (k & U64(7)).astype(np.uint8))
+        parts = [(i, total[i << 18 : (i + 1) << 18]) for i in range(BITS >> 21)]
+        parts = [(i, p.tobytes()) for i, p in parts if p.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], ["part", "bits"])
+
+    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 18, np.uint8)
+        for part in parts:
+            for blob in part.column("bits").to_pylist():
+                total |= np.frombuffer(blob, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "bits"])
+
+    schema = "part int, bits binary"
+    out = np.zeros(BITS >> 3, np.uint8)
+    for r in keys.select("key").mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect():
+        out[r["part"] << 18 : (r["part"] + 1) << 18] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that leak no item."""
-    docs, at = spread(docs), docs.columns.index("text")
-    for block in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(block))
+def joined_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``leaks`` for benchmarks of any size, in one pass over docs to find candidates.
+
+    Window keys of the benchmark set the bits of a filter of fixed size; keys of the documents that
+    pass it are joined with the benchmark's by hash (Spark splits the partitions of hot keys), and
+    every document that shares a key with an item is judged against that item.
+    """
+    spark = docs.sparkSession
+    items = plain_items(benchmark).withColumn("row", F.xxhash64("text"))
+    texts = written(items.select("row", "text").dropDuplicates(["row"]), "items")
+    keys = written(keyed(texts, list(range(1, WINDOW + 1)), None), "keys")
+    bits = spark.sparkContext.broadcast(key_bits(keys))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", row_key())
+    hits = keyed(spread(rows), list(range(1, WINDOW + 1)), bits)
+    pairs = hits.join(keys.withColumnRenamed("row", "item"), "key").select("row", "item").distinct()
+    wanted = written(pairs.join(texts.withColumnRenamed("row", "item"), "item").select("row", "item", F.col("text").alias("item_text")), "pairs")
+    n = parts(rows, 32)
+    left = rows.join(wanted.select("row").distinct(), "row", "left_semi").withColumn("part", F.pmod(F.xxhash64("row"), F.lit(n)))
+    right = wanted.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(n)))
+
+    def judge(key: tuple, docs: pa.Table, items: pa.Table) -> pa.Table:
+        by: dict[int, list[tuple]] = defaultdict(list)
+        for r in items.to_pylist():
+            by[r["row"]].append((r["item"], r["item_text"]))
+        out = [found_batch([], [])]
+        for r in docs.to_pylist():
+            out.append(found_batch([r["doc_id"]], list(scanned(pa.array([r["text"]], pa.large_string()), Index(by[r["row"]])))))
+        return pa.Table.from_batches(out)
+
+    found = left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(judge, FOUND).withColumnRenamed("item_id", "row")
+    return found.join(items.select("row", "item_id"), "row").select(*NAMES)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, block_mb: float = BLOCK_MB) -> DataFrame:
+    """One row for each document and benchmark item that it leaks."""
+    index = small_index(benchmark, block_mb)
+    if index is None:
+        return joined_leaks(docs, benchmark)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array([not found for found in scanned(batch.column(at), shared.value)], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield found_batch(batch.column(0).to_pylist(), list(scanned(batch.column(1), shared.value)))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, FOUND)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, block_mb: float = BLOCK_MB) -> DataFrame:
+    """The rows of docs that leak no item."""
+    index = small_index(benchmark, block_mb)
+    if index is None:
+        (row,) = fresh(docs, "_row")
+        found = joined_leaks(docs.select(row_key().alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(row)).distinct()
+        return docs.withColumn(row, F.xxhash64(F.col("text"), F.col("doc_id"))).join(found, row, "left_anti").select(*docs.columns)
+    shared, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not found for found in scanned(batch.column(at), shared.value)], pa.bool_()))
+
+    return spread(docs).mapInArrow(run, docs.schema)
 
 
 def op1_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
