@@ -51,6 +51,7 @@ class Page:
 
     tag: list[str] = field(default_factory=list)
     parent: list[int] = field(default_factory=list)
+    depth: list[int] = field(default_factory=list)
     tokens: list[list[int]] = field(default_factory=list)
     hidden: list[bool] = field(default_factory=list)
     named: list[int] = field(default_factory=list)
@@ -72,6 +73,7 @@ class Page:
                     hidden = True
         self.tag.append(tag)
         self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
         self.tokens.append(kinds)
         self.hidden.append(hidden)
         self.named.append(named)
@@ -185,62 +187,87 @@ def parse(source: str) -> Page:
     return page
 
 
-def features(page: Page) -> np.ndarray:
+class Forest:
+    """The nodes of many pages in one numbering; nodes of one depth stand in the order of their parents."""
+
+    def __init__(self, pages: list[Page]):
+        counts = np.array([len(p.tag) for p in pages])
+        self.n = int(counts.sum())
+        self.root = np.cumsum(counts) - counts
+        self.page = np.repeat(np.arange(len(pages)), counts)
+        self.parent = np.fromiter((x for p in pages for x in p.parent), np.int64, self.n)
+        self.parent = np.where(self.parent < 0, -1, self.parent + self.root[self.page])
+        self.depth = np.fromiter((x for p in pages for x in p.depth), np.int64, self.n)
+        order = np.argsort(self.depth, kind="stable")
+        cuts = np.searchsorted(self.depth[order], np.arange(1, int(self.depth.max()) + 2 if self.n else 1))
+        #: For every depth from 1 on its nodes, their parents, and where the children of each parent start.
+        self.levels = []
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            own = order[x:y]
+            up, first = np.unique(self.parent[own], return_index=True)
+            self.levels.append((own, up, first))
+
+    def rise(self, values: np.ndarray, combine: np.ufunc, scale: float = 1.0) -> None:
+        """Values of children go into those of their parents, from the leaves up."""
+        for own, up, first in reversed(self.levels):
+            values[up] = combine(values[up], scale * combine.reduceat(values[own], first, axis=0))
+
+    def sink(self, values: np.ndarray) -> np.ndarray:
+        """For every node the largest values among the nodes above it."""
+        out = np.zeros_like(values)
+        for own, _, _ in self.levels:
+            above = self.parent[own]
+            out[own] = np.maximum(out[above], values[above])
+        return out
+
+
+TAG_COLUMN = {t: TAGS.index(ALIAS.get(t, t)) for t in (*TAGS, *ALIAS) if ALIAS.get(t, t) in TAGS}
+
+
+def features(pages: list[Page], forest: Forest) -> np.ndarray:
     """One row of numbers for every node: tag, attribute tokens, subtree density, depth and siblings."""
-    n = len(page.tag)
-    parent = np.array(page.parent)
-    size = np.array([len(t) for t in page.text], float)
-    words = np.array([t.count(" ") + (t != "") for t in page.text], float)
-    stops = np.array([t.count(".") + t.count(",") + t.count("!") + t.count("?") for t in page.text], float)
-    linked = np.array(page.linked, float)
-    inline = np.array(page.inline, float)
-    one, paragraphs = np.ones(n), np.array([t == "p" for t in page.tag], float)
+    f, n = forest, forest.n
+    texts, tag = [t for p in pages for t in p.text], [t for p in pages for t in p.tag]
+
+    def numbers(name: str) -> np.ndarray:
+        return np.array([x for p in pages for x in getattr(p, name)], float)
+
+    size = np.fromiter(map(len, texts), float, n)
+    words = np.array([t.count(" ") + (t != "") for t in texts], float)
+    stops = np.array([t.count(".") + t.count(",") + t.count("!") + t.count("?") if t else 0 for t in texts], float)
+    codes: dict[str, int] = {}
+    code = np.fromiter((codes.setdefault(t, len(codes)) for t in tag), np.int64, n)
+    column = np.array([TAG_COLUMN.get(t, -1) for t in codes], np.int64)[code]
+    is_text, is_p = (np.array([t == name for t in codes], float)[code] for name in ("#text", "p"))
+    total = np.stack([size, words, stops, numbers("linked"), numbers("inline"), np.ones(n), is_p], 1)
+    f.rise(total, np.add)
     longest = size.copy()
-    total = np.stack([size, words, stops, linked, inline, one, paragraphs], 1)
-    before = np.cumsum(size) - size
-    own = np.zeros(n)
-    for i in range(n - 1, 0, -1):
-        total[parent[i]] += total[i]
-        longest[parent[i]] = max(longest[parent[i]], longest[i])
-        if page.tag[i] == "#text":
-            own[parent[i]] += size[i]
-    depth, index = np.zeros(n), np.zeros(n)
-    n_children, same = np.zeros(n), np.zeros(n)
-    tokens, hidden = np.array(page.tokens, float), np.array(page.hidden, float)
+    f.rise(longest, np.maximum)
+    up = np.where(f.parent < 0, np.arange(n), f.parent)
+    own = np.bincount(up, weights=size * is_text * (f.parent >= 0), minlength=n)
+    n_children, index, prev_same = np.zeros(n), np.zeros(n), np.zeros(n)
+    for at, above, first in f.levels:
+        count = np.diff(np.append(first, len(at)))
+        n_children[above] = count
+        index[at] = np.arange(len(at)) - np.repeat(first, count)
+        prev_same[at[1:]] = (code[at[1:]] == code[at[:-1]]) & (index[at[1:]] > 0)
+    _, kind, many = np.unique(f.parent * len(codes) + code + (f.parent < 0) * (-1 - f.page) * len(codes) * 2, return_inverse=True, return_counts=True)
+    same = many[kind]
     tags = np.zeros((n, len(TAGS)))
-    col = {t: j for j, t in enumerate(TAGS)}
-    above_tags, above_tokens, above_hidden = np.zeros((n, len(TAGS))), np.zeros((n, N_TOKENS)), hidden.copy()
-    last: dict[int, str] = {}
-    prev_same = np.zeros(n)
-    for i in range(n):
-        j = col.get(ALIAS.get(page.tag[i], page.tag[i]))
-        if j is not None:
-            tags[i, j] = 1
-        p = parent[i]
-        if p >= 0:
-            depth[i] = depth[p] + 1
-            index[i] = n_children[p]
-            n_children[p] += 1
-            prev_same[i] = last.get(p) == page.tag[i]
-            last[p] = page.tag[i]
-            above_tags[i] = np.maximum(above_tags[p], tags[p])
-            above_tokens[i] = np.maximum(above_tokens[p], tokens[p])
-            above_hidden[i] = max(above_hidden[i], above_hidden[p])
-    below_tokens = np.minimum(tokens, 3)
-    for i in range(n - 1, 0, -1):
-        below_tokens[parent[i]] = np.maximum(below_tokens[parent[i]], 0.5 * below_tokens[i])
-    kinds: dict[tuple[int, str], int] = {}
-    for i in range(n):
-        kinds[parent[i], page.tag[i]] = kinds.get((parent[i], page.tag[i]), 0) + 1
-    for i in range(n):
-        same[i] = kinds[parent[i], page.tag[i]]
-    up = np.maximum(parent, 0)
-    whole = max(total[0, 0], 1)
+    tags[np.flatnonzero(column >= 0), column[column >= 0]] = 1
+    tokens, hidden = np.array([x for p in pages for x in p.tokens], float).reshape(n, N_TOKENS), numbers("hidden")
+    above = f.sink(np.concatenate([tags, tokens, hidden[:, None]], 1))
+    below = np.minimum(tokens, 3)
+    f.rise(below, np.maximum, 0.5)
+    whole = np.maximum(total[f.root, 0], 1)[f.page]
+    before = np.cumsum(size) - size
+    before -= before[f.root][f.page]
     chars = np.maximum(total[:, 0], 1)
+    per_word = np.maximum(total[:, 1], 1)
     rest = np.stack([
-        np.log1p(total[:, 0]), np.log1p(total[:, 1]), np.log1p(longest), total[:, 3] / chars, total[up, 3] / chars[up], total[:, 2] / np.maximum(total[:, 1], 1),
-        chars / np.maximum(total[:, 5], 1), total[:, 4] / np.maximum(total[:, 1], 1), total[:, 6], total[:, 0] / whole, total[:, 0] / chars[up], own / chars,
-        depth, index, n_children, n_children[up], same / np.maximum(n_children[up], 1), prev_same, before / whole, np.log1p(total[up, 0]), hidden, above_hidden,
-        total[:, 0] / np.maximum(total[:, 1], 1), np.array(page.named, float), np.full(n, np.log1p(whole)),
+        np.log1p(total[:, 0]), np.log1p(total[:, 1]), np.log1p(longest), total[:, 3] / chars, total[up, 3] / chars[up], total[:, 2] / per_word,
+        chars / np.maximum(total[:, 5], 1), total[:, 4] / per_word, total[:, 6], total[:, 0] / whole, total[:, 0] / chars[up], own / chars,
+        f.depth, index, n_children, n_children[up], same / np.maximum(n_children[up], 1), prev_same, before / whole, np.log1p(total[up, 0]), hidden, np.maximum(hidden, above[:, -1]),
+        total[:, 0] / per_word, numbers("named"), np.log1p(whole),
     ], 1)
-    return np.concatenate([rest, tags, above_tags, np.minimum(tokens, 3), np.minimum(above_tokens, 3), below_tokens], 1).astype(np.float32)
+    return np.concatenate([rest, tags, above[:, : len(TAGS)], np.minimum(tokens, 3), np.minimum(above[:, len(TAGS) : -1], 3), below], 1).astype(np.float32)

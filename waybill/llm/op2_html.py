@@ -13,6 +13,8 @@ carried.
 
 from __future__ import annotations
 
+import json
+import pkgutil
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,11 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boost import Trees, fitted
-from .dom import Page, features, parse
+from .dom import Forest, Page, features, parse
 from .page_samples import Writer, pages
 from .store import spread
 
-SAMPLE = 900
+SAMPLE = 2500
+MODEL = "main_text_model.json"
 
 
 def marked(page: Page) -> tuple[np.ndarray, np.ndarray]:
@@ -52,14 +55,13 @@ def marked(page: Page) -> tuple[np.ndarray, np.ndarray]:
     return good / np.maximum(total, 1), total
 
 
-@lru_cache(1)
 def trained(n: int = SAMPLE) -> tuple[Trees, Trees]:
-    """Models of "all main text" and "no main text"."""
+    """Models of "all main text" and "no main text", fitted on n generated pages."""
     rows, share, size = [], [], []
     for source in pages(n):
         page = parse(source)
         s, t = marked(page)
-        rows.append(features(page))
+        rows.append(features([page], Forest([page])))
         share.append(s)
         size.append(t)
     x, share, size = np.concatenate(rows), np.concatenate(share), np.concatenate(size)
@@ -69,64 +71,72 @@ def trained(n: int = SAMPLE) -> tuple[Trees, Trees]:
     return fitted(x[some], (share[some] > 0.97).astype(float), weight), fitted(x[some], (share[some] < 0.03).astype(float), weight)
 
 
+def document(models: tuple[Trees, Trees], n: int = SAMPLE) -> str:
+    """The fitted models as JSON; both have the same edges."""
+    return json.dumps({"pages": n, "edges": [e.tolist() for e in models[0].edges], "keep": models[0].document(), "drop": models[1].document()}, separators=(",", ":")) + "\n"
+
+
+def read(text: str) -> tuple[Trees, Trees]:
+    d = json.loads(text)
+    edges = [np.array(e) for e in d["edges"]]
+    return Trees.read(d["keep"], edges), Trees.read(d["drop"], edges)
+
+
+@lru_cache(1)
+def shipped() -> tuple[Trees, Trees]:
+    """The models in ``MODEL``, which ``python -m waybill.llm.op2_html`` fits and writes."""
+    return read(pkgutil.get_data(__package__, MODEL).decode())
+
+
 KEEP, DROP, MIXED = 0, 1, 2
 
 
-def decoded(page: Page, keep: np.ndarray, drop: np.ndarray) -> list[bool]:
-    """Which nodes' own text is kept; keep and drop: log odds of the two models."""
-    n = len(page.tag)
+def decoded(forest: Forest, size: np.ndarray, keep: np.ndarray, drop: np.ndarray) -> np.ndarray:
+    """Which nodes' own text is kept; size: of the own text; keep and drop: log odds of the two models."""
     p_keep, p_drop = 1 / (1 + np.exp(-keep)), 1 / (1 + np.exp(-drop))
     rest = np.clip(1 - p_keep - p_drop, 0.01, None)
-    leaf = np.ones(n, bool)
-    leaf[[p for p in page.parent if p >= 0]] = False
+    leaf = np.ones(forest.n, bool)
+    leaf[forest.parent[forest.parent >= 0]] = False
     rest[leaf] = 1e-9
-    logs = np.log(np.stack([p_keep, p_drop, rest], 1) + 1e-9)
-    size = np.array([len(t) for t in page.text], float)
-    own = logs.copy()
-    empty = (size == 0) & leaf
-    own[empty] = 0
-    value = own.tolist()
-    parent = page.parent
-    best = [0] * n
-    for i in range(n - 1, -1, -1):
-        v = value[i]
-        best[i] = max((KEEP, DROP, MIXED), key=v.__getitem__)
-        p = parent[i]
-        if p >= 0:
-            up = value[p]
-            up[KEEP] += v[KEEP]
-            up[DROP] += v[DROP]
-            up[MIXED] += v[best[i]]
-    label = [0] * n
-    for i in range(n):
-        p = parent[i]
-        label[i] = best[i] if p < 0 or label[p] == MIXED else label[p]
-    return [label[i] == KEEP for i in range(n)]
+    value = np.log(np.stack([p_keep, p_drop, rest], 1) + 1e-9)
+    value[(size == 0) & leaf] = 0
+    best = np.zeros(forest.n, np.int64)
+    for own, up, first in reversed(forest.levels):
+        v = value[own]
+        best[own] = v.argmax(1)
+        v[:, MIXED] = v.max(1)
+        value[up] += np.add.reduceat(v, first, axis=0)
+    best[forest.root] = value[forest.root].argmax(1)
+    label = best.copy()
+    for own, _, _ in forest.levels:
+        above = label[forest.parent[own]]
+        label[own] = np.where(above == MIXED, best[own], above)
+    return label == KEEP
 
 
 def main_texts(sources: list[str | None], models: tuple[Trees, Trees]) -> list[str]:
     """The main text of every page."""
-    out = []
+    out: list[str] = []
     for a in range(0, len(sources), 256):
-        read = [parse(s) if s else None for s in sources[a : a + 256]]
-        rows = [features(p) for p in read if p is not None]
-        x = np.concatenate(rows) if rows else np.zeros((0, 1))
-        keep, drop = (m.logit(x) for m in models) if rows else (np.zeros(0), np.zeros(0))
-        at = 0
-        for p in read:
-            if p is None:
-                out.append("")
-                continue
-            b = at + len(p.tag)
-            kept = decoded(p, keep[at:b], drop[at:b])
-            out.append(" ".join(t for t, k in zip(p.text, kept, strict=True) if k and t))
-            at = b
+        some = sources[a : a + 256]
+        read_pages = [parse(s) for s in some if s]
+        if not read_pages:
+            out += [""] * len(some)
+            continue
+        forest = Forest(read_pages)
+        bins = models[0].binned(features(read_pages, forest))
+        texts = [t for p in read_pages for t in p.text]
+        kept = decoded(forest, np.fromiter(map(len, texts), float, len(texts)), models[0].logit(bins), models[1].logit(bins)).tolist()
+        bounds = iter(zip(forest.root.tolist(), [*forest.root[1:].tolist(), forest.n], strict=True))
+        for s in some:
+            x, y = next(bounds) if s else (0, 0)
+            out.append(" ".join(texts[i] for i in range(x, y) if kept[i] and texts[i]))
     return out
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of (page_id, url, html)."""
-    models = pages.sparkSession.sparkContext.broadcast(trained())
+    models = pages.sparkSession.sparkContext.broadcast(shipped())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,3 +150,9 @@ def extracted(pages: DataFrame) -> DataFrame:
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+if __name__ == "__main__":
+    from pathlib import Path
+
+    Path(__file__).with_name(MODEL).write_text(document(trained()))

@@ -1,4 +1,9 @@
-"""Labelled sample pages for the HTML extractor: random layouts with marked main text."""
+"""Labelled sample pages for the HTML extractor: random layouts with marked main text.
+
+Everything that is not main text shows it: by its tag, by a word in its class, id or role, or by
+being a list of links outside the main text.  Main text comes in all block tags, bare, between line
+breaks, in tables, in wrappers with and without names, and on pages without any tags.
+"""
 
 from __future__ import annotations
 
@@ -11,143 +16,198 @@ LABELS = "Home About Contact News Sports Login Register Share Tweet Print Next P
 class Writer:
     """Makes one page; text between the two marks is main text."""
 
-    ON, OFF = "", ""
+    ON, OFF = "\ue000", "\ue001"
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
-        self.named = self.r.random() < 0.75
-        self.semantic = self.r.random() < 0.6
+
+    def one(self, *options: str) -> str:
+        return self.r.choice(options)
+
+    def chance(self, p: float) -> bool:
+        return self.r.random() < p
 
     def word(self) -> str:
-        return "".join(self.r.choice(SYLLABLES) for _ in range(self.r.randint(1, 4)))
+        return str(self.r.randint(0, 2100)) if self.chance(0.04) else "".join(self.r.choice(SYLLABLES) for _ in range(self.r.randint(1, 4)))
 
     def words(self, low: int, high: int) -> str:
         return " ".join(self.word() for _ in range(self.r.randint(low, high)))
 
     def prose(self, sentences: int) -> str:
-        return " ".join(self.words(2, 16).capitalize() + self.r.choice([".", ".", ".", "!", "?"]) for _ in range(sentences))
+        return " ".join(self.words(2, 16).capitalize() + self.one(".", ".", ".", "!", "?") for _ in range(sentences))
 
-    def attr(self, *names: str) -> str:
-        if not self.named or self.r.random() < 0.12:
-            return f' class="{self.word()}"' if self.r.random() < 0.3 else ""
+    def named(self, *names: str) -> str:
+        """A class, id or role that tells what the element is."""
         name = self.r.choice(names)
-        return f' {self.r.choice(["class", "class", "id"])}="{self.r.choice([name, name, name + " " + self.word(), self.word() + "-" + name, name + "-" + self.word()])}"'
+        value = self.one(name, name, f"{name} {self.word()}", f"{self.word()}-{name}", f"{name}-{self.word()}", f"site-{name}", f"{name}_{self.r.randint(1, 9)}", f"js{name.capitalize()}")
+        return f' {self.one("class", "class", "class", "id")}="{value}"'
+
+    def plain(self) -> str:
+        """An attribute that tells nothing."""
+        x = self.r.random()
+        return "" if x < 0.6 else f' class="{self.word()}"' if x < 0.8 else f' id="{self.word()}{self.r.randint(1, 99)}"' if x < 0.9 else f' style="margin:{self.r.randint(0, 9)}px"'
+
+    def shown(self, tag: str, names: tuple[str, ...], body: str, generic: tuple[str, ...] = ("div", "div", "div", "section")) -> str:
+        """Junk in its own tag, or in a generic one with a telling name."""
+        if tag and self.chance(0.5):
+            return f"<{tag}{self.named(*names) if self.chance(0.5) else self.plain()}>{body}</{tag}>"
+        kind = self.r.choice(generic)
+        if kind == "p":
+            body = self.one(self.prose(self.r.randint(1, 3)), self.words(1, 8), " ".join(self.links(2)))
+        return f"<{kind}{self.named(*names)}>{body}</{kind}>"
 
     def links(self, n: int) -> list[str]:
-        return [f'<a href="/{self.word()}">{self.r.choice([self.r.choice(LABELS), self.words(1, 3), self.words(3, 8)])}</a>' for _ in range(n)]
+        return [f'<a href="/{self.word()}">{self.one(self.r.choice(LABELS), self.words(1, 3), self.words(3, 8))}</a>' for _ in range(n)]
+
+    def junk_body(self) -> str:
+        return self.r.choice([
+            self.prose(self.r.randint(1, 4)), f"<p>{self.prose(self.r.randint(1, 3))}</p>", f"<p>{self.prose(1)}</p>" * self.r.randint(1, 3), self.words(1, 9), f"<h3>{self.words(1, 4)}</h3><p>{self.prose(1)}</p>",
+            f"<h2>{self.words(1, 4)}</h2><ul><li>{'</li><li>'.join(self.links(4))}</li></ul>", f"<ul><li>{'<li>'.join(self.words(1, 5) for _ in range(3))}</ul>", f"<div><div>{self.prose(2)}</div></div>", " ".join(self.links(3)),
+            f"{self.words(1, 5)}<br>{self.words(1, 5)}", f"<table><tr><td>{self.words(1, 3)}</td><td>{self.prose(1)}</td></tr></table>",
+        ])
 
     def menu(self) -> str:
         items = self.links(self.r.randint(3, 10))
-        body = self.r.choice([f"<ul><li>{'</li><li>'.join(items)}</li></ul>", " | ".join(items), f"<ul><li>{'<li>'.join(items)}</ul>", "".join(f"<div>{i}</div>" for i in items)])
-        if self.semantic or self.r.random() < 0.4:
-            return f"<nav{self.attr('nav', 'menu', 'navbar')}>{body}</nav>"
-        return f"<div{self.attr('nav', 'menu', 'navigation', 'breadcrumb', 'topnav', 'pagination')}>{body}</div>"
+        body = self.one(f"<ul><li>{'</li><li>'.join(items)}</li></ul>", " | ".join(items), f"<ul><li>{'<li>'.join(items)}</ul>", "".join(f"<div>{i}</div>" for i in items), f"<ul><li>{'</li><li>'.join(LABELS[:4])}</li></ul>")
+        if "<ul" in body and "href" in body and self.chance(0.2):
+            return body
+        return self.shown("nav", ("nav", "menu", "navigation", "breadcrumb", "topnav", "pagination", "navbar"), body)
 
     def header(self) -> str:
-        body = self.r.choice([f"<h1>{self.words(1, 4)}</h1><p>{self.words(3, 8)}</p>", f"<div>{self.words(1, 3)}</div>", f"<h2>{self.words(1, 3)}</h2>{self.menu()}", f"<p>{self.prose(1)}</p>"])
-        tag = "header" if self.semantic or self.r.random() < 0.4 else "div"
-        return f"<{tag}{self.attr('header', 'masthead', 'topbar', 'logo', 'branding')}>{body}</{tag}>"
+        body = self.one(f"<h1>{self.words(1, 4)}</h1><p>{self.words(3, 8)}</p>", f"<h1>{self.words(1, 4)}</h1>", f"<h2>{self.words(1, 3)}</h2>{self.menu()}", self.junk_body())
+        return self.shown("header", ("header", "masthead", "topbar", "logo", "branding", "banner"), body)
 
     def footer(self) -> str:
-        body = self.r.choice(["&copy; ", "", "Copyright "]) + self.r.choice([self.prose(self.r.randint(1, 3)), "<p>" + self.prose(1) + "</p>" + " ".join(self.links(3)), self.menu(), self.words(2, 9) + " &middot; " + self.prose(self.r.randint(1, 5))])
-        tag = "footer" if self.semantic or self.r.random() < 0.5 else "div"
-        return f"<{tag}{self.attr('footer', 'bottom', 'copyright', 'legal')}>{body}</{tag}>"
+        body = self.one("&copy; ", "", "Copyright ") + self.one(self.junk_body(), self.junk_body(), self.menu(), self.words(2, 9) + " &middot; " + self.prose(self.r.randint(1, 5)))
+        return self.shown("footer", ("footer", "bottom", "copyright", "legal", "imprint"), body)
 
     def sidebar(self) -> str:
-        body = "".join(self.r.choice([f"<h3>{self.words(1, 4)}</h3>", f"<p>{self.prose(self.r.randint(1, 3))}</p>", f"<ul><li>{'</li><li>'.join(self.links(4))}</li></ul>"]) for _ in range(self.r.randint(1, 4)))
-        tag = "aside" if self.semantic or self.r.random() < 0.4 else "div"
-        return f"<{tag}{self.attr('sidebar', 'related', 'widget', 'recommended', 'rail', 'popular')}>{body}</{tag}>"
+        body = "".join(self.junk_body() for _ in range(self.r.randint(1, 3)))
+        return self.shown("aside", ("sidebar", "related", "widget", "recommended", "rail", "popular", "trending"), body)
 
     def advert(self) -> str:
-        text = self.r.choice([self.prose(self.r.randint(1, 3)), self.words(3, 9), f"<p>{self.prose(2)}</p>", f'<a href="/x">{self.words(3, 9)}</a>', f"<h3>{self.words(2, 4)}</h3><p>{self.prose(1)}</p>"])
-        tag = self.r.choice(["div", "div", "section", "aside", "p"])
-        kind = self.r.choice(["ad", "advert", "ads", "sponsored", "promo", "advertisement", "ad-box"])
-        return f'<{tag} class="{self.r.choice([kind, kind, kind + " " + self.word(), kind + "-" + self.word()])}">{text}</{tag}>'
+        return self.shown("", ("ad", "advert", "ads", "sponsored", "promo", "advertisement", "ad-box", "banner"), self.junk_body(), ("div", "div", "section", "aside", "p", "ul", "table"))
 
     def notice(self) -> str:
-        text = self.r.choice([f"<p>{self.prose(self.r.randint(1, 3))}</p>", self.prose(1), f"<p>{self.prose(1)}</p><button>OK</button>"])
-        return f'<{self.r.choice(["div", "section", "aside"])} {self.r.choice(["class", "id"])}="{self.r.choice(["cookie-notice", "notice", "alert", "consent", "cookie-banner", "gdpr", "newsletter", "popup", "subscribe", "banner"])}">{text}</div>'
+        body = self.junk_body() + self.one("", "", "<button>OK</button>")
+        if self.chance(0.15):
+            return f'<div role="{self.one("alert", "dialog", "alertdialog")}"{self.named("cookie", "consent", "notice")}>{body}</div>'
+        return self.shown("", ("cookie-notice", "notice", "alert", "consent", "cookie-banner", "gdpr", "newsletter", "popup", "subscribe", "modal", "paywall"), body, ("div", "section", "aside", "p"))
 
     def form(self) -> str:
-        body = "".join(f"<{t}>{self.words(1, 3)}</{t}><input name=x>" for t in [self.r.choice(["label", "p", "div"])] * self.r.randint(1, 3))
-        return f"<form{self.attr('form', 'search', 'login', 'subscribe', 'contact')}>{body}<button>{self.word()}</button></form>"
+        body = "".join(f"<{t}>{self.words(1, 3)}</{t}><input name=x>" for t in [self.one("label", "p", "div")] * self.r.randint(1, 3))
+        return f"<form{self.named('form', 'search', 'login', 'subscribe', 'contact') if self.chance(0.5) else self.plain()}>{body}<button>{self.word()}</button></form>"
 
     def comments(self) -> str:
-        def one() -> str:
+        def entry() -> str:
             text = self.prose(self.r.randint(1, 5))
-            by = self.r.choice(["", f"<h4>{self.word()}</h4>", f"<span>{self.word()}</span> ", f"<b>{self.word()}:</b> "])
-            tag = self.r.choice(["div", "li", "article", "p"])
-            return f"<{tag}{self.attr('comment', 'reply', 'comment-body')}>{by}{text if tag == 'p' or self.r.random() < 0.4 else '<p>' + text + '</p>'}</{tag}>"
+            by = self.one("", f"<h4>{self.word()}</h4>", f"<span>{self.word()}</span> ", f"<b>{self.word()}:</b> ")
+            tag = self.one("div", "li", "article", "p")
+            return f"<{tag}{self.named('comment', 'reply', 'comment-body') if self.chance(0.6) else self.plain()}>{by}{text if tag == 'p' or self.chance(0.4) else '<p>' + text + '</p>'}</{tag}>"
 
-        inner = "".join(one() for _ in range(self.r.randint(1, 6)))
-        tag = self.r.choice(["div", "section", "ol", "div"])
-        return f'<{tag} {self.r.choice(["class", "id"])}="{self.r.choice(["comments", "comment-list", "discussion", "replies", "reader-comments", "responses", "disqus"])}">{self.r.choice(["", "<h3>" + self.words(1, 2) + "</h3>"])}{inner}</{tag}>'
+        inner = self.one("", f"<h3>{self.words(1, 2)}</h3>") + "".join(entry() for _ in range(self.r.randint(1, 6)))
+        return self.shown("", ("comments", "comment-list", "discussion", "replies", "reader-comments", "responses", "disqus"), inner, ("div", "section", "ol", "div"))
 
     def share(self) -> str:
-        return f"<div{self.attr('share', 'social', 'tools', 'tags', 'author-bio')}>{self.r.choice([' '.join(self.links(3)), self.words(2, 8)])}</div>"
+        return self.shown("", ("share", "social", "share-tools", "tags", "author-bio"), self.one(" ".join(self.links(3)), self.words(2, 8)), ("div", "div", "ul", "p"))
+
+    def junk(self) -> str:
+        return self.r.choice([self.advert, self.advert, self.share, self.sidebar, self.notice, self.form, self.menu, self.comments])()
 
     def on(self, text: str) -> str:
         return f"{self.ON}{text}{self.OFF}"
 
     def paragraph(self) -> str:
-        text = self.prose(self.r.choice([1, 1, 1, 2, 3, 5, 8]))
-        if self.r.random() < 0.25:
-            text = self.r.choice(["<b>{}</b> ", "<em>{}</em> ", '<a href="/y">{}</a> ']).format(self.words(1, 4)) + text
-        if self.r.random() < 0.05:
-            text = text[: self.r.randint(3, 12)] or "x"
+        text = self.one(self.prose(self.r.choice([1, 1, 1, 2, 3, 5, 8])), self.prose(self.r.choice([1, 2, 4])), self.words(1, 12), self.word())
+        x = self.r.random()
+        if x < 0.2:
+            text = self.one("<b>{}</b> ", "<em>{}</em> ", '<a href="/y">{}</a> ', "<span>{}</span> ").format(self.words(1, 4)) + text
+        elif x < 0.25:
+            text = f'<a href="/z">{text}</a>'
+        elif x < 0.3:
+            text = f"<b>{text}"
+        elif x < 0.38:
+            text = text.replace(" ", self.one("  ", "\n", " &amp; ", "&nbsp;"), 2)
         return text
 
-    def content(self) -> str:
-        style, out = self.r.random(), []
-        for _ in range(self.r.choice([1, 1, 1, 2, 3, 4, 6, 9, 14])):
+    def blocks(self) -> list[str]:
+        """Some blocks of main text."""
+        x, on, n = self.r.random(), self.on, self.r.choice([1, 1, 1, 2, 2, 3, 4, 6, 9, 14])
+        if x < 0.45:
+            same = self.paragraph() if self.chance(0.15) else None
+            return [f"<p{self.plain() if self.chance(0.2) else ''}>{on(same or self.paragraph())}" + ("</p>" if self.chance(0.9) else "") for _ in range(n)]
+        if x < 0.55:
+            return [self.one("<br>", "<br><br>", "<br/>\n").join(on(self.paragraph().replace("<b>", "")) for _ in range(n))]
+        if x < 0.62:
+            return [f"<div{self.plain()}>{on(self.paragraph())}</div>" for _ in range(n)]
+        if x < 0.72:
+            return [f"<h{k}>{on(self.words(1, 7))}</h{k}>" for k in [self.r.randint(1, 6)]]
+        if x < 0.8:
+            tag = self.one("ul", "ol")
+            return [f"<{tag}>" + "".join(f"<li>{on(self.one(self.words(1, 6), self.prose(1), self.paragraph()))}" + self.one("", "</li>") for _ in range(n)) + f"</{tag}>"]
+        if x < 0.83:
+            return ["<dl>" + "".join(f"<dt>{on(self.words(1, 3))}<dd>{on(self.prose(1))}" for _ in range(n)) + "</dl>"]
+        if x < 0.87:
+            return [f"<blockquote>{on(self.prose(2))}</blockquote>", f"<pre>{on(self.words(5, 20))}</pre>"][: self.r.randint(1, 2)]
+        if x < 0.93:
+            head = f"<tr><th>{on(self.words(1, 2))}</th><th>{on(self.words(1, 2))}</th></tr>" if self.chance(0.5) else ""
+            return [f"<table{self.plain()}>{head}" + "".join(f"<tr><td>{on(self.words(1, 3))}</td><td>{on(self.one(self.words(1, 3), self.prose(2)))}</td></tr>" for _ in range(n)) + "</table>"]
+        if x < 0.96:
+            return [f"<figure><img src=x><figcaption>{on(self.words(3, 9))}</figcaption></figure>"]
+        if x < 0.98:
+            return [f"<details><summary>{on(self.words(1, 5))}</summary>{on(self.prose(2))}</details>"]
+        return [on(self.paragraph())]
+
+    def wrapped(self, body: str) -> str:
+        """Main text in none to three wrappers."""
+        for _ in range(self.r.choice([0, 0, 1, 1, 1, 2, 3])):
             x = self.r.random()
-            if x < 0.68:
-                out.append(self.on(self.paragraph()) + "<br><br>" if style < 0.1 else f"<p>{self.on(self.paragraph())}" + ("</p>" if self.r.random() < 0.9 else ""))
-            elif x < 0.78:
-                out.append(f"<h2>{self.on(self.words(1, 7))}</h2>")
-            elif x < 0.85:
-                items = "".join(f"<li>{self.on(self.r.choice([self.words(1, 6), self.prose(1)]))}</li>" for _ in range(self.r.randint(2, 6)))
-                out.append(f"<ul>{items}</ul>")
-            elif x < 0.89:
-                out.append(f"<blockquote>{self.on(self.prose(2))}</blockquote>")
-            elif x < 0.91:
-                out.append(f"<pre>{self.on(self.words(5, 20))}</pre>")
-            elif x < 0.93:
-                rows = "".join(f"<tr><td>{self.on(self.words(1, 2))}</td><td>{self.on(self.words(1, 3))}</td></tr>" for _ in range(3))
-                out.append(f"<table>{rows}</table>")
+            if x < 0.3:
+                body = f"<article{self.named('article', 'post', 'entry') if self.chance(0.4) else self.plain()}>{body}</article>"
+            elif x < 0.45:
+                body = f"<main{self.plain()}>{body}</main>"
+            elif x < 0.7:
+                tag = self.one("div", "section")
+                body = f"<{tag}{self.named('content', 'article', 'post', 'entry-content', 'story', 'main', 'text', 'body')}>{body}</{tag}>"
+            elif x < 0.9:
+                body = f"<div{self.plain()}>{body}</div>"
             elif x < 0.95:
-                out.append(f"<figure><img src=x><figcaption>{self.on(self.words(3, 9))}</figcaption></figure>")
-            elif x < 0.98:
-                out.append(self.r.choice([self.advert, self.advert, self.share, self.sidebar, self.notice, self.form])())
+                body = f"<center>{body}</center>"
             else:
-                out.append(f"<div{self.attr('section', self.word())}><p>{self.on(self.paragraph())}</p></div>")
-        return "".join(out)
+                body = f"<table><tr><td>{body}</td></tr></table>"
+        return body
 
     def article(self) -> str:
-        title = f"<h1>{self.on(self.words(2, 9))}</h1>" if self.r.random() < 0.75 else ""
-        if title and self.r.random() < 0.3:
-            title = f"<header>{title}</header>" if self.semantic else f"<div>{title}</div>"
-        body = title + (self.share() if self.r.random() < 0.15 else "") + self.content() + (self.share() if self.r.random() < 0.2 else "")
-        if self.r.random() < 0.2:
-            body += self.comments()
+        title = self.on(self.words(2, 9))
+        parts = [x for _ in range(self.r.choice([1, 1, 2, 3, 5])) for x in self.blocks()]
+        for _ in range(self.r.choice([0, 0, 0, 0, 1, 1, 2])):
+            parts.insert(self.r.randint(0, len(parts)), self.junk())
         x = self.r.random()
-        if x < 0.5:
-            body = f"<article{self.attr('article', 'post', 'entry') if self.r.random() < 0.5 else ''}>{body}</article>"
-        elif x < 0.6:
-            body = f"<section{self.attr('content', 'main', 'story')}>{body}</section>"
-        elif x < 0.9:
-            body = f"<div{self.attr('content', 'article', 'post', 'entry-content', 'story', 'main', 'text')}>{body}</div>"
-        return body
+        if x < 0.45:
+            return self.wrapped(f"<h1>{title}</h1>" + "".join(parts))
+        if x < 0.55:
+            return f"<article><header><h1>{title}</h1>{self.one('', f'<p>{self.on(self.words(2, 9))}</p>')}</header>{''.join(parts)}</article>"
+        if x < 0.65:
+            return self.one(f"<h1>{title}</h1>", f"<div{self.plain()}><h1>{title}</h1></div>") + self.wrapped("".join(parts))
+        return self.wrapped("".join(parts))
 
     def page(self) -> str:
-        top = [f() for f, p in ((self.notice, 0.25), (self.header, 0.5), (self.menu, 0.8), (self.form, 0.2), (self.advert, 0.35), (self.menu, 0.2)) if self.r.random() < p]
-        end = [f() for f, p in ((self.sidebar, 0.4), (self.comments, 0.25), (self.advert, 0.25), (self.form, 0.15), (self.notice, 0.15), (self.menu, 0.15), (self.footer, 0.85)) if self.r.random() < p]
-        article = self.article()
-        if self.r.random() < 0.35:
-            side = self.sidebar() if self.r.random() < 0.5 else ""
-            inner = self.r.choice([article + side, side + article])
-            article = f"<main>{inner}</main>" if self.semantic else self.r.choice([f"<div{self.attr('wrapper', 'container', 'page')}>{inner}</div>", f"<table><tr><td>{inner}</td></tr></table>"])
-        if self.r.random() < 0.2:
+        x = self.r.random()
+        if x < 0.03:
+            return self.on(self.prose(self.r.randint(1, 9)))
+        if x < 0.07:
+            return "".join(self.blocks())
+        if x < 0.11:
+            return f"<html><body>{self.on(self.paragraph())}</body></html>"
+        bare = self.chance(0.15)
+        top = [] if bare else [f() for f, p in ((self.notice, 0.25), (self.header, 0.5), (self.menu, 0.7), (self.form, 0.2), (self.advert, 0.35), (self.menu, 0.15)) if self.chance(p)]
+        end = [] if bare else [f() for f, p in ((self.sidebar, 0.4), (self.comments, 0.25), (self.advert, 0.25), (self.form, 0.15), (self.notice, 0.15), (self.menu, 0.15), (self.footer, 0.75)) if self.chance(p)]
+        article = "" if self.chance(0.02) and not bare else "".join(self.article() for _ in range(self.r.choice([1, 1, 1, 1, 1, 2, 3])))
+        if self.chance(0.3):
+            side = self.sidebar() if self.chance(0.5) else ""
+            inner = self.one(article + side, side + article)
+            article = self.one(f"<main>{inner}</main>", f"<div{self.named('wrapper', 'container', 'page')}>{inner}</div>", f"<table><tr><td>{article}</td><td>{side}</td></tr></table>", f"<div{self.plain()}>{inner}</div>")
+        if self.chance(0.2):
             self.r.shuffle(top)
         head = f"<head><title>{self.words(2, 6)}</title><style>p{{}}</style></head>"
         return f"<!DOCTYPE html><html>{head}<body>{''.join(top)}<script>var a='</p>';</script>{article}{''.join(end)}</body></html>"
