@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +51,24 @@ def term_counts(episodes: DataFrame, bins: int) -> DataFrame:
 def feature_vectors(episodes: DataFrame, bins: int) -> DataFrame:
     """(episode_id, features): the dense part, then the bins scaled to unit length."""
     counts = term_counts(episodes, bins)
-    norms = counts.groupBy("episode_id").agg(F.map_from_entries(F.collect_list(F.struct("bin", "value"))).alias("bins"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    norms = counts.groupBy("episode_id").agg(F.collect_list(F.struct("bin", "value")).alias("bins"))
     joined = dense_features(episodes).select("episode_id", "dense").join(norms, "episode_id", "left")
-    value = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.try_element_at("bins", i.cast("bigint")), F.lit(0)) / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0))
-    return joined.select("episode_id", F.concat("dense", value).alias("features"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            out = np.zeros((n, DENSE_FEATURES + bins))
+            out[:, :DENSE_FEATURES] = batch.column(1).flatten().to_numpy().reshape(n, DENSE_FEATURES)
+            held = batch.column(2)
+            size = pc.fill_null(pc.list_value_length(held), 0).to_numpy()
+            pairs = held.flatten()
+            own, at, value = np.repeat(np.arange(n), size), pairs.field(0).to_numpy(), pairs.field(1).to_numpy().astype(float)
+            norm = np.sqrt(np.bincount(own, weights=value * value, minlength=n))
+            out[own, DENSE_FEATURES + at] = value / np.where(norm > 0, norm, 1)[own]
+            features = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, out.shape[1]), pa.int32()), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), features], ["episode_id", "features"])
+
+    return joined.select("episode_id", "dense", "bins").mapInArrow(run, "episode_id string, features array<double>")
 
 
 def moments(rows: DataFrame, n_features: int, n_targets: int, folds: int) -> list[tuple[float, np.ndarray]]:
@@ -100,6 +115,22 @@ def ridge(matrix: np.ndarray, n_features: int, alpha: float) -> tuple[np.ndarray
     return mean, scale, np.linalg.solve(gram * n + alpha * np.eye(n_features), cross * n), y_mean
 
 
+def ridge_rows(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``ridge`` from the rows themselves, in the dual form: a system of as many equations as there are rows."""
+    mean, scale = x.mean(0), x.std(0)
+    scale[scale < SCALE_FLOOR] = 1.0
+    z, intercept = (x - mean) / scale, y.mean(0)
+    return mean, scale, z.T @ np.linalg.solve(z @ z.T + alpha * np.eye(len(z)), y - intercept), intercept
+
+
+def fitted(rows: DataFrame, matrix: np.ndarray, n_features: int, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The heads over all rows: from the moments, or in the dual form if there are no more rows than features (so they fit the driver as the moments would)."""
+    if matrix[0, 0] > n_features:
+        return ridge(matrix, n_features, alpha)
+    held = rows.select("features", "targets").collect()
+    return ridge_rows(np.array([r["features"] for r in held]), np.array([r["targets"] for r in held]), alpha)
+
+
 def predicted_errors(matrix: np.ndarray, n_features: int, model: tuple) -> np.ndarray:
     """Mean squared error of each target on the rows behind a moment matrix; no second pass over the data."""
     mean, scale, coef, intercept = model
@@ -138,6 +169,25 @@ def linear_heads(vector: Column, mean: list[float], scale: list[float], heads: l
     return [F.lit(float(b)) + F.aggregate(F.zip_with(standard, numbers(c), lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x) for b, c in heads]
 
 
+def checked_arguments(n_rows: int, folds: int, alphas: tuple[float, ...], grid_size: int, validation: tuple = (None, None)) -> int:
+    """The number of folds, after checking what a trainer is asked for."""
+    if n_rows < 2:
+        raise ValueError("training needs two episodes or more")
+    if folds < 2 or grid_size < 2:
+        raise ValueError("training needs two folds and two grid points or more")
+    if not alphas or any(not np.isfinite(a) or a <= 0 for a in alphas):
+        raise ValueError("penalties must be finite and above 0")
+    if (validation[0] is None) != (validation[1] is None):
+        raise ValueError("validation episodes and outcomes go together")
+    return min(folds, n_rows)
+
+
+def safety_candidates(multiplier: float, size: int) -> list[float]:
+    """The safety ratios tried for a tier: evenly spaced from that which leaves the light budget alone to 1."""
+    least = 1.0 / multiplier
+    return [min(1.0, least)] if size <= 1 or least >= 1.0 else safety_grid(least, size)
+
+
 def safety_grid(least: float, size: int) -> list[float]:
     """Evenly spaced ratios from ``least`` to 1."""
     if size < 2 or not 0 < least <= 1:

@@ -7,13 +7,16 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal, localcontext
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import learn, routing, scoring
+from waybill.sources.shared import written
+
+from . import checks, curve, learn, report, routing, scoring
 
 # The document's kind and versions, names of the dense features, hash scheme.
 HASH = "fnv1a64-signed-word-1-2"
@@ -111,58 +114,135 @@ def predictions(vectors: DataFrame, heads: dict[int, tuple], models: tuple[str,
 
 
 def learned_route(episodes: DataFrame, router: Router, policy: scoring.Policy = scoring.PUBLIC) -> DataFrame:
-    """(episode_id, tier, model_id): Lagrangian selection for each tier; in the widest tier unused budget goes to the second model."""
+    """(episode_id, tier, model_id): Lagrangian selection for each tier; in the widest tier unused budget goes to the second model.
+
+    The penalties of all tiers come from one pass over the predictions.
+    """
     vectors = learn.feature_vectors(episodes, router.bins).withColumn("fold", F.lit(0))
-    held = predictions(vectors, {0: (router.mean, router.scale, router.coefficients, router.intercepts)}, router.models).persist()
+    models = list(router.models)
+    held = written(predictions(vectors, {0: (router.mean, router.scale, router.coefficients, router.intercepts)}, router.models), "predictions")
     widest = max(policy.tiers, key=lambda t: float(policy.tiers[t][0]))
+    light, found = routing.penalties(held, models, {t: (float(m), router.safety[t]) for t, (m, _) in policy.tiers.items()})
     out = None
     for tier, (multiplier, _) in policy.tiers.items():
-        routed = routing.lagrangian_route(held, list(router.models), float(multiplier), router.safety[tier])
+        routed = held.withColumn("model_id", curve.choice(models, float(light), found[tier]["at"]) if found else F.lit(models[0]))
         if tier == widest:
-            routed = routing.filled_route(routed, list(router.models), float(multiplier))
+            routed = routing.filled_route(routed, models, float(multiplier))
         part = routed.select("episode_id", F.lit(tier).alias("tier"), "model_id")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def ratio(a: Decimal, b: Decimal) -> Decimal:
+    """a / b to twelve places, half to even."""
+    with localcontext(prec=curve.DIGITS):
+        return (a / b).quantize(Decimal("1e-12"))
+
+
+def candidates(held: DataFrame, models: list[str], policy: scoring.Policy, wanted: dict[str, list[float]]) -> dict[str, list[dict]]:
+    """How every safety ratio of every tier does by the true scores and costs; one pass for all of them.
+
+    held: score_, cost_ (predicted), true_score_ and true_cost_ of each model.
+    """
+    sums = {"true_score": [F.col(f"true_score_{m}") for m in models], "true_cost": [F.col(f"true_cost_{m}") for m in models]}
+    (n, true_light, *of_light) = (*routing.total(held, F.lit(1), F.col(f"true_cost_{models[models.index(policy.light)]}"), *[s[0] for s in sums.values()]),)
+    budgets = {f"{t}|{i}": (float(policy.tiers[t][0]), s) for t, ratios in wanted.items() for i, s in enumerate(ratios)}
+    light, found = routing.penalties(held, models, budgets, sums)
+    out: dict[str, list[dict]] = {}
+    for tier, ratios in wanted.items():
+        for i, s in enumerate(ratios):
+            r = found.get(f"{tier}|{i}", {"cost": light, "true_score": of_light[0], "true_cost": of_light[1]})
+            with localcontext(prec=curve.DIGITS):
+                passed = r["true_cost"] <= true_light * Decimal(policy.tiers[tier][0])
+            out.setdefault(tier, []).append({
+                "safety": s, "predicted_ratio": float(r["cost"] / light) if light else 1.0, "ratio": ratio(r["true_cost"], true_light), "passed": passed, "score": ratio(r["true_score"], n) if passed else Decimal(0),
+            })
+    return out
+
+
+def best(found: list[dict]) -> dict | None:
+    """The candidate with the best score, then the lower ratio, then the lower safety; the first on ties."""
+    return max(found, key=lambda c: (c["score"], -c["ratio"], -c["safety"]), default=None)
+
+
+def chosen_safety(held: DataFrame, models: list[str], policy: scoring.Policy, size: int, only_passing: bool = False) -> dict[str, dict]:
+    """The best safety ratio of each tier over the whole grid; with ``only_passing`` a tier without a passing one is an error."""
+    grids = {t: learn.safety_candidates(float(m), size) for t, (m, _) in policy.tiers.items()}
+    found = {t: best([c for c in cs if c["passed"] or not only_passing]) for t, cs in candidates(held, models, policy, grids).items()}
+    if missing := [t for t, c in found.items() if c is None]:
+        raise RuntimeError(f"no safety ratio keeps the budget of {missing}")
+    return found
+
+
+def validated_safety(held: DataFrame, models: list[str], policy: scoring.Policy, initial: dict[str, float], size: int) -> dict[str, dict]:
+    """For each tier the largest passing ratio among the initial one and those of the grid below it."""
+    wanted = {t: sorted({initial[t], *(s for s in learn.safety_candidates(float(m), size) if s <= initial[t])}, reverse=True) for t, (m, _) in policy.tiers.items()}
+    out = {}
+    for tier, cs in candidates(held, models, policy, wanted).items():
+        out[tier] = next((c for c in cs if c["passed"]), None)
+        if out[tier] is None:
+            raise RuntimeError(f"no safety ratio keeps the budget of {tier}")
+    return out
+
+
+def targets(outcomes: DataFrame, policy: scoring.Policy) -> DataFrame:
+    """Scores and costs of each episode side by side, for the models in their order; an episode without all of them is an error."""
+    models = list(policy.models)
+    paid = scoring.costed(outcomes, scoring.rates(outcomes.sparkSession, policy))
+    return paid.groupBy("episode_id").pivot("model_id", models).agg(F.first(F.col("score").cast("double")).alias("s"), F.first(F.col("cost_nano").cast("double")).alias("c"))
+
+
+def report_of(found: dict[str, dict]) -> dict:
+    return {t: {k: str(v) if isinstance(v, Decimal) else v for k, v in c.items()} for t, c in found.items()}
+
+
 def train(
-    episodes: DataFrame, outcomes: DataFrame, policy_sha256: str, bins: int = 256, folds: int = 5, alphas: tuple[float, ...] = learn.ALPHAS, grid: tuple[float, int] = (0.8, 5), policy: scoring.Policy = scoring.PUBLIC
-) -> Router:
+    episodes: DataFrame, outcomes: DataFrame, policy_sha256: str, bins: int = 256, folds: int = 5, alphas: tuple[float, ...] = learn.ALPHAS, grid_size: int = 121, policy: scoring.Policy = scoring.PUBLIC,
+    validation: tuple[DataFrame | None, DataFrame | None] = (None, None),
+) -> Router:
     """Fits the heads; the penalty by out-of-fold error, each tier's safety ratio by the true score of out-of-fold choices.
 
-    episodes: (episode_id, pos, text); outcomes: (episode_id, model_id, score, input_tokens, output_tokens, ...).
+    The ratios are then checked with the fitted heads, and, given validation episodes and outcomes,
+    set anew on these.  episodes: (episode_id, pos, text); outcomes: (episode_id, model_id, score,
+    input_tokens, output_tokens, ...).
     """
-    models = tuple(policy.models)
-    spark, m = episodes.sparkSession, len(models)
-    paid = scoring.costed(outcomes, scoring.rates(spark, policy))
-    wide = paid.groupBy("episode_id").pivot("model_id", list(models)).agg(F.first(F.col("score").cast("double")).alias("s"), F.first(F.col("cost_nano").cast("double")).alias("c"))
-    targets = F.array(*[F.col(f"{x}_s") for x in models], *[F.ln(F.greatest(F.col(f"{x}_c"), F.lit(1.0))) for x in models])
-    vectors = learn.feature_vectors(episodes, bins).join(episodes.select("episode_id", F.pmod("pos", F.lit(folds)).alias("fold")), "episode_id")
-    rows = vectors.join(wide, "episode_id").withColumn("targets", targets).persist()
+    models, m = list(policy.models), len(policy.models)
+    learn.check_bins(bins)
+    folds = learn.checked_arguments(episodes.count(), folds, alphas, grid_size, validation)
+    spark = episodes.sparkSession
+    checks.require(checks.matrix_gaps(episodes, spark.createDataFrame([(x,) for x in models], "model_id string"), outcomes), "the outcome matrix is complete")
     n = learn.DENSE_FEATURES + bins
+
+    def rows_of(episodes: DataFrame, outcomes: DataFrame) -> DataFrame:
+        columns = F.array(*[F.col(f"{x}_s") for x in models], *[F.ln(F.greatest(F.col(f"{x}_c"), F.lit(1.0))) for x in models])
+        vectors = learn.feature_vectors(episodes, bins).join(episodes.select("episode_id", F.pmod("pos", F.lit(folds)).alias("fold")), "episode_id")
+        return written(vectors.join(targets(outcomes, policy), "episode_id").withColumn("targets", columns), "rows")
+
+    def with_truth(rows: DataFrame, heads: dict[int, tuple]) -> DataFrame:
+        truth = rows.select("episode_id", *[F.col(f"{x}_s").alias(f"true_score_{x}") for x in models], *[F.col(f"{x}_c").alias(f"true_cost_{x}") for x in models])
+        return written(predictions(rows, heads, tuple(models)).join(truth, "episode_id"), "predicted")
+
+    rows = rows_of(episodes, outcomes)
     moments = learn.moments(rows, n, 2 * m, folds)
     total = sum(x for _, x in moments)
-    if total[0, 0] < 2:
-        raise ValueError("training needs two episodes or more")
     alpha, objective = learn.selected_alpha(moments, n, m, alphas)
     heads = {f: learn.ridge(total - x, n, alpha) for f, (k, x) in enumerate(moments) if k and total[0, 0] > k}
-    truth = rows.select("episode_id", *[F.col(f"{x}_s").alias(f"true_score_{x}") for x in models], *[F.col(f"{x}_c").alias(f"true_cost_{x}") for x in models])
-    held = predictions(rows, heads, models).join(truth, "episode_id").persist()
-    safety, report = {}, {}
-    for tier, (multiplier, _) in policy.tiers.items():
-        best = None
-        for ratio in learn.safety_grid(*grid):
-            routed = routing.lagrangian_route(held, list(models), float(multiplier), ratio, rounds=3)
-
-            def of(kind: str) -> object:
-                return F.coalesce(*[F.when(F.col("model_id") == x, F.col(f"{kind}_{x}")) for x in models])
-
-            score, cost, light = routed.agg(F.avg(of("true_score")), F.sum(of("true_cost")), F.sum(f"true_cost_{models[0]}")).first()
-            used = cost / light
-            rank = (score if used <= float(multiplier) else 0.0, -used, -ratio)
-            if best is None or rank > best[0]:
-                best = (rank, ratio)
-        safety[tier], report[tier] = best[1], {"score": best[0][0], "ratio": -best[0][1]}
-    mean, scale, coef, intercept = learn.ridge(total, n, alpha)
-    summary = {"rows": int(total[0, 0]), "alpha": alpha, "objective": objective[alpha], "tiers": report}
-    return Router(bins, models, mean, scale, coef, intercept, safety, policy_sha256, json.loads(json.dumps(summary)))
+    out_of_fold = chosen_safety(with_truth(rows, heads), models, policy, grid_size)
+    mean, scale, coef, intercept = learn.fitted(rows, total, n, alpha)
+    fitted = dict.fromkeys(range(folds), (mean, scale, coef, intercept))
+    checked = validated_safety(with_truth(rows, fitted), models, policy, {t: c["safety"] for t, c in out_of_fold.items()}, grid_size)
+    summary = {"rows": int(total[0, 0]), "folds": folds, "alpha": alpha, "objectives": {f"{a:.12g}": o for a, o in objective.items()}, "out_of_fold": report_of(out_of_fold), "fitted": report_of(checked)}
+    if validation[0] is not None:
+        checked = chosen_safety(with_truth(rows_of(*validation), fitted), models, policy, grid_size, only_passing=True)
+        summary["validation"] = report_of(checked)
+    safety = {t: c["safety"] for t, c in checked.items()}
+    return Router(bins, tuple(models), mean, scale, coef, intercept, safety, policy_sha256, json.loads(json.dumps(summary)))
+
+
+def self_check(router: Router, episodes: DataFrame, outcomes: DataFrame, header: dict, policy: scoring.Policy = scoring.PUBLIC) -> DataFrame:
+    """The report of a router on episodes with known outcomes; the router's policy digest must be the policy's."""
+    if router.policy_sha256 != report.policy_sha256(policy):
+        raise ValueError("the router was trained for another policy")
+    decisions = written(learned_route(episodes, router, policy), "decisions")
+    report.guarded(episodes, outcomes, decisions, policy)
+    return report.tier_reports(decisions, outcomes, header, policy)

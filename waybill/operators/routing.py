@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from decimal import Decimal
+from decimal import Decimal, localcontext
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waybill.functions.text import complexity, priority, with_features
+from waybill.sources.shared import written
 
+from . import curve
 from .scoring import PUBLIC, Policy
 
 # Least complexity for an upgrade by tier; least priority by tier; safety ratios.
@@ -65,6 +64,7 @@ def budget_route(episodes: DataFrame, target: str = "middle", policy: Policy = P
     caps = [(t, int(Decimal(m) * Decimal(BUDGET_SAFETY) * 10**6), LEAST_PRIORITY[t]) for t, (m, _) in policy.tiers.items()]
     tiers = spark.createDataFrame(caps, "tier string, cap_e6 bigint, least int")
     held = with_features(episodes).withColumn("priority", priority()).select("episode_id", "priority", F.greatest(F.lit(1), F.col("n_chars")).cast("bigint").alias("weight"))
+    held = written(held, "priorities")
     groups = held.groupBy("priority").agg(F.sum("weight").alias("weight"))
     all_groups = groups.agg(F.sum("weight").cast("decimal(30,0)").alias("total"), F.sort_array(F.collect_list(F.struct("priority", "weight")), asc=False).alias("groups"))
 
@@ -101,91 +101,52 @@ def _cost_of(models: list[str], choice: Column) -> Column:
     return F.coalesce(*[F.when(choice == m, F.col(f"cost_{m}")) for m in models])
 
 
-def _picks(scores: np.ndarray, costs: np.ndarray, now: np.ndarray | None, penalty: float, light: float) -> np.ndarray:
-    """Chosen model numbers of rows under one penalty; with ``now`` only rows at model 0 may move, and to model 1 only."""
-    value = scores - penalty * costs / light
-    if now is None:
-        return np.argmax(value, 1)
-    gain, more = scores[:, 1] - scores[:, 0], costs[:, 1] - costs[:, 0]
-    return np.where((now == 0) & (gain - penalty * more / light > 0), 1, now)
-
-
-def _totals(predictions: DataFrame, models: list[str], fill: bool, light: float, penalties: list[float]) -> np.ndarray:
-    """Cost of the batch under each penalty; one pass, one row of sums from each task."""
-    m = len(models)
-    columns = [F.col(f"score_{x}").cast("double") for x in models] + [F.col(f"cost_{x}").cast("double") for x in models]
-    now = F.coalesce(*[F.when(F.col("model_id") == x, F.lit(i)) for i, x in enumerate(models)]) if fill else F.lit(0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(penalties))
-        for batch in batches:
-            x = np.stack([batch.column(i).to_numpy() for i in range(2 * m)], 1)
-            current = batch.column(2 * m).to_numpy() if fill else None
-            rows = np.arange(len(x))
-            for i, p in enumerate(penalties):
-                total[i] += x[rows, m + _picks(x[:, :m], x[:, m:], current, p, light)].sum()
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["totals"])
-
-    plain = predictions.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)], now.cast("int").alias("now"))
-    sums = plain.mapInArrow(run, "totals array<double>").select(F.posexplode("totals").alias("i", "t")).groupBy("i").agg(F.sum("t").alias("t"))
-    out = np.zeros(len(penalties))
-    for r in sums.collect():
-        out[r["i"]] = r["t"]
-    return out
-
-
-def _least_penalty(predictions: DataFrame, models: list[str], fill: bool, light: float, cap: float, rounds: int, grid: int = 64) -> float | None:
-    """The least penalty whose choice fits the cap; each round is one pass over a grid of penalties, about nine reach the last bits."""
-    ladder = [0.0] + [2.0**k for k in range(61)]
-    fits = _totals(predictions, models, fill, light, ladder) <= cap
-    if not fits.any():
-        return None
-    at = int(np.argmax(fits))
-    if at == 0:
-        return 0.0
-    low, high = ladder[at - 1], ladder[at]
-    for _ in range(rounds):
-        middle = [x for x in np.linspace(low, high, grid + 2)[1:-1].tolist() if low < x < high]
-        if not middle:
-            break
-        fits = _totals(predictions, models, fill, light, middle) <= cap
-        at = int(np.argmax(fits)) if fits.any() else len(middle)
-        low, high = (middle[at - 1] if at else low), (middle[at] if at < len(middle) else high)
-    return high
-
-
-def lagrangian_route(predictions: DataFrame, models: list[str], multiplier: float, safety: float, rounds: int = 12) -> DataFrame:
+def total(predictions: DataFrame, *columns: Column) -> list[Decimal]:
+    """Sums that do not depend on the order of the rows; 0 for an empty batch."""
+    row = predictions.agg(*[F.sum(curve.exact(c)).cast(curve.SUM) for c in columns]).first()
+    return [x if x is not None else Decimal(0) for x in row]
+
+
+def cap_of(light: Decimal, multiplier: float, safety: float) -> Decimal:
+    with localcontext(prec=curve.DIGITS):
+        return light * max(Decimal(1), Decimal(repr(float(multiplier))) * Decimal(repr(float(safety))))
+
+
+def penalties(predictions: DataFrame, models: list[str], budgets: dict[str, tuple[float, float]], sums: dict[str, list[Column]] | None = None) -> tuple[Decimal, dict[str, dict]]:
+    """The light total, and for each budget (multiplier, safety) the least penalty ``at`` that fits, with the batch's sums under it."""
+    (light,) = total(predictions, F.col(f"cost_{models[0]}"))
+    if not light:
+        return light, {}
+    values = {"cost": [F.col(f"cost_{m}") for m in models], **(sums or {})}
+    steps = curve.Curve(curve.chosen_steps(predictions, models, float(light), values), list(values))
+    return light, steps.first_fitting({k: cap_of(light, m, s) for k, (m, s) in budgets.items()})
+
+
+def lagrangian_route(predictions: DataFrame, models: list[str], multiplier: float, safety: float) -> DataFrame:
     """One model per row of score_<model> and cost_<model>, best score less penalised cost, within a budget of the batch.
 
-    Adds model_id; the penalty is the least that fits, all rows take the first model if none does.
+    Adds model_id; costs grow from model to model.  The penalty is the least that fits; all rows take
+    the first model if none does.
     """
-    predictions = predictions.persist()
-    light = predictions.agg(F.sum(f"cost_{models[0]}")).first()[0]
-    if not light:
-        return predictions.withColumn("model_id", F.lit(models[0]))
-    cap = light * max(1.0, multiplier * safety)
-    found = _least_penalty(predictions, models, False, light, cap, rounds)
-    return predictions.withColumn("model_id", F.lit(models[0]) if found is None else penalised(models, found, light))
+    light, found = penalties(predictions, models, {"b": (multiplier, safety)})
+    return predictions.withColumn("model_id", curve.choice(models, float(light), found["b"]["at"]) if found else F.lit(models[0]))
 
 
-def filled_route(routed: DataFrame, models: list[str], multiplier: float, safety: float = FILL_SAFETY, rounds: int = 12) -> DataFrame:
+def filled_route(routed: DataFrame, models: list[str], multiplier: float, safety: float = FILL_SAFETY) -> DataFrame:
     """Rows at the first model move to the second while the gain exceeds the penalised cost and the budget holds."""
     if not 0 < safety <= 1:
         raise ValueError("the safety ratio is not in (0, 1]")
-    routed = routed.persist()
     first, second = models[0], models[1]
-    light, now = routed.agg(F.sum(f"cost_{first}"), F.sum(_cost_of(models, F.col("model_id")))).first()
+    light, now = total(routed, F.col(f"cost_{first}"), _cost_of(models, F.col("model_id")))
     if not light:
         return routed
-    cap = max(now, light * max(1.0, multiplier * safety))
-
-    def choose(penalty: float) -> Column:
-        gain = F.col(f"score_{second}") - F.col(f"score_{first}")
-        more = F.col(f"cost_{second}") - F.col(f"cost_{first}")
-        return F.when((F.col("model_id") == first) & (gain - F.lit(penalty) * more / F.lit(light) > 0), second).otherwise(F.col("model_id"))
-
-    found = _least_penalty(routed, models, True, light, cap, rounds)
-    return routed if found is None else routed.withColumn("model_id", choose(found))
+    more = F.col(f"cost_{second}") - F.col(f"cost_{first}")
+    until = (F.col(f"score_{second}") - F.col(f"score_{first}")) * F.lit(float(light)) / more
+    movable = (F.col("model_id") == first) & (until > 0)
+    entries = F.array(F.struct(F.lit(0.0).alias("at"), curve.exact(more).alias("cost")), F.struct(until.alias("at"), curve.exact(-more).alias("cost")))
+    steps = routed.filter(movable).select(F.inline(entries)).unionByName(routed.sparkSession.createDataFrame([(0.0, now)], f"at double, cost {curve.SUM}"))
+    found = curve.Curve(steps, ["cost"]).first_fitting({"b": max(now, cap_of(light, multiplier, safety))})
+    return routed.withColumn("model_id", F.when(movable & (until > F.lit(found["b"]["at"])), second).otherwise(F.col("model_id")))
 
 
 def first_in_order(frame: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waybill.functions import exact, hashing, text
-from waybill.operators import audit, checks, learn, learned, materialise, routing, scoring, stats
+from waybill.operators import audit, checks, learn, learned, materialise, report, routing, scoring, stats
 from waybill.operators.order import ranked
 from waybill.sources.shared import spread
 
@@ -180,7 +180,7 @@ def base_plus_fetched(spark: SparkSession, d: str) -> DataFrame:
 
 
 def set_difference(spark: SparkSession, d: str) -> DataFrame:
-    a, b = table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
+    a, b = table(spark, d, "documents").select((F.col("doc_id") * 3).alias("k")), table(spark, d, "events").select((F.col("event_id") * 5).alias("k"))
     left, right = checks.missing(a, b, ["k"]), checks.missing(b, a, ["k"])
     return left.withColumn("side", F.lit("left")).unionByName(right.withColumn("side", F.lit("right")))
 
@@ -277,18 +277,19 @@ def attempt_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def term_bins(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("episode_id"), "text")
-    return learn.term_counts(e, 256).select("episode_id", F.col("bin").cast("bigint").alias("bin"), "value")
+    return learn.term_counts(episodes(spark, d), 256).select("episode_id", F.col("bin").cast("bigint").alias("bin"), "value")
 
 
 def token_lists(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "benchmark").select("item_id", text.tokens(F.col("text")).alias("t"))
-    return e.select("item_id", F.size("t").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("t", " "), 256).alias("sha256"))
+    e = episodes(spark, d).select("episode_id", text.tokens(F.col("text")).alias("t"))
+    return e.select("episode_id", F.size("t").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("t", " "), 256).alias("sha256"))
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("episode_id"), "text")
-    return learn.feature_vectors(e, 16)
+    """Feature vectors with 256 bins in millionths, as the hash of their numbers."""
+    held = learn.feature_vectors(episodes(spark, d), 256)
+    millionths = F.transform("features", lambda x: F.round(x * 1_000_000).cast("bigint"))
+    return held.select("episode_id", F.size("features").cast("bigint").alias("n_features"), F.sha2(F.array_join(F.transform(millionths, lambda x: x.cast("string")), ","), 256).alias("sha256"))
 
 
 def _fixed(column: Column) -> Column:
@@ -319,12 +320,21 @@ def penalised_choice(spark: SparkSession, d: str) -> DataFrame:
     return predictions(spark, d).select("doc_id", routing.penalised(list(MODELS), 64.0, 1024.0).alias("model_id"))
 
 
+def distinct_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions without ties between rows; costs are exact in binary."""
+    n = F.col("doc_id")
+    score = [((n * (37 + 11 * i) % 101 + 20 * i) / 160.0 + (n * 7919 + i * 104729) % 1048576 / 17179869184.0).alias(f"score_{m}") for i, m in enumerate(MODELS)]
+    cost = [((n % 13 + 8) * (1.0 + 1.25 * i) / 8.0).alias(f"cost_{m}") for i, m in enumerate(MODELS)]
+    truth = [((n * (31 + 6 * i) % 5) / 4.0).alias(f"true_score_{m}") for i, m in enumerate(MODELS)] + [((n % 11 + 8) * (1.0 + 1.25 * i) / 8.0).alias(f"true_cost_{m}") for i, m in enumerate(MODELS)]
+    return table(spark, d, "documents").select("doc_id", *score, *cost, *truth)
+
+
 def lagrangian_select(spark: SparkSession, d: str) -> DataFrame:
-    return routing.lagrangian_route(predictions(spark, d), list(MODELS), 2.0, 0.9).select("doc_id", "model_id")
+    return routing.lagrangian_route(distinct_predictions(spark, d), list(MODELS), 2.0, 0.9).select("doc_id", "model_id")
 
 
 def filled_select(spark: SparkSession, d: str) -> DataFrame:
-    routed = routing.lagrangian_route(predictions(spark, d), list(MODELS), 1.2, 0.9)
+    routed = routing.lagrangian_route(distinct_predictions(spark, d), list(MODELS), 1.2, 0.9)
     return routing.filled_route(routed, list(MODELS), 4.0).select("doc_id", "model_id")
 
 
@@ -350,25 +360,43 @@ def ridge_fit(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(t, float(intercept[t]), [float(c) for c in coef[:, t]]) for t in range(6)], "target bigint, intercept double, coefficients array<double>")
 
 
+def ridge_pair(spark: SparkSession, d: str) -> DataFrame:
+    """Out-of-fold objective of every penalty, and the heads it gives over all rows, for two features and two targets; in millionths."""
+    rows, _ = training_rows(spark, d)
+    rows = rows.select("fold", F.slice("features", 1, 2).alias("features"), F.array(F.get("targets", F.lit(0)), F.get("targets", F.lit(3))).alias("targets"))
+    folds = learn.moments(rows, 2, 2, 5)
+    _, objective = learn.selected_alpha(folds, 2, 1)
+    out = []
+    for alpha, value in objective.items():
+        _, _, coef, intercept = learn.ridge(sum(m for _, m in folds), 2, alpha)
+        out.append((alpha, *(round(float(x) * 1e6) for x in (value, intercept[0], coef[0, 0], coef[1, 0], coef[0, 1], coef[1, 1]))))
+    return spark.createDataFrame(out, "alpha double, objective bigint, intercept bigint, score_1 bigint, score_2 bigint, cost_1 bigint, cost_2 bigint")
+
+
+def safety_rows(spark: SparkSession, found: dict[str, dict]) -> DataFrame:
+    rows = [(t, round(c["safety"] * 1e9), int(c["score"].scaleb(12)), int(c["ratio"].scaleb(12)), c["passed"]) for t, c in found.items()]
+    return spark.createDataFrame(rows, "tier string, safety_e9 bigint, score_e12 bigint, ratio_e12 bigint, passed boolean")
+
+
 def safety_selection(spark: SparkSession, d: str) -> DataFrame:
-    """For each tier the safety ratio whose selection scores best within the budget, over a grid."""
-    p, models = predictions(spark, d).persist(), list(MODELS)
-    found = None
-    for tier, (multiplier, _) in scoring.PUBLIC.tiers.items():
-        for safety in learn.safety_grid(0.8, 3):
-            routed = routing.lagrangian_route(p, models, float(multiplier), safety)
-            cost = routing._cost_of(models, F.col("model_id"))
-            score = F.coalesce(*[F.when(F.col("model_id") == m, F.col(f"score_{m}")) for m in models])
-            row = routed.agg(F.lit(tier).alias("tier"), F.lit(safety).alias("safety"), F.round(F.avg(score) * 10**6).cast("bigint").alias("score_e12"), F.round(F.sum(cost) / F.sum(f"cost_{models[0]}") * 10**6).cast("bigint").alias("ratio_e12"))
-            row = row.withColumn("passed", F.col("ratio_e12") <= F.lit(int(float(multiplier) * 10**6)))
-            found = row if found is None else found.unionByName(row)
-    return learn.best_candidates(found)
+    """For each tier the safety ratio, of 121, whose selection scores best within the budget."""
+    return safety_rows(spark, learned.chosen_safety(distinct_predictions(spark, d), list(MODELS), scoring.PUBLIC, 121))
+
+
+def safety_validation(spark: SparkSession, d: str) -> DataFrame:
+    """For each tier the largest passing ratio up to 0.95."""
+    return safety_rows(spark, learned.validated_safety(distinct_predictions(spark, d), list(MODELS), scoring.PUBLIC, dict.fromkeys(TIERS, 0.95), 121))
+
+
+def safety_calibration(spark: SparkSession, d: str) -> DataFrame:
+    """For each tier the best of the passing ratios."""
+    return safety_rows(spark, learned.chosen_safety(distinct_predictions(spark, d), list(MODELS), scoring.PUBLIC, 121, only_passing=True))
 
 
 def learned_route(spark: SparkSession, d: str) -> DataFrame:
-    """Trained on the documents and their outcomes, then applied to them."""
+    """Trained on the documents and their outcomes with 256 bins and the whole grid, then applied to them."""
     e = episodes(spark, d)
-    router = learned.train(e, outcomes(spark, d), "0" * 64, bins=16, grid=(0.9, 2))
+    router = learned.train(e, outcomes(spark, d), report.policy_sha256())
     return learned.learned_route(e, learned.parsed(router.document(), tuple(scoring.PUBLIC.tiers))).groupBy("tier", "model_id").agg(F.count("*").alias("n"))
 
 
