@@ -121,7 +121,7 @@ def test_policy_arithmetic():
     with pytest.raises(ValueError):
         scoring.nano("0.0001", 10**6)
     assert routing.multipliers()["middle"] == Decimal("2.12725")
-    text = json.dumps({"policy_id": "p", "light_model_id": "a", "models": {"a": {"input_token_rate": "1", "output_token_rate": "4"}}, "tiers": {"fast": {"budget_multiplier": "1.25", "weight": "0.9"}}})
+    text = json.dumps({"schema_version": 1, "policy_id": "p", "cost_unit": "c", "context_limit_tokens": 9, "light_model_id": "a", "models": {"a": {"input_token_rate": "1", "output_token_rate": "4"}}, "tiers": {"fast": {"budget_multiplier": "1.25", "weight": "0.9"}}})
     with pytest.raises(ValueError):
         documents.policy(text)
     assert documents.policy(text.replace('"0.9"', '"1"')).models["a"].fixed == "0"
@@ -129,6 +129,10 @@ def test_policy_arithmetic():
     for bad in ('{"a":1,"a":2}', '{"a":NaN}'):
         with pytest.raises(ValueError):
             documents.loads(bad)
+    fine = scoring.Policy({"light": scoring.Rates("0.00000000001", "0.0001", "4")}, {"fast": ("1.25", "1")}, "light")
+    assert scoring.places() == 9 and scoring.places(fine) == 11 and scoring.nano("0.0001", 10**6, 11) == 10
+    with pytest.raises(ValueError):
+        scoring.places(scoring.Policy({"light": scoring.Rates("0", "0.0000000000001", "4")}, {"fast": ("1.25", "1")}, "light"))
 
 
 def test_budget_groups_skip_and_go_on(spark):

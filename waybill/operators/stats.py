@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waybill.functions.exact import timer_round
@@ -40,10 +40,10 @@ def ranking(totals: DataFrame, resolution: int) -> DataFrame:
 
 def rotated(candidates: DataFrame, turns: int) -> DataFrame:
     """The order of the candidates in every turn, each turn starting one later."""
-    w = Window.orderBy("submission_id")
-    held = candidates.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy()))
+    held = ranked(candidates, ["submission_id"], "_i")
+    n = max(held.count(), 1)
     held = held.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-    return held.withColumn("place", F.pmod(F.col("_i") - F.col("turn"), F.col("_n")).cast("bigint")).select("turn", "place", "submission_id")
+    return held.withColumn("place", F.pmod(F.col("_i") - F.col("turn"), F.lit(n)).cast("bigint")).select("turn", "place", "submission_id")
 
 
 def repetition_stats(runs: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries
-from .oracle import SQL  # noqa: F401
+from . import inputs, oracle, queries, records
 
 _NAMES = (
     "score_tiers score_final outcome_cost model_counts line_cost features rule_route constant_route messages_text messages_route message_roles priority_groups budget_route "
@@ -12,4 +11,5 @@ _NAMES = (
     "term_bins token_lists vectors linear_scores argmax_model penalised_choice lagrangian_select filled_select ridge_alpha ridge_fit ridge_pair safety_selection safety_validation safety_calibration learned_route hangul_markers"
 ).split()
 
-QUERIES = {name: getattr(queries, name) for name in _NAMES}
+QUERIES = {name: getattr(queries, name) for name in _NAMES} | inputs.QUERIES | records.QUERIES
+SQL = oracle.SQL | inputs.SQL | records.SQL

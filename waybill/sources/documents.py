@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from waybill.functions.exact import is_decimal
 from waybill.operators.checks import ROLES, key_sets
-from waybill.operators.scoring import Policy, Rates
+from waybill.operators.scoring import PUBLIC, Policy, Rates
 
 MESSAGE = "struct<role: string, content: string>"
 EPISODE = f"struct<episode_id: string, prompt: string, messages: array<{MESSAGE}>>"
@@ -25,11 +26,16 @@ OUTCOME = "struct<score: string, num_generations: bigint, input_tokens: bigint,
 OUTCOMES = f"struct<{HEADER}, episodes: array<struct<episode_id: string, models: map<string, {OUTCOME}>>>>"
 SUBMISSION = f"struct<{HEADER}, policy_id: string, tier: string, decisions: array<struct<episode_id: string, model_id: string>>>"
 
+# Keys of the documents, and the longest id.
 KEYS = {
     "input": ["schema_version", "challenge_id", "split", "episodes"],
     "outcomes": ["schema_version", "challenge_id", "split", "episodes"],
     "submission": ["schema_version", "challenge_id", "policy_id", "split", "tier", "decisions"],
+    "policy": ["schema_version", "policy_id", "cost_unit", "context_limit_tokens", "light_model_id", "models", "tiers"],
 }
+OUTCOME_KEYS = ["score", "num_generations", "input_tokens", "output_tokens"]
+LONGEST_ID = 128
+TOKEN_UNIT = 1_000_000
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
@@ -45,42 +51,68 @@ def _kind(v: Column, key: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
 
 
-def problems(docs: DataFrame, kind: str) -> DataFrame:
-    """(path, rule) for every broken rule of documents (path, text) of a kind, top level and episodes."""
-    v = F.try_parse_json("text")
-    held = docs.withColumn("v", v)
+def _array(v: Column, key: str) -> Column:
+    return F.try_variant_get(v, f"$.{key}", "array<variant>")
+
+
+def _is_text(v: Column, key: str, longest: int | None = None) -> Column:
+    size = F.length(_text(v, key))
+    return (_kind(v, key) == "STRING") & (size > 0) & (F.lit(True) if longest is None else size <= longest)
+
+
+def _is_integer(v: Column, key: str, least: int) -> Column:
+    return (_kind(v, key) == "BIGINT") & (F.try_variant_get(v, f"$.{key}", "bigint") >= least)
+
+
+def _exact_keys(v: Column, required: list[str], optional: tuple[str, ...] = ()) -> Column:
+    lacking, unknown = key_sets(F.json_object_keys(F.to_json(v)), required, optional)
+    return (F.size(lacking) == 0) & (F.size(unknown) == 0)
+
+
+def failed(rules: dict[str, Column]) -> Column:
+    """Names of the rules that don't hold; a null counts as broken."""
+    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
+
+
+def _element_rules(kind: str, e: Column, models: tuple[str, ...]) -> dict[str, Column]:
+    """Rules of one episode or decision."""
+    named = {"episode_id": _is_text(e, "episode_id", LONGEST_ID)}
+    if kind == "input":
+        keys, messages = F.json_object_keys(F.to_json(e)), _array(e, "messages")
+        message = F.forall(messages, lambda m: _exact_keys(m, ["role", "content"]) & F.try_variant_get(m, "$.role", "string").isin(*ROLES) & _is_text(m, "content"))
+        return {
+            "episode_keys": _exact_keys(e, ["episode_id"], ("prompt", "messages")), **named, "prompt_or_messages": F.array_contains(keys, "prompt") != F.array_contains(keys, "messages"),
+            "prompt": ~F.array_contains(keys, "prompt") | _is_text(e, "prompt"), "messages": ~F.array_contains(keys, "messages") | ((F.size(messages) > 0) & message),
+        }
+    if kind == "submission":
+        return {"decision_keys": _exact_keys(e, ["episode_id", "model_id"]), **named, "model_id": _text(e, "model_id").isin(*models)}
+    by_model = F.try_variant_get(e, "$.models", "map<string,variant>")
+    return {
+        "episode_keys": _exact_keys(e, ["episode_id", "models"]), **named, "models": F.array_sort(F.map_keys(by_model)) == F.array(*map(F.lit, sorted(models))),
+        "outcome_keys": F.forall(F.map_values(by_model), lambda o: _exact_keys(o, OUTCOME_KEYS)),
+        "score": F.forall(F.map_values(by_model), lambda o: (_kind(o, "score") == "STRING") & is_decimal(_text(o, "score")) & (_text(o, "score").try_cast("decimal(38,30)") <= 1)),
+        "counts": F.forall(F.map_values(by_model), lambda o: _is_integer(o, "num_generations", 1) & _is_integer(o, "input_tokens", 1) & _is_integer(o, "output_tokens", 0)),
+    }
+
+
+def problems(docs: DataFrame, kind: str, models: tuple[str, ...] = tuple(PUBLIC.models), tiers: tuple[str, ...] = tuple(PUBLIC.tiers)) -> DataFrame:
+    """(path, rule) for every broken rule of documents (path, text) of a kind, top level and elements; a rule is named once for each document."""
+    held = docs.withColumn("v", F.try_parse_json("text"))
     parsed = held.filter("v IS NOT NULL")
     bad = held.filter("v IS NULL").select("path", F.lit("json").alias("rule"))
+    v, array = F.col("v"), "decisions" if kind == "submission" else "episodes"
     missing, extra = key_sets(F.json_object_keys("text"), KEYS[kind])
-    array = "decisions" if kind == "submission" else "episodes"
     rules = {
-        "missing_keys": F.size(missing) == 0,
-        "unknown_keys": F.size(extra) == 0,
-        "schema_version": (_kind(F.col("v"), "schema_version") == "BIGINT") & (_text(F.col("v"), "schema_version") == "1"),
-        "challenge_id": (_kind(F.col("v"), "challenge_id") == "STRING") & (F.length(_text(F.col("v"), "challenge_id")) > 0),
-        "split": (_kind(F.col("v"), "split") == "STRING") & (F.length(_text(F.col("v"), "split")) > 0),
-        array: F.size(F.try_variant_get("v", f"$.{array}", "array<variant>")) > 0,
-    }
-    failed = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
-    out = bad.unionByName(parsed.select("path", F.explode(failed).alias("rule")))
-    if kind == "input":
-        each = parsed.select("path", F.explode(F.try_variant_get("v", "$.episodes", "array<variant>")).alias("e"))
-        keys = F.json_object_keys(F.to_json("e"))
-        lacking, unknown = key_sets(keys, ["episode_id"], ["prompt", "messages"])
-        messages = F.try_variant_get("e", "$.messages", "array<variant>")
-        rules = {
-            "episode_keys": (F.size(lacking) == 0) & (F.size(unknown) == 0),
-            "episode_id": (_kind(F.col("e"), "episode_id") == "STRING") & (F.length(_text(F.col("e"), "episode_id")) > 0),
-            "prompt_or_messages": F.array_contains(keys, "prompt") != F.array_contains(keys, "messages"),
-            "prompt": ~F.array_contains(keys, "prompt") | ((_kind(F.col("e"), "prompt") == "STRING") & (F.length(_text(F.col("e"), "prompt")) > 0)),
-            "messages": ~F.array_contains(keys, "messages")
-            | ((F.size(messages) > 0) & F.forall(messages, lambda m: F.try_variant_get(m, "$.role", "string").isin(*ROLES) & (F.length(F.try_variant_get(m, "$.content", "string")) > 0))),
-        }
-        failed = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
-        out = out.unionByName(each.select("path", F.explode(failed).alias("rule")))
-        twice = each.groupBy("path", _text(F.col("e"), "episode_id").alias("id")).count().filter("count > 1")
-        out = out.unionByName(twice.select("path", F.lit("repeated_episode").alias("rule")))
-    return out
+        "missing_keys": F.size(missing) == 0, "unknown_keys": F.size(extra) == 0, "schema_version": _is_integer(v, "schema_version", 1) & (_text(v, "schema_version") == "1"),
+        "challenge_id": _is_text(v, "challenge_id"), "split": _is_text(v, "split"), array: F.size(_array(v, array)) > 0,
+    }
+    if kind == "submission":
+        rules |= {"policy_id": _is_text(v, "policy_id"), "tier": _text(v, "tier").isin(*tiers)}
+    each = parsed.select("path", F.explode(_array(v, array)).alias("e"))
+    inner = each.select("path", F.explode(failed(_element_rules(kind, F.col("e"), models))).alias("rule"))
+    twice = each.groupBy("path", _text(F.col("e"), "episode_id").alias("id")).count().filter("count > 1 AND id IS NOT NULL")
+    out = bad.unionByName(parsed.select("path", F.explode(failed(rules)).alias("rule"))).unionByName(inner)
+    return out.unionByName(twice.select("path", F.lit("repeated_episode").alias("rule"))).distinct()
 
 
 def episodes(docs: DataFrame) -> DataFrame:
@@ -120,16 +152,54 @@ def loads(text: str) -> object:
     return json.loads(text, object_pairs_hook=_no_repeats, parse_float=Decimal, parse_constant=refuse)
 
 
+def _decimal(value: object, least: int | None = 0, most: int | None = None, zero: bool = True) -> bool:
+    if not isinstance(value, str) or not re.fullmatch(r"(0|[1-9][0-9]{0,39})(\.[0-9]{1,30})?", value) or len(value.replace(".", "")) > 40:
+        return False
+    x = Decimal(value)
+    return x >= least and (most is None or x <= most) and (zero or x != 0)
+
+
+def policy_problems(text: str, models: tuple[str, ...] = tuple(PUBLIC.models), tiers: tuple[str, ...] = tuple(PUBLIC.tiers), policy_id: str = PUBLIC.policy_id) -> list[str]:
+    """Broken rules of a policy document, a small one on the driver or in a task."""
+
+    def whole(x: object, least: int) -> bool:
+        return type(x) is int and x >= least
+
+    def named(x: object) -> bool:
+        return isinstance(x, str) and x != ""
+
+    def exact(x: object, required: set, optional: set = frozenset()) -> bool:
+        return isinstance(x, dict) and required <= set(x) <= required | optional
+
+    try:
+        d = loads(text)
+    except (ValueError, RecursionError):
+        return ["json"]
+    if not isinstance(d, dict):
+        return ["object"]
+    of_model, of_tier = d.get("models"), d.get("tiers")
+    model_keys = isinstance(of_model, dict) and set(of_model) == set(models)
+    tier_keys = isinstance(of_tier, dict) and set(of_tier) == set(tiers)
+    rates = model_keys and all(exact(r, {"input_token_rate", "output_token_rate"}, {"fixed_cost"}) and all(map(_decimal, r.values())) for r in of_model.values())
+    budgets = tier_keys and all(exact(t, {"budget_multiplier", "weight"}) and _decimal(t["budget_multiplier"], zero=False) and _decimal(t["weight"]) for t in of_tier.values())
+    rules = {
+        "missing_keys": set(KEYS["policy"]) <= set(d), "unknown_keys": set(d) <= {*KEYS["policy"], "token_unit", "budget_warning_ratio"}, "schema_version": whole(d.get("schema_version"), 1) and d["schema_version"] == 1,
+        "policy_id": d.get("policy_id") == policy_id, "cost_unit": named(d.get("cost_unit")), "token_unit": whole(d.get("token_unit", TOKEN_UNIT), 1) and d.get("token_unit", TOKEN_UNIT) == TOKEN_UNIT,
+        "context_limit_tokens": whole(d.get("context_limit_tokens"), 1), "models": model_keys, "rates": rates, "light_model_id": d.get("light_model_id") in models, "tiers": tier_keys, "budgets": budgets,
+        "weights": not budgets or sum(Decimal(t["weight"]) for t in of_tier.values()) == 1, "budget_warning_ratio": _decimal(d.get("budget_warning_ratio", "0.95"), most=1, zero=False),
+    }
+    return [name for name, ok in rules.items() if not ok]
+
+
 def policy(text: str) -> Policy:
-    """A policy document; weights must add up to exactly one."""
+    """A policy document; broken rules are errors, but for the names of models and tiers, which the document sets."""
     d = loads(text)
+    found = policy_problems(text, tuple(d.get("models", ())), tuple(d.get("tiers", ())), d.get("policy_id"))
+    if found:
+        raise ValueError(f"policy document: {found}")
     models = {m: Rates(r.get("fixed_cost", "0"), r["input_token_rate"], r["output_token_rate"]) for m, r in d["models"].items()}
     tiers = {t: (x["budget_multiplier"], x["weight"]) for t, x in d["tiers"].items()}
-    if sum(Decimal(w) for _, w in tiers.values()) != 1:
-        raise ValueError("the weights do not add up to 1")
-    if d["light_model_id"] not in models:
-        raise ValueError("the light model is unknown")
-    return Policy(models, tiers, d["light_model_id"], int(d.get("token_unit", 1_000_000)), d.get("budget_warning_ratio", "0.95"))
+    return Policy(models, tiers, d["light_model_id"], d.get("token_unit", TOKEN_UNIT), d.get("budget_warning_ratio", "0.95"), d["policy_id"], d["cost_unit"], d["context_limit_tokens"], d["schema_version"])
 
 
 def canonical(value: object) -> str:
@@ -146,11 +216,22 @@ def report(value: object) -> str:
     return json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n"
 
 
-def submission_rows(decisions: DataFrame, keys: list[str]) -> DataFrame:
-    """One JSON text for each submission, its decisions in the order of ``pos``."""
+def submission_rows(decisions: DataFrame, keys: list[str], header: dict | None = None) -> DataFrame:
+    """One JSON text for each submission: the header, the keys and the decisions in the order of ``pos``.
+
+    A submission is one document, so its decisions meet in one row; it must stay below 2 GB.
+    """
     rows = F.array_sort(F.collect_list(F.struct("pos", "episode_id", "model_id")))
     held = decisions.groupBy(*keys).agg(F.transform(rows, lambda r: F.struct(r["episode_id"].alias("episode_id"), r["model_id"].alias("model_id"))).alias("decisions"))
-    return held.select(*keys, F.to_json(F.struct("decisions")).alias("json"))
+    fields = [F.lit(v).alias(k) for k, v in (header or {}).items()] + ([F.col(k) for k in keys] if header else [])
+    return held.select(*keys, F.to_json(F.struct(*fields, "decisions")).alias("json"))
+
+
+def input_rows(episodes: DataFrame, keys: list[str], header: dict) -> DataFrame:
+    """One JSON text for each input: the header and the episodes (pos, episode_id, prompt or messages); null fields are left out."""
+    rows = F.array_sort(F.collect_list(F.struct("pos", "episode_id", "prompt", "messages")))
+    held = episodes.groupBy(*keys).agg(F.transform(rows, lambda r: F.struct(r["episode_id"].alias("episode_id"), r["prompt"].alias("prompt"), r["messages"].alias("messages"))).alias("episodes"))
+    return held.select(*keys, F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in header.items()], "episodes")).alias("json"))
 
 
 def flattened(tree: dict, above: str = "") -> dict[str, object]:

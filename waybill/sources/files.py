@@ -55,8 +55,8 @@ def with_urls(files: DataFrame, host: str, kind: str) -> DataFrame:
     return files.withColumn("url", F.coalesce("url", built))
 
 
-def verified(spark: SparkSession, folder: str, pinned: DataFrame) -> DataFrame:
-    """Pinned files (name, sha256) with ok, missing or hash_mismatch."""
-    files = spark.read.format("binaryFile").load(f"{folder}/*").select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("found"))
+def verified(spark: SparkSession, folder: str, pinned: DataFrame, depth: int = 1) -> DataFrame:
+    """Pinned files (name, sha256) with ok, missing or hash_mismatch; the name is that of the file, or with ``depth`` of a folder above it."""
+    files = spark.read.format("binaryFile").load(f"{folder}/*").select(F.element_at(F.split("path", "/"), -depth).alias("name"), F.sha2("content", 256).alias("found"))
     status = F.when(F.col("found").isNull(), "missing").when(F.col("found") != F.col("sha256"), "hash_mismatch").otherwise("ok")
     return pinned.join(files, "name", "left").select("name", "sha256", status.alias("status"))

@@ -5,16 +5,32 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path below the checkpoint folder of the cluster.
+
+    Without one, a local session takes a folder of this machine (as in tests); on a cluster that is an
+    error, since executors would scatter the table over their own disks.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            base = held.get()
+        elif spark.sparkContext.master.startswith("local"):
+            base = tempfile.mkdtemp(prefix="waybill-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{base.rstrip('/')}/waybill/{uuid.uuid4().hex}/{name}"
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """The rows, cut from their lineage by a Parquet table below ``spark.checkpoint.dir``."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="waybill-")
-    path = f"{base.rstrip('/')}/waybill/{uuid.uuid4().hex}/{name}"
+    """The rows, cut from their lineage by a Parquet table in the shared folder."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 SMALL_BYTES = 64 << 20
