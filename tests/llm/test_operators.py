@@ -205,6 +205,22 @@ def test_shards(docs, rows, empty):
     assert shards(empty).count() == 0
 
 
+def test_shards_of_repeated_rows_are_spread(spark):
+    """A third of all rows are equal in id and text; their bucket is split."""
+    from waybill.llm.op9_shard import bucketed, shards
+
+    rows = [(i, f"text {i} " + "x" * (i % 50), i) for i in range(4000)] + [(7, "hot " * 10, i) for i in range(2000)] + [(None, None, i) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, extra int").repartition(6)
+    keyed, counts = bucketed(docs, 17, 0.01)
+    assert counts.sum() == len(rows) and counts.max() < 1000 and keyed.count() == len(rows)
+    got = shards(docs, bucket_mb=0.01).collect()
+    assert Counter((r["doc_id"], r["extra"]) for r in got) == Counter((i, e) for i, _, e in rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1 and all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
 def test_packing(docs, rows, empty):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -2,40 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waybill.sources.shared import spread  # noqa: F401
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; without that setting (as in tests) one of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="waybill-")
-    return f"{base.rstrip('/')}/waybill/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """The rows, cut from their lineage by a Parquet table in the shared folder."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from waybill.sources.shared import spread, written  # noqa: F401
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate from file sizes; for the number of partitions only, never for results."""
+    """Catalyst's estimate from file sizes, or a count of the bytes where it has none; for the number of partitions only, never for results."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 56)
+    if size < 1 << 56:
+        return size
+    wide = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    return df.select(F.sum(sum(wide, F.lit(16 * len(df.columns))).cast("bigint"))).first()[0] or 0
 
 
-def parts(df: DataFrame, mb: float, least: int = 1, most: int = 1 << 20, inflate: float = 1.0) -> int:
-    """How many partitions of about ``mb`` MB the rows fill."""
+def parts(df: DataFrame, mb: float, least: int = 1, most: int = 1 << 24, inflate: float = 1.0) -> int:
+    """How many partitions of about ``mb`` MB the rows fill; above ``most`` of them (33 TB for partitions of 2 MB) they grow."""
     return int(min(most, max(least, -(-estimated_bytes(df) * inflate // (mb * 1e6)))))
 
 
