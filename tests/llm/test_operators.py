@@ -292,6 +292,20 @@ def test_language_model(docs, rows, empty):
     out = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
     assert scores(empty).count() == 0
+    for n in (1, 37):  # the layout of the input does not matter
+        again = scores(docs.repartition(n), states=3).collect()
+        a, b = (sorted((str(r["doc_id"]), r["n_tokens"], r["base_score"], r["score"]) for r in x) for x in (got, again))
+        assert all(x[:2] == y[:2] and abs(x[3] - y[3]) <= 1e-3 + 1e-4 * abs(x[3]) for x, y in zip(a, b, strict=True))
+
+
+def test_language_model_without_training_rows(spark):
+    from waybill.llm.op7_hmm import scores
+
+    out = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
+    got = scores(spark.createDataFrame([(i, "some words here") for i in out], "doc_id bigint, text string"), states=3).collect()
+    assert len(got) == len(out) and all(r["held_out"] and r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) and r["base_score"] == 0 for r in got)
+    blank = scores(spark.createDataFrame([(i, t) for i in range(30) for t in (None, "", " \n ")], "doc_id bigint, text string"), states=3).collect()
+    assert len(blank) == 90 and all(r["n_tokens"] == 1 and math.isfinite(r["score"]) for r in blank)
 
 
 def test_forward_recursion_is_exact():
@@ -317,8 +331,8 @@ def test_forward_recursion_is_exact():
             total += p
         assert abs(got[s] - math.log10(total)) < 1e-9
         at += size
-    first, moves, emit = expected(model, seq, np.array([0, 4]), np.array([4, 3]))
-    assert abs(first.sum() - 2) < 1e-4 and abs(moves.sum() - 5) < 1e-4 and abs(emit.sum() - 7) < 1e-4
+    first, moves, emit = expected(model, seq, np.array([0, 4]), np.array([4, 3]), np.array([True, False]))
+    assert abs(first.sum() - 1) < 1e-4 and abs(moves.sum() - 5) < 1e-4 and abs(emit.sum() - 7) < 1e-4
 
 
 def jaccard_classes(rows):
