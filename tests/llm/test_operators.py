@@ -424,6 +424,38 @@ def test_classes_with_repeated_ids_stay_apart(spark):
     assert len(kept) == 4 and {t[0] for _, t in kept} == set("abcd") and (1, texts[1]) in kept
 
 
+def test_forest_finds_what_brute_force_finds(spark):
+    """5,000 texts: families of versions that drift further and further, and strangers; every link at 0.8 or more."""
+    from waybill.llm.op10_jaccard import classes
+
+    r = random.Random(21)
+    words = [f"w{i}" for i in range(3000)]
+    texts: list[str] = []
+    while len(texts) < 5000:
+        w = r.choices(words, k=r.randint(12, 90))
+        texts.append(" ".join(w))
+        if r.random() < 0.3:
+            for _ in range(r.randint(1, 12)):
+                for j in r.sample(range(len(w)), r.choice([1, 1, 1, 2, 3])):
+                    w[j] = r.choice(words)
+                texts.append(" ".join(w))
+    texts = list(dict.fromkeys(texts))[:5000]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in map(str.split, texts)]
+    by = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            by[x].append(i)
+    pairs = {(a, b) for own in by.values() for a, b in itertools.combinations(own, 2)}
+    want = {(a, b) for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert len(want) > 500
+    got = {x["doc_id"]: x for x in classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    links = Counter(i for p in want for i in p)
+    found = sum(min(x["n_links"], links[i]) for i, x in got.items())
+    assert found >= 0.99 * 2 * len(want) and all(x["n_links"] <= links[i] for i, x in got.items())
+    together = sum(got[a]["class_id"] == got[b]["class_id"] for a, b in want)
+    assert together >= 0.99 * len(want)
+
+
 def test_forest_recall():
     from waybill.llm.op10_jaccard import DEPTH, RECALL, THRESHOLD, TREES, least_depth
 

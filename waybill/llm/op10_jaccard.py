@@ -6,8 +6,8 @@ expected recall at the threshold reaches the target.  At each depth the texts th
 compared with a pivot by their whole signatures: very close ones are settled with the pivot, close
 ones stay but are linked to it, so a group costs one comparison per text and pivot, and by the
 triangle inequality two texts over the threshold end in the same candidate component.  In a component
-all pairs of texts are verified exactly on their shingle sets, in blocks, so a large one is
-spread over many tasks.  Classes are the components of the verified links.
+all pairs of texts are verified exactly on their shingle sets, in blocks that grow with the root of its
+size, so a large one is spread over many tasks.  Classes are the components of the verified links.
 
 Texts of one to four words have one shingle, all their words; null or blank texts have none and stay
 alone, each distinct text in its class.  Repeated rows get a row each; an empty table gives no rows;
@@ -29,7 +29,8 @@ from .store import fresh, parts, spread, written
 
 SHINGLE, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 16, 6, 0.9999
 SETTLED, LINKED = 0.7, 0.2
-BLOCK = 320
+#: Texts of a component that are compared in one task at least; grows with the root of its size up to MOST_BLOCK.
+BLOCK, MOST_BLOCK, COLUMNS = 320, 2048, 2048
 _MULTIPLIERS = np.random.default_rng(20240301).integers(1, 1 << 62, TREES * DEPTH, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -174,8 +175,8 @@ def candidate_edges(matches: DataFrame, n_buckets: int, least: int) -> DataFrame
     return dealt.groupBy("bucket").applyInArrow(run, "a bigint, b bigint")
 
 
-def linked_pairs(sets: list[np.ndarray], left: int, threshold: float) -> np.ndarray:
-    """Which of the sets [0, left) and [left, ...) are similar; with left 0, which of all are."""
+def common_counts(sets: list[np.ndarray], left: int) -> np.ndarray:
+    """Size of the intersection of the sets [0, left) with those from left on; with left 0, of all with all."""
     n, size = len(sets), np.array([len(s) for s in sets])
     flat, own = np.concatenate(sets), np.repeat(np.arange(n), size)
     order = np.argsort(flat, kind="stable")
@@ -186,30 +187,37 @@ def linked_pairs(sets: list[np.ndarray], left: int, threshold: float) -> np.ndar
     _, column = np.unique(column[shared], return_inverse=True)
     own = own[shared]
     inter = np.zeros((left or n, n - left), np.float32)
-    cuts = np.searchsorted(column, np.arange(0, int(column[-1]) + 1 if len(column) else 1, 4096))
+    cuts = np.searchsorted(column, np.arange(0, int(column[-1]) + 1 if len(column) else 1, COLUMNS))
     for a, b in zip(cuts, [*cuts[1:], len(column)], strict=True):
-        block = np.zeros((n, 4096), np.float32)
-        block[own[a:b], column[a:b] % 4096] = 1
+        block = np.zeros((n, COLUMNS), np.float32)
+        block[own[a:b], column[a:b] % COLUMNS] = 1
         inter += block[: left or n] @ block[left:].T
-    both = size[: left or n, None] + size[None, left:] - inter
-    return (inter >= threshold * both - 1e-6) & (both > 0)
+    return inter
 
 
-def labels_of(links: np.ndarray) -> np.ndarray:
-    """The least member of the component of each row of a symmetric matrix."""
-    label = np.arange(len(links))
-    while True:
-        near = np.where(links, label[None, :], len(links)).min(1)
-        new = np.minimum(label, near)
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            return label
-        label = new
+def linked(sets: list[np.ndarray], left: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Number of links of each set and the least member of its component; links are between the sets before and from left on, or among all."""
+    n, size = len(sets), np.array([len(s) for s in sets])
+    inter, links, label = common_counts(sets, left), np.zeros(n, np.int64), np.arange(n)
+    for low in range(0, len(inter), 256):
+        part = inter[low : low + 256]
+        either = size[low : low + len(part), None] + size[None, left:] - part
+        near = (part >= threshold * either - 1e-6) & (either > 0)
+        if not left:
+            near[np.arange(len(part)), low + np.arange(len(part))] = False
+        a, b = np.nonzero(near)
+        if not len(a):
+            continue
+        links += np.bincount(a + low, minlength=n) + (np.bincount(b + left, minlength=n) if left else 0)
+        pairs = np.unique(label[a + low] * n + label[b + left])
+        label = least_labels(n, np.stack([pairs // n, pairs % n], 1))[label]
+    return links, label
 
 
 def verified(members: DataFrame, docs: DataFrame, n_tasks: int, threshold: float) -> DataFrame:
     """(tid, links, label) for each text and block pair of its component; members: (tid, doc, comp, size)."""
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    block = F.least(F.lit(float(MOST_BLOCK)), F.greatest(F.lit(float(BLOCK)), F.sqrt("size") * BLOCK / 20))
+    n_blocks = F.ceil(F.col("size") / block).cast("int")
     placed = members.withColumn("n", n_blocks).withColumn("own", F.pmod(F.xxhash64("tid", F.lit(5)), F.col("n")).cast("int"))
     texts = docs.join(placed, ["tid", "doc"]).select("tid", "comp", "n", "own", "text").dropDuplicates(["tid"])
     pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
@@ -230,17 +238,9 @@ def verified(members: DataFrame, docs: DataFrame, n_tasks: int, threshold: float
             left = int((own[rows] == first).sum()) if j[rows[0]] != first else 0
             if left == len(rows) and j[rows[0]] != first:
                 continue
-            links = linked_pairs(sets, left, threshold)
-            if left:
-                n = len(rows)
-                square = np.zeros((n, n), bool)
-                square[:left, left:], square[left:, :left] = links, links.T
-                links = square
-            else:
-                np.fill_diagonal(links, False)
-            some = links.any(1)
-            label = labels_of(links)
-            out.append((tid[rows][some], links.sum(1)[some], tid[rows][label[some]]))
+            links, label = linked(sets, left, threshold)
+            some = links > 0
+            out.append((tid[rows][some], links[some], tid[rows][label[some]]))
         columns = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
         return pa.table(dict(zip(("tid", "links", "label"), columns, strict=True)))
 
