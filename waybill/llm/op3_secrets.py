@@ -25,6 +25,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 #: Runs of the base patterns that are long enough; the same matches as the open patterns, filtered.
 ACCESS, HEX = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"
 LEAST = 20
+#: Matches whose positions are added up at a time.
+BLOCK = 128
 TOKEN = f"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 #: Parts of ordinary identifiers for the labelled sample.
 PARTS = (
@@ -118,7 +120,16 @@ def spans(text: Column, pattern: str, kind: int, keep: tuple[int, int] | None =
         span = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), *[x["match"].alias("word")] * words))
         return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    some = F.aggregate(parts, start, step, lambda acc: acc["out"])
+    # blocks of matches keep the cost of growing arrays from rising with the square of their number
+    n_blocks = F.ceil(F.size(found) / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(1), n_blocks), lambda i: F.slice(parts, (i - 1) * BLOCK + 1, F.lit(BLOCK)))
+    outer = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<struct<start:int,kind:int,end:int{',word:string' * words}>>>").alias("out"))
+
+    def block_step(acc: Column, block: Column) -> Column:
+        inner = F.struct(acc["at"].alias("at"), start["out"].alias("out"))
+        return F.aggregate(block, inner, step, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    some = F.aggregate(blocks, outer, block_step, lambda acc: F.flatten(acc["out"]))
     return F.when(text.rlike(pattern), some).otherwise(start["out"])
 
 
