@@ -132,8 +132,8 @@ def test_substring_bytes(docs, rows, empty):
                 gone[j : j + k] = [True] * k
         spans = sum(g and not (j and gone[j - 1]) for j, g in enumerate(gone))
         want[i, len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone) if not g))] += 1
-    for hot in (20_000, 4, 0):
-        assert as_rows(dedup_suffixes(docs, hot=hot), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    for hot, in_memory in ((20_000, 1 << 20), (20_000, 0), (4, 1 << 20), (0, 1 << 20)):  # in_memory 0: all columns in files
+        assert as_rows(dedup_suffixes(docs, hot=hot, in_memory=in_memory), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
     assert dedup_suffixes(empty).count() == 0
 
 

@@ -4,7 +4,7 @@ Byte windows (200) are dealt to buckets by minimiser (see ``repeats``); in a buc
 share a minimiser form collections.  A collection's Burrows-Wheeler transform and longest common
 prefixes grow by one symbol of every string each round: the suffixes that are one longer are ranked
 by the last-to-first mapping of the transform so far, and both columns are rewritten in one
-sequential pass (in files once they exceed ``in_memory`` bytes).  A suffix whose common prefix with a
+sequential pass (in files, a task's own scratch, once they exceed ``in_memory`` bytes).  A suffix whose common prefix with a
 neighbour reaches the window length starts a repeated window.
 
 Null or empty text has no bytes; texts shorter than a window lose nothing; rows equal in id and text
@@ -24,7 +24,8 @@ from .kernel import U64, gather, mix, powers, prefix, rough_hash
 from .repeats import HOT, Units, covered, flagged_runs, without_repeats
 
 WINDOW, GRAM = 200, 32
-COLLECTION = 96 << 10
+#: Bytes of a collection (more if one minimiser's strings need them), and above which its columns go to files.
+COLLECTION, IN_MEMORY = 96 << 10, 1 << 20
 
 
 class Column:
@@ -61,7 +62,7 @@ def range_min(lcp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
     return out
 
 
-def repeated_starts(buf: np.ndarray, offs: np.ndarray, window: int, in_memory: int = 64 << 20) -> np.ndarray:
+def repeated_starts(buf: np.ndarray, offs: np.ndarray, window: int, in_memory: int = IN_MEMORY) -> np.ndarray:
     """For every byte position of a collection, whether a string of ``window`` (below 255) bytes from there occurs twice."""
     n, size = len(offs) - 1, np.diff(offs)
     flags = np.zeros(len(buf), bool)
@@ -176,7 +177,7 @@ def narrowed(buf: np.ndarray, offs: np.ndarray, group: np.ndarray, window: int,
     return keep[long], low[long], high[long]
 
 
-def by_suffixes(window: int, gram: int, collection: int = COLLECTION):
+def by_suffixes(window: int, gram: int, collection: int = COLLECTION, in_memory: int = IN_MEMORY):
     """Resolver: one collection for the strings of some minimisers after another."""
 
     def resolve(buf: np.ndarray, offs: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,7 +190,7 @@ def by_suffixes(window: int, gram: int, collection: int = COLLECTION):
         while a < len(heads) - 1:
             b = max(a + 1, int(np.searchsorted(offs[heads], offs[heads[a]] + collection, "right")) - 1)
             x, y = heads[a], heads[b]
-            flags[offs[x] : offs[y]] = repeated_starts(buf[offs[x] : offs[y]], offs[x : y + 1] - offs[x], window)
+            flags[offs[x] : offs[y]] = repeated_starts(buf[offs[x] : offs[y]], offs[x : y + 1] - offs[x], window, in_memory)
             a = b
         own, a, b = flagged_runs(flags, np.repeat(np.arange(len(offs) - 1), size), offs[:-1], window)
         return string[own], a + shift[own], b + shift[own]
@@ -233,10 +234,10 @@ def remover(with_bytes: bool):
     return remove
 
 
-def dedup_suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_bytes: bool = False, hot: int = HOT) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_bytes: bool = False, hot: int = HOT, in_memory: int = IN_MEMORY) -> DataFrame:
     """n_bytes, n_removed, n_spans and the hash of the kept bytes (and, if asked, the bytes) for each row."""
     return without_repeats(
-        docs, lambda b, o: byte_units(b, o, gram), window, gram, by_suffixes(window, gram), count_bytes, remover(with_bytes),
+        docs, lambda b, o: byte_units(b, o, gram), window, gram, by_suffixes(window, gram, in_memory=in_memory), count_bytes, remover(with_bytes),
         NAMES[: 4 + with_bytes], SCHEMA + ", kept binary" * with_bytes, hot=hot,
     )
 
