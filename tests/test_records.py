@@ -283,6 +283,16 @@ def test_shared_folder_is_needed_on_a_cluster(spark):
         folder(session("spark://host:7077"), "x")
 
 
+def test_tables_are_cleared(spark, tmp_path, monkeypatch):
+    from waybill.sources import shared
+
+    monkeypatch.setattr(shared, "_made", [])
+    rows = shared.written(spark.range(5), "x")
+    assert rows.count() == 5 and shared.clear(spark) == 1 and shared.clear(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(rows.inputFiles()[0]).count()
+
+
 def test_steps_of_a_tied_batch(spark):
     """A hot penalty: all rows change their model at once."""
     same = spark.createDataFrame([(0.1, 0.9, 0.95, 1.0, 2.0, 4.0)] * 300, ", ".join(f"{k}_{m} double" for k in ("score", "cost") for m in MODELS))

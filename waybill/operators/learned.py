@@ -21,10 +21,11 @@ from . import checks, curve, learn, report, routing, scoring
 # The document's kind and versions, names of the dense features, hash scheme.
 HASH = "fnv1a64-signed-word-1-2"
 VERSION = 1
-DENSE = 14
+DENSE_NAMES = ("log_character_count", "log_word_count", "log_sentence_count", "log_message_count", "hangul_ratio", "log_code_marker_count", "log_math_marker_count", "numeric_density", "long_context", "log_reasoning_marker_count", "formal_reasoning", "program_analysis", "log_multi_constraint_count", "simple_transform")
+DENSE = len(DENSE_NAMES)
 KEYS = (
-    "artifact_type", "schema_version", "feature_version", "hash_algorithm", "hash_bins", "dense_features", "model_ids", "feature_mean", "feature_scale", "score_heads", "log_cost_heads", "tier_safety_ratios",
-    "policy_sha256", "training_summary",
+    "artifact_type", "schema_version", "feature_version", "hash_algorithm", "hash_bins", "dense_feature_names", "model_ids", "feature_mean", "feature_scale", "score_heads", "log_cost_heads", "tier_safety_ratios",
+    "policy_id", "policy_sha256", "training_summary",
 )
 KIND = "waybill-linear-router"
 
@@ -42,6 +43,7 @@ class Router:
     safety: dict[str, float]
     policy_sha256: str
     summary: dict
+    policy_id: str = scoring.PUBLIC.policy_id
 
     def document(self) -> dict:
         m = len(self.models)
@@ -50,10 +52,10 @@ class Router:
             return {"intercept": float(self.intercepts[k]), "coefficients": [float(c) for c in self.coefficients[:, k]]}
 
         return {
-            "artifact_type": KIND, "schema_version": VERSION, "feature_version": VERSION, "hash_algorithm": HASH, "hash_bins": self.bins, "dense_features": DENSE, "model_ids": list(self.models),
+            "artifact_type": KIND, "schema_version": VERSION, "feature_version": VERSION, "hash_algorithm": HASH, "hash_bins": self.bins, "dense_feature_names": list(DENSE_NAMES), "model_ids": list(self.models),
             "feature_mean": [float(x) for x in self.mean], "feature_scale": [float(x) for x in self.scale],
             "score_heads": {x: head(i) for i, x in enumerate(self.models)}, "log_cost_heads": {x: head(m + i) for i, x in enumerate(self.models)},
-            "tier_safety_ratios": dict(self.safety), "policy_sha256": self.policy_sha256, "training_summary": dict(self.summary),
+            "tier_safety_ratios": dict(self.safety), "policy_id": self.policy_id, "policy_sha256": self.policy_sha256, "training_summary": dict(self.summary),
         }
 
 
@@ -70,7 +72,8 @@ def parsed(document: dict, tiers: tuple[str, ...]) -> Router:
 
     need(isinstance(document, dict) and set(document) == set(KEYS), "keys")
     need(document["artifact_type"] == KIND and document["schema_version"] == VERSION and document["feature_version"] == VERSION, "versions")
-    need(type(document["schema_version"]) is int and document["hash_algorithm"] == HASH and document["dense_features"] == DENSE, "features")
+    need(type(document["schema_version"]) is int and document["hash_algorithm"] == HASH and document["dense_feature_names"] == list(DENSE_NAMES), "features")
+    need(isinstance(document["policy_id"], str) and document["policy_id"] != "", "policy_id")
     learn.check_bins(document["hash_bins"])
     n, models = DENSE + document["hash_bins"], tuple(document["model_ids"])
     mean, scale = vector(document["feature_mean"], n, "feature_mean"), vector(document["feature_scale"], n, "feature_scale")
@@ -86,7 +89,7 @@ def parsed(document: dict, tiers: tuple[str, ...]) -> Router:
     safety = document["tier_safety_ratios"]
     need(set(safety) == set(tiers) and all(0 < s <= 1 for s in safety.values()), "tier_safety_ratios")
     need(re.fullmatch("[0-9a-f]{64}", document["policy_sha256"]) is not None, "policy_sha256")
-    return Router(document["hash_bins"], models, mean, scale, np.stack(columns, 1), np.array(intercepts), dict(safety), document["policy_sha256"], dict(document["training_summary"]))
+    return Router(document["hash_bins"], models, mean, scale, np.stack(columns, 1), np.array(intercepts), dict(safety), document["policy_sha256"], dict(document["training_summary"]), document["policy_id"])
 
 
 def predictions(vectors: DataFrame, heads: dict[int, tuple], models: tuple[str, ...]) -> DataFrame:
@@ -236,12 +239,12 @@ def train(
         checked = chosen_safety(with_truth(rows_of(*validation), fitted), models, policy, grid_size, only_passing=True)
         summary["validation"] = report_of(checked)
     safety = {t: c["safety"] for t, c in checked.items()}
-    return Router(bins, tuple(models), mean, scale, coef, intercept, safety, policy_sha256, json.loads(json.dumps(summary)))
+    return Router(bins, tuple(models), mean, scale, coef, intercept, safety, policy_sha256, json.loads(json.dumps(summary)), policy.policy_id)
 
 
 def self_check(router: Router, episodes: DataFrame, outcomes: DataFrame, header: dict, policy: scoring.Policy = scoring.PUBLIC) -> DataFrame:
     """The report of a router on episodes with known outcomes; the router's policy digest must be the policy's."""
-    if router.policy_sha256 != report.policy_sha256(policy):
+    if (router.policy_id, router.policy_sha256) != (policy.policy_id, report.policy_sha256(policy)):
         raise ValueError("the router was trained for another policy")
     decisions = written(learned_route(episodes, router, policy), "decisions")
     report.guarded(episodes, outcomes, decisions, policy)

@@ -7,8 +7,9 @@ reported for is stated next to its template, so the SQL does not parse anything.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,9 +149,14 @@ CASES: dict[str, tuple[list[tuple[str, list[str]]], Callable[[DataFrame], DataFr
 
 
 def policy_rules(docs: DataFrame) -> DataFrame:
-    """(path, rule) of policy documents; they are small, so each is parsed by Python in a task."""
-    rules = F.udf(documents.policy_problems, "array<string>")
-    return docs.select("path", F.explode(rules("text")).alias("rule"))
+    """(path, rule) of policy documents; they are small, so tasks parse them in Python, a batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(path, rule) for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for rule in documents.policy_problems(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["path", "rule"])
+
+    return docs.select("path", "text").mapInArrow(run, "path string, rule string")
 
 
 def made(spark: SparkSession, d: str, templates: list[str]) -> DataFrame:

@@ -200,7 +200,7 @@ def _hmac(domain: str) -> str:
 
 
 def _score(k: int) -> str:
-    terms = f"list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * (((i - 1) * 7 + {k} * 3) % 11 - 5) / 16))"
+    terms = f"list_sum(list_transform(embedding, lambda x, i: (x::DOUBLE - ((i - 1) % 5) / 8) / (1 + ((i - 1) % 3) / 2) * (((i - 1) * 7 + {k} * 3) % 11 - 5) / 16))"
     return f"CAST(round(({0.1 * k} + {terms}) * 1000000) AS BIGINT)"
 
 

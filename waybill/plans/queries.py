@@ -300,7 +300,8 @@ def linear_scores(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     width = len(e.select("embedding").first()[0])
     heads = [(0.1 * k, [((i * 7 + k * 3) % 11 - 5) / 16 for i in range(width)]) for k in range(3)]
-    values = learn.linear_heads(F.col("embedding"), [0.0] * width, [1.0] * width, heads)
+    mean, scale = [i % 5 / 8 for i in range(width)], [1 + i % 3 / 2 for i in range(width)]
+    values = learn.linear_heads(F.col("embedding"), mean, scale, heads)
     return e.select("vec_id", *[_fixed(v).alias(f"score_{m}") for m, v in zip(MODELS, values, strict=True)])
 
 

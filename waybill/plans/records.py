@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.operators import audit, generate, records, report, stats
+from waybill.functions import exact
+from waybill.operators import audit, checks, generate, records, report, routing, stats
 from waybill.sources import candidates, documents
 
 from .inputs import HEADER
@@ -158,11 +159,67 @@ def generated_samples(spark: SparkSession, d: str) -> DataFrame:
     return generate.samples(spark, "easy", generate.demo_modules(), 900)
 
 
+def clamped_heads(spark: SparkSession, d: str) -> DataFrame:
+    """Scores clamped to [0, 1] in thousandths; logs of costs clamped to 50 and put in order, in millionths."""
+    n = F.col("doc_id")
+    held = table(spark, d, "documents").select("doc_id", *[((n * (7 + i) % 301 - 100) / 100.0).alias(f"s{i}") for i in range(3)], *[((n * (3 + 2 * i) % 161 - 80) / 1.0).alias(f"c{i}") for i in range(3)])
+    scores, costs = routing.clamped_scores([F.col(f"s{i}") for i in range(3)], [F.col(f"c{i}") for i in range(3)])
+    return held.select("doc_id", *[F.round(x * 1000).cast("bigint").alias(f"score_{i}") for i, x in enumerate(scores)], *[F.round(F.ln(x) * 1_000_000).cast("bigint").alias(f"cost_{i}") for i, x in enumerate(costs)])
+
+
+def decimal_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", exact.decimal_text(F.col("p_retailprice").cast("decimal(14,4)")).alias("text"))
+
+
+def model_multipliers(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(m, report.plain(str(x))) for m, x in routing.multipliers().items()], "model_id string, multiplier string")
+
+
+def tier_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Submissions by order status: two known tiers, one of them far too often, one missing, one unknown."""
+    orders = table(spark, d, "orders").select(F.when(F.col("o_orderkey") == 1, "fast").when(F.col("o_orderstatus") == "O", "balanced").otherwise("slow").alias("tier"))
+    return checks.tier_problems(orders, list(TIERS))
+
+
+_IMAGES = ["reg.io/a/b§", "localhost:5000/a§", "a/b__c-d.e§", "a:latest", "A/b§", "a//b§", "reg.io:x/a§", "sha256:" + "0" * 64, "a_§", "a..b§"]
+_GOOD_IMAGES = (0, 1, 2, 7)
+
+
+def bad_images(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("doc_id")
+    image = F.element_at(F.array(*[F.lit(i.replace("§", "@sha256:" + "0" * 64)) for i in _IMAGES]), (n % len(_IMAGES) + 1).cast("int"))
+    return checks.bad_images(table(spark, d, "documents").select("doc_id", image.alias("image")), "image").select("doc_id")
+
+
+_PATHS = ["a/b", "/a", "a/../b", "a//b", "./.", "..", "a/./b", ""]
+_SAFE_PATHS = (0, 3, 6)
+
+
+def unsafe_paths(spark: SparkSession, d: str) -> DataFrame:
+    path = F.element_at(F.array(*map(F.lit, _PATHS)), (F.col("doc_id") % len(_PATHS) + 1).cast("int"))
+    return checks.unsafe_paths(table(spark, d, "documents").select("doc_id", path.alias("path")), "path").select("doc_id")
+
+
+def nonzero_events(spark: SparkSession, d: str) -> DataFrame:
+    """Orders whose counters (line number by line) hold another number than zero; an order without lines counts too."""
+    n = F.col("l_linenumber")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", n).agg(F.max(F.when(F.col("l_quantity") > 45, 1).otherwise(0)).alias("event"))
+    counters = lines.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct(n, "event"))).alias("events"))
+    held = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")).join(counters, "l_orderkey", "left")
+    return checks.nonzero_events(held, "events").select("l_orderkey")
+
+
+def split_folds(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and mean text length of each of five folds by position."""
+    e = episodes(spark, d).select(F.pmod("pos", F.lit(5)).alias("fold"), F.length("text").alias("n"))
+    return e.groupBy("fold").agg(F.count("*").alias("n"), F.sum("n").alias("n_chars"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         policy_digest, score_report, score_final_report, one_tier_report, header_problems, latency_report, warm_up_order, attempt_records, execution_records, check_tails, check_report, repetition_summary, overall_maxima, invalid_results,
-        size_texts, bounded_logs, policy_limits, float_sums, generated_samples,
+        size_texts, bounded_logs, policy_limits, float_sums, generated_samples, clamped_heads, decimal_texts, model_multipliers, tier_problems, bad_images, unsafe_paths, nonzero_events, split_folds,
     )
 }
 
@@ -236,6 +293,19 @@ t AS (SELECT *, coalesce(printf('%.2f', n / 1048576) || ' MiB', 'not measured')
 SELECT p_partkey, plain, CASE WHEN n >= 1073741824 AND n % 1073741824 = 0 THEN printf('%.2f', n / 1073741824) || ' GiB' ELSE plain END AS "limit",
   CASE WHEN n % 1073741824 = 0 THEN n // 1073741824 || 'g' WHEN n % 1048576 = 0 THEN n // 1048576 || 'm' ELSE CAST(n AS VARCHAR) END AS container FROM t""",
     "policy_limits": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in documents.flattened({"models": _POLICY["models"], "tiers": _POLICY["tiers"]}).items()) + ") t(name, value)",
+    "clamped_heads": """
+WITH v AS (SELECT doc_id, [least(1, greatest(0, (doc_id * (7 + i) % 301 - 100) / 100)) for i in range(3)] AS s, [least(50, greatest(-50, doc_id * (3 + 2 * i) % 161 - 80))::DOUBLE for i in range(3)] AS c FROM documents)
+SELECT doc_id, round(s[1] * 1000)::BIGINT AS score_0, round(s[2] * 1000)::BIGINT AS score_1, round(s[3] * 1000)::BIGINT AS score_2, round(c[1] * 1e6)::BIGINT AS cost_0, round(greatest(c[1], c[2]) * 1e6)::BIGINT AS cost_1, round(greatest(c[1], c[2], c[3]) * 1e6)::BIGINT AS cost_2 FROM v""",
+    "decimal_texts": r"SELECT p_partkey, regexp_replace(CAST(p_retailprice AS DECIMAL(14,4))::VARCHAR, '\.?0+$', '') AS text FROM part",
+    "model_multipliers": "SELECT * FROM (VALUES ('light', '1'), ('middle', '2.12725'), ('think', '6.565')) t(model_id, multiplier)",
+    "tier_problems": """
+WITH t AS (SELECT CASE WHEN o_orderkey = 1 THEN 'fast' WHEN o_orderstatus = 'O' THEN 'balanced' ELSE 'slow' END AS tier FROM orders), c AS (SELECT tier, count(*) AS n FROM t GROUP BY 1)
+SELECT coalesce(k.tier, c.tier) AS tier, coalesce(n, 0) AS n FROM (VALUES ('fast'), ('balanced'), ('premium')) k(tier) FULL JOIN c USING (tier) WHERE k.tier IS NULL OR coalesce(n, 0) <> 1""",
+    "bad_images": f"SELECT doc_id FROM documents WHERE doc_id % {len(_IMAGES)} NOT IN {_GOOD_IMAGES}",
+    "unsafe_paths": f"SELECT doc_id FROM documents WHERE doc_id % {len(_PATHS)} NOT IN {_SAFE_PATHS}",
+    "nonzero_events": """
+SELECT o_orderkey AS l_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) OR o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""",
+    "split_folds": "SELECT doc_id % 5 AS fold, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY 1",
     "float_sums": """
 SELECT l_returnflag, (sum(CASE WHEN l_quantity % 2 = 0 THEN 1 ELSE -1 END * floor(l_extendedprice * 8)::HUGEINT * (2 ** (l_linenumber * 6))::HUGEINT)::DOUBLE / 1099511627776::DOUBLE) AS sum FROM lineitem GROUP BY 1""",
 }

@@ -23,7 +23,22 @@ def folder(spark: SparkSession, name: str) -> str:
             base = tempfile.mkdtemp(prefix="waybill-")
         else:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{base.rstrip('/')}/waybill/{uuid.uuid4().hex}/{name}"
+    made = f"{base.rstrip('/')}/waybill/{uuid.uuid4().hex}"
+    _made.append(made)
+    return f"{made}/{name}"
+
+
+_made: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables that this driver has written to the shared folder; for the end of a job, when no result is still to be read."""
+    paths, context = list(_made), spark.sparkContext
+    _made.clear()
+    for path in paths:
+        held = context._jvm.org.apache.hadoop.fs.Path(path)
+        held.getFileSystem(context._jsc.hadoopConfiguration()).delete(held, True)
+    return len(paths)
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
