@@ -710,7 +710,33 @@ def test_pipeline(spark, tmp_path):
         kept.append({x["doc_id"] for x in docs.collect()})
     assert kept == [{1, 2, 3, 5, 6}, {1, 5, 6}, {1, 6}, {1, 6}]
     assert "<SECRET>" in docs.filter("doc_id = 6").first()["text"]
-    assert {x["doc_id"] for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 6}
+    # the packed pieces are those of the texts that brute force would keep, with the secret replaced
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    text = {i: t for i, t, *_ in rows}
+    want = {1: text[1], 6: re.sub("password = hunter22", "<SECRET>", text[6])}
+    got = {x["doc_id"]: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 6}
+    for i, t in want.items():
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+        assert (got[i]["start"], got[i]["length"], got[i]["doc_tokens"]) == (0, len(ids), len(ids)) and got[i]["ids_crc32"] == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    bench = "item_id bigint, text string"
+    long = " ".join(f"word{i % 977}x{i}" for i in range(60_000))
+    cases = {"empty": ([], []), "nulls": ([(None, None, None, None, None)] * 3, [(None, None)]), "long": ([(1, long, "en", "a", 5), (1, long, "en", "a", 5), (None, long + " more", None, None, None)], [(1, "a b c")])}
+    for name, (rows, items) in cases.items():
+        d = tmp_path / name
+        spark.createDataFrame(rows, schema).write.parquet(str(d / "documents.parquet"))
+        spark.createDataFrame(items, bench).write.parquet(str(d / "benchmark.parquet"))
+        got = corpus_pipeline.run(spark, str(d)).collect()
+        assert (len({x["doc_id"] for x in got}), len({x["sequence_id"] for x in got}) > 100) == ((1, True) if name == "long" else (0, False))
 
 
 def test_catalog_names_every_operator():
