@@ -116,12 +116,13 @@ def predictions(vectors: DataFrame, heads: dict[int, tuple], models: tuple[str,
     return vectors.select("episode_id", F.col("fold").cast("int"), "features").mapInArrow(run, schema)
 
 
-def learned_route(episodes: DataFrame, router: Router, policy: scoring.Policy = scoring.PUBLIC) -> DataFrame:
+def learned_route(episodes: DataFrame, router: Router, policy: scoring.Policy = scoring.PUBLIC, vectors: DataFrame | None = None) -> DataFrame:
     """(episode_id, tier, model_id): Lagrangian selection for each tier; in the widest tier unused budget goes to the second model.
 
-    The penalties of all tiers come from one pass over the predictions.
+    The penalties of all tiers come from one pass over the predictions.  vectors: the feature vectors
+    of the episodes, if they are at hand.
     """
-    vectors = learn.feature_vectors(episodes, router.bins).withColumn("fold", F.lit(0))
+    vectors = (learn.feature_vectors(episodes, router.bins) if vectors is None else vectors).withColumn("fold", F.lit(0))
     models = list(router.models)
     held = written(predictions(vectors, {0: (router.mean, router.scale, router.coefficients, router.intercepts)}, router.models), "predictions")
     widest = max(policy.tiers, key=lambda t: float(policy.tiers[t][0]))
@@ -201,13 +202,13 @@ def report_of(found: dict[str, dict]) -> dict:
 
 def train(
     episodes: DataFrame, outcomes: DataFrame, policy_sha256: str, bins: int = 256, folds: int = 5, alphas: tuple[float, ...] = learn.ALPHAS, grid_size: int = 121, policy: scoring.Policy = scoring.PUBLIC,
-    validation: tuple[DataFrame | None, DataFrame | None] = (None, None),
+    validation: tuple[DataFrame | None, DataFrame | None] = (None, None), vectors: DataFrame | None = None,
 ) -> Router:
     """Fits the heads; the penalty by out-of-fold error, each tier's safety ratio by the true score of out-of-fold choices.
 
     The ratios are then checked with the fitted heads, and, given validation episodes and outcomes,
     set anew on these.  episodes: (episode_id, pos, text); outcomes: (episode_id, model_id, score,
-    input_tokens, output_tokens, ...).
+    input_tokens, output_tokens, ...); vectors: the feature vectors of the episodes, if they are at hand.
     """
     models, m = list(policy.models), len(policy.models)
     learn.check_bins(bins)
@@ -216,16 +217,17 @@ def train(
     checks.require(checks.matrix_gaps(episodes, spark.createDataFrame([(x,) for x in models], "model_id string"), outcomes), "the outcome matrix is complete")
     n = learn.DENSE_FEATURES + bins
 
-    def rows_of(episodes: DataFrame, outcomes: DataFrame) -> DataFrame:
+    def rows_of(episodes: DataFrame, outcomes: DataFrame, held: DataFrame | None = None) -> DataFrame:
         columns = F.array(*[F.col(f"{x}_s") for x in models], *[F.ln(F.greatest(F.col(f"{x}_c"), F.lit(1.0))) for x in models])
-        vectors = learn.feature_vectors(episodes, bins).join(episodes.select("episode_id", F.pmod("pos", F.lit(folds)).alias("fold")), "episode_id")
+        held = learn.feature_vectors(episodes, bins) if held is None else held
+        vectors = held.join(episodes.select("episode_id", F.pmod("pos", F.lit(folds)).alias("fold")), "episode_id")
         return written(vectors.join(targets(outcomes, policy), "episode_id").withColumn("targets", columns), "rows")
 
     def with_truth(rows: DataFrame, heads: dict[int, tuple]) -> DataFrame:
         truth = rows.select("episode_id", *[F.col(f"{x}_s").alias(f"true_score_{x}") for x in models], *[F.col(f"{x}_c").alias(f"true_cost_{x}") for x in models])
         return written(predictions(rows, heads, tuple(models)).join(truth, "episode_id"), "predicted")
 
-    rows = rows_of(episodes, outcomes)
+    rows = rows_of(episodes, outcomes, vectors)
     moments = learn.moments(rows, n, 2 * m, folds)
     total = sum(x for _, x in moments)
     alpha, objective = learn.selected_alpha(moments, n, m, alphas)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from waybill.functions import exact, hashing, text
 from waybill.operators import audit, checks, learn, learned, materialise, report, routing, scoring, stats
 from waybill.operators.order import ranked
-from waybill.sources.shared import spread
+from waybill.sources.shared import spread, written
 
 MODELS = ("light", "middle", "think")
 TIERS = ("fast", "balanced", "premium")
@@ -397,8 +397,9 @@ def safety_calibration(spark: SparkSession, d: str) -> DataFrame:
 def learned_route(spark: SparkSession, d: str) -> DataFrame:
     """Trained on the documents and their outcomes with 256 bins and the whole grid, then applied to them."""
     e = episodes(spark, d)
-    router = learned.train(e, outcomes(spark, d), report.policy_sha256())
-    return learned.learned_route(e, learned.parsed(router.document(), tuple(scoring.PUBLIC.tiers))).groupBy("tier", "model_id").agg(F.count("*").alias("n"))
+    vectors = written(learn.feature_vectors(e, 256), "vectors")
+    router = learned.train(e, outcomes(spark, d), report.policy_sha256(), vectors=vectors)
+    return learned.learned_route(e, learned.parsed(router.document(), tuple(scoring.PUBLIC.tiers)), vectors=vectors).groupBy("tier", "model_id").agg(F.count("*").alias("n"))
 
 
 def hangul_markers(spark: SparkSession, d: str) -> DataFrame:
