@@ -6,6 +6,9 @@ import corpus_pipeline
 
 from .op1_decontaminate import op1_leaks
 from .op10_jaccard import op10_jaccard
+from .op11_importance import op11_importance
+from .op12_simhash import op12_simhash
+from .op13_fim import OP13_SQL, op13_fim
 from .op2_html import op2_main_text
 from .op3_secrets import op3_secrets
 from .op4_quality import OP4_SQL, op4_quality
@@ -26,11 +29,15 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_shards": op9_shards,
     "op10_jaccard": op10_jaccard,
+    "op11_importance": op11_importance,
+    "op12_simhash": op12_simhash,
+    "op13_fim": op13_fim,
     "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
     "op4_quality": OP4_SQL,
     "op8_substrings": OP8_SQL,
+    "op13_fim": OP13_SQL,
     **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
 }

@@ -20,6 +20,10 @@ _BASE = U64(0x9E3779B97F4A7C15)
 _BASE_INV = U64(pow(int(_BASE), -1, 1 << 64))
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
+#: Maps A-Z to a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
 #: The separators of ``[^\x20\x09-\x0D]+``.
 DELIM = np.zeros(256, bool)
 DELIM[[0x20, 9, 10, 11, 12, 13]] = True
@@ -79,13 +83,13 @@ def cut(buf: np.ndarray, offs: np.ndarray, a: int, b: int) -> tuple[np.ndarray,
     return buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(buf: np.ndarray, offs: np.ndarray, delim: np.ndarray = DELIM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text of every word; words never cross texts."""
     n = len(buf)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, z
-    inside = ~DELIM[buf]
+    inside = ~delim[buf]
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = inside[:-1]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, least_labels
 from .kernel import U64, buffer_of, cut, mix, slices, span_hash, window_hash, window_rows, word_spans
 from .store import fresh, parts, spread, written
 
@@ -132,20 +132,6 @@ def pivoted(group: np.ndarray, sig: np.ndarray, alive: np.ndarray) -> list[np.nd
     return edges
 
 
-def least_labels(n: int, edges: np.ndarray) -> np.ndarray:
-    """The least member of the component of each of n nodes."""
-    label = np.arange(n)
-    while True:
-        a, b = label[edges[:, 0]], label[edges[:, 1]]
-        open_ = a != b
-        if not open_.any():
-            return label
-        edges = edges[open_]
-        np.minimum.at(label, np.maximum(a, b)[open_], np.minimum(a, b)[open_])
-        while (label != label[label]).any():
-            label = label[label]
-
-
 def candidate_edges(matches: DataFrame, n_buckets: int, least: int) -> DataFrame:
     """Edges that span the groups of texts (key, tid, sig) that share a key and are close by their
     signatures: at most one for each text and bucket."""
