@@ -38,7 +38,7 @@ from .repeats import squeezed, unsqueezed
 from .store import estimated_bytes, fresh, row_key, spread, written
 
 BUCKETS, LEAST_WORDS, PERCENT, SEED = 10_000, 20, 25, 7
-BLOCK_BYTES, SHARD_BYTES = 4 << 20, 6 << 20
+BLOCK_BYTES, SHARD_BYTES = 2 << 20, 3 << 20
 #: A first word is dealt by whole strings above so many times a shard's share of the block, and so many features.
 HOT, LEAST_HOT = 4, 64
 STRINGS, DOCS, FEATURES, TOTALS = range(4)
@@ -50,22 +50,24 @@ DELIM[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of integers, each in the narrowest type that holds it, squeezed."""
-    slim = []
+    """Arrays of integers, each in the narrowest type that holds it, squeezed one by one with equal places of their bytes together."""
+    head, parts = [], []
     for a in arrays:
         kind = np.result_type(np.min_scalar_type(a.min()), np.min_scalar_type(a.max())) if len(a) else np.dtype(np.uint8)
-        slim.append(a.astype(kind if kind.kind in "iu" else a.dtype, copy=False))
-    head = np.array([[len(a), a.itemsize * (-1 if a.dtype.kind == "i" else 1)] for a in slim], np.int64)
-    raw = b"".join([head.tobytes(), *(a.tobytes() for a in slim)])
-    return np.array([len(arrays), len(raw)], np.int64).tobytes() + squeezed(raw)
+        a = np.ascontiguousarray(a, kind if kind.kind in "iu" else a.dtype)
+        raw = a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+        parts.append(squeezed(raw))
+        head.append((len(a), a.itemsize * (-1 if a.dtype.kind == "i" else 1), len(parts[-1])))
+    return b"".join([np.array([len(arrays)], np.int64).tobytes(), np.array(head, np.int64).tobytes(), *parts])
 
 
 def unpacked(blob: bytes) -> list[np.ndarray]:
-    n, size = np.frombuffer(blob[:16], np.int64).tolist()
-    raw, at, out = unsqueezed(blob[16:], size), 16 * n, []
-    for length, width in np.frombuffer(raw[:at], np.int64).reshape(-1, 2).tolist():
-        out.append(np.frombuffer(raw, f"{'i' if width < 0 else 'u'}{abs(width)}", length, at))
-        at += length * abs(width)
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    at, out = 8 + 24 * n, []
+    for length, width, size in np.frombuffer(blob, np.int64, 3 * n, 8).reshape(-1, 3).tolist():
+        raw = np.frombuffer(unsqueezed(blob[at : at + size], length * abs(width)), np.uint8)
+        out.append(np.ascontiguousarray(raw.reshape(abs(width), length).T).view(f"{'i' if width < 0 else 'u'}{abs(width)}").reshape(length))
+        at += size
     return out
 
 
