@@ -32,6 +32,8 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 BLOCKS, LEAST_BLOCK, MOST_BLOCK = 64, 1 << 14, 1 << 20
 TILE, WIDE, HELD = 256, 4096, 1 << 20
 HASHED = 1 << 18
+#: Comparisons of a task, if none were skipped.
+COMPARED = 400_000_000
 
 
 def shingle_hashes(buf: np.ndarray, offs: np.ndarray, k: int = SHINGLE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +190,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, n_blocks: int = BLOCKS, lea
         a, b = compared(sides[0], sides[1] if len(sides) > 1 else None, radius, tile)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    sent = pairs.join(held.select("block", "fps"), "block").repartition(max(1, min(n_pairs, 1 << 16)), "pair")
+    n_tasks = max(distinct.sparkSession.sparkContext.defaultParallelism, count * count // (2 * COMPARED))
+    sent = pairs.join(held.select("block", "fps"), "block").repartition(max(1, min(n_pairs, n_tasks)), "pair")
     return sent.groupBy("pair").applyInArrow(run, "a bigint, b bigint")
 
 
