@@ -641,6 +641,56 @@ def test_secrets_of_a_very_long_text(spark):
     assert {x["doc_id"]: x["b"] for x in got} == {1: ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans)), 2: ""}
 
 
+def test_secrets_of_megabytes_in_one_text(spark):
+    """Positions, pieces and redaction take time in proportion to the text; its spans are those of a scan by hand."""
+    import time
+
+    from waybill.llm.op3_secrets import found_spans, redacted
+
+    r = random.Random(12)
+    words = ["".join(r.choice("0123456789abcdef") for _ in range(32)) for _ in range(121_000)]
+    for i in range(0, len(words), 500):
+        words[i] += "_é" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZghijkxyz0123456789") for _ in range(30)) + "_" + words[i + 1]
+    text = " ".join(words)
+    frame = spark.createDataFrame([(1, text), (2, "none")], "doc_id bigint, text string")
+    began = time.time()
+    row = found_spans(frame, ["b", "m"]).filter("doc_id = 1").first()
+    clean = redacted(frame).filter("doc_id = 1").first()["text"]
+    assert time.time() - began < 60 and len(text) > 4_000_000
+    assert [(x["start"], x["end"]) for x in row["b"]] == [m.span() for m in re.finditer("[0-9a-f]{24,}", text)]
+    assert len(row["m"]) >= 230
+    out, at = [], 0
+    for a, b in sorted((x["start"], x["end"]) for x in [*row["b"], *row["m"]]):
+        out += [text[at:a], "<SECRET>"]
+        at = b
+    assert clean == "".join(out) + text[at:]
+
+
+def test_pieces_by_hand(spark):
+    from waybill.llm.op3_secrets import covered, pieces
+
+    r = random.Random(13)
+    rows = []
+    for i in range(300):
+        cuts = sorted(r.sample(range(200), 12))
+        tokens = [(cuts[k], 3, cuts[k + 1]) for k in range(0, 12, 2)]
+        base = sorted((a, r.randint(0, 2), a + r.randint(1, 40)) for a in r.sample(range(200), r.randint(0, 9)))
+        rows.append((i, base, tokens))
+    kind = "array<struct<start:int,kind:int,end:int>>"
+    frame = spark.createDataFrame(rows, f"i int, base {kind}, tokens {kind}")
+    got = {x["i"]: (x["cover"], x["left"]) for x in frame.withColumn("cover", covered(held_col("base"))).select("i", "cover", pieces(held_col("tokens"), held_col("cover")).alias("left")).collect()}
+    for i, base, tokens in rows:
+        taken = {p for a, _, b in base for p in range(a, b)}
+        assert {p for a, b in got[i][0] for p in range(a, b)} == taken and all(x[1] <= y[0] for x, y in itertools.pairwise(got[i][0]))
+        want = []
+        for a, _, b in tokens:
+            for k, g in itertools.groupby(range(a, b), key=lambda p: p in taken):
+                g = list(g)
+                if not k:
+                    want.append((g[0], 3, g[-1] + 1))
+        assert [tuple(x) for x in got[i][1]] == want
+
+
 def test_models_tell_random_strings_from_ordinary_ones(spark):
     """Held-out samples from outside the generator: random strings found, ordinary long tokens left alone."""
     import base64

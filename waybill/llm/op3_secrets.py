@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +26,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 #: Runs of the base patterns that are long enough; the same matches as the open patterns, filtered.
 ACCESS, HEX = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"
 LEAST = 20
-#: Matches whose positions are added up at a time.
-BLOCK = 128
+#: Items of an array in a block of a pass, levels of blocks above the first, and code points in a part of a text.
+BLOCK, LEVELS, CHUNK = 32, 3, 1024
 TOKEN = f"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 #: Parts of ordinary identifiers for the labelled sample.
 PARTS = (
@@ -104,49 +105,92 @@ def trained(samples: DataFrame) -> tuple[list[float], float]:
     return table, max(by[False]["most"], (by[False]["most"] + by[True]["low"]) / 2)
 
 
-def spans(text: Column, pattern: str, kind: int, keep: tuple[int, int] | None = None, words: bool = False) -> Column:
-    """Array of (start, kind, end) of the matches; keep: a group and its least length; words: also the matches themselves."""
+SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def folded(items: Column, start: Column, step: Callable[[Column, Column], Column], emitted: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """Struct (state, out) of a pass over an array: ``step`` gives the next state, ``emitted`` whether an item adds to out, and what.
+
+    Items are taken in blocks of ``BLOCK``, these in blocks of blocks and so on, so that a growing array is
+    copied some ``BLOCK`` times for each of ``LEVELS`` levels and not once for every item.
+    """
+    none = F.array().cast(kind)
+    pair = lambda state, out: F.struct(state.alias("state"), out.alias("out"))
+
+    def over(held: Column, state: Column, low: Column, level: int) -> Column:
+        width = BLOCK**level
+        high = F.size(held) if level == LEVELS else F.least(low + width * BLOCK, F.size(held))
+
+        def one(acc: Column, j: Column) -> Column:
+            x = F.get(held, j)
+            adds, what = emitted(acc["state"], x)
+            return pair(step(acc["state"], x), F.when(adds, F.concat(acc["out"], F.array(what))).otherwise(acc["out"]))
+
+        def block(acc: Column, i: Column) -> Column:
+            return let(over(held, acc["state"], i, level - 1), lambda r: pair(r["state"], F.concat(acc["out"], r["out"])))
+
+        return F.aggregate(F.sequence(low, high - 1, F.lit(width)), pair(state, none), block if level else one)
+
+    return let(items, lambda held: F.when(F.size(held) > 0, over(held, start, F.lit(0), LEVELS)).otherwise(pair(start, none)))
+
+
+def spans(text: Column, pattern: str, kind: int, keep: tuple[int, int] | None = None) -> Column:
+    """Array of (start, kind, end) of the matches; keep: a group and its least length."""
     rx = F.lit(pattern)
-    found = F.regexp_extract_all(text, rx, F.lit(0))
-    group = F.regexp_extract_all(text, rx, F.lit(keep[0])) if keep else found
-    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-    parts = F.arrays_zip(gaps.alias("gap"), found.alias("match"), group.alias("group"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<start:int,kind:int,end:int{',word:string' * words}>>").alias("out"))
+    lengths = lambda group: F.transform(F.regexp_extract_all(text, rx, F.lit(group)), F.length)
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    # the text behind the last match is one gap more, without a match
+    parts = F.arrays_zip(gaps.alias("gap"), lengths(0).alias("match"), *([lengths(keep[0]).alias("group")] if keep else []))
+
+    def emitted(at: Column, x: Column) -> tuple[Column, Column]:
+        begin = at + x["gap"]
+        return x["group"] >= keep[1] if keep else x["match"].isNotNull(), F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + x["match"]).alias("end"))
+
+    found = folded(parts, F.lit(0), lambda at, x: at + x["gap"] + F.coalesce(x["match"], F.lit(0)), emitted, SPANS)
+    return F.when(text.rlike(pattern), found["out"]).otherwise(F.array().cast(SPANS))
+
+
+def covered(spans: Column) -> Column:
+    """Disjoint (start, end) that sorted spans cover; spans that only touch stay apart."""
+    pair = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    step = lambda s, x: F.when(x["start"] < s["end"], pair(s["start"], F.greatest(s["end"], x["end"]))).otherwise(pair(x["start"], x["end"]))
+    found = folded(spans, pair(F.lit(-1), F.lit(-1)), step, lambda s, x: ((x["start"] >= s["end"]) & (s["start"] >= 0), s), "array<struct<start:int,end:int>>")
+    return let(found, lambda r: F.when(r["state"]["start"] >= 0, F.concat(r["out"], F.array(r["state"]))).otherwise(r["out"]))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["match"])
-        good = F.length(x["group"]) >= (keep[1] if keep else 0)
-        span = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), *[x["match"].alias("word")] * words))
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    # blocks of matches keep the cost of growing arrays from rising with the square of their number
-    n_blocks = F.ceil(F.size(found) / BLOCK).cast("int")
-    blocks = F.transform(F.sequence(F.lit(1), n_blocks), lambda i: F.slice(parts, (i - 1) * BLOCK + 1, F.lit(BLOCK)))
-    outer = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<struct<start:int,kind:int,end:int{',word:string' * words}>>>").alias("out"))
+def pieces(tokens: Column, cover: Column) -> Column:
+    """What disjoint sorted intervals leave of disjoint sorted tokens, as (start, kind, end), in one pass over both."""
+    row = lambda x, token: F.struct(x["start"].alias("start"), F.lit(token).alias("token"), x["end"].alias("end"))
+    events = F.array_sort(F.concat(F.transform(cover, lambda x: row(x, False)), F.transform(tokens, lambda x: row(x, True))))
+    # at: what is left of the token begins here; end: of the token; past: the intervals so far end here
+    state = lambda at, end, past: F.struct(at.alias("at"), end.alias("end"), past.alias("past"))
+    span = lambda a, b: F.struct(a.alias("start"), F.lit(3).alias("kind"), b.alias("end"))
 
-    def block_step(acc: Column, block: Column) -> Column:
-        inner = F.struct(acc["at"].alias("at"), start["out"].alias("out"))
-        return F.aggregate(block, inner, step, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+    def step(s: Column, x: Column) -> Column:
+        return F.when(x["token"], state(F.greatest(x["start"], s["past"]), x["end"], s["past"])).otherwise(state(F.greatest(s["at"], x["end"]), s["end"], F.greatest(s["past"], x["end"])))
 
-    some = F.aggregate(blocks, outer, block_step, lambda acc: F.flatten(acc["out"]))
-    return F.when(text.rlike(pattern), some).otherwise(start["out"])
+    def emitted(s: Column, x: Column) -> tuple[Column, Column]:
+        upto = F.when(x["token"], s["end"]).otherwise(F.least(s["end"], x["start"]))
+        return s["at"] < upto, span(s["at"], upto)
 
+    found = folded(events, state(F.lit(0), F.lit(0), F.lit(0)), step, emitted, SPANS)
+    return let(found, lambda r: F.when(r["state"]["at"] < r["state"]["end"], F.concat(r["out"], F.array(span(r["state"]["at"], r["state"]["end"])))).otherwise(r["out"]))
 
-def pieces(token: Column, base: Column) -> Column:
-    """What the sorted base spans leave of a token, as spans with their characters."""
-    start = F.struct(token["start"].alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,word:string>>").alias("out"))
 
-    def until(acc: Column, end: Column) -> Column:
-        word = token["word"].substr(acc["at"] - token["start"] + 1, end - acc["at"])
-        piece = F.array(F.struct(acc["at"].alias("start"), token["kind"].alias("kind"), end.alias("end"), word.alias("word")))
-        return F.when(acc["at"] < end, F.concat(acc["out"], piece)).otherwise(acc["out"])
+def chunked(text: Column) -> Column:
+    """The text in parts of ``CHUNK`` code points, from which ``between`` takes a range without passing over all that stands before."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
 
-    def step(acc: Column, b: Column) -> Column:
-        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), until(acc, b["start"]).alias("out"))
 
-    touching = F.filter(base, lambda b: (b["start"] < token["end"]) & (token["start"] < b["end"]))
-    return F.aggregate(touching, start, step, lambda acc: until(acc, token["end"]))
+def between(chunks: Column, a: Column, b: Column) -> Column:
+    first = F.floor(a / CHUNK).cast("int")
+    some = F.transform(F.sequence(first, F.floor((b - 1) / CHUNK).cast("int")), lambda i: F.get(chunks, i))
+    return F.when(a < b, F.array_join(some, "").substr(a - first * CHUNK + 1, b - a)).otherwise(F.lit(""))
 
 
 def found_spans(docs: DataFrame, names: list[str], samples: DataFrame | None = None) -> DataFrame:
@@ -155,11 +199,11 @@ def found_spans(docs: DataFrame, names: list[str], samples: DataFrame | None = N
     base_name, more_name = names
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.array_sort(F.concat(spans(text, ASSIGN, 0, (2, 6)), spans(text, ACCESS, 1), spans(text, HEX, 2)))
-    held = spread(docs).withColumn(base_name, base).withColumn(more_name, spans(text, TOKEN, 3, words=True))
+    held = spread(docs).withColumn(base_name, base).withColumn(more_name, spans(text, TOKEN, 3))
     scored = table_column(table)
-    left = F.flatten(F.transform(more_name, lambda m: pieces(m, F.col(base_name))))
-    secret = F.filter(left, lambda m: ratio(m["word"], scored) > least)
-    return held.withColumn(more_name, F.transform(secret, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"))))
+    left = F.when(F.size(base_name) > 0, pieces(F.col(more_name), covered(F.col(base_name)))).otherwise(F.col(more_name))
+    secret = let(chunked(text), lambda chunks: F.filter(left, lambda m: ratio(between(chunks, m["start"], m["end"]), scored) > least))
+    return held.withColumn(more_name, F.when(F.size(more_name) > 0, secret).otherwise(F.col(more_name)))
 
 
 def listed(spans: Column) -> Column:
@@ -172,15 +216,13 @@ def redacted(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
     base, more, every = fresh(docs, "_base", "_more", "_all")
     held = found_spans(docs, [base, more]).withColumn(every, F.array_sort(F.concat(base, more)))
     text = F.coalesce(F.col("text"), F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = text.substr(acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(
-            s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mark)).alias("out"))
-        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+    def kept(x: Column) -> Column:
+        end = lambda i: F.when(i > 0, F.get(x["cover"], i - 1)["end"]).otherwise(F.lit(0))
+        start = lambda i: F.when(i < F.size(x["cover"]), F.get(x["cover"], i)["start"]).otherwise(x["size"])
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(x["cover"])), lambda i: between(x["chunks"], end(i), start(i))), mark)
 
-    clean = F.aggregate(every, start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+    clean = let(F.struct(chunked(text).alias("chunks"), covered(F.col(every)).alias("cover"), F.length(text).alias("size")), kept)
     out = held.withColumn("text", F.when(F.size(every) > 0, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(every) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
