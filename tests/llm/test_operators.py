@@ -489,10 +489,10 @@ def test_decontamination_of_short_and_slot_heavy_items(spark):
     numbers = " ".join(str(7 * i % 101) for i in range(16))
     names = "we met " + " ".join(["Anna", "Maria", "Peter", "Paula", "Oscar", "Emil", "Nina", "Clara", "Hugo", "Ida", "Karl", "Lena", "Otto", "Rosa"])
     items = ["What is 15 + 27?", numbers, names, "Which planet is largest in size", "three 3 km"]
-    rows = [(i, f"Question 5 {t} and more text") for i, t in enumerate(items)] + [(9, "Question 5 What is 16 + 27? " + numbers[8:30] + " three 4 km")]
+    rows = [(i, f"Question 5 {t} and more text") for i, t in enumerate(items)] + [(9, "Question 5 What is 16 and 27? " + numbers[8:30] + " three 4 km"), (10, "Question 6 What is 16 + 27? Yes")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
-    assert {(r["doc_id"], r["item_id"], r["kind"]) for r in leaks(docs, bench).collect()} == {(i, i, "exact") for i in range(len(items))}
+    assert {(r["doc_id"], r["item_id"], r["kind"]) for r in leaks(docs, bench).collect()} == {(i, i, "exact") for i in range(len(items))} | {(10, 0, "reparameterised")}
     assert [r["doc_id"] for r in decontaminated(docs, bench).collect()] == [9]
 
 
@@ -538,44 +538,67 @@ def test_decontamination_checks_every_copy(spark):
     assert leaks(docs.limit(0), bench, 0).count() == 0 and leaks(docs, bench.limit(0), 0).count() == 0
 
 
+def canonical(text):
+    """Template words of a text by hand: (kind, value); numbers, units and names have kinds of their own."""
+    out, joins = [], False
+    for w in text.split():
+        bare = w.strip(".,?!")
+        low = bare.lower()
+        m = re.fullmatch(r"(\d+)(km|kg)", low)
+        if m:
+            out += [("number", m[1]), ("unit", m[2])]
+        elif re.fullmatch(r"[$]?\d+", low):
+            out.append(("number", low))
+        elif low in ("km", "kg", "dollars"):
+            out.append(("unit", low))
+        elif len(bare) > 1 and bare[0].isupper() and low not in ("what", "the", "how", "if") and (bare[1:].islower() or bare.isupper()):
+            if joins:
+                out[-1] = ("name", f"{out[-1][1]} {low}")
+            else:
+                out.append(("name", low))
+        else:
+            out.append(("", low or w))
+        joins = out[-1][0] == "name" and w.endswith(bare)
+    return out
+
+
 def test_decontamination_equals_brute_force():
     """Every maximal run of equal template words without contradictions, every set of runs that agree on the slots."""
     import pyarrow as pa
 
-    from waybill.llm.op1_decontaminate import LITERAL, LITERALS, NEED, WINDOW, Index, scanned, template
-    from waybill.llm.kernel import buffer_of
+    from waybill.llm.op1_decontaminate import FEW_LITERALS, LITERALS, NEED, WINDOW, Index, scanned
 
     r = random.Random(12)
     words = "red blue box hen egg farm sells buys holds with from into".split()
 
     def sentence(n):
-        return [r.choice([*words, str(r.randint(1, 3)), str(r.randint(1, 3)), "km"]) for _ in range(n)]
+        return [r.choice([*words, str(r.randint(1, 3)), str(r.randint(1, 3)), "km", "Ann", "Bob", f"{r.randint(1, 3)}kg"]) for _ in range(n)]
 
     def agree(runs, a, b):
-        slots = {(a.kind[q], a.literal[q], b.literal[q + s]) for x, y, s in runs for q in range(x, y) if a.kind[q] != LITERAL}
+        slots = {(a[q][0], a[q][1], b[q + s][1]) for x, y, s in runs for q in range(x, y) if a[q][0]}
         return len({(k, x) for k, x, _ in slots}) == len(slots) == len({(k, y) for k, _, y in slots})
 
-    def brute(item, text):
-        a, b = (template(*buffer_of(pa.array([" ".join(x)]))) for x in (item, text))
-        n, m, need = len(item), len(text), min(NEED, len(item))
+    def brute(a, b, loose):
+        n, m, need = len(a), len(b), min(NEED, len(a))
         if not n:
             return False
         k, pairs = min(WINDOW, n), [set(), set()]
+        least = LITERALS if k == WINDOW else min(FEW_LITERALS, k)
         for i in range(n - k + 1):
             for j in range(m - k + 1):
-                lit = all(a.literal[i + x] == b.literal[j + x] for x in range(k))
-                canon = all(a.canon[i + x] == b.canon[j + x] for x in range(k)) and sum(a.kind[i + x] == LITERAL for x in range(k)) >= min(LITERALS, k)
+                lit = all(a[i + x][1] == b[j + x][1] for x in range(k))
+                canon = loose and all(a[i + x][0] == b[j + x][0] and (a[i + x][0] or a[i + x] == b[j + x]) for x in range(k)) and sum(not a[i + x][0] for x in range(k)) >= least
                 for kind in [0] * bool(canon) + [1] * bool(lit):
                     pairs[kind] |= {(i + x, j - i) for x in range(k)}
         runs = set()
         for own in pairs:
             for _ in range(n):  # literal neighbours
-                own |= {(q + d, s) for q, s in own for d in (-1, 1) if 0 <= q + d < n and 0 <= q + d + s < m and a.literal[q + d] == b.literal[q + d + s]}
+                own |= {(q + d, s) for q, s in own for d in (-1, 1) if 0 <= q + d < n and 0 <= q + d + s < m and a[q + d][1] == b[q + d + s][1]}
             for low in range(n):
                 for high in range(low + 1, n + 1):
                     runs |= {(low, high, s) for s in {s for _, s in own} if all((q, s) in own for q in range(low, high)) and agree([(low, high, s)], a, b)}
         runs = sorted(x for x in runs if not any(y != x and y[2] == x[2] and y[0] <= x[0] and x[1] <= y[1] for y in runs))
-        if len({q for x, y, s in runs for q in range(x, y) if a.literal[q] == b.literal[q + s]}) >= need:
+        if len({q for x, y, s in runs for q in range(x, y) if a[q][1] == b[q + s][1]}) >= need:
             return True
         for mask in range(1, 1 << len(runs)):
             some = [x for i, x in enumerate(runs) if mask >> i & 1]
@@ -583,19 +606,67 @@ def test_decontamination_equals_brute_force():
                 return True
         return False
 
-    leaked = 0
+    leaked = changed = 0
     for _ in range(400):
         item = sentence(r.choice([5, 9, 14, 18]))
-        value = {str(i): str(r.randint(4, 9)) for i in range(1, 4)}
+        value = {str(i): str(r.randint(4, 9)) for i in range(1, 4)} | {"Ann": "Zoe", "Bob": "Tim"} | {f"{i}kg": f"{i + 4}kg" for i in range(1, 4)}
         parts = []
         for _ in range(r.randint(1, 3)):
             x = r.randint(0, max(0, len(item) - 9))
             parts.append([value.get(w, w) if r.random() < 0.97 else "7" for w in item[x : x + r.choice([8, 12, 18])]] if r.random() < 0.8 else sentence(6))
         text = [w for p in parts for w in p]
         got = bool(list(scanned(pa.array([" ".join(text)]), Index([(1, " ".join(item))])))[0])
-        assert got == brute(item, text), (item, text)
+        bare = [[("", w.lower()) for w in x] for x in (item, text)]
+        loose = brute(canonical(" ".join(item)), canonical(" ".join(text)), True)
+        assert got == (loose or brute(*bare, False)), (item, text)
         leaked += got
-    assert 60 < leaked < 340
+        changed += loose and not brute(*bare, False)
+    assert 60 < leaked < 340 and changed > 30
+
+
+def test_decontamination_of_renamed_questions():
+    import pyarrow as pa
+
+    from waybill.llm.op1_decontaminate import Index, scanned
+
+    pairs = [
+        ("Anna buys 12 red pens at the shop for 5 dollars", "Karl buys 17 red pens at the shop for 9 dollars"),
+        ("Tom has 5 apples. Anna has 7 pears. How many fruits do Tom and Anna have together?", "Bob has 8 apples. Karl has 2 pears. How many fruits do Bob and Karl have together?"),
+        ("Which river flows through New Zealand and then into the open sea?", "Which river flows through France and then into the open sea?"),
+        ("When was NASA founded and who was the first person to lead it?", "When was ESA founded and who was the first person to lead it?"),
+        ("What is 15 + 27?", "What is 18 + 44?"),
+        ("A train runs 60km in the first hour, how far does it run in 3 hours?", "A train runs 85km in the first hour, how far does it run in 4 hours?"),
+        ("A train runs 60km in the first hour, how far does it run in 3 hours?", "A train runs 85 km in the first hour, how far does it run in 4 hours?"),
+        ("A book costs $25 and a pen 1/2 of it, what do both cost in all?", "A book costs $31 and a pen 1/3 of it, what do both cost in all?"),
+    ]
+    for item, variant in pairs:
+        for text in (variant, f"some words before it. {variant} Then a few words behind it."):
+            found = list(scanned(pa.array([text]), Index([(1, item)])))[0]
+            assert [f[0] for f in found] == [1] and found[0][5] == "reparameterised", (item, text, found)
+    clean = ["Anna went to the shop and bought red pens", "Tom and Anna have apples and pears", "What is it about 5 and 7?", "The first person to lead it was Karl", "Bob has 8 apples. Bob has 2 pears. How many do they have?"]
+    index = Index(list(enumerate(i for i, _ in pairs)))
+    assert list(scanned(pa.array(clean), index)) == [[]] * len(clean)
+
+
+def test_many_items_of_one_template_cost_one_match():
+    import time
+
+    import pyarrow as pa
+
+    from waybill.llm.op1_decontaminate import Index, scanned
+
+    question = "Anna buys {} red pens and {} blue pens at the shop for {} dollars how much does she pay in all"
+    items = [(i, question.format(i % 97 + 2, i % 89 + 3, i)) for i in range(200_000)]
+    index = Index(items)
+    doc = pa.array(["Karl " + question.format(500_001, 500_002, 500_003)[5:]])
+    began = time.perf_counter()
+    assert len(list(scanned(doc, index, False))[0]) == 1 and time.perf_counter() - began < 3
+    rows = list(scanned(doc, index))[0]
+    assert time.perf_counter() - began < 6
+    # name and three numbers, if the item's three are all different; all but the few items with equal ones
+    assert len(rows) > 190_000 and {(f[4], f[5]) for f in rows} == {(4, "reparameterised")}
+    one = list(scanned(pa.array([f"x {items[7][1]} y"]), index))[0]
+    assert [f[0] for f in one if f[5] == "exact"] == [7]
 
 
 def test_secrets(spark, docs, empty):

@@ -1,13 +1,16 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words lose case and outer punctuation; numbers, units and names (capitalised inside a sentence)
-become typed placeholders.  Windows of ``WINDOW`` template words (shorter items: the whole item) with
-enough literal words are hashed, and every document's windows are looked up in the hashes of the
-benchmark's; so are all windows of bare words without placeholders, however few of them are literal.
+Texts are read in two ways.  As bare words, they lose case and outer punctuation, and every window of
+``WINDOW`` words (shorter items: the whole item) is compared.  As templates, numbers, units and names
+become typed placeholders: a name is any capitalised word or acronym that is no function word, wherever
+it stands; names in a row are one name; a number with a unit attached is a number and a unit.  Template
+windows are compared if enough of their words are literal.  Items that are equal as templates, with the
+same slots equal to each other, share one entry of the index and are matched once.
 Hits are put on diagonals, extended word by word to runs, and runs are put together to copies.  Both
 are checked slot by slot: a value of the item must stand for the same value of the document wherever
 it occurs in the run or copy, and the other way round; a run that breaks this is cut up.  A document leaks an item if a consistent copy covers
-at least ``NEED`` words of it (all, if it has fewer), or as many stand in the document literally.
+at least ``NEED`` words of it (all, if it has fewer), or as many stand in the document literally.  An
+item that is found by bare words is not reported once more as a template.
 
 The windows meet by hash join.  The index of a benchmark of at most ``BLOCK_MB`` of text and
 ``MOST_ITEMS`` items is broadcast; a larger one is joined by shuffled window keys (``joined_leaks``).
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from .kernel import U64, buffer_of, cut, exact_ids, joined_hash, mix, slices, span_hash, window_hash, window_rows, word_spans
 from .store import fresh, parts, row_key, spread, written
 
-WINDOW, NEED, LITERALS, BLOCK_MB, MOST_ITEMS = 8, 13, 4, 32, 200_000
+WINDOW, NEED, LITERALS, FEW_LITERALS, BLOCK_MB, MOST_ITEMS = 8, 13, 4, 3, 32, 200_000
 BITS, U8 = 1 << 27, np.uint8
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#%$&`~_=+-/\\«»„“”‘’…–—¿¡"
@@ -44,21 +47,32 @@ NUMBER_WORDS = frozenset(
 UNITS = frozenset(
     "mm cm dm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms ton tons tonne tonnes pound pounds lb lbs ounce ounces oz ml cl l liter liters litre litres gallon gallons second seconds sec minute minutes min hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees watt watts volt volts kmh mph".split()
 )
+NUMBER_UNIT = re.compile(rf"([+\-]?[$€£]?\d[\d.,]*)({'|'.join(sorted(UNITS, key=len, reverse=True))})", re.I)
+#: Words that are no names however they are written.
+FUNCTION = frozenset(
+    "a about after all also although an and any are as at be because been before between both but by can could did do does during each either every few find for from give given had has have he her here him his how i if in into is "
+    "it its let list many may me might more most much must my name no nor not now of off on once one only or other our out over per shall she should show since so solve some such tell than that the their them then there these they "
+    "this those though through to under until up us use was we were what when where whether which while who whom whose why will with within without would write yes yet you your "
+    "aber als am auf aus bei bis da das dass dem den der des die ein eine einem einen einer er es für hat ihr im ist man mit nach nicht oder sein sich sie sind um und von vor war was welche welcher wenn wer wie wird wir wo zu zum zur "
+    "al au aux avec ce ces cette como con cual cuando cuál dans de del des donde du el elle en entre est et il ils la las le les lo los mais más ne no nous on ou où par para pas pero por pour que quel quelle qui qué quién se si sin sobre son "
+    "sont su sur todo un una une uno vous y"
+    .split()
+)
 ENDS = frozenset(".!?:")
 
 
-def word_kind(word: str) -> tuple[int, str, bool, bool]:
-    """Kind, bare form, whether it can be a name, and whether a sentence ends with it."""
+def word_kind(word: str) -> tuple[int, str, bool]:
+    """Kind, bare form, and whether the next name would be part of this one."""
     bare = word.strip(PUNCTUATION)
-    ends = word.rstrip("\"')]»”’")[-1:] in ENDS
     if not bare:
-        return LITERAL, word, False, ends
+        return LITERAL, word, False
     low = bare.lower()
     if low in NUMBER_WORDS or A_NUMBER.fullmatch(bare):
-        return NUMBER, low, False, ends
+        return NUMBER, low, False
     if low in UNITS:
-        return UNIT, low, False, ends
-    return LITERAL, low, len(bare) > 1 and bare[0].isupper() and bare[1:].islower(), ends
+        return UNIT, low, False
+    named = len(bare) > 1 and bare[0].isupper() and low not in FUNCTION and (bare[1:].islower() or (bare.isupper() and bare.isalpha()))
+    return NAME if named else LITERAL, low, word.endswith(bare)
 
 
 @dataclass
@@ -71,79 +85,165 @@ class Template:
     canon: np.ndarray
 
 
-def template(buf: np.ndarray, offs: np.ndarray) -> Template:
+def bare_words(buf: np.ndarray, offs: np.ndarray) -> tuple[Template, np.ndarray, list[tuple[int, str, bool]], np.ndarray]:
+    """The words of a slice, all literal; the number of each word's form, and what ``word_kind`` says of the forms."""
     starts, ends, own = word_spans(buf, offs)
     which, first = exact_ids(buf, starts, ends)
     raw = buf.tobytes()
     spans = zip(starts[first].tolist(), ends[first].tolist(), strict=True)
-    kinds = [word_kind(raw[a:b].decode("utf-8", "replace")) for a, b in spans]
+    forms = [raw[a:b].decode("utf-8", "replace") for a, b in spans]
+    kinds = [word_kind(w) for w in forms]
     bare, at = buffer_of(pa.array([k[1] for k in kinds], pa.string()))
-    literal = span_hash(bare, at[:-1], at[1:])[which]
-    kind = np.array([k[0] for k in kinds], np.int8)[which]
-    name = np.array([k[2] for k in kinds], bool)[which]
-    stop = np.array([k[3] for k in kinds], bool)[which]
-    lines = np.append(0, np.cumsum(buf == 10))
-    opens = np.ones(len(own), bool)
-    opens[1:] = (own[1:] != own[:-1]) | stop[:-1] | (lines[starts[1:]] > lines[ends[:-1]])
-    kind[name & ~opens] = NAME
-    canon = np.where(kind == LITERAL, literal, mix(kind.astype(np.uint64) + U64(0x51ED270B)))
-    return Template(own, literal, kind, canon)
+    hashes = span_hash(bare, at[:-1], at[1:])
+    return Template(own, hashes[which], np.zeros(len(own), np.int8), hashes[which]), which, kinds, hashes
+
+
+def templates(buf: np.ndarray, offs: np.ndarray) -> tuple[Template, Template]:
+    """A slice as bare words and as template words."""
+    words, which, kinds, hashes = bare_words(buf, offs)
+    if not kinds:
+        return words, words
+    kind, joins = np.array([k[0] for k in kinds], np.int8)[which], np.array([k[2] for k in kinds], bool)[which]
+    own, literal = words.owner, words.literal
+    # numbers with a unit become two words
+    split = {i: m for i, (k, w, _) in enumerate(kinds) if k != NUMBER and w[-1:].isalpha() and (m := NUMBER_UNIT.fullmatch(w))}
+    if split:
+        number, unit = hashes.copy(), hashes.copy()
+        bare, at = buffer_of(pa.array([g for m in split.values() for g in m.groups()], pa.string()))
+        number[list(split)], unit[list(split)] = span_hash(bare, at[:-1], at[1:]).reshape(-1, 2).T
+        two = np.zeros(len(kinds), bool)
+        two[list(split)] = True
+        times = 1 + two[which]
+        second = np.append(False, np.repeat(np.arange(len(which)), times)[1:] == np.repeat(np.arange(len(which)), times)[:-1])
+        form, both = np.repeat(which, times), np.repeat(two[which], times)
+        own, kind, joins = np.repeat(own, times), np.repeat(kind, times), np.repeat(joins, times)
+        literal = np.where(second, unit[form], number[form])
+        kind[both & ~second], kind[both & second] = NUMBER, UNIT
+    # names in a row become one
+    goes_on = np.zeros(len(own), bool)
+    goes_on[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME) & joins[:-1] & (own[1:] == own[:-1])
+    head = np.flatnonzero(~goes_on)
+    length = np.diff(np.append(head, len(own)))
+    whole = literal[head]
+    for i in range(1, int(length.max(initial=1))):
+        more = np.flatnonzero(length > i)
+        whole[more] = joined_hash(whole[more], literal[head[more] + i])
+    own, kind = own[head], kind[head]
+    return words, Template(own, whole, kind, np.where(kind == LITERAL, whole, mix(kind.astype(np.uint64) + U64(0x51ED270B))))
+
+
+def group_keys(t: Template, n_texts: int) -> np.ndarray:
+    """Equal for texts that are equal as templates and have the same slots equal to each other."""
+    slot = np.flatnonzero(t.kind != LITERAL)
+    value = mix(t.literal[slot] ^ mix(t.owner[slot].astype(np.uint64) * U64(4) + t.kind[slot].astype(np.uint64)))
+    _, first, place = np.unique(value, return_index=True, return_inverse=True)
+    count = np.bincount(t.owner, minlength=n_texts)
+    begin = np.cumsum(count) - count
+    what = t.canon.copy()
+    what[slot] = joined_hash(t.canon[slot], (slot[first[place]] - begin[t.owner[slot]]).astype(np.uint64))
+    inside = (np.arange(len(t.owner)) - begin[t.owner]).astype(np.uint64)
+    out = np.zeros(n_texts, np.uint64)
+    np.add.at(out, t.owner, mix(joined_hash(what, inside)))
+    return mix(out + count.astype(np.uint64))
 
 
-class Index:
-    """Windows of some benchmark items."""
+class Entries:
+    """Windows of some benchmark items, read in one way."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.ids = [i for i, _ in items]
-        buf, offs = buffer_of(pa.array([t for _, t in items], pa.string()))
-        self.t = template(buf, offs)
-        count = np.bincount(self.t.owner, minlength=len(items))
+    def __init__(self, ids: list[int | None], t: Template, n: int, kept: np.ndarray, ways: tuple[bool, ...]):
+        self.ids, self.t = ids, t
+        count = np.bincount(t.owner, minlength=n)
         self.size, self.begin = count, np.cumsum(count) - count
         self.tables: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for k in sorted({min(WINDOW, int(n)) for n in count if n}):
-            for exact in (False, True):
-                keys, good = windows(self.t, k, exact)
-                at = np.flatnonzero(good & ((k == WINDOW) | (count[self.t.owner[: len(keys)]] == k)))
+        for k in sorted({min(WINDOW, int(c)) for c in count[kept] if c}):
+            for exact in ways:
+                keys, good = windows(t, k, exact)
+                own = t.owner[: len(keys)]
+                at = np.flatnonzero(good & kept[own] & ((k == WINDOW) | (count[own] == k)))
                 at = at[np.argsort(keys[at], kind="stable")]
                 seen = np.zeros(1 << 22, bool)
                 seen[(keys[at] & U64((1 << 22) - 1)).astype(np.int64)] = True
                 self.tables[k, exact] = (keys[at], at, seen)
 
 
+class Index:
+    """Benchmark items as bare words, and one of each template; ``group`` numbers the templates of the items."""
+
+    def __init__(self, items: list[tuple[int | None, str | None]]):
+        ids = [i for i, _ in items]
+        bare, t = templates(*buffer_of(pa.array([t for _, t in items], pa.string())))
+        order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0)), np.int64)
+        _, first, group = np.unique(group_keys(t, len(ids))[order], return_index=True, return_inverse=True)
+        self.group = np.empty(len(ids), np.int64)
+        self.group[order] = group
+        self.sorted = order[np.argsort(group, kind="stable")]
+        self.first = np.searchsorted(group[np.argsort(group, kind="stable")], np.arange(len(first) + 1))
+        kept = np.zeros(len(ids), bool)
+        kept[order[first]] = True
+        self.bare = Entries(ids, bare, len(ids), np.ones(len(ids), bool), (True,))
+        self.template = Entries(ids, t, len(ids), kept, (False, True))
+
+    def members(self, item: int) -> np.ndarray:
+        """All items of the item's template."""
+        group = self.group[item]
+        return self.sorted[self.first[group] : self.first[group + 1]]
+
+
 def windows(t: Template, k: int, exact: bool) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all windows of k template words, or of k bare words, and whether each may be used."""
     if exact:
         return window_hash(t.literal, k), window_rows(t.owner, k)
     keys = window_hash(t.canon, k)
     literal = np.append(0, np.cumsum(t.kind == LITERAL))
-    return keys, window_rows(t.owner, k) & (literal[k:] - literal[:-k] >= min(LITERALS, k))
+    return keys, window_rows(t.owner, k) & (literal[k:] - literal[:-k] >= (LITERALS if k == WINDOW else min(FEW_LITERALS, k)))
 
 
-def hits(index: Index, t: Template, exact: bool) -> Iterator[tuple[int, int, int]]:
-    """(place in the slice, place in the index, length in words) of equal windows."""
+def hits(index: Entries, t: Template, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place in the slice, place in the index and length in words of all equal windows, in the order of places in the slice."""
+    found = [(np.zeros(0, np.int64),) * 3]
     for (k, bare), (keys, places, seen) in index.tables.items():
-        if bare != exact:
+        if bare != exact or not len(keys):
             continue
         own, good = windows(t, k, exact)
         at = np.flatnonzero(seen[(own & U64((1 << 22) - 1)).astype(np.int64)] & good)
         low, high = np.searchsorted(keys, own[at], "left"), np.searchsorted(keys, own[at], "right")
-        for p, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
-            for q in places[a:b].tolist():
-                yield p, q, k
+        n = high - low
+        which = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - low, n)
+        found.append((np.repeat(at, n), places[which], np.full(len(which), k)))
+    p, q, k = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(p, kind="stable")
+    return p[order], q[order], k[order]
 
 
-def diagonals(index: Index, t: Template, exact: bool) -> dict[tuple[int, int], dict[int, list[list[int]]]]:
+def diagonals(index: Entries, p: np.ndarray, q: np.ndarray, k: np.ndarray, t: Template) -> dict[tuple[int, int], dict[int, list[list[int]]]]:
     """The hits of each text and item as runs of the item's words, by the shift between the two."""
     spans: dict[tuple[int, int], dict[int, list[list[int]]]] = defaultdict(dict)
-    for p, q, k in hits(index, t, exact):
-        text, item = int(t.owner[p]), int(index.t.owner[q])
-        if p - q in (d := spans[text, item]) and q <= d[p - q][-1][1]:
-            d[p - q][-1][1] = max(d[p - q][-1][1], q + k)
+    for x, y, n, text, item in zip(p.tolist(), q.tolist(), k.tolist(), t.owner[p].tolist(), index.t.owner[q].tolist(), strict=True):
+        if x - y in (d := spans[text, item]) and y <= d[x - y][-1][1]:
+            d[x - y][-1][1] = max(d[x - y][-1][1], y + n)
         else:
-            d.setdefault(p - q, []).append([q, q + k])
+            d.setdefault(x - y, []).append([y, y + n])
     return spans
 
 
+def enough(index: Entries, t: Template, p: np.ndarray, q: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Which hits belong to a text and item whose windows cover as many words of the item as a leak needs."""
+    if not len(p):
+        return np.zeros(0, bool)
+    item = index.t.owner[q]
+    pair = t.owner[p].astype(np.int64) * len(index.size) + item
+    order = np.lexsort((q, pair))
+    pair, q, k, item = pair[order], q[order], k[order], item[order]
+    head = np.append(True, pair[1:] != pair[:-1])
+    # windows of an item have one length, so each adds what lies before the next one
+    more = np.where(np.append(head[1:], True), k, np.minimum(k, np.append(q[1:], 0) - q))
+    group = np.cumsum(head) - 1
+    good = np.bincount(group, more) >= np.minimum(NEED, index.size[item[head]])
+    out = np.empty(len(p), bool)
+    out[order] = good[group]
+    return out
+
+
 @dataclass(frozen=True)
 class Run:
     """Consecutive words of an item [low, high) that stand in the text, ``shift`` words further on."""
@@ -153,12 +253,39 @@ class Run:
     shift: int
 
 
-def found_in(index: Index, t: Template, n_texts: int) -> list[list[tuple]]:
-    """For each text (item, covered words, words of the item, slots, changed slots, kind of leak)."""
-    spans, bare = diagonals(index, t, False), diagonals(index, t, True)
+def found_in(index: Index, both: tuple[Template, Template], n_texts: int, expand: bool = True) -> list[list[tuple]]:
+    """For each text (item, covered words, words of the item, slots, changed slots, kind of leak); ``expand``: for all items of a template, not the first alone."""
+    out = []
+    for plain, more in zip(found_by(index.bare, both[0], n_texts), found_by(index.template, both[1], n_texts), strict=True):
+        rows, known = [row for _, row, _ in plain], {item for item, _, _ in plain}
+        for item, row, covered in more:
+            members = index.members(item)
+            if not expand or len(members) == 1:
+                rows += [row] * (item not in known)
+                continue
+            # members differ from each other in the values of their slots only
+            at = np.array(list(covered.items()), np.int64).reshape(-1, 2)
+            at = at[index.template.t.kind[at[:, 0]] != LITERAL]
+            places = index.template.begin[members][:, None] + (at[:, 0] - index.template.begin[item])
+            changed = (index.template.t.literal[places] != both[1].literal[at[:, 1]]).sum(1).tolist()
+            for m, n in zip(members.tolist(), changed, strict=True):
+                if m not in known:
+                    rows.append((index.template.ids[m], *row[1:4], n, row[5] if row[5] == "edited" else "reparameterised" if n else "exact"))
+        out.append(rows)
+    return out
+
+
+def found_by(index: Entries, t: Template, n_texts: int) -> list[list[tuple[int, tuple, dict[int, int]]]]:
+    """For each text the items found, with their rows and covered words, by one way of reading."""
+    held = [hits(index, t, exact) for exact in (False, True)]
+    good = enough(index, t, *held[1])
+    if len(held[0][0]):
+        pairs = lambda p, q: t.owner[p].astype(np.int64) * len(index.size) + index.t.owner[q]
+        good |= np.isin(pairs(held[1][0], held[1][1]), pairs(held[0][0], held[0][1]))
+    spans, bare = diagonals(index, *held[0], t), diagonals(index, *(x[good] for x in held[1]), t)
     count = np.bincount(t.owner, minlength=n_texts)
     begin = np.cumsum(count) - count
-    out: list[list[tuple]] = [[] for _ in range(n_texts)]
+    out: list[list[tuple[int, tuple, dict[int, int]]]] = [[] for _ in range(n_texts)]
     for text, item in {**spans, **bare}:
         low, high = int(index.begin[item]), int(index.begin[item] + index.size[item])
         first, last = int(begin[text]), int(begin[text] + count[text])
@@ -175,11 +302,11 @@ def found_in(index: Index, t: Template, n_texts: int) -> list[list[tuple]]:
         runs = {*extended(spans.get((text, item), {})), *extended(bare.get((text, item), {}))}
         row = judged(index, t, item, sorted(runs, key=lambda r: (r.low + r.shift, r.shift, r.high)))
         if row is not None:
-            out[text].append(row)
+            out[text].append((item, *row))
     return out
 
 
-def consistent(index: Index, t: Template, run: Run) -> Iterator[tuple[Run, frozenset]]:
+def consistent(index: Entries, t: Template, run: Run) -> Iterator[tuple[Run, frozenset]]:
     """The longest parts of a run without a contradiction among their slots, and these slots (kind, value there, value here)."""
     at = [q for q in range(run.low, run.high) if index.t.kind[q] != LITERAL]
     slots = [(int(index.t.kind[q]), int(index.t.literal[q]), int(t.literal[q + run.shift])) for q in at]
@@ -201,8 +328,8 @@ def consistent(index: Index, t: Template, run: Run) -> Iterator[tuple[Run, froze
         back = {(x, z): y for x, y, z in slots[first:last]}
 
 
-def judged(index: Index, t: Template, item: int, runs: list[Run]) -> tuple | None:
-    """The row of a leak, from the runs of the item's words in a text, in the text's order.
+def judged(index: Entries, t: Template, item: int, runs: list[Run]) -> tuple[tuple, dict[int, int]] | None:
+    """The row of a leak and the covered words with their places, from the runs of the item's words in a text, in the text's order.
 
     Every run starts a copy: the other runs near it, nearest first, are added as far as their slots
     agree with those already in.  One more copy starts at the longest run and takes in runs from the
@@ -239,7 +366,7 @@ def judged(index: Index, t: Template, item: int, runs: list[Run]) -> tuple | Non
         changed, covered = copy(i, sorted((j for j in range(a, b) if j != i), key=lambda j: (abs(start[j] - start[i]), j)))
         if len(covered) >= need and (best is None or (-len(covered), changed) < best[0]):
             slots = sum(bool(slot[q]) for q in covered)
-            best = (-len(covered), changed), (index.ids[item], len(covered), size, slots, changed, "reparameterised" if changed else "exact")
+            best = (-len(covered), changed), ((index.ids[item], len(covered), size, slots, changed, "reparameterised" if changed else "exact"), covered)
         if len(covered) == size and not changed:
             break
     if best is not None:
@@ -247,9 +374,10 @@ def judged(index: Index, t: Template, item: int, runs: list[Run]) -> tuple | Non
     literal = {q for r in runs for q in range(r.low, r.high) if index.t.literal[q] == t.literal[q + r.shift]}
     if len(literal) < need:
         return None
-    covered = {q for r in runs for q in range(r.low, r.high)}
+    covered = {q: q + r.shift for r in runs for q in range(r.low, r.high)}
+    covered |= {q: q + r.shift for r in runs for q in range(r.low, r.high) if index.t.literal[q] == t.literal[q + r.shift]}
     slots = sum(bool(slot[q]) for q in covered)
-    return index.ids[item], len(covered), size, slots, sum(bool(slot[q]) and q not in literal for q in covered), "edited"
+    return (index.ids[item], len(covered), size, slots, sum(bool(slot[q]) and q not in literal for q in covered), "edited"), covered
 
 
 FOUND = "doc_id bigint, item_id bigint, n_covered bigint, n_item_words bigint, n_slots bigint, n_changed bigint, kind string"
@@ -262,10 +390,10 @@ def found_batch(ids: list, found: list[list[tuple]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [*[pa.int64()] * 6, pa.string()], strict=True)], NAMES)
 
 
-def scanned(column: pa.Array, index: Index) -> Iterator[list[tuple]]:
+def scanned(column: pa.Array, index: Index, expand: bool = True) -> Iterator[list[tuple]]:
     buf, offs = buffer_of(column)
     for a, b in slices(offs):
-        yield from found_in(index, template(*cut(buf, offs, a, b)), b - a)
+        yield from found_in(index, templates(*cut(buf, offs, a, b)), b - a, expand)
 
 
 def plain_items(benchmark: DataFrame) -> DataFrame:
@@ -284,19 +412,20 @@ def small_index(benchmark: DataFrame, block_mb: float) -> Index | None:
 # -- benchmarks of any size: a hash join of window keys ----------------------------------------------------
 
 
-def tag(k: int, exact: bool) -> U64:
-    return U64(2 * k + exact + 1)
+def tag(k: int, exact: bool, loose: bool) -> U64:
+    return U64(4 * k + 2 * loose + exact + 1)
 
 
-def text_keys(t: Template, n_texts: int, sizes: list[int], whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def text_keys(both: tuple[Template, Template], n_texts: int, sizes: list[int], whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Text and key of all windows that may be used; ``whole``: windows shorter than ``WINDOW`` must be the whole text."""
-    count = np.bincount(t.owner, minlength=n_texts)
-    for k in sizes:
-        for exact in (False, True):
-            keys, good = windows(t, k, exact)
-            if whole and k < WINDOW:
-                good = good & (count[t.owner[: len(keys)]] == k)
-            yield t.owner[: len(keys)][good], joined_hash(keys[good], np.full(int(good.sum()), tag(k, exact)))
+    for loose, t in enumerate(both):
+        count = np.bincount(t.owner, minlength=n_texts)
+        for k in sizes:
+            for exact in (False, True) if loose else (True,):
+                keys, good = windows(t, k, exact)
+                if whole and k < WINDOW:
+                    good = good & (count[t.owner[: len(keys)]] == k)
+                yield t.owner[: len(keys)][good], joined_hash(keys[good], np.full(int(good.sum()), tag(k, exact, bool(loose))))
 
 
 def keyed(rows: DataFrame, sizes: list[int], bits: object | None) -> DataFrame:
@@ -306,7 +435,7 @@ def keyed(rows: DataFrame, sizes: list[int], bits: object | None) -> DataFrame:
         for batch in batches:
             buf, offs = buffer_of(batch.column(1))
             for a, b in slices(offs):
-                held = [x for x in text_keys(template(*cut(buf, offs, a, b)), b - a, sizes, bits is None)]
+                held = [x for x in text_keys(templates(*cut(buf, offs, a, b)), b - a, sizes, bits is None)]
                 own, keys = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, int), np.zeros(0, np.uint64))
                 if bits is not None:
                     some = np.flatnonzero(bits.value[(keys & U64(BITS - 1)).astype(np.int64) >> 3] >> (keys & U64(7)).astype(np.uint8) & 1)
@@ -402,7 +531,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, block_mb: float = BLOC
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([not found for found in scanned(batch.column(at), shared.value)], pa.bool_()))
+            yield batch.filter(pa.array([not found for found in scanned(batch.column(at), shared.value, False)], pa.bool_()))
 
     return spread(docs).mapInArrow(run, docs.schema)
 
