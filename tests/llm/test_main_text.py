@@ -91,6 +91,50 @@ def test_hand_written_pages():
     assert len(wrong) <= 3, wrong
 
 
+STORY = ("Harbour closed by storm", "Ships stayed at sea overnight while the wind rose to ten.", "By morning two of them had reached the harbour, and the crews went ashore.")
+STORY_HTML = f"<h1>{STORY[0]}</h1><p>{STORY[1]}</p><p>{STORY[2]}</p>"
+NAMES = (
+    "user-content message-body info more-text thread-text offer bottom comment-text see-also related-story newsletter-issue promo alert warning "
+    "content sidebar footer menu banner popup subscribe share ad tools print-view archive-page form-text site-header reader copyright-page"
+).split()
+#: Junk without any name or telling tag.
+UNMARKED = {
+    "comments": "<div><h3>3 replies</h3><div><b>Tom</b><p>Mine did not rise, what went wrong?</p></div><div><b>Eva</b><p>Lovely, thank you!</p></div></div>",
+    "dated comments": "<div><h4>2 comments</h4><div><b>Ann</b> 3 days ago <p>Was anyone hurt?</p></div><div><b>Jo</b> 2 days ago <p>Nobody, they say.</p></div></div>",
+    "notice": "<div><p>We use cookies to make this site work.</p><button>Accept</button></div>",
+    "newsletter": "<div><p>Subscribe to our newsletter</p><p>News every morning.</p></div>",
+    "links": '<div><h3>Related stories</h3><ul><li><a href="/a">Ferry prices rise</a></li><li><a href="/b">New bus line</a></li></ul></div>',
+    "menu": '<ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/s">Sports</a></li></ul>',
+}
+
+
+def test_article_stays_whatever_its_name():
+    from waybill.llm.op2_html import main_texts, shipped
+
+    pages = [f"<html><body><{tag} {a}='{name}'>{STORY_HTML}</{tag}></body></html>" for name in NAMES for tag in ("div", "section") for a in ("class", "id")]
+    got = main_texts(pages, shipped())
+    assert [p for p, t in zip(pages, got, strict=True) if t != " ".join(STORY)] == []
+
+
+def test_junk_goes_without_a_name():
+    from waybill.llm.op2_html import main_texts, shipped
+
+    pages = {n: f"<html><body><div>{STORY_HTML}</div>{junk}</body></html>" for n, junk in UNMARKED.items()}
+    got = dict(zip(pages, main_texts(list(pages.values()), shipped()), strict=True))
+    assert {n: t for n, t in got.items() if t != " ".join(STORY)} == {}
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    from waybill.llm.op2_html import main_texts, shipped
+
+    for source in ("<b>x" * 125_000 + "</i>" * 125_000, "<span>" * 80_000 + "</div>" * 80_000, "<span>" * 60_000 + "<h1>a</h1>" * 60_000, "<div>x" * 60_000, "<td>x" * 100_000, "<p><b>" * 100_000):
+        began = time.perf_counter()
+        main_texts([source], shipped())
+        assert time.perf_counter() - began < 20, source[:20]
+
+
 def test_very_long_deep_and_odd_pages():
     from waybill.llm.op2_html import main_texts, shipped
 

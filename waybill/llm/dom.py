@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,6 +22,8 @@ CLOSES_P = BLOCK - {"html", "body", "button", "label", "td", "th", "tr", "tbody"
 #: Beyond these an open element stays open.
 SCOPE = frozenset("ul ol dl table td th div section article main aside blockquote body html".split())
 
+DEEPEST = 500
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
 )
@@ -41,6 +45,15 @@ TOKENS = {
     "share": "share sharing social follow facebook twitter print email tools toolbar meta byline author bio",
     "main": "article content main post entry body story text maincontent articlebody page hentry copy prose blog news primary read document",
 }
+#: What junk says of itself, by kind; phrases that prose seldom holds weigh as a share of the words.
+CUES = (
+    r"©|\(c\)|\bcopyright\b|all rights reserved|\bprivacy\b|\bterms\b|\bimprint\b|\bimpressum\b|datenschutz|\bpowered by\b|derechos reservados|tous droits",
+    r"\bcookies?\b|\bconsent\b|\baccept\b|\bsubscribe\b|\bnewsletter\b|\bsign up\b|\bsign in\b|\blog in\b|\bjavascript\b|\bagree\b|akzeptieren|aceptar|accepter|\bgot it\b|\bdismiss\b",
+    r"\d+ (?:comments?|repl(?:y|ies)|responses?|kommentare?|comentarios?)\b|\breply\b|\bleave a comment\b|\b\d+ (?:minutes?|hours?|days?|weeks?|months?|years?) ago\b|\bantworten\b|\bresponder\b|\bcomments\b|\blikes?\b|\bupvote|\bpermalink\b",
+    r"\badvertisement\b|\bsponsored\b|\banzeige\b|\bpublicidad\b|\bbuy now\b|\bshop now\b|\border now\b|\b\d+ ?% off\b|\bfree shipping\b|\bspecial offer\b|\bad\b|\bpromo\b",
+    r"\brelated\b|\bread (?:more|also|next)\b|\bmore from\b|\bmost (?:read|popular)\b|\btrending\b|\bshare\b|\btweet\b|\bfollow us\b|\bsee also\b|\brecommended\b|\btags?:|\byou may also like\b",
+)
+CUE = [re.compile(c, re.I) for c in CUES]
 WORDS = {w: i for i, (_, ws) in reversed(list(enumerate(TOKENS.items()))) for w in ws.split()}
 N_TOKENS = len(TOKENS)
 
@@ -88,6 +101,9 @@ def parse(source: str) -> Page:
     page = Page()
     root = page.add("body", -1)
     stack: list[tuple[str, int]] = [("body", root)]
+    # where elements of each name, blocks and scopes stand in the stack: no tag has to pass over the stack
+    places: dict[str, list[int]] = defaultdict(list)
+    block_places, scope_places = [0], [0]
     run: list[str] = []
     state = {"links": 0, "linked": 0, "inline": 0}
     owner = root
@@ -111,12 +127,20 @@ def parse(source: str) -> Page:
 
     def close(i: int) -> None:
         nonlocal owner
-        if any(t in BLOCK for t, _ in stack[i:]):
+        if block_places[-1] >= i:
             flush()
-        state["links"] -= sum(t == "a" for t, _ in stack[i:])
+        for t, _ in stack[i:]:
+            places[t].pop()
+            state["links"] -= t == "a"
         del stack[i:]
+        for held in (block_places, scope_places):
+            while held[-1] >= i:
+                held.pop()
         owner = stack[-1][1]
 
+    def last(names: Iterable[str]) -> int:
+        return max((places[t][-1] for t in names if places[t]), default=0)
+
     at, n = 0, len(source)
     while at < n:
         m = TOKEN.search(source, at)
@@ -130,15 +154,11 @@ def parse(source: str) -> Page:
             continue
         name, end, attrs = name.lower(), m[1] or m[4], m[3] or m[6] or ""
         if end:
-            if name == "p" and all(t != "p" for t, _ in stack):
+            i = last((name,))
+            if i and (name in BLOCK or i > block_places[-1]):
+                close(i)
+            elif name == "p" and not i:
                 flush()
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
-                if name not in BLOCK and stack[i][0] in BLOCK:
-                    break
             continue
         if name in RAW:
             if not attrs.rstrip().endswith("/") or name in ("script", "style"):
@@ -160,28 +180,26 @@ def parse(source: str) -> Page:
         if name in ("html", "body"):
             continue
         if name in BLOCK:
-            if name in CLOSES_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        close(i)
-                        break
-                    if stack[i][0] in SCOPE:
-                        break
-            if name in CLOSES:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in CLOSES[name]:
-                        close(i)
-                        if name != "tr" or stack[-1][0] != "tr":
-                            break
-                    elif stack[i][0] in SCOPE - CLOSES[name]:
-                        break
+            if name in CLOSES_P and (i := last("p")) > scope_places[-1]:
+                close(i)
+            while name in CLOSES and (i := last(CLOSES[name])) > last(SCOPE - CLOSES[name]):
+                close(i)
+                if name != "tr" or stack[-1][0] != "tr":
+                    break
             flush()
+            while page.depth[owner] >= DEEPEST:  # as in browsers, deeper blocks become siblings
+                owner = page.parent[owner]
             owner = page.add(name, owner, attrs)
         else:
             state["inline"] += 1
             if name == "a":
                 state["links"] += 1
         if not attrs.rstrip().endswith("/") or name in BLOCK:
+            places[name].append(len(stack))
+            if name in BLOCK:
+                block_places.append(len(stack))
+            if name in SCOPE:
+                scope_places.append(len(stack))
             stack.append((name, owner))
     flush()
     return page
@@ -221,6 +239,7 @@ class Forest:
         return out
 
 
+JUNK_COLUMNS = [TAGS.index(t) for t in ("nav", "header", "footer", "aside", "form", "button")]
 TAG_COLUMN = {t: TAGS.index(ALIAS.get(t, t)) for t in (*TAGS, *ALIAS) if ALIAS.get(t, t) in TAGS}
 
 
@@ -264,10 +283,26 @@ def features(pages: list[Page], forest: Forest) -> np.ndarray:
     before -= before[f.root][f.page]
     chars = np.maximum(total[:, 0], 1)
     per_word = np.maximum(total[:, 1], 1)
+    cues = np.array([[len(c.findall(t)) if t else 0 for c in CUE] for t in texts], float).reshape(n, len(CUE))
+    before_cue = np.zeros_like(cues)  # what the node before it says, such as a heading
+    for at, _, first in f.levels:
+        follows = np.ones(len(at), bool)
+        follows[first] = False
+        k = np.flatnonzero(follows)
+        before_cue[at[k]] = cues[at[k - 1]]
+    cue_total = cues.copy()
+    f.rise(cue_total, np.add)
+    # names and tags are only to be trusted if text remains without the nodes that they speak against
+    junk = (tokens[:, :-1].sum(1) > 0) | np.isin(column, JUNK_COLUMNS)
+    clean = size * ~(junk | (f.sink(junk[:, None].astype(float))[:, 0] > 0))
+    f.rise(clean, np.add)
+    page_clean = clean[f.root][f.page]
     rest = np.stack([
+        np.log1p(page_clean), np.log1p(page_clean - clean), clean / np.maximum(total[:, 0], 1), page_clean / whole, np.log1p(whole - total[:, 0]),
         np.log1p(total[:, 0]), np.log1p(total[:, 1]), np.log1p(longest), total[:, 3] / chars, total[up, 3] / chars[up], total[:, 2] / per_word,
         chars / np.maximum(total[:, 5], 1), total[:, 4] / per_word, total[:, 6], total[:, 0] / whole, total[:, 0] / chars[up], own / chars,
         f.depth, index, n_children, n_children[up], same / np.maximum(n_children[up], 1), prev_same, before / whole, np.log1p(total[up, 0]), hidden, np.maximum(hidden, above[:, -1]),
         total[:, 0] / per_word, numbers("named"), np.log1p(whole),
     ], 1)
-    return np.concatenate([rest, tags, above[:, : len(TAGS)], np.minimum(tokens, 3), np.minimum(above[:, len(TAGS) : -1], 3), below], 1).astype(np.float32)
+    cue_share = np.minimum(cue_total / np.maximum(total[:, 1:2], 1), 1)
+    return np.concatenate([rest, np.minimum(cue_total, 4), cue_share, cue_share[up], np.minimum(before_cue, 2), tags, above[:, : len(TAGS)], np.minimum(tokens, 3), np.minimum(above[:, len(TAGS) : -1], 3), below], 1).astype(np.float32)

@@ -28,7 +28,9 @@ from .dom import Forest, Page, features, parse
 from .page_samples import Writer, pages
 from .store import spread
 
-SAMPLE = 2500
+SAMPLE = 3000
+#: Pages are decoded together until they have so many nodes.
+NODES = 20_000
 MODEL = "main_text_model.json"
 
 
@@ -117,20 +119,30 @@ def decoded(forest: Forest, size: np.ndarray, keep: np.ndarray, drop: np.ndarray
 def main_texts(sources: list[str | None], models: tuple[Trees, Trees]) -> list[str]:
     """The main text of every page."""
     out: list[str] = []
-    for a in range(0, len(sources), 256):
-        some = sources[a : a + 256]
-        read_pages = [parse(s) for s in some if s]
-        if not read_pages:
-            out += [""] * len(some)
-            continue
-        forest = Forest(read_pages)
-        bins = models[0].binned(features(read_pages, forest))
-        texts = [t for p in read_pages for t in p.text]
-        kept = decoded(forest, np.fromiter(map(len, texts), float, len(texts)), models[0].logit(bins), models[1].logit(bins)).tolist()
-        bounds = iter(zip(forest.root.tolist(), [*forest.root[1:].tolist(), forest.n], strict=True))
-        for s in some:
-            x, y = next(bounds) if s else (0, 0)
-            out.append(" ".join(texts[i] for i in range(x, y) if kept[i] and texts[i]))
+    held: list[Page | None] = []
+    n_nodes = 0
+
+    def decode() -> None:
+        read_pages = [p for p in held if p]
+        if read_pages:
+            forest = Forest(read_pages)
+            bins = models[0].binned(features(read_pages, forest))
+            texts = [t for p in read_pages for t in p.text]
+            kept = decoded(forest, np.fromiter(map(len, texts), float, len(texts)), models[0].logit(bins), models[1].logit(bins)).tolist()
+        first = 0
+        for p in held:
+            after = first + (len(p.tag) if p else 0)
+            out.append(" ".join(texts[i] for i in range(first, after) if kept[i] and texts[i]))
+            first = after
+        held.clear()
+
+    for source in sources:
+        held.append(parse(source) if source else None)
+        n_nodes += len(held[-1].tag) if held[-1] else 0
+        if n_nodes >= NODES:
+            decode()
+            n_nodes = 0
+    decode()
     return out
 
 

@@ -1,15 +1,28 @@
 """Labelled sample pages for the HTML extractor: random layouts with marked main text.
 
-Everything that is not main text shows it: by its tag, by a word in its class, id or role, or by
-being a list of links outside the main text.  Main text comes in all block tags, bare, between line
-breaks, in tables, in wrappers with and without names, and on pages without any tags.
+Everything that is not main text shows it: by its tag, by a word in its class, id or role, by being a
+list of links outside the main text, or by what it says.  On half of the pages names are dropped or mislead: junk has none
+and says what it is, and wrappers of main text bear names of junk.  Main text comes in all block tags, bare,
+between line breaks, in tables, in wrappers with and without names, and on pages without any tags.
 """
 
 from __future__ import annotations
 
 import random
+import re
+
+from .dom import TOKENS
 
 SYLLABLES = "ba be bi bo bu ca ce co da de di do fa fe ga ge go ha he hi ho la le li lo lu ma me mi mo na ne ni no nu pa pe pi po ra re ri ro sa se si so su ta te ti to tu va ve vi wa we an en in on er es st nd th ing tion ß é ñ".split()
+#: What junk says, by kind; ``#`` is a number and ``@`` a name.
+SAYINGS = {
+    "foot": ("© 20## @", "Copyright 20## @. All rights reserved.", "Copyright # @ &middot; Privacy &middot; Terms", "All rights reserved.", "&copy; @ Privacy policy | Terms of use", "Imprint and privacy", "Powered by @"),
+    "notice": ("We use cookies to improve this site. Accept", "This site uses cookies.", "Subscribe to our newsletter", "Sign up for news from @", "By going on you agree to our use of cookies. Got it", "Please enable JavaScript.", "Accept all cookies", "Sign in to read on"),
+    "talk": ("# comments", "# replies", "3 responses", "Leave a comment", "# Kommentare", "Comments", "Reader comments"),
+    "ad": ("Advertisement", "Sponsored", "Anzeige", "Buy now and save #0 % off", "Shop now", "Special offer from @: free shipping", "Ad"),
+    "side": ("Related stories", "Read more", "Most popular", "Trending now", "More from @", "You may also like", "See also", "Recommended for you"),
+    "share": ("Share this", "Follow us", "Tweet Share", "Tags: @, @", "Share on @"),
+}
 LABELS = "Home About Contact News Sports Login Register Share Tweet Print Next Previous Archive Tags Search Help Terms Privacy Jobs Shop".split()
 
 
@@ -20,6 +33,9 @@ class Writer:
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        #: How far names tell: always, seldom (junk then says what it is), or misleading around main text.
+        self.dull = self.chance(0.45)
+        self.misled = self.chance(0.3)
 
     def one(self, *options: str) -> str:
         return self.r.choice(options)
@@ -37,8 +53,29 @@ class Writer:
         return " ".join(self.words(2, 16).capitalize() + self.one(".", ".", ".", "!", "?") for _ in range(sentences))
 
     def named(self, *names: str) -> str:
-        """A class, id or role that tells what the element is."""
-        name = self.r.choice(names)
+        """A class, id or role that tells what the element is; on dull pages mostly none."""
+        if self.dull and self.chance(0.9):
+            return self.plain()
+        return self.called(self.r.choice(names))
+
+    def misnamed(self) -> str:
+        """A name that speaks of junk."""
+        words = self.r.choice(list(TOKENS.values())).split()
+        name = self.r.choice(words)
+        return self.called(self.one(name, name, f"{name}-{self.one('content', 'body', 'text', 'box', 'page', 'story', 'item')}", f"{self.one('user', 'main', 'page', 'site', 'post')}-{name}"))
+
+    def says(self, kind: str) -> str:
+        """What junk of a kind says, in a block of its own or bare."""
+        text = "".join(str(self.r.randint(1, 9)) if c == "#" else self.word().capitalize() if c == "@" else c for c in self.r.choice(SAYINGS[kind]))
+        return self.one(text + " ", f"<p>{text}</p>", f"<h3>{text}</h3>", f"<span>{text}</span> ", f"<div>{text}</div>", f"<b>{text}</b><br>")
+
+    def said(self, kind: str, body: str) -> str:
+        """Junk with what it says before or behind it; on dull pages always."""
+        if not self.dull and self.chance(0.6):
+            return body
+        return body + self.says(kind) if kind in ("foot", "notice") and self.chance(0.4) else self.says(kind) + body
+
+    def called(self, name: str) -> str:
         value = self.one(name, name, f"{name} {self.word()}", f"{self.word()}-{name}", f"{name}-{self.word()}", f"site-{name}", f"{name}_{self.r.randint(1, 9)}", f"js{name.capitalize()}")
         return f' {self.one("class", "class", "class", "id")}="{value}"'
 
@@ -79,17 +116,17 @@ class Writer:
 
     def footer(self) -> str:
         body = self.one("&copy; ", "", "Copyright ") + self.one(self.junk_body(), self.junk_body(), self.menu(), self.words(2, 9) + " &middot; " + self.prose(self.r.randint(1, 5)))
-        return self.shown("footer", ("footer", "bottom", "copyright", "legal", "imprint"), body)
+        return self.shown("footer", ("footer", "bottom", "copyright", "legal", "imprint"), self.said("foot", body) if not self.dull or self.chance(0.5) else self.says("foot") + self.one("", self.words(1, 6), " ".join(self.links(2))))
 
     def sidebar(self) -> str:
         body = "".join(self.junk_body() for _ in range(self.r.randint(1, 3)))
-        return self.shown("aside", ("sidebar", "related", "widget", "recommended", "rail", "popular", "trending"), body)
+        return self.shown("aside", ("sidebar", "related", "widget", "recommended", "rail", "popular", "trending"), self.said("side", body if not self.dull else f"<ul><li>{'</li><li>'.join(self.links(self.r.randint(2, 6)))}</li></ul>"))
 
     def advert(self) -> str:
-        return self.shown("", ("ad", "advert", "ads", "sponsored", "promo", "advertisement", "ad-box", "banner"), self.junk_body(), ("div", "div", "section", "aside", "p", "ul", "table"))
+        return self.shown("", ("ad", "advert", "ads", "sponsored", "promo", "advertisement", "ad-box", "banner"), self.said("ad", self.junk_body() if not self.dull else self.one(self.words(2, 9), f"<p>{self.prose(1)}</p>", " ".join(self.links(2)))), ("div", "div", "section", "aside", "p", "ul", "table"))
 
     def notice(self) -> str:
-        body = self.junk_body() + self.one("", "", "<button>OK</button>")
+        body = self.said("notice", self.junk_body() if not self.dull else self.one("", self.prose(1), f"<p>{self.prose(1)}</p>")) + self.one("", "", "<button>OK</button>", "<button>Accept</button>")
         if self.chance(0.15):
             return f'<div role="{self.one("alert", "dialog", "alertdialog")}"{self.named("cookie", "consent", "notice")}>{body}</div>'
         return self.shown("", ("cookie-notice", "notice", "alert", "consent", "cookie-banner", "gdpr", "newsletter", "popup", "subscribe", "modal", "paywall"), body, ("div", "section", "aside", "p"))
@@ -101,15 +138,17 @@ class Writer:
     def comments(self) -> str:
         def entry() -> str:
             text = self.prose(self.r.randint(1, 5))
-            by = self.one("", f"<h4>{self.word()}</h4>", f"<span>{self.word()}</span> ", f"<b>{self.word()}:</b> ")
+            by = self.one("", f"<h4>{self.word()}</h4>", f"<span>{self.word()}</span> ", f"<b>{self.word()}:</b> ", f"<b>{self.word()}</b> {self.r.randint(1, 30)} {self.one('minutes', 'hours', 'days')} ago ")
+            if self.dull or self.chance(0.2):
+                text += self.one("", " Reply", ' <a href="#r">Reply</a>')
             tag = self.one("div", "li", "article", "p")
             return f"<{tag}{self.named('comment', 'reply', 'comment-body') if self.chance(0.6) else self.plain()}>{by}{text if tag == 'p' or self.chance(0.4) else '<p>' + text + '</p>'}</{tag}>"
 
-        inner = self.one("", f"<h3>{self.words(1, 2)}</h3>") + "".join(entry() for _ in range(self.r.randint(1, 6)))
+        inner = (self.says("talk") if self.dull or self.chance(0.4) else self.one("", f"<h3>{self.words(1, 2)}</h3>")) + "".join(entry() for _ in range(self.r.randint(1, 6)))
         return self.shown("", ("comments", "comment-list", "discussion", "replies", "reader-comments", "responses", "disqus"), inner, ("div", "section", "ol", "div"))
 
     def share(self) -> str:
-        return self.shown("", ("share", "social", "share-tools", "tags", "author-bio"), self.one(" ".join(self.links(3)), self.words(2, 8)), ("div", "div", "ul", "p"))
+        return self.shown("", ("share", "social", "share-tools", "tags", "author-bio"), self.said("share", self.one(" ".join(self.links(3)), self.words(2, 8) if not self.dull else "")), ("div", "div", "ul", "p"))
 
     def junk(self) -> str:
         return self.r.choice([self.advert, self.advert, self.share, self.sidebar, self.notice, self.form, self.menu, self.comments])()
@@ -168,9 +207,9 @@ class Writer:
                 body = f"<main{self.plain()}>{body}</main>"
             elif x < 0.7:
                 tag = self.one("div", "section")
-                body = f"<{tag}{self.named('content', 'article', 'post', 'entry-content', 'story', 'main', 'text', 'body')}>{body}</{tag}>"
+                body = f"<{tag}{self.misnamed()}>{body}</{tag}>" if self.misled else f"<{tag}{self.named('content', 'article', 'post', 'entry-content', 'story', 'main', 'text', 'body')}>{body}</{tag}>"
             elif x < 0.9:
-                body = f"<div{self.plain()}>{body}</div>"
+                body = f"<div{self.misnamed() if self.misled and self.chance(0.5) else self.plain()}>{body}</div>"
             elif x < 0.95:
                 body = f"<center>{body}</center>"
             else:
@@ -180,6 +219,10 @@ class Writer:
     def article(self) -> str:
         title = self.on(self.words(2, 9))
         parts = [x for _ in range(self.r.choice([1, 1, 2, 3, 5])) for x in self.blocks()]
+        if self.chance(0.15):  # an article may say what junk says, in a paragraph among others
+            kind = self.r.choice(list(SAYINGS))
+            said = re.sub("<[^>]+>", "", self.says(kind)).strip()
+            parts.insert(self.r.choice([len(parts), len(parts), self.r.randint(0, len(parts))]), f"<p>{self.on(self.one(said, said, said + ' ' + self.prose(2), self.prose(2) + ' ' + said))}</p>")
         for _ in range(self.r.choice([0, 0, 0, 0, 1, 1, 2])):
             parts.insert(self.r.randint(0, len(parts)), self.junk())
         x = self.r.random()
@@ -199,6 +242,10 @@ class Writer:
             return "".join(self.blocks())
         if x < 0.11:
             return f"<html><body>{self.on(self.paragraph())}</body></html>"
+        if x < 0.2:  # one block of main text, whatever its name, with or without cued junk beside it
+            body = f"<h{self.r.randint(1, 2)}>{self.on(self.words(2, 8))}</h1>" * self.chance(0.7) + "".join(f"<p>{self.on(self.paragraph())}</p>" for _ in range(self.r.randint(1, 5)))
+            self.dull, more = True, [f() for f, p in ((self.comments, 0.2), (self.notice, 0.3), (self.footer, 0.4)) if self.chance(p) and x > 0.13]
+            return f"<html><body><div{self.misnamed() if self.chance(0.7) else self.plain()}>{body}</div>{''.join(more)}</body></html>"
         bare = self.chance(0.15)
         top = [] if bare else [f() for f, p in ((self.notice, 0.25), (self.header, 0.5), (self.menu, 0.7), (self.form, 0.2), (self.advert, 0.35), (self.menu, 0.15)) if self.chance(p)]
         end = [] if bare else [f() for f, p in ((self.sidebar, 0.4), (self.comments, 0.25), (self.advert, 0.25), (self.form, 0.15), (self.notice, 0.15), (self.menu, 0.15), (self.footer, 0.75)) if self.chance(p)]
