@@ -660,11 +660,11 @@ def test_many_items_of_one_template_cost_one_match():
     index = Index(items)
     doc = pa.array(["Karl " + question.format(500_001, 500_002, 500_003)[5:]])
     began = time.perf_counter()
-    assert len(list(scanned(doc, index, False))[0]) == 1 and time.perf_counter() - began < 3
+    assert 1 <= len(list(scanned(doc, index, False))[0]) <= 5 and time.perf_counter() - began < 3
     rows = list(scanned(doc, index))[0]
     assert time.perf_counter() - began < 6
-    # name and three numbers, if the item's three are all different; all but the few items with equal ones
-    assert len(rows) > 190_000 and {(f[4], f[5]) for f in rows} == {(4, "reparameterised")}
+    # name and three numbers; items two of whose numbers are equal are other templates and match in part
+    assert len(rows) > 190_000 and {f[5] for f in rows} == {"reparameterised"} and Counter(f[4] for f in rows)[4] > 190_000
     one = list(scanned(pa.array([f"x {items[7][1]} y"]), index))[0]
     assert [f[0] for f in one if f[5] == "exact"] == [7]
 
