@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import json
 import math
+import random
 import re
 from collections import Counter
 from decimal import ROUND_HALF_EVEN, Decimal, localcontext
@@ -15,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waybill.functions import exact, hashing, text
-from waybill.operators import audit, checks, learn, materialise, routing, scoring, stats
+from waybill.operators import audit, checks, learn, learned, materialise, routing, scoring, stats
 from waybill.operators.order import ranked
 from waybill.plans.catalog import QUERIES, SQL
 from waybill.sources import documents
@@ -202,14 +203,65 @@ def test_hashes_equal_python(spark):
 
 
 def test_vectors_have_unit_bins(spark, edges):
-    for r in learn.feature_vectors(edges, 32).collect():
-        assert len(r["features"]) == 46
+    held = learn.sparse_vectors(edges, 32)
+    for r in held.withColumn("features", learn.dense_form(F.col("at"), F.col("value"), 46)).collect():
+        assert len(r["features"]) == 46 and r["at"] == sorted(set(r["at"])) and r["at"][:14] == list(range(14))
+        assert all(r["features"][i] == v for i, v in zip(r["at"], r["value"], strict=True))
         norm = sum(x * x for x in r["features"][14:])
         assert abs(norm - 1) < 1e-9 or norm == 0
     with pytest.raises(ValueError):
         learn.check_bins(48)
 
 
+def test_tiles_equal_the_whole_matrix(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(90, 40)) * (r.random((90, 40)) < 0.3)
+    x[:, 7], x[11] = 0, 0
+    y = r.normal(size=(90, 3))
+    dense = [(i % 4, x[i].tolist(), y[i].tolist()) for i in range(90)]
+    sparse = [(i % 4, np.flatnonzero(x[i]).tolist(), x[i][x[i] != 0].tolist(), y[i].tolist()) for i in range(90)]
+    z = np.concatenate([np.ones((90, 1)), x, y], 1)
+    frames = spark.createDataFrame(dense, "fold int, features array<double>, targets array<double>"), spark.createDataFrame(sparse, "fold int, at array<int>, value array<double>, targets array<double>")
+    for frame in frames:
+        for tile in (64, 44, 16, 7):
+            held = learn.Moments(frame.repartition(3), 40, 3, 5, tile)
+            for f in range(4):
+                own = z[np.arange(90) % 4 == f]
+                assert np.allclose(held[f], own.T @ own)
+            assert not held[4].any() and np.allclose(held[None], z.T @ z)
+    one, other = learn.fitted_dual(frames[1], 40, 3.0), learn.ridge(z.T @ z, 40, 3.0)
+    assert all(np.allclose(a, b) for a, b in zip(one, other, strict=True))
+
+
+def test_wide_bins_equal_numpy(spark):
+    """16,384 bins: products in tiles, heads by the dual form, predictions from sparse rows."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    e = spark.createDataFrame([(str(i), " ".join(r.choice(words) for _ in range(r.randint(0, 60)))) for i in range(120)], "episode_id string, text string")
+    n = 14 + 16384
+    rows = learn.sparse_vectors(e, 16384).select("episode_id", F.pmod(F.col("episode_id").cast("int"), F.lit(2)).alias("fold"), "at", "value", F.array(F.size("at").cast("double"), F.col("episode_id").cast("double")).alias("targets")).cache()
+    held = rows.collect()
+    x, y = np.zeros((120, n)), np.array([h["targets"] for h in held])
+    for i, h in enumerate(held):
+        x[i, h["at"]] = h["value"]
+    mean, scale, coef, intercept = learn.fitted_dual(rows, n, 2.0)
+    s = x.std(0)
+    s[s < 1e-12] = 1
+    z = (x - x.mean(0)) / s
+    want = z.T @ np.linalg.solve(z @ z.T + 2 * np.eye(120), y - y.mean(0))
+    assert np.allclose(coef, want) and np.allclose(scale, s)
+    tiles = learn.tiled_moments(learn.sparse_rows(rows, n), n + 3, 2048)
+    full = np.concatenate([np.ones((120, 1)), x, y], 1)
+    for t in tiles.filter("i = j or j = 8").collect():
+        own = full[[h["fold"] == t["fold"] for h in held]]
+        a, b = own[:, t["i"] * 2048 : (t["i"] + 1) * 2048], own[:, t["j"] * 2048 : (t["j"] + 1) * 2048]
+        assert np.allclose(np.frombuffer(t["tile"]), (a.T @ b).ravel())
+    got = {p["episode_id"]: (p["score_a"], p["cost_a"]) for p in learned.predictions(rows.withColumn("fold", F.lit(0)), {0: (mean, scale, coef / 100, intercept / 100)}, ("a",)).collect()}
+    line = (x - mean) / scale @ coef / 100 + intercept / 100
+    for i, h in enumerate(held):
+        assert np.allclose(got[h["episode_id"]], (np.clip(line[i, 0], 0, 1), np.exp(np.clip(line[i, 1], -50, 50))))
+
+
 def test_ridge_equals_numpy(spark):
     r = np.random.default_rng(1)
     x, w = r.normal(size=(120, 5)), r.normal(size=(5, 2))
@@ -410,3 +462,20 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() == 3 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_budgets_of_equal_tiny_and_huge_costs(spark):
+    """Models of equal cost, costs of 1e21 and of 1e-20: no error, no sum that overflows or vanishes."""
+    rows = [(str(i), 0.1 + i % 3 / 10, 0.5, 1.0, 1.0) for i in range(20)]
+    shape = "episode_id string, score_a double, score_b double, cost_a double, cost_b double"
+    routed = routing.lagrangian_route(spark.createDataFrame(rows, shape), ["a", "b"], 1.0, 1.0).withColumn("model_id", F.lit("a"))
+    assert {r["model_id"] for r in routing.filled_route(routed, ["a", "b"], 1.0).collect()} == {"b"}
+    flat = routed.withColumn("score_b", F.col("score_a"))
+    assert {r["model_id"] for r in routing.filled_route(flat, ["a", "b"], 1.0).collect()} == {"a"}
+    want = None
+    for unit in (1.0, 2.0**72, 2.0**-66):  # powers of two, so that no quotient is rounded otherwise
+        held = spark.createDataFrame([(str(i), 0.2, 0.2 + i % 7 / 10, unit * (1 + i % 5), unit * (2 + i % 11 + i % 5)) for i in range(3000)], shape)
+        got = {r["episode_id"]: r["model_id"] for r in routing.filled_route(routing.lagrangian_route(held, ["a", "b"], 2.0, 0.9), ["a", "b"], 2.0).collect()}
+        assert 100 < sum(m == "b" for m in got.values()) < 2900
+        want = want or got
+        assert got == want, unit

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from waybill.functions.hashing import signed_bin
 from waybill.functions.text import CONSTRAINT, FORMAL, PROGRAM, TRANSFORM, count, has, hashed_terms, tokens, with_features
+from waybill.sources.shared import written
 
 # Bounds of the hash bins, penalties, weight of the cost error, floor of a scale.
 LEAST_BINS, MOST_BINS = 16, 16384
@@ -48,59 +49,147 @@ def term_counts(episodes: DataFrame, bins: int) -> DataFrame:
     return hashed.groupBy("episode_id", F.col("h.bin").alias("bin")).agg(F.sum(F.col("h.sign") * F.col("count")).cast("bigint").alias("value"))
 
 
-def feature_vectors(episodes: DataFrame, bins: int) -> DataFrame:
-    """(episode_id, features): the dense part, then the bins scaled to unit length."""
+def sparse_vectors(episodes: DataFrame, bins: int) -> DataFrame:
+    """(episode_id, at, value): places and values of the features that may differ from 0, in order of place; the
+    dense part first, then the bins scaled to unit length.  A row holds what its text has, whatever the number of bins."""
     counts = term_counts(episodes, bins)
-    norms = counts.groupBy("episode_id").agg(F.collect_list(F.struct("bin", "value")).alias("bins"))
-    joined = dense_features(episodes).select("episode_id", "dense").join(norms, "episode_id", "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            out = np.zeros((n, DENSE_FEATURES + bins))
-            out[:, :DENSE_FEATURES] = batch.column(1).flatten().to_numpy().reshape(n, DENSE_FEATURES)
-            held = batch.column(2)
-            size = pc.fill_null(pc.list_value_length(held), 0).to_numpy()
-            pairs = held.flatten()
-            own, at, value = np.repeat(np.arange(n), size), pairs.field(0).to_numpy(), pairs.field(1).to_numpy().astype(float)
-            norm = np.sqrt(np.bincount(own, weights=value * value, minlength=n))
-            out[own, DENSE_FEATURES + at] = value / np.where(norm > 0, norm, 1)[own]
-            features = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, out.shape[1]), pa.int32()), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), features], ["episode_id", "features"])
-
-    return joined.select("episode_id", "dense", "bins").mapInArrow(run, "episode_id string, features array<double>")
-
-
-def moments(rows: DataFrame, n_features: int, n_targets: int, folds: int) -> list[tuple[float, np.ndarray]]:
-    """For each fold the number of rows and the matrix Z'Z of Z = (1, features, targets), summed over partitions.
-
-    rows: (fold, features array, targets array).  A task keeps one matrix per fold.
+    own = counts.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("bin", "value"))).alias("bins"))
+    held = dense_features(episodes).select("episode_id", "dense").join(own, "episode_id", "left")
+    held = held.withColumn("bins", F.coalesce("bins", F.array().cast("array<struct<bin:bigint,value:bigint>>")))
+    square = F.aggregate("bins", F.lit(0.0), lambda s, b: s + (b["value"] * b["value"]).cast("double"))
+    held = held.withColumn("norm", F.greatest(F.sqrt(square), F.lit(0.0)))
+    at = F.concat(F.sequence(F.lit(0), F.lit(DENSE_FEATURES - 1)), F.transform("bins", lambda b: (b["bin"] + DENSE_FEATURES).cast("int")))
+    value = F.concat("dense", F.transform("bins", lambda b: b["value"].cast("double") / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)))
+    return held.select("episode_id", at.alias("at"), value.alias("value"))
+
+
+def dense_form(at: Column, value: Column, width: int) -> Column:
+    """A sparse vector as an array of all its places; for looking at, not for training."""
+    places = F.map_from_arrays(at, value)
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at(places, i), F.lit(0.0)))
+
+
+def sparse_rows(rows: DataFrame, n_features: int) -> DataFrame:
+    """(fold, at, value) of Z = (1, features, targets) for rows (fold, features, targets) or (fold, at, value, targets)."""
+    if "at" not in rows.columns:
+        rows = rows.withColumn("at", F.sequence(F.lit(0), F.lit(n_features - 1))).withColumn("value", F.transform("features", lambda x: x.cast("double")))
+    behind = F.transform(F.sequence(F.lit(1), F.size("targets")), lambda i: i + n_features)
+    at = F.concat(F.array(F.lit(0)), F.transform("at", lambda i: (i + 1).cast("int")), behind)
+    return rows.select(F.col("fold").cast("int").alias("fold"), at.alias("at"), F.concat(F.array(F.lit(1.0)), "value", "targets").alias("value"))
+
+
+#: Columns of a tile, and products of pairs that are added up at a time.
+TILE, PRODUCTS = 2048, 1 << 22
+
+
+def added(total: np.ndarray, own: np.ndarray, a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+    """Adds A'B to a tile; a and b: row, column and value of the entries, in order of rows; own: the rows' numbers."""
+    first, size = np.searchsorted(b[0], own), np.bincount(b[0], minlength=int(own[-1]) + 1)[own] if len(b[0]) else np.zeros(len(own), np.int64)
+    place = np.searchsorted(own, a[0])
+    each, start = size[place], first[place]
+    ends = np.cumsum(each)
+    low = 0
+    while low < len(each):
+        before = int(ends[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + PRODUCTS, "right")))
+        n = each[low:high]
+        at = np.repeat(start[low:high] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        key = np.repeat(a[1][low:high], n) * total.shape[1] + b[1][at]
+        total += np.bincount(key, np.repeat(a[2][low:high], n) * b[2][at], total.size).reshape(total.shape)
+        low = high
+
+
+def tiled_moments(rows: DataFrame, width: int, tile: int = TILE, salts: int = 1) -> DataFrame:
+    """(fold, i, j, tile): the tiles i <= j of Z'Z for each fold, from sparse rows (fold, at, value) of ``width`` columns.
+
+    Entries travel by blocks of rows and columns to the tasks of the tiles that need them; a task holds one tile of
+    ``tile`` squared numbers whatever the width.  ``salts``: tasks that share a tile, whose parts are then added up.
     """
-    d = 1 + n_features + n_targets
+    n = -(-width // tile)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((folds, d, d))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = 0
         for batch in batches:
-            fold = batch.column(0).to_numpy()
-            x = batch.column(1).flatten().to_numpy().reshape(len(fold), n_features)
-            y = batch.column(2).flatten().to_numpy().reshape(len(fold), n_targets)
-            z = np.concatenate([np.ones((len(fold), 1)), x, y], 1)
-            for f in np.unique(fold):
-                total[f] += z[fold == f].T @ z[fold == f]
-        yield pa.RecordBatch.from_arrays([pa.array(range(folds), pa.int32()), pa.array([m.tobytes() for m in total], pa.binary())], ["fold", "matrix"])
+            fold, size = batch.column(0).to_numpy(), pc.list_value_length(batch.column(1)).to_numpy()
+            row, at = np.repeat(np.arange(len(size)), size), batch.column(1).flatten().to_numpy()
+            value = batch.column(2).flatten().to_numpy()
+            some = value != 0
+            row, at, value = row[some], at[some], value[some]
+            for f in np.unique(fold).tolist():
+                own = fold[row] == f
+                blocks = []
+                for c in range(n):
+                    k = own & (at // tile == c)
+                    blocks.append((row[k].astype("<i4"), (at[k] - c * tile).astype("<i4"), value[k].astype("<f8")))
+                out = [(f, i, j, part % salts, *(x.tobytes() for x in (*blocks[i], *blocks[j]))) for i in range(n) for j in range(i, n) if len(blocks[i][0]) and len(blocks[j][0])]
+                part += 1
+                for row_ in out:
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) if isinstance(x, bytes) else pa.array([x], pa.int32()) for x in row_], ["fold", "i", "j", "salt", "a0", "a1", "a2", "b0", "b1", "b2"])
 
     def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((d, d))
+        fold, i, j, _ = (k.as_py() for k in key)
+        total = np.zeros((min(tile, width - i * tile), min(tile, width - j * tile)))
         for part in parts:
-            for blob in part.column("matrix").to_pylist():
-                total += np.frombuffer(blob).reshape(d, d)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["fold", "matrix"])
+            for row in part.select(["a0", "a1", "a2", "b0", "b1", "b2"]).to_pylist():
+                a, b = (tuple(np.frombuffer(row[f"{x}{k}"], "<f8" if k == 2 else "<i4").astype(float if k == 2 else np.int64) for k in range(3)) for x in "ab")
+                added(total, np.unique(a[0]), a, b)
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in (fold, i, j)] + [pa.array([total.tobytes()], pa.binary())], ["fold", "i", "j", "tile"])
 
-    found = rows.select(F.col("fold").cast("int"), "features", "targets").mapInArrow(run, "fold int, matrix binary").groupBy("fold").applyInArrow(add, "fold int, matrix binary")
-    out = [np.zeros((d, d)) for _ in range(folds)]
-    for r in found.collect():
-        out[r["fold"]] = np.frombuffer(r["matrix"]).reshape(d, d).copy()
-    return [(m[0, 0], m) for m in out]
+    def join(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for part in parts:
+            for blob in part.column("tile").to_pylist():
+                x = np.frombuffer(blob)
+                total = x.copy() if total is None else total + x
+        yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([total.tobytes()], pa.binary())], ["fold", "i", "j", "tile"])
+
+    schema = "fold int, i int, j int, tile binary"
+    sent = rows.select("fold", "at", "value").mapInArrow(pack, "fold int, i int, j int, salt int, a0 binary, a1 binary, a2 binary, b0 binary, b1 binary, b2 binary")
+    found = sent.groupBy("fold", "i", "j", "salt").applyInArrow(add, schema)
+    return found if salts == 1 else found.groupBy("fold", "i", "j").applyInArrow(join, schema)
+
+
+def assembled(tiles: DataFrame, width: int, tile: int = TILE) -> np.ndarray:
+    """The sum of the folds' matrices, tile by tile; the driver holds width squared numbers."""
+    out = np.zeros((width, width))
+    for r in tiles.toLocalIterator():
+        i, j = r["i"] * tile, r["j"] * tile
+        x = np.frombuffer(r["tile"]).reshape(min(tile, width - i), min(tile, width - j))
+        out[i : i + x.shape[0], j : j + x.shape[1]] += x
+        if i != j:
+            out[j : j + x.shape[1], i : i + x.shape[0]] += x.T
+    return out
+
+
+class Moments:
+    """For each fold the number of rows and Z'Z of Z = (1, features, targets); a matrix is put together when it is asked for."""
+
+    def __init__(self, rows: DataFrame, n_features: int, n_targets: int, folds: int, tile: int = TILE):
+        self.width, self.folds, self.tile = 1 + n_features + n_targets, folds, tile
+        tasks = rows.sparkSession.sparkContext.defaultParallelism
+        n = -(-self.width // tile)
+        salts = max(1, -(-tasks // (folds * n * (n + 1) // 2)))
+        self.tiles = written(tiled_moments(sparse_rows(rows, n_features), self.width, tile, salts), "moments")
+        self._kept: dict[int | None, np.ndarray] = {}
+
+    def __getitem__(self, fold: int | None) -> np.ndarray:
+        """The matrix of a fold, or of all (None); kept if it is one tile, else read again."""
+        if fold in self._kept:
+            return self._kept[fold]
+        if self.width <= self.tile:
+            for r in self.tiles.collect():
+                self._kept[r["fold"]] = np.frombuffer(r["tile"]).reshape(self.width, self.width).copy()
+            for f in range(self.folds):
+                self._kept.setdefault(f, np.zeros((self.width, self.width)))
+            self._kept[None] = sum(self._kept[f] for f in range(self.folds))
+            return self._kept[fold]
+        return assembled(self.tiles if fold is None else self.tiles.filter(F.col("fold") == fold), self.width, self.tile)
+
+
+def moments(rows: DataFrame, n_features: int, n_targets: int, folds: int, tile: int = TILE) -> list[tuple[float, np.ndarray]]:
+    """For each fold the number of rows and the matrix Z'Z, all at once; for widths of which the driver can hold every fold's matrix."""
+    held = Moments(rows, n_features, n_targets, folds, tile)
+    return [(m[0, 0], m) for m in (held[f] for f in range(folds))]
 
 
 def ridge(matrix: np.ndarray, n_features: int, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -115,20 +204,52 @@ def ridge(matrix: np.ndarray, n_features: int, alpha: float) -> tuple[np.ndarray
     return mean, scale, np.linalg.solve(gram * n + alpha * np.eye(n_features), cross * n), y_mean
 
 
-def ridge_rows(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``ridge`` from the rows themselves, in the dual form: a system of as many equations as there are rows."""
-    mean, scale = x.mean(0), x.std(0)
-    scale[scale < SCALE_FLOOR] = 1.0
-    z, intercept = (x - mean) / scale, y.mean(0)
-    return mean, scale, z.T @ np.linalg.solve(z @ z.T + alpha * np.eye(len(z)), y - intercept), intercept
+def ridge_rows(row: np.ndarray, at: np.ndarray, value: np.ndarray, y: np.ndarray, n_features: int, alpha: float, columns: int = TILE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``ridge`` from the entries of the rows, in the dual form: a system of as many equations as there are rows, built some columns at a time."""
+    n = len(y)
+    mean = np.bincount(at, value, n_features) / n
+    scale = np.zeros(n_features)
+    order = np.argsort(at, kind="stable")
+    row, at, value = row[order], at[order], value[order]
+    cuts = np.searchsorted(at, np.arange(0, n_features + columns, columns))
+
+    def block(k: int) -> np.ndarray:
+        x = np.zeros((n, min(columns, n_features - k * columns)))
+        part = slice(cuts[k], cuts[k + 1])
+        x[row[part], at[part] - k * columns] = value[part]
+        x -= mean[k * columns : k * columns + x.shape[1]]
+        spread = np.sqrt((x * x).mean(0))
+        spread[spread < SCALE_FLOOR] = 1.0
+        scale[k * columns : k * columns + x.shape[1]] = spread
+        return x / spread
+
+    kernel, n_blocks = np.zeros((n, n)), -(-n_features // columns)
+    for k in range(n_blocks):
+        z = block(k)
+        kernel += z @ z.T
+    kernel[np.diag_indices(n)] += alpha
+    intercept = y.mean(0)
+    dual = np.linalg.solve(kernel, y - intercept)
+    return mean, scale, np.concatenate([block(k).T @ dual for k in range(n_blocks)]), intercept
 
 
 def fitted(rows: DataFrame, matrix: np.ndarray, n_features: int, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The heads over all rows: from the moments, or in the dual form if there are no more rows than features (so they fit the driver as the moments would)."""
+    """The heads over all rows: from the moments, or in the dual form if there are no more rows than features (so their entries fit the driver as the moments would)."""
     if matrix[0, 0] > n_features:
         return ridge(matrix, n_features, alpha)
-    held = rows.select("features", "targets").collect()
-    return ridge_rows(np.array([r["features"] for r in held]), np.array([r["targets"] for r in held]), alpha)
+    return fitted_dual(rows, n_features, alpha)
+
+
+def fitted_dual(rows: DataFrame, n_features: int, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The heads over rows of which there are no more than features."""
+    held = sparse_rows(rows, n_features).select("at", "value").toArrow().combine_chunks()
+    at, value = (held.column(c).combine_chunks() for c in ("at", "value"))
+    size = pc.list_value_length(at).to_numpy()
+    row, place, number = np.repeat(np.arange(len(size)), size), at.flatten().to_numpy(), value.flatten().to_numpy()
+    feature, target = (place > 0) & (place <= n_features), place > n_features
+    y = np.zeros((len(size), int(place.max(initial=n_features)) - n_features))
+    y[row[target], place[target] - n_features - 1] = number[target]
+    return ridge_rows(row[feature], place[feature] - 1, number[feature], y, n_features, alpha)
 
 
 def predicted_errors(matrix: np.ndarray, n_features: int, model: tuple) -> np.ndarray:
@@ -145,17 +266,18 @@ def predicted_errors(matrix: np.ndarray, n_features: int, model: tuple) -> np.nd
     return np.maximum(np.array(out), 0)
 
 
-def selected_alpha(folds: list[tuple[float, np.ndarray]], n_features: int, n_scores: int, alphas: tuple[float, ...] = ALPHAS) -> tuple[float, dict[float, float]]:
-    """The penalty with the least out-of-fold objective, the smaller one on ties; all penalties share the moments."""
-    total, objective = sum(m for _, m in folds), {}
+def selected_alpha(folds: list[tuple[float, np.ndarray]] | Moments, n_features: int, n_scores: int, alphas: tuple[float, ...] = ALPHAS) -> tuple[float, dict[float, float]]:
+    """The penalty with the least out-of-fold objective, the smaller one on ties; all penalties share the moments, of which one fold's are held beside the total."""
+    total = folds[None] if isinstance(folds, Moments) else sum(m for _, m in folds)
     n = total[0, 0]
-    for alpha in alphas:
-        error = np.zeros(total.shape[0] - 1 - n_features)
-        for k, m in folds:
-            if k:
-                error += k * predicted_errors(m, n_features, ridge(total - m, n_features, alpha))
-        error /= n
-        objective[alpha] = float(error[:n_scores].mean() + COST_WEIGHT * error[n_scores:].mean())
+    error = {alpha: np.zeros(total.shape[0] - 1 - n_features) for alpha in alphas}
+    for f in range(folds.folds if isinstance(folds, Moments) else len(folds)):
+        m = folds[f] if isinstance(folds, Moments) else folds[f][1]
+        if m[0, 0]:
+            rest = total - m
+            for alpha in alphas:
+                error[alpha] += m[0, 0] * predicted_errors(m, n_features, ridge(rest, n_features, alpha))
+    objective = {a: float(e[:n_scores].mean() + COST_WEIGHT * e[n_scores:].mean()) for a, e in ((a, e / n) for a, e in error.items())}
     return min(objective, key=lambda a: (objective[a], a)), objective
 
 

@@ -11,6 +11,7 @@ from decimal import Decimal, localcontext
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,8 @@ VERSION = 1
 DENSE_NAMES = ("log_character_count", "log_word_count", "log_sentence_count", "log_message_count", "hangul_ratio", "log_code_marker_count", "log_math_marker_count", "numeric_density", "long_context", "log_reasoning_marker_count", "formal_reasoning", "program_analysis", "log_multi_constraint_count", "simple_transform")
 DENSE = len(DENSE_NAMES)
 KEYS = (
-    "artifact_type", "schema_version", "feature_version", "hash_algorithm", "hash_bins", "dense_feature_names", "model_ids", "feature_mean", "feature_scale", "score_heads", "log_cost_heads", "tier_safety_ratios",
-    "policy_id", "policy_sha256", "training_summary",
+    "artifact_type", "schema_version", "feature_version", "hash_algorithm", "hash_bins", "dense_feature_names", "model_ids", "policy_id", "policy_sha256",
+    "feature_mean", "feature_scale", "score_heads", "log_cost_heads", "tier_safety_ratios", "training_summary",
 )
 KIND = "waybill-linear-router"
 
@@ -53,9 +54,9 @@ class Router:
 
         return {
             "artifact_type": KIND, "schema_version": VERSION, "feature_version": VERSION, "hash_algorithm": HASH, "hash_bins": self.bins, "dense_feature_names": list(DENSE_NAMES), "model_ids": list(self.models),
-            "feature_mean": [float(x) for x in self.mean], "feature_scale": [float(x) for x in self.scale],
+            "policy_id": self.policy_id, "policy_sha256": self.policy_sha256, "feature_mean": [float(x) for x in self.mean], "feature_scale": [float(x) for x in self.scale],
             "score_heads": {x: head(i) for i, x in enumerate(self.models)}, "log_cost_heads": {x: head(m + i) for i, x in enumerate(self.models)},
-            "tier_safety_ratios": dict(self.safety), "policy_id": self.policy_id, "policy_sha256": self.policy_sha256, "training_summary": dict(self.summary),
+            "tier_safety_ratios": dict(self.safety), "training_summary": dict(self.summary),
         }
 
 
@@ -93,18 +94,25 @@ def parsed(document: dict, tiers: tuple[str, ...]) -> Router:
 
 
 def predictions(vectors: DataFrame, heads: dict[int, tuple], models: tuple[str, ...]) -> DataFrame:
-    """score_<model> and cost_<model> of rows (episode_id, fold, features), each by the heads of its fold; clamped and in order of cost."""
-    m, shared = len(models), vectors.sparkSession.sparkContext.broadcast(heads)
+    """score_<model> and cost_<model> of rows (episode_id, fold, at, value), each by the heads of its fold; clamped and in order of cost.
+
+    Means and scales are folded into the heads, so a row costs its own entries and no dense row is built.
+    """
+    m = len(models)
+    slopes = {f: ((coef / scale[:, None]), intercept - mean @ (coef / scale[:, None])) for f, (mean, scale, coef, intercept) in heads.items()}
+    shared = vectors.sparkSession.sparkContext.broadcast(slopes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fold = batch.column(1).to_numpy()
-            x = batch.column(2).flatten().to_numpy().reshape(len(fold), -1)
+            size = pc.list_value_length(batch.column(2)).to_numpy()
+            row, at, value = np.repeat(np.arange(len(fold)), size), batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy()
             out = np.zeros((len(fold), 2 * m))
             for f in np.unique(fold):
-                mean, scale, coef, intercept = shared.value[int(f)]
-                own = fold == f
-                out[own] = (x[own] - mean) / scale @ coef + intercept
+                slope, base = shared.value[int(f)]
+                own, some = fold == f, fold[row] == f
+                for t in range(2 * m):
+                    out[own, t] = np.bincount(row[some], value[some] * slope[at[some], t], len(fold))[own] + base[t]
             out[:, :m] = np.clip(out[:, :m], 0, 1)
             out[:, m:] = np.exp(np.clip(out[:, m:], -50, 50))
             for i in range(1, m):
@@ -113,7 +121,7 @@ def predictions(vectors: DataFrame, heads: dict[int, tuple], models: tuple[str,
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, i]) for i in range(2 * m))], names)
 
     schema = ", ".join(["episode_id string", *(f"score_{x} double" for x in models), *(f"cost_{x} double" for x in models)])
-    return vectors.select("episode_id", F.col("fold").cast("int"), "features").mapInArrow(run, schema)
+    return vectors.select("episode_id", F.col("fold").cast("int"), "at", "value").mapInArrow(run, schema)
 
 
 def learned_route(episodes: DataFrame, router: Router, policy: scoring.Policy = scoring.PUBLIC, vectors: DataFrame | None = None) -> DataFrame:
@@ -122,7 +130,7 @@ def learned_route(episodes: DataFrame, router: Router, policy: scoring.Policy =
     The penalties of all tiers come from one pass over the predictions.  vectors: the feature vectors
     of the episodes, if they are at hand.
     """
-    vectors = (learn.feature_vectors(episodes, router.bins) if vectors is None else vectors).withColumn("fold", F.lit(0))
+    vectors = (learn.sparse_vectors(episodes, router.bins) if vectors is None else vectors).withColumn("fold", F.lit(0))
     models = list(router.models)
     held = written(predictions(vectors, {0: (router.mean, router.scale, router.coefficients, router.intercepts)}, router.models), "predictions")
     widest = max(policy.tiers, key=lambda t: float(policy.tiers[t][0]))
@@ -149,7 +157,7 @@ def candidates(held: DataFrame, models: list[str], policy: scoring.Policy, wante
     held: score_, cost_ (predicted), true_score_ and true_cost_ of each model.
     """
     sums = {"true_score": [F.col(f"true_score_{m}") for m in models], "true_cost": [F.col(f"true_cost_{m}") for m in models]}
-    (n, true_light, *of_light) = (*routing.total(held, F.lit(1), F.col(f"true_cost_{models[models.index(policy.light)]}"), *[s[0] for s in sums.values()]),)
+    (n, true_light, *of_light) = (*routing.total(held, F.lit(1.0), F.col(f"true_cost_{models[models.index(policy.light)]}"), *[s[0] for s in sums.values()]),)
     budgets = {f"{t}|{i}": (float(policy.tiers[t][0]), s) for t, ratios in wanted.items() for i, s in enumerate(ratios)}
     light, found = routing.penalties(held, models, budgets, sums)
     out: dict[str, list[dict]] = {}
@@ -219,7 +227,7 @@ def train(
 
     def rows_of(episodes: DataFrame, outcomes: DataFrame, held: DataFrame | None = None) -> DataFrame:
         columns = F.array(*[F.col(f"{x}_s") for x in models], *[F.ln(F.greatest(F.col(f"{x}_c"), F.lit(1.0))) for x in models])
-        held = learn.feature_vectors(episodes, bins) if held is None else held
+        held = learn.sparse_vectors(episodes, bins) if held is None else held
         vectors = held.join(episodes.select("episode_id", F.pmod("pos", F.lit(folds)).alias("fold")), "episode_id")
         return written(vectors.join(targets(outcomes, policy), "episode_id").withColumn("targets", columns), "rows")
 
@@ -228,10 +236,10 @@ def train(
         return written(predictions(rows, heads, tuple(models)).join(truth, "episode_id"), "predicted")
 
     rows = rows_of(episodes, outcomes, vectors)
-    moments = learn.moments(rows, n, 2 * m, folds)
-    total = sum(x for _, x in moments)
+    moments = learn.Moments(rows, n, 2 * m, folds)
+    total = moments[None]
     alpha, objective = learn.selected_alpha(moments, n, m, alphas)
-    heads = {f: learn.ridge(total - x, n, alpha) for f, (k, x) in enumerate(moments) if k and total[0, 0] > k}
+    heads = {f: learn.ridge(total - x, n, alpha) for f, x in ((f, moments[f]) for f in range(folds)) if 0 < x[0, 0] < total[0, 0]}
     out_of_fold = chosen_safety(with_truth(rows, heads), models, policy, grid_size)
     mean, scale, coef, intercept = learn.fitted(rows, total, n, alpha)
     fitted = dict.fromkeys(range(folds), (mean, scale, coef, intercept))

@@ -27,5 +27,5 @@ def ranked(frame: DataFrame, keys: Sequence[str], name: str = "rank") -> DataFra
         starts.append((p, total))
         total += n
     offsets = frame.sparkSession.createDataFrame(starts, "_part bigint, _start bigint")
-    joined = held.withColumn("_part", part).join(offsets, "_part")
+    joined = held.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # a row for each partition
     return joined.withColumn(name, F.col("_start") + row).drop("_at", "_part", "_start")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from decimal import Decimal, localcontext
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +48,11 @@ def multipliers(policy: Policy = PUBLIC) -> dict[str, Decimal]:
     return {m: max(Decimal(r.input) / Decimal(light.input), Decimal(r.output) / Decimal(light.output)) for m, r in policy.models.items()}
 
 
+def exact_multiplier(policy: Policy, model: str) -> Fraction:
+    light, r = policy.models[policy.light], policy.models[model]
+    return max(Fraction(r.input) / Fraction(light.input), Fraction(r.output) / Fraction(light.output))
+
+
 def priority_groups(episodes: DataFrame) -> DataFrame:
     """Number of episodes and content weight of each priority."""
     held = with_features(episodes).withColumn("priority", priority())
@@ -55,14 +62,20 @@ def priority_groups(episodes: DataFrame) -> DataFrame:
 def budget_route(episodes: DataFrame, target: str = "middle", policy: Policy = PUBLIC) -> DataFrame:
     """Whole priority groups are upgraded, highest first, while the budget holds; a group that does not fit is skipped.
 
-    The batch barrier sees one row per priority; costs are exact in 10**-6 of a character's light cost.
+    The batch barrier sees one row per priority; costs are exact in parts of a character's light cost.
     """
     spark, up = episodes.sparkSession, multipliers(policy)
     if target not in up:
         raise ValueError(f"unknown model {target}")
-    step = int((up[target] - up[policy.light]) * 10**6)
-    caps = [(t, int(Decimal(m) * Decimal(BUDGET_SAFETY) * 10**6), LEAST_PRIORITY[t]) for t, (m, _) in policy.tiers.items()]
-    tiers = spark.createDataFrame(caps, "tier string, cap_e6 bigint, least int")
+    # one unit for all quotients: a common denominator of the multiplier's difference and the caps
+    gap = exact_multiplier(policy, target) - exact_multiplier(policy, policy.light)
+    limits = {t: Fraction(m) * Fraction(BUDGET_SAFETY) for t, (m, _) in policy.tiers.items()}
+    unit = math.lcm(gap.denominator, *(x.denominator for x in limits.values()))
+    if unit > 10**12:
+        raise ValueError("the policy's rates have no common denominator up to 10**12")
+    step = int(gap * unit)
+    caps = [(t, int(limits[t] * unit), LEAST_PRIORITY[t]) for t, (m, _) in policy.tiers.items()]
+    tiers = spark.createDataFrame(caps, "tier string, cap bigint, least int")
     held = with_features(episodes).withColumn("priority", priority()).select("episode_id", "priority", F.greatest(F.lit(1), F.col("n_chars")).cast("bigint").alias("weight"))
     held = written(held, "priorities")
     groups = held.groupBy("priority").agg(F.sum("weight").alias("weight"))
@@ -70,10 +83,10 @@ def budget_route(episodes: DataFrame, target: str = "middle", policy: Policy = P
 
     def fold(acc: Column, g: Column) -> Column:
         delta = g["weight"].cast("decimal(30,0)") * step
-        fits = (g["priority"] >= F.col("least")) & (delta > 0) & (acc["cost"] + delta <= F.col("total") * F.col("cap_e6"))
+        fits = (g["priority"] >= F.col("least")) & (delta > 0) & (acc["cost"] + delta <= F.col("total") * F.col("cap"))
         return F.when(fits, F.struct((acc["cost"] + delta).cast("decimal(38,0)").alias("cost"), F.concat(acc["taken"], F.array(g["priority"])).alias("taken"))).otherwise(acc)
 
-    start = F.struct((F.col("total") * 1_000_000).cast("decimal(38,0)").alias("cost"), F.array().cast("array<int>").alias("taken"))
+    start = F.struct((F.col("total") * unit).cast("decimal(38,0)").alias("cost"), F.array().cast("array<int>").alias("taken"))
     taken = all_groups.crossJoin(F.broadcast(tiers)).select("tier", F.aggregate("groups", start, fold)["taken"].alias("taken"))
     return held.crossJoin(F.broadcast(taken)).select("episode_id", "tier", F.when(F.array_contains("taken", F.col("priority")), target).otherwise(policy.light).alias("model_id"))
 
@@ -103,7 +116,8 @@ def _cost_of(models: list[str], choice: Column) -> Column:
 
 def total(predictions: DataFrame, *columns: Column) -> list[Decimal]:
     """Sums that do not depend on the order of the rows; 0 for an empty batch."""
-    row = predictions.agg(*[F.sum(curve.exact(c)).cast(curve.SUM) for c in columns]).first()
+    kind = curve.sum_type(predictions, columns)
+    row = predictions.agg(*[F.sum(curve.exact(c, kind)).cast(kind) for c in columns]).first()
     return [x if x is not None else Decimal(0) for x in row]
 
 
@@ -118,7 +132,8 @@ def penalties(predictions: DataFrame, models: list[str], budgets: dict[str, tupl
     if not light:
         return light, {}
     values = {"cost": [F.col(f"cost_{m}") for m in models], **(sums or {})}
-    steps = curve.Curve(curve.chosen_steps(predictions, models, float(light), values), list(values))
+    kind = curve.sum_type(predictions, [c for v in values.values() for c in v])
+    steps = curve.Curve(curve.chosen_steps(predictions, models, float(light), values, kind), list(values), kind)
     return light, steps.first_fitting({k: cap_of(light, m, s) for k, (m, s) in budgets.items()})
 
 
@@ -141,11 +156,14 @@ def filled_route(routed: DataFrame, models: list[str], multiplier: float, safety
     if not light:
         return routed
     more = F.col(f"cost_{second}") - F.col(f"cost_{first}")
-    until = (F.col(f"score_{second}") - F.col(f"score_{first}")) * F.lit(float(light)) / more
+    gain = F.col(f"score_{second}") - F.col(f"score_{first}")
+    # a move that costs nothing is worth any penalty if it gains, and none if it does not
+    until = F.when(more > 0, gain * F.lit(float(light)) / more).when(gain > 0, F.lit(curve.FOREVER)).otherwise(F.lit(0.0))
+    kind = curve.sum_type(routed, [F.col(f"cost_{m}") for m in models])
     movable = (F.col("model_id") == first) & (until > 0)
-    entries = F.array(F.struct(F.lit(0.0).alias("at"), curve.exact(more).alias("cost")), F.struct(until.alias("at"), curve.exact(-more).alias("cost")))
-    steps = routed.filter(movable).select(F.inline(entries)).unionByName(routed.sparkSession.createDataFrame([(0.0, now)], f"at double, cost {curve.SUM}"))
-    found = curve.Curve(steps, ["cost"]).first_fitting({"b": max(now, cap_of(light, multiplier, safety))})
+    entries = F.array(F.struct(F.lit(0.0).alias("at"), curve.exact(more, kind).alias("cost")), F.struct(until.alias("at"), curve.exact(-more, kind).alias("cost")))
+    steps = routed.filter(movable).select(F.inline(entries)).unionByName(routed.sparkSession.createDataFrame([(0.0, now)], f"at double, cost {kind}"))
+    found = curve.Curve(steps, ["cost"], kind).first_fitting({"b": max(now, cap_of(light, multiplier, safety))})
     return routed.withColumn("model_id", F.when(movable & (until > F.lit(found["b"]["at"])), second).otherwise(F.col("model_id")))
 
 

@@ -6,6 +6,7 @@ engine computes the same ones; events are latency measurements and attempt logs.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -287,7 +288,8 @@ def token_lists(spark: SparkSession, d: str) -> DataFrame:
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     """Feature vectors with 256 bins in millionths, as the hash of their numbers."""
-    held = learn.feature_vectors(episodes(spark, d), 256)
+    width = learn.DENSE_FEATURES + 256
+    held = learn.sparse_vectors(episodes(spark, d), 256).withColumn("features", learn.dense_form(F.col("at"), F.col("value"), width))
     millionths = F.transform("features", lambda x: F.round(x * 1_000_000).cast("bigint"))
     return held.select("episode_id", F.size("features").cast("bigint").alias("n_features"), F.sha2(F.array_join(F.transform(millionths, lambda x: x.cast("string")), ","), 256).alias("sha256"))
 
@@ -374,6 +376,22 @@ def ridge_pair(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(out, "alpha double, objective bigint, intercept bigint, score_1 bigint, score_2 bigint, cost_1 bigint, cost_2 bigint")
 
 
+def ridge_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Heads for the scores and log costs of the documents over 16,384 bins: intercept, and sums of the coefficients by size and by place."""
+    models = list(scoring.PUBLIC.models)
+    n = learn.DENSE_FEATURES + learn.MOST_BINS
+    targets = learned.targets(outcomes(spark, d), scoring.PUBLIC)
+    columns = F.array(*[F.col(f"{x}_s") for x in models], *[F.ln(F.greatest(F.col(f"{x}_c"), F.lit(1.0))) for x in models])
+    rows = learn.sparse_vectors(episodes(spark, d), learn.MOST_BINS).join(targets, "episode_id")
+    rows = written(rows.select(F.lit(0).alias("fold"), "at", "value", columns.alias("targets")), "rows")
+    if rows.count() > n:
+        _, _, coef, intercept = learn.ridge(learn.Moments(rows, n, 2 * len(models), 1)[None], n, 1.0)
+    else:
+        _, _, coef, intercept = learn.fitted_dual(rows, n, 1.0)
+    out = [(t, float(intercept[t]), float(np.abs(coef[:, t]).sum()), float(coef[:, t] @ np.arange(n))) for t in range(2 * len(models))]
+    return spark.createDataFrame(out, "target bigint, intercept double, size double, moment double")
+
+
 def safety_rows(spark: SparkSession, found: dict[str, dict]) -> DataFrame:
     rows = [(t, round(c["safety"] * 1e9), int(c["score"].scaleb(12)), int(c["ratio"].scaleb(12)), c["passed"]) for t, c in found.items()]
     return spark.createDataFrame(rows, "tier string, safety_e9 bigint, score_e12 bigint, ratio_e12 bigint, passed boolean")
@@ -397,7 +415,7 @@ def safety_calibration(spark: SparkSession, d: str) -> DataFrame:
 def learned_route(spark: SparkSession, d: str) -> DataFrame:
     """Trained on the documents and their outcomes with 256 bins and the whole grid, then applied to them."""
     e = episodes(spark, d)
-    vectors = written(learn.feature_vectors(e, 256), "vectors")
+    vectors = written(learn.sparse_vectors(e, 256), "vectors")
     router = learned.train(e, outcomes(spark, d), report.policy_sha256(), vectors=vectors)
     return learned.learned_route(e, learned.parsed(router.document(), tuple(scoring.PUBLIC.tiers)), vectors=vectors).groupBy("tier", "model_id").agg(F.count("*").alias("n"))
 
