@@ -479,3 +479,32 @@ def test_budgets_of_equal_tiny_and_huge_costs(spark):
         assert 100 < sum(m == "b" for m in got.values()) < 2900
         want = want or got
         assert got == want, unit
+
+
+def test_scans_and_medians_over_split_keys(spark):
+    """Running sums and middles of keys that span many partitions, of small, null and tied ones, against Python."""
+    from waybill.operators.order import medians, running
+
+    r = random.Random(6)
+    rows = [(r.choice([1, 1, 1, 1, 2, 3, None, *range(10, 20)]), i, r.randint(-3, 50), r.choice([None, *range(40)])) for i in range(6000)]
+    r.shuffle(rows)
+    frame = spark.createDataFrame(rows, "k int, at int, x int, v int").repartition(9)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        got = {x["at"]: (x["n"], x["total"]) for x in running(frame, ["k"], ["at"], {"n": F.lit(1), "total": F.col("x")}).collect()}
+        sums = {}
+        for k, at, x, _ in sorted(rows, key=lambda t: t[1]):
+            n, total = sums.get(k, (0, 0))
+            sums[k] = n + 1, total + x
+            assert got[at] == sums[k]
+        assert len(got) == 6000
+        found = {x["k"]: x for x in medians(frame, ["k"], "v").collect()}
+        for k in {t[0] for t in rows}:
+            own = sorted(v for key, _, _, v in rows if key == k and v is not None)
+            assert (found[k]["n"], found[k]["least"], found[k]["low"], found[k]["high"], found[k]["most"]) == (len(own), own[0], own[(len(own) - 1) // 2], own[len(own) // 2], own[-1])
+        one = medians(frame, [], "at").collect()
+        assert [tuple(x) for x in one] == [(6000, 0, 2999, 3000, 5999)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert running(frame.limit(0), ["k"], ["at"], {"n": F.lit(1)}).count() == 0 and medians(frame.limit(0), ["k"], "v").count() == 0

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waybill.functions.hashing import audit_token
 
-from .order import ranked
+from .order import ranked, running
 
 # Limits of an attempt log.
 ATTEMPTS, INFRASTRUCTURE_FAILURES = 3, 3
@@ -43,11 +43,10 @@ def audit_mismatches(mapping: DataFrame, official: DataFrame, audit: DataFrame)
 
 
 def numbered(log: DataFrame, key: str, order: list[str], counted: tuple[str, ...]) -> DataFrame:
-    """Sequence and attempt number of every log row; an attempt number grows after rows of the counted kinds."""
-    w = Window.partitionBy(key).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    past = F.coalesce(F.sum(F.when(F.col("kind").isin(*counted), 1).otherwise(0)).over(before), F.lit(0))
-    return log.withColumn("seq", F.row_number().over(w).cast("bigint")).withColumn("attempt", (past + 1).cast("bigint"))
+    """Sequence and attempt number of every log row; an attempt number grows after rows of the counted kinds.  A log may span any number of tasks."""
+    counts = F.when(F.col("kind").isin(*counted), 1).otherwise(0)
+    held = running(log, [key], order, {"seq": F.lit(1), "attempt": counts})
+    return held.withColumn("attempt", (F.col("attempt") - counts + 1).cast("bigint"))
 
 
 def retry_outcomes(log: DataFrame, key: str) -> DataFrame:
@@ -55,24 +54,21 @@ def retry_outcomes(log: DataFrame, key: str) -> DataFrame:
 
     The first valid attempt is selected; a fairness violation disqualifies and is no attempt;
     infrastructure failures count apart and stop the run at the limit or when clean-up is pending; as
-    many failed attempts as the limit give zero.
+    many failed attempts as the limit give zero.  Whether a row stops its run depends on it and on the
+    counts up to it alone, so running sums, which split over tasks, and the least stopping row of each
+    key, which is aggregated before it is shuffled, are the fold.
     """
-    rows = F.array_sort(F.collect_list(F.struct("seq", "kind", "cleanup_pending")))
-    held = log.groupBy(key).agg(rows.alias("rows"))
-    start = F.struct(F.lit("running").alias("state"), F.lit(0).alias("attempts"), F.lit(0).alias("infrastructure"), F.lit(None).cast("bigint").alias("selected"))
-
-    def step(acc: Column, r: Column) -> Column:
-        infra = r["kind"] == "infrastructure_failure"
-        attempts = acc["attempts"] + F.when(r["kind"].isin("valid", "execution_failure"), 1).otherwise(0)
-        failures = acc["infrastructure"] + F.when(infra, 1).otherwise(0)
-        stopped = infra & ((failures >= INFRASTRUCTURE_FAILURES) | r["cleanup_pending"])
-        state = F.when(r["kind"] == "valid", "valid").when(r["kind"] == "fairness_violation", "disqualified").when(stopped, "infrastructure_unavailable")
-        state = state.when(attempts >= ATTEMPTS, "tier_score_zero").otherwise("running")
-        new = F.struct(state.alias("state"), attempts.alias("attempts"), failures.alias("infrastructure"), F.when(r["kind"] == "valid", r["seq"]).alias("selected"))
-        return F.when(acc["state"] == "running", new).otherwise(acc)
-
-    folded = held.withColumn("f", F.aggregate("rows", start, step))
-    return folded.select(key, F.col("f.state").alias("state"), F.col("f.attempts").cast("bigint").alias("attempts"), F.col("f.infrastructure").cast("bigint").alias("infrastructure"), F.col("f.selected").alias("selected_seq"))
+    kind, infra = F.col("kind"), F.col("kind") == "infrastructure_failure"
+    counted = {"_attempts": F.when(kind.isin("valid", "execution_failure"), 1).otherwise(0), "_failures": F.when(infra, 1).otherwise(0)}
+    held = running(log.select(key, "seq", "kind", "cleanup_pending"), [key], ["seq"], counted)
+    stopped = infra & ((F.col("_failures") >= INFRASTRUCTURE_FAILURES) | F.col("cleanup_pending"))
+    state = F.when(kind == "valid", "valid").when(kind == "fairness_violation", "disqualified").when(stopped, "infrastructure_unavailable")
+    state = state.when(F.col("_attempts") >= ATTEMPTS, "tier_score_zero")
+    stop = F.struct("seq", state.alias("state"), F.col("_attempts").alias("attempts"), F.col("_failures").alias("infrastructure"), F.when(kind == "valid", F.col("seq")).alias("selected"))
+    found = held.groupBy(key).agg(F.min(F.when(state.isNotNull(), stop)).alias("s"), F.max("_attempts").alias("a"), F.max("_failures").alias("i"))
+    return found.select(
+        key, F.coalesce("s.state", F.lit("running")).alias("state"), F.coalesce("s.attempts", "a").alias("attempts"), F.coalesce("s.infrastructure", "i").alias("infrastructure"), F.col("s.selected").alias("selected_seq")
+    )
 
 
 def audit_status(invalid: Column, mismatches: Column, failures: Column) -> Column:
@@ -81,7 +77,7 @@ def audit_status(invalid: Column, mismatches: Column, failures: Column) -> Colum
 
 
 def attempt_reason(kind: Column, cleanup_pending: Column, timed_out: Column, terminated: Column, code: Column) -> Column:
-    """Reason code of a logged attempt."""
+    """Reason code of a logged attempt; the codes are fixed values."""
     return (
         F.when(kind == "valid", "valid_submission").when(kind == "fairness_violation", "fairness_review_required").when(cleanup_pending, "operator_cleanup_pending")
         .when(kind == "infrastructure_failure", "operator_infrastructure_failure").when(timed_out, "wall_time_limit_exceeded").when(terminated, "operator_limit_terminated")

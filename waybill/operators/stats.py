@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waybill.functions.exact import timer_round
-from waybill.operators.order import ranked
+from waybill.operators.order import medians, ranked
 
 # Measured runs per tier, and the time in ns that a failed run counts.
 RUNS, FAILED_NS = 5, 90_000_000_000
@@ -18,16 +18,12 @@ def settled(log: DataFrame) -> DataFrame:
     return kept.withColumn("elapsed_ns", F.when(F.col("kind") == "execution_failure", F.lit(FAILED_NS)).otherwise(F.col("elapsed_ns")))
 
 
-def odd_median(values: Column) -> Column:
-    """The middle of an odd number of integers, as an integer."""
-    return F.get(F.sort_array(values), ((F.size(values) - 1) / 2).cast("int"))
-
-
 def tier_medians(runs: DataFrame, runs_per_tier: int = RUNS) -> DataFrame:
     """Integer median of each submission and tier; groups without exactly that many non-negative runs give null."""
-    held = runs.groupBy("submission_id", "tier").agg(F.collect_list("elapsed_ns").alias("values"))
-    good = (F.size("values") == runs_per_tier) & F.forall("values", lambda v: v >= 0)
-    return held.select("submission_id", "tier", F.when(good, odd_median(F.col("values"))).alias("median_ns"))
+    held = medians(runs, ["submission_id", "tier"], "elapsed_ns")
+    groups = runs.groupBy("submission_id", "tier").agg(F.count("*").alias("rows"))
+    good = (F.col("rows") == runs_per_tier) & (F.col("n") == runs_per_tier) & (F.col("least") >= 0)
+    return groups.join(held, ["submission_id", "tier"], "left").select("submission_id", "tier", F.when(good, F.col("low")).alias("median_ns"))
 
 
 def ranking(totals: DataFrame, resolution: int) -> DataFrame:
@@ -48,7 +44,10 @@ def rotated(candidates: DataFrame, turns: int) -> DataFrame:
 
 def repetition_stats(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Least, middle and largest value; the middle of an even number is the mean of two."""
-    return runs.groupBy(*keys).agg(F.min(value).alias("least"), F.percentile(value, F.lit(0.5)).alias("median"), F.max(value).alias("most"), F.count("*").alias("n"))
+    held = medians(runs, keys, value).withColumn("median", (F.col("low") + F.col("high")) / 2)
+    groups = runs.groupBy(*keys).agg(F.count("*").alias("rows"))
+    same = [groups[k].eqNullSafe(held[k]) for k in keys]
+    return groups.join(held, same, "left").select(*[groups[k] for k in keys], "least", "median", "most", F.col("rows").alias("n"))
 
 
 def determinism(runs: DataFrame, keys: list[str], digest: str) -> DataFrame:

@@ -293,6 +293,15 @@ taken AS (
     CASE WHEN o.priority >= least AND cost + weight * 1127250 <= total * cap THEN o.priority END FROM taken t JOIN ordered o ON o.i = t.i + 1)
 SELECT c.tier, CASE WHEN t.priority IS NOT NULL THEN 'middle' ELSE 'light' END AS model_id, count(*) AS n
 FROM priorities p CROSS JOIN caps c LEFT JOIN taken t ON t.tier = c.tier AND t.priority = p.priority GROUP BY ALL""",
+    "whole_log_numbers": _with(_LOG) + """
+SELECT event_id, row_number() OVER w AS seq, 1 + coalesce(sum((kind IN ('execution_failure', 'valid'))::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS attempt
+FROM log WINDOW w AS (ORDER BY ts, event_id)""",
+    "whole_log_fold": _with(_LOG.replace("log AS", "whole AS"), """
+log AS (SELECT 'r' || (event_id % 3) AS user_id, ts, event_id, CASE WHEN event_id % 3 = 0 OR event_id % 1009 > 0 THEN 'pending' ELSE kind END AS kind, false AS cleanup_pending FROM whole)""", _FOLD) + """
+SELECT user_id AS run, state, attempts, infrastructure, selected_seq FROM folded""",
+    "price_median": """
+WITH p AS (SELECT round(l_extendedprice * 100)::BIGINT AS c, row_number() OVER (ORDER BY round(l_extendedprice * 100)) AS r, count(*) OVER () AS n FROM lineitem)
+SELECT max(n) AS n, min(c) AS least, max(c) FILTER (r = (n - 1) // 2 + 1) AS low, max(c) FILTER (r = n // 2 + 1) AS high, max(c) AS most FROM p""",
     "retry_fold": _with(_LOG, _FOLD) + " SELECT user_id, state, attempts, infrastructure, selected_seq FROM folded",
     "tier_status": _with(_LOG, _FOLD) + """, a AS (
   SELECT state, CASE user_id % 4 WHEN 0 THEN 'passed' WHEN 1 THEN 'review_required' WHEN 2 THEN 'inconclusive_infrastructure' END AS audit FROM folded WHERE state <> 'running'),

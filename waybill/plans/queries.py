@@ -264,6 +264,26 @@ def retry_fold(spark: SparkSession, d: str) -> DataFrame:
     return audit.retry_outcomes(log, "user_id")
 
 
+def whole_log_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """All events as the log of one run, which many tasks share: sequence and attempt numbers."""
+    log = attempt_log(spark, d).withColumn("run", F.lit("all"))
+    return audit.numbered(log, "run", ["ts", "event_id"], ("execution_failure", "valid")).select("event_id", "seq", "attempt")
+
+
+def whole_log_fold(spark: SparkSession, d: str) -> DataFrame:
+    """All events as the logs of three runs, most of whose rows decide nothing; the first run never stops."""
+    n = F.col("event_id")
+    kind = F.when((n % 3 == 0) | (n % 1009 > 0), "pending").otherwise(F.col("kind"))
+    log = attempt_log(spark, d).withColumns({"run": F.concat(F.lit("r"), (n % 3).cast("string")), "kind": kind, "cleanup_pending": F.lit(False)})
+    return audit.retry_outcomes(audit.numbered(log, "run", ["ts", "event_id"], ("execution_failure",)), "run")
+
+
+def price_median(spark: SparkSession, d: str) -> DataFrame:
+    """The middle of all line prices, one group, in cents."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    return stats.medians(table(spark, d, "lineitem").select(cents.alias("cents")), [], "cents")
+
+
 def tier_status(spark: SparkSession, d: str) -> DataFrame:
     audited = F.element_at(F.array(*map(F.lit, ["passed", "review_required", "inconclusive_infrastructure"])), (F.col("user_id") % 4 + 1).cast("int"))
     held = retry_fold(spark, d).filter("state <> 'running'").withColumn("audit", F.when(F.col("user_id") % 4 < 3, audited))
