@@ -54,6 +54,14 @@ CUES = (
     r"\brelated\b|\bread (?:more|also|next)\b|\bmore from\b|\bmost (?:read|popular)\b|\btrending\b|\bshare\b|\btweet\b|\bfollow us\b|\bsee also\b|\brecommended\b|\btags?:|\byou may also like\b",
 )
 CUE = [re.compile(c, re.I) for c in CUES]
+#: Each cue holds one of these; and texts above this length are no cues as a whole, whatever they mention.
+STEMS = (
+    "©", "(c)", "copyright", "rights reserved", "privacy", "terms", "imprint", "impressum", "datenschutz", "powered by", "derechos", "tous droits", "cookie", "consent", "accept", "subscribe", "newsletter", "sign ", "log in", "javascript",
+    "agree", "akzept", "acept", "got it", "dismiss", "comment", "repl", "response", "kommentar", "comentario", " ago", "antworten", "responder", "like", "upvote", "permalink", "advert", "sponsored", "anzeige", "publicidad", " now", "% off",
+    " % off", "shipping", "offer", "promo", "related", "read ", "more from", "most ", "trending", "share", "tweet", "follow us", "see also", "recommended", "tag",
+)
+AD = re.compile(r"\bad\b")
+LONGEST_CUE = 300
 WORDS = {w: i for i, (_, ws) in reversed(list(enumerate(TOKENS.items()))) for w in ws.split()}
 N_TOKENS = len(TOKENS)
 
@@ -243,6 +251,14 @@ JUNK_COLUMNS = [TAGS.index(t) for t in ("nav", "header", "footer", "aside", "for
 TAG_COLUMN = {t: TAGS.index(ALIAS.get(t, t)) for t in (*TAGS, *ALIAS) if ALIAS.get(t, t) in TAGS}
 
 
+def cued(low: str) -> bool:
+    """Whether a lower-case text may hold a cue."""
+    for x in STEMS:
+        if x in low:
+            return True
+    return "ad" in low and AD.search(low) is not None
+
+
 def features(pages: list[Page], forest: Forest) -> np.ndarray:
     """One row of numbers for every node: tag, attribute tokens, subtree density, depth and siblings."""
     f, n = forest, forest.n
@@ -283,7 +299,10 @@ def features(pages: list[Page], forest: Forest) -> np.ndarray:
     before -= before[f.root][f.page]
     chars = np.maximum(total[:, 0], 1)
     per_word = np.maximum(total[:, 1], 1)
-    cues = np.array([[len(c.findall(t)) if t else 0 for c in CUE] for t in texts], float).reshape(n, len(CUE))
+    cues = np.zeros((n, len(CUE)))
+    for i, t in enumerate(texts):
+        if t and len(t) <= LONGEST_CUE and cued(t.lower()):
+            cues[i] = [len(c.findall(t)) for c in CUE]
     before_cue = np.zeros_like(cues)  # what the node before it says, such as a heading
     for at, _, first in f.levels:
         follows = np.ones(len(at), bool)
