@@ -38,9 +38,10 @@ LONGEST_ID = 128
 TOKEN_UNIT = 1_000_000
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of whole files."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+def documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, text) of whole files; the text of a file that is no UTF-8 is null."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def _text(v: Column, key: str) -> Column:
@@ -98,17 +99,26 @@ def _element_rules(kind: str, e: Column, models: tuple[str, ...]) -> dict[str, C
 def problems(docs: DataFrame, kind: str, models: tuple[str, ...] = tuple(PUBLIC.models), tiers: tuple[str, ...] = tuple(PUBLIC.tiers)) -> DataFrame:
     """(path, rule) for every broken rule of documents (path, text) of a kind, top level and elements; a rule is named once for each document."""
     held = docs.withColumn("v", F.try_parse_json("text"))
-    parsed = held.filter("v IS NOT NULL")
-    bad = held.filter("v IS NULL").select("path", F.lit("json").alias("rule"))
-    v, array = F.col("v"), "decisions" if kind == "submission" else "episodes"
+    each = held.filter("v IS NOT NULL").select("path", F.explode(_array(F.col("v"), _elements(kind))).alias("e"))
+    return found_problems(held, each, kind, F.size(_array(F.col("v"), _elements(kind))) > 0, models, tiers)
+
+
+def _elements(kind: str) -> str:
+    return "decisions" if kind == "submission" else "episodes"
+
+
+def found_problems(held: DataFrame, each: DataFrame, kind: str, some: Column, models: tuple[str, ...] = tuple(PUBLIC.models), tiers: tuple[str, ...] = tuple(PUBLIC.tiers)) -> DataFrame:
+    """``problems`` of documents (path, text, v), null where they are no JSON, and their elements (path, e); some: whether a document has elements."""
+    parsed, v, array = held.filter("v IS NOT NULL"), F.col("v"), _elements(kind)
+    bad = held.filter("v IS NULL").select("path", F.when(F.col("text").isNull(), "utf8").otherwise("json").alias("rule"))
     missing, extra = key_sets(F.json_object_keys("text"), KEYS[kind])
     rules = {
         "missing_keys": F.size(missing) == 0, "unknown_keys": F.size(extra) == 0, "schema_version": _is_integer(v, "schema_version", 1) & (_text(v, "schema_version") == "1"),
-        "challenge_id": _is_text(v, "challenge_id"), "split": _is_text(v, "split"), array: F.size(_array(v, array)) > 0,
+        "challenge_id": _is_text(v, "challenge_id"), "split": _is_text(v, "split"), array: some,
     }
     if kind == "submission":
         rules |= {"policy_id": _is_text(v, "policy_id"), "tier": _text(v, "tier").isin(*tiers)}
-    each = parsed.select("path", F.explode(_array(v, array)).alias("e"))
+    each = each.join(parsed.select("path"), "path", "left_semi")
     inner = each.select("path", F.explode(failed(_element_rules(kind, F.col("e"), models))).alias("rule"))
     twice = each.groupBy("path", _text(F.col("e"), "episode_id").alias("id")).count().filter("count > 1 AND id IS NOT NULL")
     out = bad.unionByName(parsed.select("path", F.explode(failed(rules)).alias("rule"))).unionByName(inner)
@@ -207,6 +217,11 @@ def canonical(value: object) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
+def compact(value: dict) -> str:
+    """Compact JSON in the order of the keys."""
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
 def digest(value: object) -> str:
     return hashlib.sha256(canonical(value).encode()).hexdigest()
 
