@@ -508,3 +508,15 @@ def test_scans_and_medians_over_split_keys(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert running(frame.limit(0), ["k"], ["at"], {"n": F.lit(1)}).count() == 0 and medians(frame.limit(0), ["k"], "v").count() == 0
+
+
+def test_policy_text_of_the_public_rates(spark):
+    from waybill.operators import report
+
+    rates = {f"{m}_{k}": Decimal(getattr(r, k)) for m, r in scoring.PUBLIC.models.items() for k in ("input", "output")}
+    frame = spark.createDataFrame([(scoring.PUBLIC.policy_id, *rates.values())], "policy_id string, " + ", ".join(f"{c} decimal(14,6)" for c in rates))
+    assert frame.select(report.policy_texts(frame).alias("t")).first()["t"] == documents.canonical(report.policy_document())
+    up = frame.select(*routing.multiplier_columns(frame, list(scoring.PUBLIC.models), scoring.PUBLIC.light)).first()
+    assert {m: Decimal(up[m]).scaleb(-12) for m in scoring.PUBLIC.models} == routing.multipliers()
+    with pytest.raises(checks.Violation):
+        report.guarded(None, None, None, headers=({"schema_version": 1, "challenge_id": "c", "split": "a"}, {"schema_version": 1, "challenge_id": "c", "split": "b"}, []))

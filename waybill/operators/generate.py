@@ -75,8 +75,8 @@ def samples(spark: SparkSession, regime: str, modules: dict, n: int = 900) -> Da
     raise RuntimeError(f"questions still repeat after {MOST_TRIES} tries")
 
 
-def demo_modules() -> dict:
-    """Small arithmetic modules, for tests and the query; real ones are any functions of a random source."""
+def demo_modules(most: int = 20) -> dict:
+    """Small arithmetic modules with numbers up to ``most`` and above, for tests and the query; real ones are any functions of a random source."""
 
     def two(sign: str, least: int, most: int) -> Module:
         def make(r: random.Random) -> tuple[str, str]:
@@ -89,5 +89,5 @@ def demo_modules() -> dict:
         terms = [r.randint(1, 999) for _ in range(r.randint(2, 60))]
         return f"Add {', '.join(map(str, terms))}.", str(sum(terms))
 
-    sums = {"add": two("+", 1, 20), "sub": two("-", 1, 20), "add_large": two("+", 1000, 99999)}
-    return {"arithmetic": {**sums, "product": {"small": two("*", 2, 40), "large": two("*", 100, 999)}}, "lists": {"sum": long}, "mixed": two("+", -50, 50)}
+    sums = {"add": two("+", 1, most), "sub": two("-", 1, most), "add_large": two("+", 1000, 99999)}
+    return {"arithmetic": {**sums, "product": {"small": two("*", 2, 2 * most), "large": two("*", 100, 999)}}, "lists": {"sum": long}, "mixed": two("+", -50 * most // 20, 50 * most // 20)}

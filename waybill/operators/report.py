@@ -9,7 +9,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waybill.functions.exact import scaled_text
+from waybill.functions.exact import decimal_text, scaled_text
+from waybill.sources.shared import written
 
 from . import checks, scoring
 from .scoring import PUBLIC, Policy
@@ -41,6 +42,27 @@ def policy_sha256(policy: Policy = PUBLIC) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def policy_texts(policies: DataFrame, policy: Policy = PUBLIC) -> Column:
+    """The canonical text of the policy of each row: ``policy`` with the row's policy_id and exact rates <model>_input and <model>_output."""
+    d = policy_document(policy)
+    lit = lambda x: F.struct(*[lit(v).alias(k) for k, v in sorted(x.items())]) if isinstance(x, dict) else F.lit(x)
+
+    def model(m: str) -> Column:
+        return F.struct(F.lit(d["models"][m]["fixed_cost"]).alias("fixed_cost"), *[decimal_text(policies[f"{m}_{k}"]).alias(f"{k}_token_rate") for k in ("input", "output")])
+
+    fields = {k: lit(v) for k, v in d.items()} | {"policy_id": policies["policy_id"], "models": F.struct(*[model(m).alias(m) for m in sorted(d["models"])])}
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))
+
+
+def header_mismatches(headers: DataFrame, policy: Policy = PUBLIC) -> DataFrame:
+    """(columns of headers, field) for every field that differs among the structs inputs, outcomes and submission of a row; ``wanted``: the tier that the submission must be for, or null."""
+    h = F.col
+    rules = {"policy.schema_version": h("inputs.schema_version") == policy.schema_version}
+    rules |= {f"{kind}.{k}": h(f"{kind}.{k}").eqNullSafe(h(f"inputs.{k}")) for kind in ("outcomes", "submission") for k in HEADER}
+    rules |= {"submission.policy_id": h("submission.policy_id").eqNullSafe(F.lit(policy.policy_id)), "submission.tier": h("wanted").isNull() | h("submission.tier").eqNullSafe(h("wanted"))}
+    return checks.rule_violations(headers, rules).withColumnRenamed("rule", "field")
+
+
 def header_problems(inputs: dict, outcomes: dict, submissions: list[dict], policy: Policy = PUBLIC, tier: str | None = None) -> list[str]:
     """Fields of a few one-row headers that differ; with ``tier`` the submissions must be for it."""
     found = [] if inputs["schema_version"] == policy.schema_version else ["policy.schema_version"]
@@ -51,9 +73,16 @@ def header_problems(inputs: dict, outcomes: dict, submissions: list[dict], polic
     return found
 
 
-def guarded(episodes: DataFrame, outcomes: DataFrame, decisions: DataFrame, policy: Policy = PUBLIC) -> None:
-    """Raises unless there is one submission for each tier that covers all episodes once, and a whole outcome matrix."""
+def guarded(episodes: DataFrame, outcomes: DataFrame, decisions: DataFrame, policy: Policy = PUBLIC, headers: tuple[dict, dict, list[dict]] | None = None) -> DataFrame:
+    """Raises unless there is one submission for each tier that covers all episodes once, and a whole outcome matrix.
+
+    headers: those of the input, the outcomes and the submissions, which then must agree with each other and with the policy.
+    Returns the decisions, written once, so that what is scored is what was checked.
+    """
+    if headers is not None and (found := header_problems(*headers, policy)):
+        raise checks.Violation(f"the headers agree: {sorted(set(found))}")
     spark = episodes.sparkSession
+    decisions, outcomes = written(decisions, "decisions"), written(outcomes.select("episode_id", "model_id"), "pairs")
     models = spark.createDataFrame([(m,) for m in policy.models], "model_id string")
     tiers = spark.createDataFrame([(t,) for t in policy.tiers], "tier string")
     checks.require(checks.tier_problems(decisions.select("tier").distinct(), list(policy.tiers)), "one submission for each tier")
@@ -63,12 +92,13 @@ def guarded(episodes: DataFrame, outcomes: DataFrame, decisions: DataFrame, poli
     checks.require(checks.missing(wanted, decisions, keys).unionByName(checks.missing(decisions, wanted, keys)), "decisions cover the episodes")
     checks.require(checks.duplicates(decisions, keys), "one decision for each episode")
     checks.require(checks.duplicates(outcomes, ["episode_id", "model_id"]), "one outcome for each episode and model")
+    return decisions
 
 
-def tier_reports(decisions: DataFrame, outcomes: DataFrame, header: dict, policy: Policy = PUBLIC) -> DataFrame:
-    """The report of each tier in 28 fields; numbers that must be exact are text."""
+def tier_reports(decisions: DataFrame, outcomes: DataFrame, header: dict, policy: Policy = PUBLIC, scores: DataFrame | None = None) -> DataFrame:
+    """The report of each tier in 28 fields; numbers that must be exact are text.  scores: the tiers' scores, if they are at hand."""
     n = scoring.places(policy)
-    t = scoring.tier_scores(decisions, outcomes, policy)
+    t = scoring.tier_scores(decisions, outcomes, policy) if scores is None else scores
     text = [F.struct(F.lit(k).alias("tier"), F.lit(plain(m)).alias("multiplier")) for k, (m, _) in policy.tiers.items()]
     t = t.withColumn("multiplier", F.filter(F.array(*text), lambda x: x["tier"] == F.col("tier"))[0]["multiplier"])
     limit = F.col("light_nano").cast("decimal(22,0)") * F.col("multiplier_e15").cast("decimal(16,0)")
@@ -91,8 +121,9 @@ def tier_reports(decisions: DataFrame, outcomes: DataFrame, header: dict, policy
 
 def final_report(decisions: DataFrame, outcomes: DataFrame, header: dict, policy: Policy = PUBLIC) -> DataFrame:
     """The report over all tiers, with the tier reports inside; a few rows."""
-    final = scoring.final_score(scoring.tier_scores(decisions, outcomes, policy), policy)
-    tiers = tier_reports(decisions, outcomes, header, policy).agg(F.array_sort(F.collect_list(F.struct("tier", F.struct("*").alias("report")))).alias("tiers"))
+    scores = written(scoring.tier_scores(decisions, outcomes, policy), "scores")
+    final = scoring.final_score(scores, policy)
+    tiers = tier_reports(decisions, outcomes, header, policy, scores).agg(F.array_sort(F.collect_list(F.struct("tier", F.struct("*").alias("report")))).alias("tiers"))
     weights = F.struct(*[F.lit(plain(policy.tiers[t][1])).alias(t) for t in sorted(policy.tiers)])
     return final.crossJoin(tiers).select(
         F.lit(header["schema_version"]).cast("bigint").alias("schema_version"), F.lit(FINAL_REPORT).alias("report_type"), F.lit(header["challenge_id"]).alias("challenge_id"), F.lit(policy.policy_id).alias("policy_id"),

@@ -9,6 +9,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waybill.functions.exact import quotient
 from waybill.functions.text import complexity, priority, with_features
 from waybill.sources.shared import written
 
@@ -53,6 +54,14 @@ def exact_multiplier(policy: Policy, model: str) -> Fraction:
     return max(Fraction(r.input) / Fraction(light.input), Fraction(r.output) / Fraction(light.output))
 
 
+def multiplier_columns(rates: DataFrame, models: list[str], light: str) -> list[Column]:
+    """The multiplier of each model, times 10**12 and half to even, of rows of exact rates <model>_input and <model>_output; null if a rate of the light model is not positive."""
+    unit = lambda c: (rates[c] * 10_000).cast("decimal(24,0)")
+    good = (rates[f"{light}_input"] > 0) & (rates[f"{light}_output"] > 0)
+    each = lambda m: F.greatest(*[quotient(unit(f"{m}_{k}"), F.when(good, unit(f"{light}_{k}"))) for k in ("input", "output")])
+    return [F.when(good, each(m)).cast("bigint").alias(m) for m in models]
+
+
 def priority_groups(episodes: DataFrame) -> DataFrame:
     """Number of episodes and content weight of each priority."""
     held = with_features(episodes).withColumn("priority", priority())

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.operators import report
-from waybill.sources import candidates, documents, files, images, selections
+from waybill.operators import report, schema
+from waybill.sources import candidates, documents, files, images, large, selections
 from waybill.sources.shared import folder
 
 from .oracle import _FEATURES, _OUTCOMES, _with
@@ -200,6 +200,55 @@ def input_source(spark: SparkSession, d: str) -> DataFrame:
     return read.select("split", "pos", "episode_id", F.sha2("prompt", 256).alias("prompt_sha256"), F.sha2(F.get("messages", F.lit(0))["content"], 256).alias("content_sha256"))
 
 
+def whole_input(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as one input document, written in parts and read back by many tasks."""
+    e = episodes(spark, d)
+    n = F.col("pos")
+    messages = F.when(n % 3 == 0, F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))))
+    path = f"{folder(spark, 'whole')}/input.json"
+    large.publish_input(e.select("pos", "episode_id", F.when(n % 3 > 0, F.col("text")).alias("prompt"), messages.alias("messages")), path, HEADER)
+    wrong = large.problems(spark, path, "input").select(F.col("rule").alias("split"), F.lit(-1).cast("bigint").alias("pos"), F.lit("").alias("episode_id"), F.lit(None).cast("string").alias("prompt_sha256"), F.lit(None).cast("string").alias("content_sha256"))
+    read = large.episodes(spark, path)
+    return wrong.unionByName(read.select("split", "pos", "episode_id", F.sha2("prompt", 256).alias("prompt_sha256"), F.sha2(F.get("messages", F.lit(0))["content"], 256).alias("content_sha256")))
+
+
+def whole_submission(spark: SparkSession, d: str) -> DataFrame:
+    """All decisions of a tier as one submission, written in parts and read back by many tasks."""
+    held = decisions(spark, d).filter("tier = 'balanced'").withColumn("pos", F.col("episode_id").cast("bigint"))
+    path = f"{folder(spark, 'whole')}/submission.json"
+    large.publish_submission(held, path, {**HEADER, "policy_id": "public", "tier": "balanced"})
+    return large.decisions(spark, path).select("tier", "policy_id", "episode_id", "model_id")
+
+
+def bad_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """The first byte that is no UTF-8 in each text, into which a stray, overlong, surrogate or cut form is put at a place of its own."""
+    n = F.col("doc_id")
+    forms = F.element_at(F.array(*map(F.lit, ["", "80", "C0AF", "EDA080", "E282", "F4908080", "FF"])), (n % 7 + 1).cast("int"))
+    at = (n * 31 % (F.length("text") + 1)).cast("int")
+    before, behind = F.encode(F.substring("text", F.lit(1), at), "UTF-8"), F.encode(F.substring("text", at + 1, F.length("text")), "UTF-8")
+    files_ = table(spark, d, "documents").select(n.cast("string").alias("path"), F.concat(before, F.unhex(forms), behind).alias("content"))
+    return large.first_bad_bytes(files_)
+
+
+PAGE_SCHEMA = {
+    "type": "object", "additionalProperties": False, "required": ["id", "url", "title"], "$defs": {"short": {"type": "string", "minLength": 1, "maxLength": 60}},
+    "properties": {
+        "id": {"type": "integer", "minimum": 3}, "url": {"format": "uri", "pattern": "^https://(www|m)[.]", "maxLength": 45}, "title": {"$ref": "#/$defs/short"}, "kind": {"enum": ["news", "blog", None]},
+        "parts": {"type": "array", "minItems": 1, "maxItems": 40, "items": {"type": "object", "properties": {"n": {"type": "integer", "exclusiveMaximum": 400}}, "required": ["n"]}},
+    },
+}
+
+
+def schema_violations(spark: SparkSession, d: str) -> DataFrame:
+    """The broken rules of a JSON document made from each page: its address, title, kind and the lengths of its paragraphs."""
+    n, c = F.col("page_id"), F.col
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    lengths = F.transform(F.slice(F.split("html", "<p>"), 2, 1_000_000), lambda p: F.struct(F.length(p).alias("n")))
+    kind = F.when(n % 4 == 0, "news").when(n % 4 == 1, "shop").when(n % 4 == 2, "blog")
+    document = F.to_json(F.struct(n.alias("id"), F.when(n % 9 > 0, c("url")).alias("url"), title.alias("title"), kind.alias("kind"), lengths.alias("parts"), F.when(n % 11 == 0, n).alias("more")))
+    return schema.schema_violations(table(spark, d, "pages").select("page_id", document.alias("doc")), "doc", PAGE_SCHEMA).select("page_id", "path", "keyword")
+
+
 def outcome_source(spark: SparkSession, d: str) -> DataFrame:
     """Outcome documents, one for each episode, and the long rows read back."""
     o = outcomes(spark, d).withColumn("o", F.struct(F.col("score").cast("string").alias("score"), "num_generations", "input_tokens", "output_tokens"))
@@ -337,7 +386,7 @@ def layer_sums(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {name: _query(name) for name in CASES} | {
     f.__name__: f
     for f in (
-        input_source, outcome_source, submission_source, parquet_source, jsonl_source, tsv_source, key_value_source, pinned_files, source_urls, answer_free, selection_status, pinned_workload, unbound_images, blob_problems,
+        input_source, whole_input, whole_submission, bad_bytes, schema_violations, outcome_source, submission_source, parquet_source, jsonl_source, tsv_source, key_value_source, pinned_files, source_urls, answer_free, selection_status, pinned_workload, unbound_images, blob_problems,
         platform_manifests, layer_sums,
     )
 }
@@ -345,6 +394,18 @@ QUERIES = {name: _query(name) for name in CASES} | {
 SQL = {name: _sql(name) for name in CASES} | {
     "input_source": """
 SELECT 'train' AS split, doc_id % 100 AS pos, CAST(doc_id AS VARCHAR) AS episode_id, CASE WHEN doc_id % 7 > 0 THEN sha256(text) END AS prompt_sha256, CASE WHEN doc_id % 7 = 0 THEN sha256(text) END AS content_sha256 FROM documents""",
+    "whole_input": """
+SELECT 'train' AS split, row_number() OVER (ORDER BY doc_id) - 1 AS pos, CAST(doc_id AS VARCHAR) AS episode_id, CASE WHEN doc_id % 3 > 0 THEN sha256(text) END AS prompt_sha256, CASE WHEN doc_id % 3 = 0 THEN sha256(text) END AS content_sha256 FROM documents""",
+    "whole_submission": _with(_FEATURES) + " SELECT tier, 'public' AS policy_id, episode_id, model_id FROM decisions WHERE tier = 'balanced'",
+    "bad_bytes": "SELECT CAST(doc_id AS VARCHAR) AS path, strlen(left(text, (doc_id * 31 % (length(text) + 1))::INT))::BIGINT AS \"offset\" FROM documents WHERE doc_id % 7 > 0",
+    "schema_violations": """
+WITH p AS (SELECT page_id AS n, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, string_split(html, '<p>')[2:] AS parts FROM pages)
+SELECT n AS page_id, unnest(path) AS path, unnest(keyword) AS keyword FROM (
+  SELECT n, list_transform(found, lambda x: x[1]) AS path, list_transform(found, lambda x: x[2]) AS keyword FROM (
+    SELECT n, list_filter([CASE WHEN n % 11 = 0 THEN ['/', 'additionalProperties'] END, CASE WHEN n % 9 = 0 THEN ['/url', 'required'] END, CASE WHEN n < 3 THEN ['/id', 'minimum'] END,
+      CASE WHEN n % 9 > 0 AND NOT regexp_matches(url, '^https://(www|m)[.]') THEN ['/url', 'pattern'] END, CASE WHEN n % 9 > 0 AND length(url) > 45 THEN ['/url', 'maxLength'] END, CASE WHEN title = '' THEN ['/title', 'minLength'] END,
+      CASE WHEN length(title) > 60 THEN ['/title', 'maxLength'] END, CASE WHEN n % 4 = 1 THEN ['/kind', 'enum'] END, CASE WHEN len(parts) = 0 THEN ['/parts', 'minItems'] END, CASE WHEN len(parts) > 40 THEN ['/parts', 'maxItems'] END,
+      CASE WHEN len(list_filter(parts, lambda x: length(x) >= 400)) > 0 THEN ['/parts/*/n', 'exclusiveMaximum'] END], lambda x: x IS NOT NULL) AS found FROM p))""",
     "outcome_source": _with(_OUTCOMES) + " SELECT episode_id, model_id, hundredths, num_generations, input_tokens, output_tokens FROM outcomes",
     "submission_source": _with(_FEATURES) + " SELECT tier, 'public' AS policy_id, doc_id % 100 AS pos, episode_id, model_id FROM decisions",
     "parquet_source": "SELECT CAST(item_id AS VARCHAR) AS id, sha256(text) AS sha256 FROM benchmark",

@@ -76,6 +76,8 @@ runs AS (
 medians AS (
   SELECT submission_id, tier, CASE WHEN count(*) = 5 THEN list_sort(list(elapsed_ns))[3] END AS median_ns FROM runs GROUP BY ALL)"""
 
+_HANGUL = "['증명 하라. 증명하라 유도 분석', 'Prove x^2 + 2*x + 1 = 0', 'Summarize and list only', '```python' || chr(10) || 'def f(x):' || chr(10) || '    return x;' || chr(10) || '```', 'big-O 시간  복잡도 must exactly', 'plain words']"
+
 _LOG = """
 log AS (
   SELECT user_id, ts, event_id, ['execution_failure', 'infrastructure_failure', 'execution_failure', 'valid', 'infrastructure_failure', 'fairness_violation'][event_id * 7 % 11 % 6 + 1] AS kind,
@@ -315,9 +317,9 @@ SELECT doc_id, CASE WHEN model_id = 'light' AND s1 - s0 - fill.lam * (c1 - c0) /
     "safety_calibration": _with(_DISTINCT, _CANDIDATES) + _best("safety <> 0.95::DOUBLE AND passed", "score_e12 DESC, ratio_e12, safety"),
     "safety_validation": _with(_DISTINCT, _CANDIDATES) + _best("safety <= 0.95::DOUBLE AND passed", "safety DESC"),
     "ridge_pair": _RIDGE,
-    "hangul_markers": """
-SELECT * FROM (VALUES ('0', 5::BIGINT, 0::BIGINT, 0::BIGINT, 3::BIGINT, 3::BIGINT), ('1', 3, 0, 5, 1, 5), ('2', 4, 0, 0, 0, 0), ('3', 6, 4, 0, 0, 4), ('4', 6, 0, 1, 1, 5), ('5', 2, 0, 0, 0, 0))
-t(episode_id, n_words, n_code, n_maths, n_reasoning, priority)""",
+    "hangul_markers": _with(_features("SELECT doc_id, CAST(doc_id AS VARCHAR) AS episode_id, 1 AS n_messages, " + _HANGUL + "[doc_id % 6 + 1] || chr(10) || text AS text FROM documents")) + """
+SELECT episode_id, n_words::BIGINT AS n_words, n_code::BIGINT AS n_code, n_maths::BIGINT AS n_maths, (n_reasoning + [3, 0, 0, 0, 1, 0][doc_id % 6 + 1])::BIGINT AS n_reasoning, round(n_hangul / solid * 1000000)::BIGINT AS hangul_e6 FROM counts""",
+
     "linear_scores": f"SELECT vec_id, {_score(0)} AS score_light, {_score(1)} AS score_middle, {_score(2)} AS score_think FROM embeddings",
     "argmax_model": f"""
 WITH s AS (SELECT vec_id, {_score(0)} AS a, {_score(1)} AS b, {_score(2)} AS c FROM embeddings)

@@ -440,9 +440,12 @@ def learned_route(spark: SparkSession, d: str) -> DataFrame:
     return learned.learned_route(e, learned.parsed(router.document(), tuple(scoring.PUBLIC.tiers)), vectors=vectors).groupBy("tier", "model_id").agg(F.count("*").alias("n"))
 
 
+HANGUL = ("증명 하라. 증명하라 유도 분석", "Prove x^2 + 2*x + 1 = 0", "Summarize and list only", "```python\ndef f(x):\n    return x;\n```", "big-O 시간  복잡도 must exactly", "plain words")
+
+
 def hangul_markers(spark: SparkSession, d: str) -> DataFrame:
-    """Keyword rules on literal prompts that driver tables never hold."""
-    rows = ["증명 하라. 증명하라 유도 분석", "Prove x^2 + 2*x + 1 = 0", "Summarize and list only", "```python\ndef f(x):\n    return x;\n```", "big-O 시간  복잡도 must exactly", "plain words"]
-    e = spark.createDataFrame([(str(i), t) for i, t in enumerate(rows)], "episode_id string, text string")
-    held = text.with_features(e).withColumn("priority", text.priority())
-    return held.select("episode_id", *[F.col(c).cast("bigint").alias(c) for c in ("n_words", "n_code", "n_maths", "n_reasoning", "priority")])
+    """Keyword rules on the documents, each behind one of six prompts with keywords that the documents never hold."""
+    prompt = F.element_at(F.array(*map(F.lit, HANGUL)), (F.col("doc_id") % len(HANGUL) + 1).cast("int"))
+    e = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("episode_id"), F.concat(prompt, F.lit("\n"), "text").alias("text"))
+    held = text.with_features(spread(e))
+    return held.select("episode_id", *[F.col(c).cast("bigint").alias(c) for c in ("n_words", "n_code", "n_maths", "n_reasoning")], F.round(F.col("hangul_ratio") * 1_000_000).cast("bigint").alias("hangul_e6"))

@@ -17,15 +17,24 @@ _POLICY = report.policy_document()
 MODELS = list(_POLICY["models"])
 
 
+def policies(spark: SparkSession, d: str) -> DataFrame:
+    """A policy for each part: the light model costs as much as the part, the others more by its size."""
+    price, size = F.col("p_retailprice").cast("decimal(10,2)"), F.col("p_size").cast("decimal(10,2)")
+    rates = {"light_input": price, "light_output": price * 4, "middle_input": price + size, "middle_output": price * 4 + size * 9, "think_input": price * 6 + size, "think_output": price * 7}
+    return table(spark, d, "part").select("p_partkey", F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("policy_id"), *[v.cast("decimal(14,4)").alias(k) for k, v in rates.items()])
+
+
 def policy_digest(spark: SparkSession, d: str) -> DataFrame:
-    """The canonical form of the public policy and its hash."""
-    return spark.createDataFrame([(documents.canonical(_POLICY), report.policy_sha256())], "policy string, sha256 string")
+    """The hash of the canonical form of each part's policy."""
+    held = policies(spark, d)
+    return held.select("p_partkey", F.sha2(report.policy_texts(held), 256).alias("sha256"))
 
 
 def score_report(spark: SparkSession, d: str) -> DataFrame:
     """The 28 fields of every tier's report, after all guards."""
     chosen, true = decisions(spark, d), outcomes(spark, d)
-    report.guarded(episodes(spark, d), true, chosen)
+    submission = {**HEADER, "policy_id": report.PUBLIC.policy_id}
+    chosen = report.guarded(episodes(spark, d), true, chosen, headers=(HEADER, HEADER, [{**submission, "tier": t} for t in TIERS]))
     held = report.tier_reports(chosen, true, HEADER)
     return held.select(*[c for c in held.columns if c != "model_counts"], *[F.col(f"model_counts.{m}").alias(f"n_{m}") for m in MODELS])
 
@@ -41,10 +50,13 @@ def one_tier_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def header_problems(spark: SparkSession, d: str) -> DataFrame:
-    """Fields of the headers of a few documents that differ, for four kinds of mistake."""
-    sub = {**HEADER, "policy_id": "public", "tier": "fast"}
-    cases = [(HEADER, HEADER, [sub], None), (HEADER, {**HEADER, "split": "dev"}, [sub], None), (HEADER, HEADER, [sub, {**sub, "policy_id": "x", "challenge_id": "y"}], None), ({**HEADER, "schema_version": 2}, HEADER, [sub], "premium")]
-    return spark.createDataFrame([(i, f) for i, c in enumerate(cases) for f in report.header_problems(c[0], c[1], c[2], tier=c[3])], "case bigint, field string")
+    """Fields that differ among the headers of each order's input, outcomes and submission, which follow its status, priority and clerk."""
+    version, c = F.lit(1), F.col
+    inputs = F.struct(F.when(c("o_orderkey") % 50 == 0, 2).otherwise(version).alias("schema_version"), F.lit("c").alias("challenge_id"), F.lit("O").alias("split"))
+    outcomes_ = F.struct(version.alias("schema_version"), F.lit("c").alias("challenge_id"), c("o_orderstatus").alias("split"))
+    submission = F.struct(version.alias("schema_version"), F.substring("o_orderpriority", 1, 1).alias("challenge_id"), F.lit("O").alias("split"), F.when(c("o_custkey") % 3 > 0, "public").alias("policy_id"), c("o_orderpriority").alias("tier"))
+    held = table(spark, d, "orders").select("o_orderkey", inputs.alias("inputs"), outcomes_.alias("outcomes"), submission.alias("submission"), F.when(c("o_orderkey") % 2 == 0, "1-URGENT").alias("wanted"))
+    return report.header_mismatches(held).select("o_orderkey", "field")
 
 
 def candidate_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -142,9 +154,9 @@ def bounded_logs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def policy_limits(spark: SparkSession, d: str) -> DataFrame:
-    """A policy's numbers as rows of names and plain decimals."""
-    rows = [(k, str(v)) for k, v in documents.flattened({"models": _POLICY["models"], "tiers": _POLICY["tiers"]}).items()]
-    return spark.createDataFrame(rows, "name string, value string")
+    """The numbers of each part's policy as rows of names and plain decimals."""
+    held = policies(spark, d)
+    return documents.flattened_rows(held.select("p_partkey", F.get_json_object(report.policy_texts(held), "$.models").alias("text")), "p_partkey", "text")
 
 
 def float_sums(spark: SparkSession, d: str) -> DataFrame:
@@ -155,8 +167,9 @@ def float_sums(spark: SparkSession, d: str) -> DataFrame:
 
 
 def generated_samples(spark: SparkSession, d: str) -> DataFrame:
-    """Nine hundred samples of seven modules: seeds by name, lengths bounded by drawing again, repeated questions drawn with the next seed."""
-    return generate.samples(spark, "easy", generate.demo_modules(), 900)
+    """A sample of seven modules for each supplier, with numbers up to that of the parts: seeds by name, lengths bounded by drawing again, repeated questions drawn with the next seed."""
+    n, most = table(spark, d, "supplier").count(), table(spark, d, "part").agg(F.max("p_partkey")).first()[0]
+    return generate.samples(spark, "easy", generate.demo_modules(int(most or 20)), n)
 
 
 def clamped_heads(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +185,9 @@ def decimal_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_multipliers(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(m, report.plain(str(x))) for m, x in routing.multipliers().items()], "model_id string, multiplier string")
+    """What each part's policy says of the models' costs against the light one's, times 10**12."""
+    held = policies(spark, d)
+    return held.select("p_partkey", *routing.multiplier_columns(held, MODELS, report.PUBLIC.light))
 
 
 def tier_problems(spark: SparkSession, d: str) -> DataFrame:
@@ -238,10 +253,29 @@ recorded AS (
     strlen(stdout) AS stdout_bytes, sha256(stdout) AS stdout_sha256, strlen(stderr) AS stderr_bytes, sha256(stderr) AS stderr_sha256 FROM logged)"""
 
 _HEAD = f"1::BIGINT AS schema_version, '{{kind}}' AS report_type, 'c' AS challenge_id, 'public' AS policy_id, '{report.policy_sha256()}' AS policy_sha256, 'train' AS split, 12::BIGINT AS score_decimal_places, 'ROUND_HALF_EVEN' AS score_rounding"
+_POLICIES = """WITH p AS (
+  SELECT p_partkey, price::DECIMAL(14,4) AS light_input, (price * 4)::DECIMAL(14,4) AS light_output, (price + size)::DECIMAL(14,4) AS middle_input, (price * 4 + size * 9)::DECIMAL(14,4) AS middle_output, (price * 6 + size)::DECIMAL(14,4) AS think_input,
+    (price * 7)::DECIMAL(14,4) AS think_output FROM (SELECT p_partkey, p_retailprice::DECIMAL(10,2) AS price, p_size::DECIMAL(10,2) AS size FROM part))"""
+
+
+def _rate(column: str) -> str:
+    return f"regexp_replace({column}::VARCHAR, '\\.?0+$', '')"
+
+
+def _half_even(n: str, d: str) -> str:
+    n, d = f"(({n} * 10000)::HUGEINT * 1000000000000)", f"({d} * 10000)::HUGEINT"
+    return f"({n} // {d} + (2 * ({n} % {d}) > {d} OR (2 * ({n} % {d}) = {d} AND {n} // {d} % 2 = 1))::INT)"
+
+
+_POLICY_TEXT = (
+    """'{"budget_warning_ratio":"0.95","context_limit_tokens":32768,"cost_unit":"credit","light_model_id":"light","models":{' || """
+    + " || ',' || ".join(f"""'"{m}":{{"fixed_cost":"0","input_token_rate":"' || {_rate(f'{m}_input')} || '","output_token_rate":"' || {_rate(f'{m}_output')} || '"}}'""" for m in sorted(MODELS))
+    + """ || '},"policy_id":"p' || p_partkey || '","schema_version":1,"tiers":{"balanced":{"budget_multiplier":"2","weight":"0.3"},"fast":{"budget_multiplier":"1.25","weight":"0.4"},"premium":{"budget_multiplier":"4","weight":"0.3"}},"token_unit":1000000}'"""
+)
 _PASSED = "CASE WHEN passed THEN {} ELSE 0 END"
 
 SQL = {
-    "policy_digest": f"SELECT policy, sha256(policy) AS sha256 FROM (VALUES ('{documents.canonical(_POLICY)}')) t(policy)",
+    "policy_digest": _POLICIES + f" SELECT p_partkey, sha256({_POLICY_TEXT}) AS sha256 FROM p",
     "score_report": _with(_OUTCOMES, _FEATURES, _TIERS) + f"""
 SELECT {_HEAD.format(kind=report.TIER_REPORT)}, tier, n_episodes AS num_episodes, n_light, n_middle, n_think, n_generations::BIGINT AS selected_generations, n_input::BIGINT AS selected_input_tokens, n_output::BIGINT AS selected_output_tokens,
   'credit' AS cost_unit, 1000000::BIGINT AS token_unit, {_text('light_nano', 9)} AS light_baseline_cost, CASE tier WHEN 'fast' THEN '1.25' WHEN 'balanced' THEN '2' ELSE '4' END AS budget_multiplier, {_text('light_nano * multiplier', 11)} AS budget_limit,
@@ -255,7 +289,9 @@ SELECT {_HEAD.format(kind=report.FINAL_REPORT)}, {_text('p', 12)} AS final_weigh
     "one_tier_report": _with(_OUTCOMES, _FEATURES, _TIERS) + f"""
 SELECT tier, n_episodes AS num_episodes, {_text('ratio_e12', 12)} AS budget_ratio, passed AS budget_passed, {_text(_PASSED.format('quality_e12'), 12)} AS tier_score FROM rounded WHERE tier = 'balanced'""",
     "header_problems": """
-SELECT * FROM (VALUES (1::BIGINT, 'outcomes.split'), (2, 'submission.challenge_id'), (2, 'submission.policy_id'), (3, 'policy.schema_version'), (3, 'outcomes.schema_version'), (3, 'submission.schema_version'), (3, 'submission.tier')) t("case", field)""",
+WITH o AS (SELECT o_orderkey, o_orderkey % 50 = 0 AS two, o_orderstatus, o_orderpriority, coalesce(o_custkey % 3 > 0, false) AS public FROM orders)
+SELECT o_orderkey, unnest(list_filter([CASE WHEN two THEN 'policy.schema_version' END, CASE WHEN two THEN 'outcomes.schema_version' END, CASE WHEN o_orderstatus <> 'O' THEN 'outcomes.split' END, CASE WHEN two THEN 'submission.schema_version' END,
+  'submission.challenge_id', CASE WHEN NOT public THEN 'submission.policy_id' END, CASE WHEN o_orderkey % 2 = 0 AND o_orderpriority <> '1-URGENT' THEN 'submission.tier' END], lambda x: x IS NOT NULL)) AS field FROM o""",
     "latency_report": _with(_RUNS) + """,
 lost AS (SELECT submission_id, count(*) FILTER (event_id % 7 = 0) AS discarded FROM runs GROUP BY 1),
 t AS (
@@ -292,12 +328,13 @@ WITH p AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_partkey * 10737418
 t AS (SELECT *, coalesce(printf('%.2f', n / 1048576) || ' MiB', 'not measured') AS plain FROM p)
 SELECT p_partkey, plain, CASE WHEN n >= 1073741824 AND n % 1073741824 = 0 THEN printf('%.2f', n / 1073741824) || ' GiB' ELSE plain END AS "limit",
   CASE WHEN n % 1073741824 = 0 THEN n // 1073741824 || 'g' WHEN n % 1048576 = 0 THEN n // 1048576 || 'm' ELSE CAST(n AS VARCHAR) END AS container FROM t""",
-    "policy_limits": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in documents.flattened({"models": _POLICY["models"], "tiers": _POLICY["tiers"]}).items()) + ") t(name, value)",
+    "policy_limits": _POLICIES + " SELECT p_partkey, unnest([" + ", ".join(f"'{m}__{n}'" for m in sorted(MODELS) for n in ("fixed_cost", "input_token_rate", "output_token_rate")) + "]) AS name, unnest(["
+    + ", ".join(f"'0', {_rate(f'{m}_input')}, {_rate(f'{m}_output')}" for m in sorted(MODELS)) + "]) AS value FROM p",
     "clamped_heads": """
 WITH v AS (SELECT doc_id, [least(1, greatest(0, (doc_id * (7 + i) % 301 - 100) / 100)) for i in range(3)] AS s, [least(50, greatest(-50, doc_id * (3 + 2 * i) % 161 - 80))::DOUBLE for i in range(3)] AS c FROM documents)
 SELECT doc_id, round(s[1] * 1000)::BIGINT AS score_0, round(s[2] * 1000)::BIGINT AS score_1, round(s[3] * 1000)::BIGINT AS score_2, round(c[1] * 1e6)::BIGINT AS cost_0, round(greatest(c[1], c[2]) * 1e6)::BIGINT AS cost_1, round(greatest(c[1], c[2], c[3]) * 1e6)::BIGINT AS cost_2 FROM v""",
     "decimal_texts": r"SELECT p_partkey, regexp_replace(CAST(p_retailprice AS DECIMAL(14,4))::VARCHAR, '\.?0+$', '') AS text FROM part",
-    "model_multipliers": "SELECT * FROM (VALUES ('light', '1'), ('middle', '2.12725'), ('think', '6.565')) t(model_id, multiplier)",
+    "model_multipliers": _POLICIES + " SELECT p_partkey, " + ", ".join(f"greatest({_half_even(f'{m}_input', 'light_input')}, {_half_even(f'{m}_output', 'light_output')})::BIGINT AS {m}" for m in MODELS) + " FROM p",
     "tier_problems": """
 WITH t AS (SELECT CASE WHEN o_orderkey = 1 THEN 'fast' WHEN o_orderstatus = 'O' THEN 'balanced' ELSE 'slow' END AS tier FROM orders), c AS (SELECT tier, count(*) AS n FROM t GROUP BY 1)
 SELECT coalesce(k.tier, c.tier) AS tier, coalesce(n, 0) AS n FROM (VALUES ('fast'), ('balanced'), ('premium')) k(tier) FULL JOIN c USING (tier) WHERE k.tier IS NULL OR coalesce(n, 0) <> 1""",

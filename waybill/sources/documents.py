@@ -9,8 +9,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -256,3 +258,15 @@ def flattened(tree: dict, above: str = "") -> dict[str, object]:
         name = f"{above}__{k}" if above else k
         out.update(flattened(v, name) if isinstance(v, dict) else {name: v})
     return dict(sorted(out.items()))
+
+
+def flattened_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, name, value) of the leaves of each document of nested objects, names as in ``flattened``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, n, str(v)) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for n, v in flattened(loads(t)).items()]
+            columns = zip(*rows, strict=True) if rows else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], [key, "name", "value"])
+
+    return docs.select(F.col(key).cast("bigint").alias(key), text).mapInArrow(run, f"{key} bigint, name string, value string")
