@@ -1,7 +1,9 @@
-"""Hashes by column expressions: FNV-1a, signed bins, HMAC, generation seeds."""
+"""Hashes by column expressions: FNV-1a, signed bins, HMAC, generation seeds; FNV-1a of many strings at once in tasks."""
 
 from __future__ import annotations
 
+import numpy as np
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,3 +61,23 @@ def generation_seed(*fields: Column) -> Column:
     """The first four bytes of the SHA-256 of the fields joined by NUL."""
     joined = F.concat_ws("\0", *[f.cast("string") for f in fields])
     return F.conv(F.substring(F.sha2(joined, 256), 1, 8), 16, 10).cast("bigint")
+
+
+def fnv1a_on(state: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """FNV-1a of many byte ranges of one buffer, going on from a state for each; the longest ranges go first, so each step touches those that still have a byte."""
+    size = ends - starts
+    order = np.argsort(-size, kind="stable")
+    out, at, left = state[order], starts[order], size[order]
+    active = len(order)
+    for step in range(int(left[0]) if len(left) else 0):
+        active = int(np.searchsorted(-left[:active], -step, "left"))
+        out[:active] = (out[:active] ^ data[at[:active] + step]) * np.uint64(FNV_PRIME)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def fnv1a_of(prefix: bytes, state: int = FNV_OFFSET) -> int:
+    for b in prefix:
+        state = (state ^ b) * FNV_PRIME % (1 << 64)
+    return state

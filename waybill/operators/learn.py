@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waybill.functions.hashing import signed_bin
-from waybill.functions.text import CONSTRAINT, FORMAL, PROGRAM, TRANSFORM, count, has, hashed_terms, tokens, with_features
-from waybill.sources.shared import written
+from waybill.functions.hashing import FNV_PRIME, fnv1a_of, fnv1a_on
+from waybill.functions.text import CONSTRAINT, FORMAL, PROGRAM, TRANSFORM, count, has, tokens, with_features
+from waybill.sources.shared import spread, written
 
 # Bounds of the hash bins, penalties, weight of the cost error, floor of a scale.
 LEAST_BINS, MOST_BINS = 16, 16384
@@ -41,21 +41,62 @@ def dense_features(episodes: DataFrame) -> DataFrame:
     return held.withColumn("dense", F.array(*columns))
 
 
-def term_counts(episodes: DataFrame, bins: int) -> DataFrame:
-    """Signed count of each bin of each episode; distinct terms are hashed once."""
+#: Tokens that are hashed at a time.
+TOKENS_AT_ONCE = 1 << 18
+
+
+def bin_lists(episodes: DataFrame, bins: int, *more: str) -> DataFrame:
+    """(episode_id, bins, more): the signed count of each bin that the episode's terms fall into, in order of bin; ``more`` columns of episodes travel along.
+
+    Terms are the tokens and the pairs of adjacent ones, tagged; all of an episode's stand in its row, so nothing is
+    shuffled.  The hash of a pair goes on from that of its first token.
+    """
     check_bins(bins)
-    terms = episodes.select("episode_id", F.explode(hashed_terms(tokens(F.col("text")))).alias("term")).groupBy("episode_id", "term").count()
-    hashed = terms.select("episode_id", signed_bin(F.col("term"), bins).alias("h"), "count")
-    return hashed.groupBy("episode_id", F.col("h.bin").alias("bin")).agg(F.sum(F.col("h.sign") * F.col("count")).cast("bigint").alias("value"))
+    one, two = np.uint64(fnv1a_of(b"w1:")), np.uint64(fnv1a_of(b"w2:"))
+
+    def counted(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        single = fnv1a_on(np.full(len(row), one), data, starts, ends)
+        pair = np.flatnonzero(row[1:] == row[:-1])
+        double = (fnv1a_on(np.full(len(pair), two), data, starts[pair], ends[pair]) ^ np.uint64(0x1F)) * np.uint64(FNV_PRIME)
+        double = fnv1a_on(double, data, starts[pair + 1], ends[pair + 1])
+        h = np.concatenate([single, double])
+        key, place = np.unique(np.concatenate([row, row[pair]]) * bins + (h & np.uint64(bins - 1)).astype(np.int64), return_inverse=True)
+        return key, np.bincount(place, np.where(h >> np.uint64(63), -1.0, 1.0), len(key)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            first = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy()))
+            flat = lists.flatten().cast(pa.large_string())
+            if len(flat):
+                _, offsets, values = flat.buffers()
+                offs, data = np.frombuffer(offsets, np.int64)[flat.offset : flat.offset + len(flat) + 1], np.frombuffer(values, np.uint8) if values else np.zeros(0, np.uint8)
+            a = 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(first, first[a] + TOKENS_AT_ONCE, "right")) - 1)
+                low, high = int(first[a]), int(first[b])
+                row = np.repeat(np.arange(b - a), np.diff(first[a : b + 1]))
+                key, value = counted(data, offs[low:high], offs[low + 1 : high + 1], row) if high > low else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                bounds = pa.array(np.searchsorted(key, np.arange(b - a + 1) * bins), pa.int32())
+                pairs = pa.StructArray.from_arrays([pa.array(key % bins), pa.array(value)], ["bin", "value"])
+                others = [batch.column(i + 2).slice(a, b - a) for i in range(len(more))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(bounds, pairs), *others], ["episode_id", "bins", *more])
+                a = b
+
+    held = episodes.select("episode_id", tokens(F.col("text")).alias("tokens"), *more)
+    shape = ", ".join(["episode_id string", "bins array<struct<bin:bigint,value:bigint>>", *(f"{c} {held.schema[c].dataType.simpleString()}" for c in more)])
+    return held.mapInArrow(run, shape)
+
+
+def term_counts(episodes: DataFrame, bins: int) -> DataFrame:
+    """Signed count of each bin of each episode."""
+    return bin_lists(spread(episodes), bins).select("episode_id", F.inline("bins"))
 
 
 def sparse_vectors(episodes: DataFrame, bins: int) -> DataFrame:
     """(episode_id, at, value): places and values of the features that may differ from 0, in order of place; the
     dense part first, then the bins scaled to unit length.  A row holds what its text has, whatever the number of bins."""
-    counts = term_counts(episodes, bins)
-    own = counts.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("bin", "value"))).alias("bins"))
-    held = dense_features(episodes).select("episode_id", "dense").join(own, "episode_id", "left")
-    held = held.withColumn("bins", F.coalesce("bins", F.array().cast("array<struct<bin:bigint,value:bigint>>")))
+    held = bin_lists(dense_features(spread(episodes)), bins, "dense")
     square = F.aggregate("bins", F.lit(0.0), lambda s, b: s + (b["value"] * b["value"]).cast("double"))
     held = held.withColumn("norm", F.greatest(F.sqrt(square), F.lit(0.0)))
     at = F.concat(F.sequence(F.lit(0), F.lit(DENSE_FEATURES - 1)), F.transform("bins", lambda b: (b["bin"] + DENSE_FEATURES).cast("int")))
