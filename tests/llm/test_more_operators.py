@@ -261,3 +261,18 @@ def test_components_of_long_chains(spark):
         graph.written = kept
     assert seen.count("taken") <= 25
     assert graph.components(frame.limit(0)).count() == 0
+
+
+def test_classes_of_a_long_chain_of_versions(spark):
+    """Each text shifted by five words against the one before: one class, however long the chain."""
+    from waybill.llm.op10_jaccard import classes, one_of_each
+
+    r = random.Random(21)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(5 * 700 + 100)]
+    rows = [(i, " ".join(words[5 * i : 5 * i + 100])) for i in range(700)]
+    r.shuffle(rows)
+    frame = spark.createDataFrame([*rows, (5000, "something else entirely, a text of its own")], "doc_id bigint, text string")
+    got = {x["doc_id"]: x for x in classes(frame).collect()}
+    assert {got[i]["class_id"] for i in range(700)} == {0} and got[5000]["class_id"] == 5000
+    assert all(got[i]["n_links"] >= 2 for i in range(1, 699))
+    assert {x["doc_id"] for x in one_of_each(frame).collect()} == {0, 5000}
