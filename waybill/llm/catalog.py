@@ -6,7 +6,7 @@ import corpus_pipeline
 
 from .op1_decontaminate import op1_leaks
 from .op10_jaccard import op10_jaccard
-from .op11_importance import op11_importance
+from .op11_importance import OP11_SQL, op11_importance
 from .op12_simhash import op12_simhash
 from .op13_fim import OP13_SQL, op13_fim
 from .op2_html import op2_main_text
@@ -38,6 +38,7 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op4_quality": OP4_SQL,
     "op8_substrings": OP8_SQL,
+    "op11_importance": OP11_SQL,
     "op13_fim": OP13_SQL,
     **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
 }

@@ -273,3 +273,32 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight, score and rank of every document, drawn towards the benchmark."""
     docs, target = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return resampled(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_FEATURES = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+
+OP11_SQL = rf"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t),
+d AS (SELECT doc_id, w, {_FEATURES} AS f FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+s AS (SELECT doc_id, len(w) AS n_words, len(f)::BIGINT AS n_features FROM d),
+counts AS (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest(f) AS f FROM d) GROUP BY ALL),
+goal AS (SELECT f, count(*) AS n FROM (SELECT unnest({_FEATURES}) AS f FROM (SELECT {_WORDS} AS w FROM benchmark)) GROUP BY f),
+strings AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM counts UNION SELECT f FROM goal)),
+hashed AS (
+  SELECT f, xor(list_reduce(list_transform(range(1, length(h) + 1, 2), lambda i: ('0x' || h[i:i + 1])::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+  FROM strings CROSS JOIN crc),
+have AS (SELECT bucket, sum(n)::BIGINT AS n FROM counts JOIN hashed USING (f) GROUP BY bucket),
+want AS (SELECT bucket, sum(n)::BIGINT AS n FROM goal JOIN hashed USING (f) GROUP BY bucket),
+gain AS (
+  SELECT range AS bucket, floor(1000 * ln((coalesce(want.n, 0) + 1) * ((SELECT sum(n) FROM have) + 10000)::DOUBLE / ((coalesce(have.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM want) + 10000))))::BIGINT AS g
+  FROM range(10000) LEFT JOIN have ON have.bucket = range LEFT JOIN want ON want.bucket = range),
+sums AS (SELECT doc_id, sum(n * g)::BIGINT AS total FROM counts JOIN hashed USING (f) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, n_words, n_features, coalesce(floor(total::DOUBLE / n_features)::BIGINT, 0) AS weight, ('0x' || sha256(concat('7:', doc_id))[1:8])::BIGINT AS h FROM s LEFT JOIN sums USING (doc_id)),
+placed AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM scored),
+ranks AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM placed WHERE n_words >= 20)
+SELECT placed.doc_id, n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r END AS rank FROM placed LEFT JOIN ranks USING (doc_id)
+"""
