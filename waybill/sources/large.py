@@ -76,9 +76,12 @@ def split(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return both.select("path", shape.alias("text")), groups.filter("ended").select("path", "pos", own.alias("text"))
 
 
-def problems(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """``documents.problems`` for documents of any size."""
-    heads, elements = split(spark, path)
+Split = tuple[DataFrame, DataFrame]
+
+
+def problems(spark: SparkSession, path: str, kind: str, found: Split | None = None) -> DataFrame:
+    """``documents.problems`` for documents of any size; found: what ``split`` gave for the path, if it is at hand."""
+    heads, elements = found or split(spark, path)
     each = written(elements.select("path", F.try_parse_json("text").alias("e"), F.json_object_keys("text").isNull().alias("other")), "parsed")
     counts = each.groupBy("path").agg(F.count("*").alias("n"), F.max(F.col("e").isNull() | F.col("other")).alias("broken"))
     held = heads.join(counts, "path", "left").withColumn("v", F.try_parse_json("text")).withColumn("n", F.coalesce("n", F.lit(0)))
@@ -86,17 +89,17 @@ def problems(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return documents.found_problems(held, each.select("path", "e"), kind, F.col("n") > 0)
 
 
-def episodes(spark: SparkSession, path: str) -> DataFrame:
+def episodes(spark: SparkSession, path: str, found: Split | None = None) -> DataFrame:
     """``documents.episodes`` for documents of any size."""
-    heads, elements = split(spark, path)
+    heads, elements = found or split(spark, path)
     header = heads.select("path", F.from_json("text", f"struct<{documents.HEADER}>").alias("h")).select("path", "h.*")
     rows = elements.select("path", "pos", F.from_json("text", documents.EPISODE).alias("e"))
     return header.join(rows, "path").select("path", "schema_version", "challenge_id", "split", "pos", "e.*")
 
 
-def decisions(spark: SparkSession, path: str) -> DataFrame:
+def decisions(spark: SparkSession, path: str, found: Split | None = None) -> DataFrame:
     """``documents.decisions`` for documents of any size."""
-    heads, elements = split(spark, path)
+    heads, elements = found or split(spark, path)
     header = heads.select("path", F.from_json("text", "struct<tier: string, policy_id: string>").alias("h")).select("path", "h.*")
     rows = elements.select("path", "pos", F.from_json("text", "struct<episode_id: string, model_id: string>").alias("e"))
     return header.join(rows, "path").select("tier", "policy_id", "pos", "e.*")
