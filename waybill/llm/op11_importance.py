@@ -13,8 +13,8 @@ Strings are dealt by their first word; a first word that holds several times a s
 block's features is dealt by whole strings and block instead, so it reaches many shards (its strings are
 then hashed once in each of them; totals of buckets do not change).
 
-Null texts and texts without words have no features, weight 0 and are never drawn before reaching
-``least_words``; null ids are hashed as an empty string and lose ties.  Equal rows are separate documents with
+Null texts and texts without words have no features and weight 0, and like all texts of fewer than
+``least_words`` words they are never drawn; null ids are hashed as an empty string and lose ties.  Equal rows are separate documents with
 equal scores, ranked next to each other.  An empty table gives no rows, an empty target counts no
 features.  Extra columns are not carried by ``resampled`` and are kept by ``drawn``.
 """
