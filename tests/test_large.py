@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 from collections import Counter
@@ -9,7 +10,7 @@ from collections import Counter
 import pytest
 
 from waybill.plans import inputs
-from waybill.sources import documents, large
+from waybill.sources import documents, large, selections
 
 HEADER = {"schema_version": 1, "challenge_id": "c", "split": "train"}
 
@@ -93,3 +94,28 @@ def test_bytes_that_are_no_utf8(spark, tmp_path):
     assert got == {"stray": 6, "overlong": 2, "surrogate": 0, "cut": 3, "above": 1, "late": 100_000}
     rules = {(r["path"].rsplit("/", 1)[-1], r["rule"]) for r in documents.problems(documents.documents(spark, str(tmp_path)), "input").collect()}
     assert {x for x in rules if x[1] == "utf8"} == {(n, "utf8") for n in bad if n != "good"}
+
+
+def test_pinned_files_without_a_row_that_holds_a_file(spark, tmp_path, small_splits):
+    """The rules of ``selections.pinned_problems`` over files of which no row and no task holds one; elements stay where they are."""
+    rows, digests = {}, {}
+    for name, n in (("train", 700), ("dev", 300)):
+        d = {**big_input(n), "split": name if name == "train" else "other"}
+        e = spark.createDataFrame([(i, x["episode_id"], x.get("prompt"), x.get("messages")) for i, x in enumerate(d["episodes"])], "pos bigint, episode_id string, prompt string, messages array<struct<role:string,content:string>>")
+        digests[name] = large.publish_input(e, str(tmp_path / f"{name}.json"), {**HEADER, "split": d["split"]})
+        rows[name] = (tmp_path / f"{name}.json").read_text()
+    assert {n: hashlib.sha256(t.encode()).hexdigest() for n, t in rows.items()} == digests == {n: large.digest(spark, str(tmp_path / f"{n}.json")) for n in rows}
+    registry = spark.createDataFrame([("train", 700, digests["train"]), ("train", 701, "0" * 64), ("dev", 300, digests["dev"]), ("gone", 1, "0" * 64)], "split string, total_inputs bigint, sha256 string")
+    want = selections.pinned_problems(spark.createDataFrame(list(rows.items()), "split string, text string"), registry)
+    found = large.split(spark, str(tmp_path))
+    got = large.pinned_problems(spark, {n: str(tmp_path / f"{n}.json") for n in rows}, registry, found)
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect())) and got.count() == 7
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:  # a large document's elements are not dealt by its path, which would send all of them to one task
+        plan = large.episodes(spark, str(tmp_path), found)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "BroadcastHashJoin" in plan

@@ -110,7 +110,7 @@ def _elements(kind: str) -> str:
 
 
 def found_problems(held: DataFrame, each: DataFrame, kind: str, some: Column, models: tuple[str, ...] = tuple(PUBLIC.models), tiers: tuple[str, ...] = tuple(PUBLIC.tiers)) -> DataFrame:
-    """``problems`` of documents (path, text, v), null where they are no JSON, and their elements (path, e); some: whether a document has elements."""
+    """``problems`` of documents (path, text, v), null where they are no JSON, and the elements (path, e) of the others; some: whether a document has elements."""
     parsed, v, array = held.filter("v IS NOT NULL"), F.col("v"), _elements(kind)
     bad = held.filter("v IS NULL").select("path", F.when(F.col("text").isNull(), "utf8").otherwise("json").alias("rule"))
     missing, extra = key_sets(F.json_object_keys("text"), KEYS[kind])
@@ -120,7 +120,6 @@ def found_problems(held: DataFrame, each: DataFrame, kind: str, some: Column, mo
     }
     if kind == "submission":
         rules |= {"policy_id": _is_text(v, "policy_id"), "tier": _text(v, "tier").isin(*tiers)}
-    each = each.join(parsed.select("path"), "path", "left_semi")
     inner = each.select("path", F.explode(failed(_element_rules(kind, F.col("e"), models))).alias("rule"))
     twice = each.groupBy("path", _text(F.col("e"), "episode_id").alias("id")).count().filter("count > 1 AND id IS NOT NULL")
     out = bad.unionByName(parsed.select("path", F.explode(failed(rules)).alias("rule"))).unionByName(inner)

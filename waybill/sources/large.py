@@ -9,7 +9,8 @@ array.  So no row is larger than one element, and any number of tasks read one f
 
 Writing.  Fragments are range-partitioned by their position and written as parts by the tasks; the
 driver streams the parts behind each other, between head and tail, into a file that is renamed when
-it is complete.
+it is complete.  The SHA-256 of a file goes on from byte to byte, so one stream of fixed memory makes it,
+behind the parts as they are written or over the file as it is read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ HEAD = rf'(?s)^\s*\{{(?:\s*{_STRING}\s*:\s*(?:{_STRING}|[^\[\{{",\]\}}]++)\s*,)*
 ORDER = ["start", "piece"]
 
 
-def pieces(spark: SparkSession, path: str) -> DataFrame:
+def pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, start, piece, value, closed): the file cut behind each ``}``; closed is false if the last piece ends without one."""
     at = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size")
     raw = spark.read.option("lineSep", "}").text(path).select(*at, "value").withColumn("piece", F.monotonically_increasing_id())
@@ -51,7 +52,7 @@ def _number(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def split(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def split(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """Heads (path, text) and elements (path, pos, text) of documents; the head of a document of another shape is null."""
     plain = F.regexp_replace("value", r"(?s)\\.", "")
     held = running(pieces(spark, path).withColumn("plain", plain), ["path"], ORDER, {"quotes": _number(F.col("plain"), '"')})
@@ -79,30 +80,32 @@ def split(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 Split = tuple[DataFrame, DataFrame]
 
 
-def problems(spark: SparkSession, path: str, kind: str, found: Split | None = None) -> DataFrame:
+def problems(spark: SparkSession, path: str | list[str], kind: str, found: Split | None = None) -> DataFrame:
     """``documents.problems`` for documents of any size; found: what ``split`` gave for the path, if it is at hand."""
     heads, elements = found or split(spark, path)
     each = written(elements.select("path", F.try_parse_json("text").alias("e"), F.json_object_keys("text").isNull().alias("other")), "parsed")
     counts = each.groupBy("path").agg(F.count("*").alias("n"), F.max(F.col("e").isNull() | F.col("other")).alias("broken"))
     held = heads.join(counts, "path", "left").withColumn("v", F.try_parse_json("text")).withColumn("n", F.coalesce("n", F.lit(0)))
     held = written(held.withColumn("v", F.when(~F.coalesce("broken", F.lit(False)), F.col("v"))), "heads")
-    return documents.found_problems(held, each.select("path", "e"), kind, F.col("n") > 0)
+    # a row for each document goes to the elements, which all stand under one path or a few
+    whole = each.join(F.broadcast(held.filter("v IS NOT NULL").select("path")), "path", "left_semi")
+    return documents.found_problems(held, whole.select("path", "e"), kind, F.col("n") > 0)
 
 
-def episodes(spark: SparkSession, path: str, found: Split | None = None) -> DataFrame:
+def episodes(spark: SparkSession, path: str | list[str], found: Split | None = None) -> DataFrame:
     """``documents.episodes`` for documents of any size."""
     heads, elements = found or split(spark, path)
     header = heads.select("path", F.from_json("text", f"struct<{documents.HEADER}>").alias("h")).select("path", "h.*")
     rows = elements.select("path", "pos", F.from_json("text", documents.EPISODE).alias("e"))
-    return header.join(rows, "path").select("path", "schema_version", "challenge_id", "split", "pos", "e.*")
+    return rows.join(F.broadcast(header), "path").select("path", "schema_version", "challenge_id", "split", "pos", "e.*")
 
 
-def decisions(spark: SparkSession, path: str, found: Split | None = None) -> DataFrame:
+def decisions(spark: SparkSession, path: str | list[str], found: Split | None = None) -> DataFrame:
     """``documents.decisions`` for documents of any size."""
     heads, elements = found or split(spark, path)
     header = heads.select("path", F.from_json("text", "struct<tier: string, policy_id: string>").alias("h")).select("path", "h.*")
     rows = elements.select("path", "pos", F.from_json("text", "struct<episode_id: string, model_id: string>").alias("e"))
-    return header.join(rows, "path").select("tier", "policy_id", "pos", "e.*")
+    return rows.join(F.broadcast(header), "path").select("tier", "policy_id", "pos", "e.*")
 
 
 def first_bad_bytes(files: DataFrame) -> DataFrame:
@@ -124,9 +127,44 @@ def first_bad_bytes(files: DataFrame) -> DataFrame:
     return doubtful.mapInArrow(run, "path string, offset bigint")
 
 
-def published(rows: DataFrame, path: str, head: str, tail: str) -> None:
-    """One file of head, the fragments of rows (pos, json) in the order of pos with commas between them, and tail."""
+def digest(spark: SparkSession, path: str) -> str:
+    """The hex SHA-256 of a file of any size; one pass in fixed memory."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    held, total = jvm.org.apache.hadoop.fs.Path(path), jvm.java.security.MessageDigest.getInstance("SHA-256")
+    source = jvm.java.security.DigestInputStream(held.getFileSystem(conf).open(held), total)
+    try:
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, jvm.java.io.OutputStream.nullOutputStream(), conf, False)
+    finally:
+        source.close()
+    return bytes(total.digest()).hex()
+
+
+def pinned_problems(spark: SparkSession, files: dict[str, str], registry: DataFrame, found: Split | None = None) -> DataFrame:
+    """``selections.pinned_problems`` for files of any size, the path of each split; found: what ``split`` gave for all of them, if it is at hand."""
+    heads, elements = found or split(spark, list(files.values()))
+    pairs = [(s, _named(spark, p), digest(spark, p)) for s, p in files.items()]
+    held = spark.createDataFrame(pairs, "split string, path string, found string")
+    counts = elements.groupBy("path").agg(F.count("*").alias("n"))
+    header = heads.select("path", F.from_json("text", f"struct<{documents.HEADER}>")["split"].alias("named"))
+    return registry_problems(held.join(header, "path", "left").join(counts, "path", "left"), registry)
+
+
+def registry_problems(held: DataFrame, registry: DataFrame) -> DataFrame:
+    """(split, rule) of documents (split, found, named, n) against a registry (split, total_inputs, sha256); named: the split of their header."""
+    rules = {"missing": F.col("found").isNotNull(), "sha256": F.col("found") == F.col("sha256"), "split": F.col("named") == F.col("split"), "count": F.col("n") == F.col("total_inputs")}
+    return registry.join(held, "split", "left").select("split", F.explode(documents.failed(rules)).alias("rule"))
+
+
+def _named(spark: SparkSession, path: str) -> str | None:
+    """A path as the reader names it; None for an empty file."""
+    first = spark.read.option("lineSep", "}").text(path).select("_metadata.file_path").first()
+    return first and first[0]
+
+
+def published(rows: DataFrame, path: str, head: str, tail: str) -> str:
+    """One file of head, the fragments of rows (pos, json) in the order of pos with commas between them, and tail; returns its SHA-256."""
     spark = rows.sparkSession
+    rows = written(rows, "fragments")  # they are read three times: for the last one, for the ranges and for the parts
     end = rows.agg(F.max(F.struct("pos", "json")).alias("m")).first()["m"]
     parts = folder(spark, "parts")
     most = F.lit(end["pos"] if end else None)
@@ -138,7 +176,8 @@ def published(rows: DataFrame, path: str, head: str, tail: str) -> None:
     held = jvm.org.apache.hadoop.fs.Path(parts)
     source = held.getFileSystem(conf)
     names = sorted(f.getPath().toString() for f in source.listStatus(held) if f.getPath().getName().startswith("part-"))
-    out = fs.create(partial, True)
+    total = jvm.java.security.MessageDigest.getInstance("SHA-256")
+    out = jvm.java.security.DigestOutputStream(fs.create(partial, True), total)
     try:
         out.write(bytearray(head.encode()))
         for name in names:
@@ -151,15 +190,16 @@ def published(rows: DataFrame, path: str, head: str, tail: str) -> None:
     if not fs.rename(partial, target):
         fs.delete(target, False)
         fs.rename(partial, target)
+    return bytes(total.digest()).hex()
 
 
-def publish_submission(decisions: DataFrame, path: str, header: dict) -> None:
-    """The document of ``documents.submission_rows`` for one submission (pos, episode_id, model_id), of any size; header holds all its keys."""
+def publish_submission(decisions: DataFrame, path: str, header: dict) -> str:
+    """The document of ``documents.submission_rows`` for one submission (pos, episode_id, model_id), of any size; header holds all its keys.  Returns its SHA-256."""
     rows = decisions.select("pos", F.to_json(F.struct("episode_id", "model_id")).alias("json"))
-    published(rows, path, documents.compact(header)[:-1] + ',"decisions":[', "]}")
+    return published(rows, path, documents.compact(header)[:-1] + ',"decisions":[', "]}")
 
 
-def publish_input(episodes: DataFrame, path: str, header: dict) -> None:
-    """The document of ``documents.input_rows`` for one input (pos, episode_id, prompt, messages), of any size."""
+def publish_input(episodes: DataFrame, path: str, header: dict) -> str:
+    """The document of ``documents.input_rows`` for one input (pos, episode_id, prompt, messages), of any size.  Returns its SHA-256."""
     rows = episodes.select("pos", F.to_json(F.struct("episode_id", "prompt", "messages")).alias("json"))
-    published(rows, path, documents.compact(header)[:-1] + ',"episodes":[', "]}")
+    return published(rows, path, documents.compact(header)[:-1] + ',"episodes":[', "]}")

@@ -11,6 +11,7 @@ from waybill.operators import checks
 from waybill.operators.materialise import selected_problems, union_in_order
 
 from .documents import HEADER, episodes, failed, problems
+from .large import registry_problems
 
 # Wire forms of the selections.
 SELECTION = "struct<schema_version: int, split: string, episodes: array<struct<episode_id: string, prompt_sha256: string, source_id: string, source_key: struct<source_id: string, year: int>>>>"
@@ -106,9 +107,7 @@ def fragments(selection: DataFrame, *regimes: DataFrame) -> DataFrame:
 def pinned_problems(docs: DataFrame, registry: DataFrame) -> DataFrame:
     """(split, rule) of input documents (split, text) against a registry (split, total_inputs, sha256)."""
     d = docs.select("split", F.sha2("text", 256).alias("found"), F.from_json("text", f"struct<{HEADER}, episodes: array<struct<episode_id: string>>>").alias("d"))
-    held = registry.join(d, "split", "left")
-    rules = {"missing": F.col("found").isNotNull(), "sha256": F.col("found") == F.col("sha256"), "split": F.col("d.split") == F.col("split"), "count": F.size("d.episodes") == F.col("total_inputs")}
-    return held.select("split", F.explode(failed(rules)).alias("rule"))
+    return registry_problems(d.select("split", "found", F.col("d.split").alias("named"), F.size("d.episodes").alias("n")), registry)
 
 
 def workload(train: DataFrame, dev: DataFrame, challenge_id: str, split: str) -> DataFrame:
