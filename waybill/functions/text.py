@@ -1,9 +1,15 @@
-"""Text features of prompts as column expressions; all inside the JVM."""
+"""Text features of prompts: characters are counted in batches (see ``marks``), patterns run in the JVM on the texts that may match."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import marks
 
 _W = r"\p{L}\p{N}_"
 _EDGE = f"(?:(?<![{_W}])(?=[{_W}])|(?<=[{_W}])(?![{_W}]))"
@@ -22,6 +28,7 @@ PROGRAM = rf"(?idU)```|{_EDGE}(?:traceback|exception|complexity|big[- ]?o|시간
 CONSTRAINT = rf"(?idU){_EDGE}(?:exactly|at least|at most|must|only|without|정확히|이상|이하|반드시|오직|제외하고){_EDGE}"
 TRANSFORM = rf"(?idU){_EDGE}(?:summari[sz]e|rewrite|translate|list|extract|요약|바꾸|번역|나열|추출){_EDGE}"
 TOKEN = rf"(?U)[A-Za-z]+|[가-힣]+|\p{{Nd}}+|[^{_W}\s\x1c-\x1f]"
+COMMAND = rf"(?dU)\\(?:frac|sum|int|sqrt){_EDGE}"
 LONG_CONTEXT = 8000
 
 FEATURES = ("n_chars", "n_messages", "n_words", "n_sentences", "hangul_ratio", "n_code", "n_maths", "numeric_density", "long_context", "n_reasoning")
@@ -44,24 +51,43 @@ def episode_text(prompt: Column, messages: Column) -> Column:
     return F.coalesce(prompt, F.array_join(F.transform(messages, lambda m: m["content"]), "\n"))
 
 
+def with_marks(episodes: DataFrame) -> DataFrame:
+    """Adds ``_marks``, the counts and marks of ``text``; one pass over each text for all of them."""
+    names = episodes.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, marks.marked(batch.column(names.index("text")))], [*names, "_marks"])
+
+    return episodes.mapInArrow(run, T.StructType([*episodes.schema.fields, T.StructField("_marks", T.StructType.fromDDL(f"m {marks.MARKS}")["m"].dataType)]))
+
+
+def count_where(name: str, pattern: str) -> Column:
+    """Matches of a pattern, which is tried only on texts with the mark."""
+    return F.when(~F.col("_marks")[name], 0).otherwise(count(F.col("text"), pattern))
+
+
+def has_where(name: str, pattern: str) -> Column:
+    return F.when(~F.col("_marks")[name], False).otherwise(has(F.col("text"), pattern))
+
+
 def with_features(episodes: DataFrame) -> DataFrame:
-    """Adds ``FEATURES`` to rows with ``text`` and ``n_messages`` (1 if the column is missing)."""
-    text = F.col("text")
+    """Adds ``FEATURES`` to rows with ``text`` and ``n_messages`` (1 if the column is missing), and ``_marks``, by which ``priority`` and others skip patterns."""
+    text, m = F.col("text"), F.col("_marks")
     if "n_messages" not in episodes.columns:
         episodes = episodes.withColumn("n_messages", F.lit(1))
-    solid = F.greatest(F.lit(1), F.col("_solid"))
+    solid = F.greatest(F.lit(1), F.col("n_chars") - m["n_blanks"])
     return (
-        episodes.withColumn("_solid", nonspace(text))
+        with_marks(episodes)
         .withColumn("n_chars", F.length(text))
-        .withColumn("n_words", count(text, WORD))
-        .withColumn("n_sentences", F.greatest(F.lit(1), count(text, SENTENCE_END)))
-        .withColumn("hangul_ratio", count(text, HANGUL) / solid)
-        .withColumn("n_code", count(text, CODE))
-        .withColumn("n_maths", count(text, MATHS))
-        .withColumn("numeric_density", count(text, DIGIT) / solid)
+        .withColumn("n_words", m["n_words"].cast("int"))
+        .withColumn("n_sentences", F.greatest(F.lit(1), m["n_stops"]).cast("int"))
+        .withColumn("hangul_ratio", m["n_hangul"] / solid)
+        .withColumn("n_code", count_where("code", CODE))
+        .withColumn("n_maths", (m["n_signs"] + F.when(m["n_slashes"] == 0, 0).otherwise(count(text, COMMAND))).cast("int"))
+        .withColumn("numeric_density", m["n_digits"] / solid)
         .withColumn("long_context", F.col("n_chars") >= LONG_CONTEXT)
-        .withColumn("n_reasoning", count(text, REASONING))
-        .drop("_solid")
+        .withColumn("n_reasoning", count_where("reasoning", REASONING))
     )
 
 
@@ -82,12 +108,11 @@ def complexity() -> Column:
 
 def priority() -> Column:
     """Difficulty for the budgeted router, from the feature columns and the text."""
-    text = F.col("text")
     rising = (
-        complexity() + F.when(has(text, FORMAL), 2).otherwise(0) + F.when(has(text, PROGRAM), 2).otherwise(0)
-        + F.when(count(text, CONSTRAINT) >= 2, 1).otherwise(0)
+        complexity() + F.when(has_where("formal", FORMAL), 2).otherwise(0) + F.when(has_where("program", PROGRAM), 2).otherwise(0)
+        + F.when(count_where("constraint", CONSTRAINT) >= 2, 1).otherwise(0)
     )
-    easy = (F.col("n_chars") < 500) & (rising <= 2) & has(text, TRANSFORM)
+    easy = (F.col("n_chars") < 500) & (rising <= 2) & has_where("transform", TRANSFORM)
     return F.greatest(F.lit(0), rising - F.when(easy, 1).otherwise(0))
 
 

@@ -10,8 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waybill.functions import marks
 from waybill.functions.hashing import FNV_PRIME, fnv1a_of, fnv1a_on
-from waybill.functions.text import CONSTRAINT, FORMAL, PROGRAM, TRANSFORM, count, has, tokens, with_features
+from waybill.functions.text import CONSTRAINT, FORMAL, PROGRAM, TRANSFORM, count_where, has_where, with_features
 from waybill.sources.shared import spread, written
 
 # Bounds of the hash bins, penalties, weight of the cost error, floor of a scale.
@@ -28,23 +29,19 @@ def check_bins(bins: int) -> None:
 
 def dense_features(episodes: DataFrame) -> DataFrame:
     """Adds ``dense``, the 14 plain features in their fixed order."""
-    text, held = F.col("text"), with_features(episodes)
+    held = with_features(episodes)
 
     def flag(c: Column) -> Column:
         return c.cast("double")
 
     columns = [
         F.log1p("n_chars"), F.log1p("n_words"), F.log1p("n_sentences"), F.log1p("n_messages"), F.col("hangul_ratio"), F.log1p("n_code"), F.log1p("n_maths"),
-        F.col("numeric_density"), flag(F.col("long_context")), F.log1p("n_reasoning"), flag(has(text, FORMAL)), flag(has(text, PROGRAM)),
-        F.log1p(count(text, CONSTRAINT)), flag(has(text, TRANSFORM)),
+        F.col("numeric_density"), flag(F.col("long_context")), F.log1p("n_reasoning"), flag(has_where("formal", FORMAL)), flag(has_where("program", PROGRAM)),
+        F.log1p(count_where("constraint", CONSTRAINT)), flag(has_where("transform", TRANSFORM)),
     ]
     return held.withColumn("dense", F.array(*columns))
 
 
-#: Tokens that are hashed at a time.
-TOKENS_AT_ONCE = 1 << 18
-
-
 def bin_lists(episodes: DataFrame, bins: int, *more: str) -> DataFrame:
     """(episode_id, bins, more): the signed count of each bin that the episode's terms fall into, in order of bin; ``more`` columns of episodes travel along.
 
@@ -65,25 +62,16 @@ def bin_lists(episodes: DataFrame, bins: int, *more: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            first = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy()))
-            flat = lists.flatten().cast(pa.large_string())
-            if len(flat):
-                _, offsets, values = flat.buffers()
-                offs, data = np.frombuffer(offsets, np.int64)[flat.offset : flat.offset + len(flat) + 1], np.frombuffer(values, np.uint8) if values else np.zeros(0, np.uint8)
-            a = 0
-            while a < batch.num_rows:
-                b = max(a + 1, int(np.searchsorted(first, first[a] + TOKENS_AT_ONCE, "right")) - 1)
-                low, high = int(first[a]), int(first[b])
-                row = np.repeat(np.arange(b - a), np.diff(first[a : b + 1]))
-                key, value = counted(data, offs[low:high], offs[low + 1 : high + 1], row) if high > low else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            data, at = marks.bytes_of(batch.column(1))
+            for a, b in marks.blocks(at):
+                held, starts, ends, row = marks.tokens(data[at[a] : at[b]], at[a : b + 1] - at[a])
+                key, value = counted(held, starts, ends, row) if len(row) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 bounds = pa.array(np.searchsorted(key, np.arange(b - a + 1) * bins), pa.int32())
                 pairs = pa.StructArray.from_arrays([pa.array(key % bins), pa.array(value)], ["bin", "value"])
                 others = [batch.column(i + 2).slice(a, b - a) for i in range(len(more))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(bounds, pairs), *others], ["episode_id", "bins", *more])
-                a = b
 
-    held = episodes.select("episode_id", tokens(F.col("text")).alias("tokens"), *more)
+    held = episodes.select("episode_id", "text", *more)
     shape = ", ".join(["episode_id string", "bins array<struct<bin:bigint,value:bigint>>", *(f"{c} {held.schema[c].dataType.simpleString()}" for c in more)])
     return held.mapInArrow(run, shape)
 
@@ -110,6 +98,31 @@ def dense_form(at: Column, value: Column, width: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at(places, i), F.lit(0.0)))
 
 
+#: Numbers of dense rows that are made at a time.
+NUMBERS = 1 << 18
+
+
+def dense_rows(vectors: DataFrame, width: int, *more: str) -> DataFrame:
+    """(episode_id, features, more): sparse vectors with all their places; a row costs its entries and its width, not their product."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.list_value_length(batch.column(1)).to_numpy()
+            first = np.append(0, np.cumsum(size))
+            at, value = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+            step = max(1, NUMBERS // width)
+            for a in range(0, batch.num_rows, step):
+                b = min(a + step, batch.num_rows)
+                own = slice(first[a], first[b])
+                out = np.zeros((b - a, width))
+                out[np.repeat(np.arange(b - a), size[a:b]), at[own]] = value[own]
+                features = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * width, pa.int32()), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), features, *(batch.column(i + 3).slice(a, b - a) for i in range(len(more)))], ["episode_id", "features", *more])
+
+    kept = "".join(f", {c} {vectors.schema[c].dataType.simpleString()}" for c in more)
+    return vectors.select("episode_id", "at", "value", *more).mapInArrow(run, f"episode_id string, features array<double>{kept}")
+
+
 def sparse_rows(rows: DataFrame, n_features: int) -> DataFrame:
     """(fold, at, value) of Z = (1, features, targets) for rows (fold, features, targets) or (fold, at, value, targets)."""
     if "at" not in rows.columns:

@@ -309,7 +309,7 @@ def token_lists(spark: SparkSession, d: str) -> DataFrame:
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     """Feature vectors with 256 bins in millionths, as the hash of their numbers."""
     width = learn.DENSE_FEATURES + 256
-    held = learn.sparse_vectors(episodes(spark, d), 256).withColumn("features", learn.dense_form(F.col("at"), F.col("value"), width))
+    held = learn.dense_rows(learn.sparse_vectors(episodes(spark, d), 256), width)
     millionths = F.transform("features", lambda x: F.round(x * 1_000_000).cast("bigint"))
     return held.select("episode_id", F.size("features").cast("bigint").alias("n_features"), F.sha2(F.array_join(F.transform(millionths, lambda x: x.cast("string")), ","), 256).alias("sha256"))
 
