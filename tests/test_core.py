@@ -12,12 +12,14 @@ from collections import Counter
 from decimal import ROUND_HALF_EVEN, Decimal, localcontext
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from waybill.functions import exact, hashing, text
 from waybill.operators import audit, checks, learn, learned, materialise, routing, scoring, stats
 from waybill.operators.order import ranked
+from waybill.plans import queries
 from waybill.plans.catalog import QUERIES, SQL
 from waybill.sources import documents
 
@@ -523,3 +525,40 @@ def test_policy_text_of_the_public_rates(spark):
     assert {m: Decimal(up[m]).scaleb(-12) for m in scoring.PUBLIC.models} == routing.multipliers()
     with pytest.raises(checks.Violation):
         report.guarded(None, None, None, headers=({"schema_version": 1, "challenge_id": "c", "split": "a"}, {"schema_version": 1, "challenge_id": "c", "split": "b"}, []))
+
+
+ODD = ["", None, "abc DEF가나다 12٣4 x_y", "é a1b2 ⒶⒷ Ⓩ😀😀 =+-*/^∑ . ! 。？", "\x1c\x85\u2028\u3000 a\u00a0b", "reaſon PROVE Kelvin EXAMPLE", "ſummarıze lıst; \nlIst};\t\n\n", "\\\\frac{1}{2} \\sums \\int_ \\sqrt", "if x {\n return;  \n}\n```py\nimport a\nfrom b", "only without 증명 시간 복잡도 Big-O", "가a나1다", "x" * 3000 + " 一二三 Ⅷ ½ ２０"]
+
+
+def test_characters_in_batches_match_the_patterns(spark, monkeypatch):
+    """Counts, marks and tokens by bytes against the patterns in the JVM, on odd texts in blocks of one and of many; a mark never hides a match."""
+    from waybill.functions import marks
+
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(ODD)], "episode_id string, text string")
+    c = F.col("text")
+    want = {"n_words": text.WORD, "n_stops": text.SENTENCE_END, "n_hangul": text.HANGUL, "n_digits": text.DIGIT}
+    patterns = {"code": text.CODE, "reasoning": text.REASONING, "formal": text.FORMAL, "program": text.PROGRAM, "constraint": text.CONSTRAINT, "transform": text.TRANSFORM}
+    plain = {n: text.count(c, p) for n, p in {**want, **patterns, "maths": text.MATHS}.items()}
+    held = rows.select("episode_id", *[v.alias(n) for n, v in plain.items()], text.nonspace(c).alias("solid"), text.tokens(c).alias("tokens")).collect()
+    got = {r["episode_id"]: r for r in text.with_features(rows).withColumns({f"w_{n}": text.count_where(n, p) for n, p in patterns.items()}).collect()}
+    for r in held:
+        g = got[r["episode_id"]]
+        assert [g["_marks"][n] for n in want] == [r[n] for n in want], r
+        assert [g[f"w_{n}"] for n in patterns] == [r[n] for n in patterns], r
+        assert (g["n_maths"], g["n_chars"] and g["n_chars"] - g["_marks"]["n_blanks"]) == (r["maths"], g["n_chars"] and r["solid"]), r
+    for size in (1, 1 << 20):
+        monkeypatch.setattr(marks, "BYTES_AT_ONCE", size)
+        data, at = marks.bytes_of(pa.array(ODD))
+        found = []
+        for a, b in marks.blocks(at):
+            low, start, end, row = marks.tokens(data[at[a] : at[b]], at[a : b + 1] - at[a])
+            found += [[low[s:e].tobytes().decode() for s, e, k in zip(start, end, row) if k == i] for i in range(b - a)]
+        assert found == [r["tokens"] or [] for r in held]
+
+
+def test_dense_rows_match_the_form_by_places(spark):
+    vectors = learn.sparse_vectors(spark.createDataFrame([(str(i), t or "") for i, t in enumerate(ODD)], "episode_id string, text string"), 32)
+    want = {r[0]: r[1] for r in vectors.select("episode_id", learn.dense_form(F.col("at"), F.col("value"), 46)).collect()}
+    assert {r["episode_id"]: r["features"] for r in learn.dense_rows(vectors, 46).collect()} == want
+    plan = queries.vectors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_arrays" not in plan

@@ -68,54 +68,65 @@ def blocks(at: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def kinds(data: np.ndarray) -> np.ndarray:
-    """The kind of the character that begins at each byte, 0 where none begins."""
+@cache
+def _first_kinds() -> np.ndarray:
+    return np.array([kind(i) for i in range(0x3100)], np.uint8)
+
+
+def kinds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of the character that begins at each byte, 0 where none begins; and that of the character to which each byte belongs."""
     out, lead = ASCII[data], np.flatnonzero(data >= 0xC0)
-    if len(lead):
-        near = np.append(data, np.zeros(3, np.uint8)).astype(np.int64)
-        a, b, c, d = (near[lead + i] & (0xFF if i == 0 else 0x3F) for i in range(4))
-        point = np.where(a < 0xE0, (a & 0x1F) << 6 | b, np.where(a < 0xF0, (a & 0xF) << 12 | b << 6 | c, (a & 7) << 18 | b << 12 | c << 6 | d))
-        each, which = np.unique(point, return_inverse=True)
-        out[lead] = np.array([kind(int(p)) for p in each], np.uint8)[which]
-    return out
-
-
-def _runs(data: np.ndarray, at: np.ndarray, found: np.ndarray, sort: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of the runs of characters that begin at ``found``: neighbours of one text and one sort; sort 0 is never joined."""
-    lead = data[found]
-    after = found + 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
-    row = np.searchsorted(at, found, "right")
-    new = np.ones(len(found), bool)
-    new[1:] = (found[1:] != after[:-1]) | (row[1:] != row[:-1]) | (sort[1:] != sort[:-1]) | (sort[1:] == 0)
-    first = np.flatnonzero(new)
-    return found[first], after[np.append(first[1:], len(found)) - 1] if len(first) else found
+    if not len(lead):
+        return out, out
+    near = np.append(data, np.zeros(3, np.uint8))
+    a, b, c, d = (near[lead + i].astype(np.int64) & (0xFF if i == 0 else 0x3F) for i in range(4))
+    point = np.where(a < 0xE0, (a & 0x1F) << 6 | b, np.where(a < 0xF0, (a & 0xF) << 12 | b << 6 | c, (a & 7) << 18 | b << 12 | c << 6 | d))
+    own = _first_kinds()[np.minimum(point, 0x30FF)]
+    late = np.flatnonzero(point > 0x30FF)
+    each, which = np.unique(point[late], return_inverse=True)
+    own[late] = np.array([kind(int(p)) for p in each], np.uint8)[which]
+    out[lead] = own
+    whole = out.copy()
+    for i, least in ((1, 0xC0), (2, 0xE0), (3, 0xF0)):
+        some = a >= least
+        whole[lead[some] + i] = own[some]
+    return out, whole
+
+
+def _changes(sort: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each byte is the first, and the last, of a run of one sort other than 0 within a text."""
+    other = np.ones(len(sort) + 1, bool)
+    other[1:-1] = sort[1:] != sort[:-1]
+    other[at] = True
+    some = sort != 0
+    return some & other[:-1], some & other[1:]
 
 
 def counts(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     """``COUNTS`` of texts."""
-    found = kinds(data)
+    found, whole = kinds(data)
 
     def each(places: np.ndarray) -> np.ndarray:
-        return np.diff(np.searchsorted(places, at))
+        return np.diff(np.searchsorted(np.flatnonzero(places != 0), at))
 
-    letters = np.flatnonzero(found & (LATIN | HANGUL))
-    words, _ = _runs(data, at, letters, np.ones(len(letters), np.int8))
-    return [each(words), *(each(np.flatnonzero(found & k)) for k in (STOP, HANGUL, SIGN, DIGIT, BLANK, SLASH))]
+    words, _ = _changes(whole & (LATIN | HANGUL) != 0, at)
+    return [each(words), *(each(found & k) for k in (STOP, HANGUL, SIGN, DIGIT, BLANK, SLASH))]
 
 
 def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``text.tokens`` of texts as spans: bytes in lower case, start, end and text of each token; runs of digits all share one span."""
-    found = kinds(data)
-    places = np.flatnonzero(found & (LATIN | HANGUL | DIGIT | SYMBOL))
-    sort = found[places] & (LATIN | HANGUL | DIGIT)
-    start, end = _runs(data, at, places, sort)
+    found, whole = kinds(data)
+    first, last = _changes(whole & (LATIN | HANGUL | DIGIT), at)
+    goes_on = np.append(data & 0xC0 == 0x80, False)
+    start = np.flatnonzero(first | (found & SYMBOL != 0))
+    end = np.flatnonzero(last | (whole & SYMBOL != 0) & ~goes_on[1:]) + 1
     low = LOWER[data]
     # the only symbols with a lower case, circled letters; both forms have three bytes
     for p in start[(data[start] == 0xE2) & (end - start == 3)].tolist():
         c = data[p : p + 3].tobytes().decode()
         if "Ⓐ" <= c <= "Ⓩ":
             low[p : p + 3] = np.frombuffer(c.lower().encode(), np.uint8)
-    row = np.searchsorted(at, start, "right") - 1
+    row = np.repeat(np.arange(len(at) - 1), np.diff(np.searchsorted(start, at)))
     digits = (found[start] & DIGIT) > 0
     name = np.frombuffer(b"<number>", np.uint8)
     start[digits], end[digits] = len(low), len(low) + len(name)
