@@ -276,3 +276,19 @@ def test_classes_of_a_long_chain_of_versions(spark):
     assert {got[i]["class_id"] for i in range(700)} == {0} and got[5000]["class_id"] == 5000
     assert all(got[i]["n_links"] >= 2 for i in range(1, 699))
     assert {x["doc_id"] for x in one_of_each(frame).collect()} == {0, 5000}
+
+
+def test_op7_starts_from_all_training_texts(spark, monkeypatch):
+    """The pairs of neighbours from which the model starts are those of every training text, more than any sample held."""
+    from zlib import crc32
+
+    from waybill.llm import op7_hmm
+
+    seen, real = [], op7_hmm.neighbours
+    monkeypatch.setattr(op7_hmm, "neighbours", lambda *a: seen.append(real(*a)) or seen[-1])
+    words = "red green blue one two three up down left right".split()
+    rows = [(i, " ".join(words[(i * k + k) % 10] for k in range(i % 6))) for i in range(1500)]
+    got = op7_hmm.scores(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    often, near = seen[0]
+    assert near[:, : len(often)].sum() == near[:, len(often) :].sum() == sum(len(t.split()) for i, t in rows if crc32(str(i).encode()) % 7 != 2)
+    assert len(got) == 1500 and sum(r["score"] for r in got) > sum(r["base_score"] for r in got)

@@ -11,9 +11,10 @@ unseen class gets the Good-Turing mass, that of the words seen once.
 
 Baum-Welch: an iteration computes expected counts for all training texts and adds them up across
 partitions; long texts are cut into sequences of at most ``SEGMENT`` tokens, of which only the first
-starts from the start probabilities, the others from the steady state.  The starting point is fitted
-on a bounded sample: a part of each of the ``SAMPLE`` training texts with the least hashes, whatever
-the layout of the input.  Scoring runs the scaled forward recursion over every whole text.
+starts from the start probabilities, the others from the steady state.  The starting point comes from
+all training texts too: how often each class stands before and behind each of the ``NEAR`` most frequent
+ones is counted exactly, classes with like neighbours are put together, and each state begins with one
+such group.  The driver sees a row of counts for each class, of which there are a bounded number.  Scoring runs the scaled forward recursion over every whole text.
 
 Null text counts as empty (only the end token), a null id is hashed as an empty string; repeated rows
 are scored each; an empty table gives no rows; extra columns are not carried.
@@ -28,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import U64, buffer_of, cut, joined_hash, mix, slices, span_hash, word_spans
+from .kernel import U64, buffer_of, cut, mix, slices, span_hash, word_spans
 from .repeats import squeezed, unsqueezed
 from .store import parts, spread, written
 
-STATES, ITERATIONS, SEGMENT, SAMPLE = 8, 2, 512, 600
+STATES, ITERATIONS, SEGMENT, NEAR = 8, 6, 512, 48
 FREQUENT, ENDINGS = 2e-5, 2048
 SLICE = 4 << 20
 END_HASH = U64(1)
@@ -258,54 +259,69 @@ def expected(model: Model, seq: np.ndarray, starts: np.ndarray, lengths: np.ndar
     return first, moves * model.moves, emit
 
 
-def sampled(seqs: DataFrame, n_texts: int, n: int = SAMPLE) -> list[np.ndarray]:
-    """A part of at most ``SEGMENT`` classes of each of the n training texts with the least hashes of their id and classes.
+def neighbours(seqs: DataFrame, cl: Classes, n: int = NEAR, blocks: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """The n most frequent classes, and for each class how often each of them follows it and then how often each stands before it, in all training texts."""
+    size = cl.size
+    often = np.argsort(-cl.share[1:], kind="stable")[:n] + 1
+    place = np.full(size, -1)
+    place[often] = np.arange(len(often))
+    width, step = 2 * len(often), -(-size // blocks)
 
-    Only texts with a hash below a bound that some 4 n of the ``n_texts`` meet leave the tasks.
-    """
-    bound = U64(min((1 << 64) - 1, (1 << 64) * 4 * n // max(n_texts, 1)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * width, np.int64)
         for batch in batches:
-            for r, seq, sizes, held in unpacked(batch):
-                begin = np.cumsum(sizes.astype(np.int64)) - sizes
-                some = np.flatnonzero(~held & (sizes > 1))
-                key = joined_hash(span_hash(seq.view(np.uint8), 2 * begin[some], 2 * (begin[some] + sizes[some])), numbers(r["ids"], np.int64)[some].view(np.uint64))
-                least = np.flatnonzero(key <= bound)
-                least = least[np.argsort(key[least], kind="stable")[:n]]
-                parts = []
-                for i, k in zip(some[least].tolist(), key[least].tolist(), strict=True):
-                    at = int(begin[i]) + (k >> 8) % -(-int(sizes[i]) // SEGMENT) * SEGMENT
-                    parts.append(seq[at : min(at + SEGMENT, int(begin[i] + sizes[i]))].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(key[least].view(np.int64)), pa.array(parts, pa.binary())], ["key", "seq"])
-
-    rows = seqs.mapInArrow(run, "key bigint, seq binary").orderBy("key", "seq").limit(n).collect()
-    return [numbers(r["seq"], np.uint16) for r in rows]
-
-
-def start_model(cl: Classes, sample: list[np.ndarray], states: int, rounds: int = 12) -> Model:
-    """Fitted on a sample: emissions begin at sequences that lie far apart, then Baum-Welch.
-
-    Without a sample (no training text of a word or more) all states are the unigram's.
+            for _, seq, sizes, held in unpacked(batch):
+                text = np.repeat(np.arange(len(sizes)), sizes)
+                pair = np.flatnonzero((text[1:] == text[:-1]) & ~held[text[1:]])
+                left, right = seq[pair].astype(np.int64), seq[pair + 1].astype(np.int64)
+                behind, before = place[right] >= 0, place[left] >= 0
+                key = np.concatenate([left[behind] * width + place[right[behind]], right[before] * width + len(often) + place[left[before]]])
+                each, times = np.unique(key, return_counts=True)
+                total[each] += times
+        rows = [(i, total[i * step * width : (i + 1) * step * width].tobytes()) for i in range(blocks)]
+        yield record(rows, ["block", "counts"], [pa.int32(), pa.binary()])
+
+    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for part in parts:
+            for blob in part.column("counts").to_pylist():
+                x = np.frombuffer(blob, np.int64)
+                total = x if total is None else total + x
+        yield record([(key[0].as_py(), total.tobytes())], ["block", "counts"], [pa.int32(), pa.binary()])
+
+    found = seqs.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
+    by = {r["block"]: np.frombuffer(r["counts"], np.int64) for r in found}
+    flat = np.concatenate([by[i] for i in range(blocks)]) if by else np.zeros(size * width, np.int64)
+    return often, flat.reshape(size, width)
+
+
+def start_model(cl: Classes, often: np.ndarray, near: np.ndarray, states: int, rounds: int = 20) -> Model:
+    """Each state begins with a group of classes that have like neighbours, and moves as the groups follow each other.
+
+    Groups are k-means of the classes' neighbours, each class as heavy as it is frequent.  Without a pair of tokens
+    (no training text of a word or more) all states are the unigram's.
     """
     k, size = states, cl.size
-    if not sample:
+    weight = near.sum(1).astype(float)
+    if not weight.any():
         return Model(np.ones(k), np.ones((k, k)), np.tile(cl.share * 100, (k, 1)), cl)
-    seq, lengths = np.concatenate(sample), np.array([len(s) for s in sample])
-    starts, fresh = np.cumsum(lengths) - lengths, np.ones(len(lengths), bool)
-    rows = [np.bincount(s, minlength=size).astype(np.float32) / len(s) for s in sample]
-    root = np.sqrt(np.array(rows))
-    near = root @ root[0]
-    picks = [0]
-    while len(picks) < k:
-        picks.append(int(np.argmin(near)))
-        near = np.maximum(near, root @ root[picks[-1]])
-    group = np.argmax(root @ root[picks].T, 1)
-    emit = np.stack([np.sum([rows[j] * lengths[j] for j in np.flatnonzero(group == i)] or [np.zeros(size)], 0) for i in range(k)])
-    model = Model(np.ones(k), np.full((k, k), 1.0) + np.eye(k) * 50 * k, emit, cl)
+    root = np.sqrt(near / np.maximum(weight, 1)[:, None])
+    centre = root[[int(np.argmax(weight))]]
+    while len(centre) < k:
+        far = weight * np.maximum(1 - (root @ centre.T).max(1), 0)
+        centre = np.concatenate([centre, root[[int(np.argmax(far))]]])
     for _ in range(rounds):
-        model = Model(*expected(model, seq, starts, lengths, fresh), cl)
-    return model
+        group = np.argmax(root @ centre.T, 1)
+        sums = np.stack([(weight[group == i, None] * root[group == i]).sum(0) for i in range(k)])
+        norm = np.sqrt((sums * sums).sum(1, keepdims=True))
+        centre = np.where(norm > 0, sums / np.maximum(norm, 1e-300), centre)
+    group = np.argmax(root @ centre.T, 1)
+    own = np.full((k, size), 0.1 / k)
+    own[group, np.arange(size)] += 0.9
+    own[:, 1] = 1 / k
+    follows = np.zeros((k, k))
+    np.add.at(follows, (np.repeat(group, len(often)), np.tile(group[often], size)), near[:, : len(often)].ravel())
+    return Model(np.ones(k), follows + follows.sum() * 0.1 / k**2, own * cl.share * cl.whole, cl)
 
 
 def unpacked(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -398,7 +414,7 @@ def scores(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS)
         n, n - n_words, endings, numbers(b"".join(r["often"] for r in often), np.uint64), numbers(b"".join(r["often_counts"] for r in often), np.int64), once
     )
     seqs = written(class_sequences(held, totals, spark.sparkContext.broadcast(cl), n_buckets), "sequences")
-    model = start_model(cl, sampled(seqs, cl.n_ends), states)
+    model = start_model(cl, *neighbours(seqs, cl), states)
     for _ in range(iterations):
         model = iteration(seqs, model, cl)
     shared = spark.sparkContext.broadcast(model)
