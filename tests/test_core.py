@@ -562,3 +562,20 @@ def test_dense_rows_match_the_form_by_places(spark):
     assert {r["episode_id"]: r["features"] for r in learn.dense_rows(vectors, 46).collect()} == want
     plan = queries.vectors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "map_from_arrays" not in plan
+
+
+def test_ridge_by_tiles_of_a_matrix_that_nobody_holds(spark, monkeypatch):
+    """The heads of ``ridge`` without the matrix of moments in the driver; targets in one block and across two."""
+    r = np.random.default_rng(5)
+    for n_features, tile in ((37, 16), (45, 16), (10, 64)):
+        x = r.normal(size=(200, n_features)) * (r.random((200, n_features)) < 0.3)
+        x[:, 4] = 0
+        y = r.normal(size=(200, 6)) + x[:, :6]
+        rows = spark.createDataFrame([(0, a.tolist(), b.tolist()) for a, b in zip(x, y)], "fold int, features array<double>, targets array<double>")
+        want = learn.ridge(learn.Moments(rows, n_features, 6, 1)[None], n_features, 1.0)
+        with monkeypatch.context() as m:
+            m.setattr(learn, "assembled", None)
+            m.setattr(learn, "ridge", None)
+            got = learn.ridge_tiled(rows, n_features, 6, 1.0, tile)
+        for a, b in zip(got, want):
+            assert np.allclose(a, b, atol=1e-9)

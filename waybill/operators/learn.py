@@ -134,6 +134,8 @@ def sparse_rows(rows: DataFrame, n_features: int) -> DataFrame:
 
 #: Columns of a tile, and products of pairs that are added up at a time.
 TILE, PRODUCTS = 2048, 1 << 22
+#: Rows whose square the driver holds for the dual form.
+MOST_DUAL = 4096
 
 
 def added(total: np.ndarray, own: np.ndarray, a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
@@ -258,6 +260,98 @@ def ridge(matrix: np.ndarray, n_features: int, alpha: float) -> tuple[np.ndarray
     return mean, scale, np.linalg.solve(gram * n + alpha * np.eye(n_features), cross * n), y_mean
 
 
+def ridge_tiled(rows: DataFrame, n_features: int, n_targets: int, alpha: float, tile: int = TILE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``ridge`` of rows (fold, at, value, targets) for widths of which no process can hold the matrix.
+
+    A Cholesky factor of the standardised moments is made tile by tile: a step factors one tile on the diagonal, tasks
+    solve the tiles beside it and take their products off those that are left.  A task holds three tiles, the driver one
+    and a few columns of numbers.
+    """
+    spark, width = rows.sparkSession, 1 + n_features + n_targets
+    n_blocks, first = -(-width // tile), 1 + n_features
+    schema = "i int, j int, tile binary"
+    names, kinds = ["i", "j", "tile"], [pa.int32(), pa.int32(), pa.binary()]
+
+    def span(i: int) -> slice:
+        return slice(i * tile, min((i + 1) * tile, width))
+
+    def of(blob: bytes, i: int, j: int) -> np.ndarray:
+        return np.frombuffer(blob).reshape(span(i).stop - i * tile, span(j).stop - j * tile)
+
+    def batch(*found: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate(kinds)], names)
+
+    def each(df: DataFrame, run: object) -> DataFrame:
+        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k in range(b.num_rows):
+                    i, j = b.column(0)[k].as_py(), b.column(1)[k].as_py()
+                    yield batch((i, j, np.ascontiguousarray(run(i, j, of(b.column(2)[k].as_py(), i, j))).tobytes()))
+
+        return df.select(*names).mapInArrow(over, schema)
+
+    left = Moments(rows, n_features, n_targets, 1, tile).tiles.select(*names)
+    top = np.zeros(width)
+    for r in each(left.filter("i = 0"), lambda i, j, x: x[0]).toLocalIterator():
+        top[span(r["j"])] = np.frombuffer(r["tile"])
+    square = np.zeros(width)
+    for r in each(left.filter("i = j"), lambda i, j, x: np.diag(x)).toLocalIterator():
+        square[span(r["i"])] = np.frombuffer(r["tile"])
+    cross = np.zeros((width, n_targets))
+    for r in each(left.filter(F.col("j") >= first // tile), lambda i, j, x: x[:, max(first - j * tile, 0) :]).toLocalIterator():
+        to = max(r["j"] * tile - first, 0)
+        part = np.frombuffer(r["tile"]).reshape(span(r["i"]).stop - r["i"] * tile, -1)
+        cross[span(r["i"]), to : to + part.shape[1]] = part
+    n = top[0]
+    mean = top / n
+    scale = np.sqrt(np.maximum(square / n - mean * mean, 0))
+    scale[scale < SCALE_FLOOR] = 1.0
+    own = np.zeros(width, bool)
+    own[1:first] = True
+    y_mean = mean[first:]
+    right = np.where(own[:, None], (cross - n * np.outer(mean, y_mean)) / scale[:, None], 0.0)
+
+    def standard(i: int, j: int, x: np.ndarray) -> np.ndarray:
+        a, b = span(i), span(j)
+        out = (x - n * np.outer(mean[a], mean[b])) / np.outer(scale[a], scale[b]) * np.outer(own[a], own[b])
+        return out + np.diag(np.where(own[a], alpha, 1.0)) if i == j else out
+
+    def factor(k: int) -> np.ndarray:
+        r = corners[k].first()
+        return np.linalg.cholesky(of(r["tile"], k, k)).T
+
+    def less(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, j, held = key[0].as_py(), key[1].as_py(), {}
+        for p in parts:
+            held |= dict(zip(p.column("role").to_pylist(), p.column("tile").to_pylist(), strict=True))
+        a, b = (np.frombuffer(held[r]).reshape(tile, -1) for r in (1, 2))
+        yield batch((i, j, (of(held[0], i, j) - a.T @ b).tobytes()))
+
+    left = written(each(left, standard), "standard")
+    corners, panels = [], []
+    for k in range(n_blocks):
+        corners.append(left.filter(f"i = {k} AND j = {k}"))
+        upper = factor(k)
+        right[span(k)] = np.linalg.solve(upper.T, right[span(k)])
+        shared = spark.sparkContext.broadcast(upper)
+        panel = written(each(left.filter(f"i = {k} AND j > {k}"), lambda i, j, x, s=shared: np.linalg.solve(s.value.T, x)), "panel")
+        panels.append(panel)
+        for r in each(panel, lambda i, j, x, w=right[span(k)].copy(): x.T @ w).toLocalIterator():
+            right[span(r["j"])] -= np.frombuffer(r["tile"]).reshape(-1, n_targets)
+        shared.unpersist()
+        if k + 1 < n_blocks:
+            last = F.lit(n_blocks - 1)
+            as_row = panel.select(F.col("j").alias("i"), F.explode(F.sequence("j", last)).alias("j"), F.lit(1).alias("role"), "tile")
+            as_column = panel.select(F.explode(F.sequence(F.lit(k + 1), "j")).alias("i"), "j", F.lit(2).alias("role"), "tile")
+            dealt = left.filter(f"i > {k}").select("i", "j", F.lit(0).alias("role"), "tile").unionByName(as_row).unionByName(as_column)
+            left = written(dealt.groupBy("i", "j").applyInArrow(less, schema), "left")
+    for k in reversed(range(n_blocks)):
+        for r in each(panels[k], lambda i, j, x, w=right.copy(): x @ w[span(j)]).toLocalIterator():
+            right[span(k)] -= np.frombuffer(r["tile"]).reshape(-1, n_targets)
+        right[span(k)] = np.linalg.solve(factor(k), right[span(k)])
+    return mean[1:first], scale[1:first], right[1:first], y_mean
+
+
 def ridge_rows(row: np.ndarray, at: np.ndarray, value: np.ndarray, y: np.ndarray, n_features: int, alpha: float, columns: int = TILE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``ridge`` from the entries of the rows, in the dual form: a system of as many equations as there are rows, built some columns at a time."""
     n = len(y)

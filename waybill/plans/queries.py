@@ -404,8 +404,8 @@ def ridge_wide(spark: SparkSession, d: str) -> DataFrame:
     columns = F.array(*[F.col(f"{x}_s") for x in models], *[F.ln(F.greatest(F.col(f"{x}_c"), F.lit(1.0))) for x in models])
     rows = learn.sparse_vectors(episodes(spark, d), learn.MOST_BINS).join(targets, "episode_id")
     rows = written(rows.select(F.lit(0).alias("fold"), "at", "value", columns.alias("targets")), "rows")
-    if rows.count() > n:
-        _, _, coef, intercept = learn.ridge(learn.Moments(rows, n, 2 * len(models), 1)[None], n, 1.0)
+    if rows.count() > learn.MOST_DUAL:
+        _, _, coef, intercept = learn.ridge_tiled(rows, n, 2 * len(models), 1.0)
     else:
         _, _, coef, intercept = learn.fitted_dual(rows, n, 1.0)
     out = [(t, float(intercept[t]), float(np.abs(coef[:, t]).sum()), float(coef[:, t] @ np.arange(n))) for t in range(2 * len(models))]
