@@ -579,3 +579,85 @@ def test_ridge_by_tiles_of_a_matrix_that_nobody_holds(spark, monkeypatch):
             got = learn.ridge_tiled(rows, n_features, 6, 1.0, tile)
         for a, b in zip(got, want):
             assert np.allclose(a, b, atol=1e-9)
+
+
+def test_narrow_moments_are_added_up_where_the_rows_are(spark, monkeypatch):
+    """One tile: tasks send a matrix for each fold, in strips, and no entries; also with more folds than a task may hold."""
+    rng = np.random.default_rng(11)
+    z = np.where(rng.random((400, 30)) < 0.6, rng.normal(size=(400, 30)), 0.0)
+    rows = [(i % 7, [int(k) for k in np.flatnonzero(r[:27])], [float(v) for v in r[:27] if v != 0], [float(v) for v in r[27:]]) for i, r in enumerate(z)]
+    frame = spark.createDataFrame(rows, "fold int, at array<int>, value array<double>, targets array<double>").repartition(3)
+    full = np.concatenate([np.ones((400, 1)), z], 1)
+    monkeypatch.setattr(learn, "tiled_moments", None)
+    for strip, sums in ((1 << 18, 1 << 26), (500, 8 * 31 * 31 * 2)):
+        monkeypatch.setattr(learn, "STRIP", strip)
+        monkeypatch.setattr(learn, "SUMS", sums)
+        held = learn.Moments(frame, 27, 3, 7)
+        for f in range(7):
+            assert np.allclose(held[f], full[f::7].T @ full[f::7])
+        assert np.allclose(held[None], full.T @ full)
+
+
+def test_predictions_of_all_folds_at_once(spark):
+    rng = np.random.default_rng(12)
+    heads = {f: (rng.normal(size=9), 1 + rng.random(9), rng.normal(size=(9, 4)) / 9, rng.random(4)) for f in (0, 2, 5)}
+    x = np.where(rng.random((60, 9)) < 0.5, rng.random((60, 9)), 0.0)
+    folds = [(0, 2, 5)[i % 3] for i in range(60)]
+    rows = [(str(i), folds[i], [int(k) for k in np.flatnonzero(r)], [float(v) for v in r if v], i * 0.5) for i, r in enumerate(x)]
+    frame = spark.createDataFrame(rows, "episode_id string, fold int, at array<int>, value array<double>, truth double")
+    for r in learned.predictions(frame, heads, ("a", "b"), "truth").collect():
+        i = int(r["episode_id"])
+        mean, scale, coef, intercept = heads[folds[i]]
+        want = (x[i] - mean) / scale @ coef + intercept
+        assert np.allclose([r["score_a"], r["score_b"], r["cost_a"]], [*np.clip(want[:2], 0, 1), np.exp(want[2])]) and r["truth"] == i * 0.5
+    with pytest.raises(Exception, match="no heads for folds"):
+        learned.predictions(frame.withColumn("fold", F.lit(1)), heads, ("a", "b")).collect()
+
+
+def test_a_budget_looks_at_one_block_of_steps(spark, monkeypatch):
+    from waybill.operators import curve
+
+    monkeypatch.setattr(curve, "BLOCK", 16)
+    falls = [Decimal((i * 37) % 11 + 1) for i in range(1, 1500)]
+    steps = spark.createDataFrame([(0.0, sum(falls) + 5), *((float(i), -f) for i, f in enumerate(falls, 1))], f"at double, cost {curve.SUM}")
+    held = curve.Curve(steps, ["cost"])
+    assert held.totals.groupBy("part", "block").count().agg(F.max("count")).first()[0] <= 16
+    totals = [sum(falls) + 5]
+    for f in falls:
+        totals.append(totals[-1] - f)
+    caps = {str(k): Decimal(k) for k in (3, 5, 6, 100, 777, 4000, 8999, int(totals[0]), 10**6)}
+    want = {k: next(((float(i), t) for i, t in enumerate(totals) if t <= cap), None) for k, cap in caps.items()}
+    got = held.first_fitting(caps)
+    assert {k: (got[k]["at"], got[k]["cost"]) if k in got else None for k in caps} == want
+
+
+def test_phrases_are_counted_in_batches(spark):
+    """Counts in batches are those of the patterns, also beside other letters and behind other matches; plain texts are not left to the patterns."""
+    plain = ["only a must; and AT LEAST\n", "def f():\n  x = {\n}\nimport a ``` class", "Prove it, derive it. big-O exception", "summarise commonly mustard _list"]
+    patterns = {"code": text.CODE, "reasoning": text.REASONING, "formal": text.FORMAL, "program": text.PROGRAM, "constraint": text.CONSTRAINT, "transform": text.TRANSFORM}
+    bits = [*"explain,why,at least,at most,Only,must,big o,bigo,prove,lemma,list,rewrite,def,class,#include,```,{,},;,é,가,증명,시간,복잡도,이상,ſ,K,İ,ı,_,1,., ,　,\x1c,\x85,½,́,😀".split(","), " ", " ", "\n", "\r\n", "\ndef", "muſt"]
+    rng = np.random.default_rng(13)
+    odd = ["".join(bits[k] for k in rng.integers(0, len(bits), 9)) for _ in range(3000)]
+    odd += ["```def", " def#include", "\n``` def", "must must only", "mustonly", "only가", "é only", "; \n;\n\n}", None]
+    c = F.col("text")
+    held = text.with_marks(spark.createDataFrame([(t,) for t in plain + odd], "text string"))
+    wrong = [~text.count_where(n, p).eqNullSafe(text.count(c, p)) | ~text.has_where(n, p).eqNullSafe(text.has(c, p)) for n, p in patterns.items()]
+    for w in wrong:
+        assert held.filter(w).count() == 0
+    for r in held.filter(c.isin(plain)).collect():
+        assert not any(r["_marks"][n] for n in patterns), r
+
+
+def test_bins_of_both_ways_agree():
+    """Few bins are counted in a table, many are sorted; the low bits of the latter are the former."""
+    column = pa.array([*ODD, "a b a b c " * 50])
+
+    def sums(bins):
+        out = {}
+        for a, b, bounds, key, count in learn.binned(column, bins):
+            for i in range(b - a):
+                for k, n in zip(key[bounds[i] : bounds[i + 1]].tolist(), count[bounds[i] : bounds[i + 1]].tolist(), strict=True):
+                    out[a + i, k % 16] = out.get((a + i, k % 16), 0) + n
+        return out
+
+    assert sums(16) == sums(16384) and len(sums(16)) > 20

@@ -66,7 +66,9 @@ def generation_seed(*fields: Column) -> Column:
 def fnv1a_on(state: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """FNV-1a of many byte ranges of one buffer, going on from a state for each; the longest ranges go first, so each step touches those that still have a byte."""
     size = ends - starts
-    order = np.argsort(-size, kind="stable")
+    most = int(size.max(initial=0))
+    # keys of two bytes are sorted by counting
+    order = np.argsort((most - size).astype(np.uint16) if most < 1 << 16 else -size, kind="stable")
     out, at, left = state[order], starts[order], size[order]
     active = len(order)
     for step in range(int(left[0]) if len(left) else 0):

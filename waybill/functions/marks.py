@@ -1,5 +1,5 @@
 """Kinds of characters and marks of texts in tasks, a batch at a time: what the patterns of ``text`` count one character
-after the other, the spans of tokens, and which texts may hold a phrase, so that the patterns themselves run on those alone."""
+after the other, the spans of tokens, and the matches of phrases; the patterns themselves run only on texts whose matches depend on characters outside ASCII."""
 
 from __future__ import annotations
 
@@ -47,8 +47,33 @@ PHRASES = {
     "transform": _any_case("summari|rewrite|translate|list|extract|요약|바꾸|번역|나열|추출"),
 }
 
+
+_OTHER = r"[^\x00-\x7f]"
+_KEYS = "(?:def|class|function|select|from|import|#include)"
+
+
+def _with_edges(words: str, others: str, plain: str = "") -> tuple[str, str]:
+    """Pattern of the words between edges, and of what it does not decide: words beside a character outside ASCII, where an edge
+    is another than RE2's, and other phrases."""
+    return rf"(?i){plain}\b(?:{words})\b", rf"(?i){_OTHER}(?:{words})|(?:{words}){_OTHER}|{others}"
+
+
+#: Patterns that count as those of that name in ``text``, and patterns of the texts for which they don't; a search goes on behind
+#: a match as if the text began there, so fences and keys with a key behind them are of the second kind.
+EXACT = {
+    "code": (rf"(?im)```|(?:^|{_BLANK}){_KEYS}\b|[{{}};]{_BLANK}*$", rf"(?im)(?:^|{_BLANK}){_KEYS}{_OTHER}|(?:```|{_KEYS}){_KEYS}"),
+    "reasoning": _with_edges("prove|derive|reason|analyze|explain why|algorithm|complexity", "증명|유도|추론|분석|알고리즘|복잡도"),
+    "formal": _with_edges("prove|derive|theorem|lemma|counterexample|induction", "증명|유도|정리|보조정리|반례|귀납"),
+    "program": _with_edges("traceback|exception|complexity|big[- ]?o", "시간|공간|예외|스택", "```|"),
+    "constraint": _with_edges("exactly|at least|at most|must|only|without", "정확히|이상|이하|반드시|오직|제외하고"),
+    "transform": _with_edges("summari[sz]e|rewrite|translate|list|extract", "요약|바꾸|번역|나열|추출"),
+}
+#: Letters outside ASCII that fold to ASCII ones.
+FOLDING = r"[\x{130}\x{131}\x{17f}\x{212a}]"
+
 COUNTS = ("n_words", "n_stops", "n_hangul", "n_signs", "n_digits", "n_blanks", "n_slashes")
-MARKS = "struct<" + ", ".join([*(f"{n}: bigint" for n in COUNTS), *(f"{n}: boolean" for n in PHRASES)]) + ">"
+#: ``n_<name>``: matches of the pattern of that name, unless the mark ``<name>`` says that they must be counted by the pattern itself.
+MARKS = "struct<" + ", ".join([*(f"{n}: bigint" for n in COUNTS), *(f"{n}: boolean" for n in PHRASES), *(f"n_{n}: int" for n in PHRASES)]) + ">"
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -139,4 +164,10 @@ def marked(column: pa.Array) -> pa.StructArray:
     parts = [counts(data[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in blocks(at)]
     none = pc.is_null(column).to_numpy(zero_copy_only=False)
     numbers = [pa.array(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64), pa.int64(), mask=none) for i in range(len(COUNTS))]
-    return pa.StructArray.from_arrays([*numbers, *(pc.match_substring_regex(column, p) for p in PHRASES.values())], [*COUNTS, *PHRASES])
+    folding = pc.match_substring_regex(column, FOLDING)
+    some, open_, hits = pc.any(folding).as_py(), [], []
+    for name, (pattern, unsure) in EXACT.items():
+        mark = pc.match_substring_regex(column, unsure)
+        open_.append(pc.if_else(folding, pc.match_substring_regex(column, PHRASES[name]), mark) if some else mark)
+        hits.append(pc.count_substring_regex(column, pattern).cast(pa.int32()))
+    return pa.StructArray.from_arrays([*numbers, *open_, *hits], [*COUNTS, *EXACT, *(f"n_{n}" for n in EXACT)])

@@ -1,4 +1,4 @@
-"""Text features of prompts: characters are counted in batches (see ``marks``), patterns run in the JVM on the texts that may match."""
+"""Text features of prompts: characters are counted in batches (see ``marks``), patterns run in the JVM on the texts that batches leave open."""
 
 from __future__ import annotations
 
@@ -63,12 +63,12 @@ def with_marks(episodes: DataFrame) -> DataFrame:
 
 
 def count_where(name: str, pattern: str) -> Column:
-    """Matches of a pattern, which is tried only on texts with the mark."""
-    return F.when(~F.col("_marks")[name], 0).otherwise(count(F.col("text"), pattern))
+    """Matches of a pattern, which is tried only on texts with the mark; the others have been counted."""
+    return F.when(~F.col("_marks")[name], F.col("_marks")[f"n_{name}"]).otherwise(count(F.col("text"), pattern))
 
 
 def has_where(name: str, pattern: str) -> Column:
-    return F.when(~F.col("_marks")[name], False).otherwise(has(F.col("text"), pattern))
+    return F.when(~F.col("_marks")[name], F.col("_marks")[f"n_{name}"] > 0).otherwise(has(F.col("text"), pattern))
 
 
 def with_features(episodes: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ SUM = "decimal(38,12)"
 FOREVER = float("inf")
 #: Digits of decimals on the driver.
 DIGITS = 80
+#: Steps of a block, among which a budget's first fitting step is sought.
+BLOCK = 1024
 
 
 def exact(c: Column, kind: str = SUM) -> Column:
@@ -97,7 +99,8 @@ class Curve:
         offsets = spark.createDataFrame(rows, "part int, " + ", ".join(f"_{n} {kind}" for n in names))
         w = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
         run = held.join(F.broadcast(offsets), "part")
-        self.totals = run.select("part", "at", *[(F.sum(n).over(w) + F.col(f"_{n}")).cast(kind).alias(n) for n in names])
+        block = F.floor((F.row_number().over(Window.partitionBy("part").orderBy("at")) - 1) / BLOCK)
+        self.totals = written(run.select("part", block.alias("block"), "at", *[(F.sum(n).over(w) + F.col(f"_{n}")).cast(kind).alias(n) for n in names]), "totals")
         self.parts = [r["part"] for r in parts]
         #: Totals after the last step of every partition.
         self.after = [{n: rows[i + 1][j + 1] for j, n in enumerate(names)} for i in range(len(rows) - 1)] + ([before] if rows else [])
@@ -112,6 +115,9 @@ class Curve:
         if not wanted:
             return {}
         limits = F.broadcast(spark.createDataFrame(wanted, f"cap string, part int, most {self.kind}"))
+        # the first block with a step that fits, then the steps of that block alone: every cap meets few of its part's steps
+        least = self.totals.groupBy("part", "block").agg(F.min(name).alias("least"))
+        blocks = least.join(limits, "part").filter(F.col("least") <= F.col("most")).groupBy("cap", "part", "most").agg(F.min("block").alias("block"))
         first = F.min_by(F.struct("at", *self.names), "at")
-        found = self.totals.join(limits, "part").filter(F.col(name) <= F.col("most")).groupBy("cap").agg(first.alias("s")).collect()
+        found = self.totals.join(F.broadcast(blocks), ["part", "block"]).filter(F.col(name) <= F.col("most")).groupBy("cap").agg(first.alias("s")).collect()
         return {r["cap"]: r["s"].asDict() for r in found}

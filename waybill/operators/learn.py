@@ -42,54 +42,76 @@ def dense_features(episodes: DataFrame) -> DataFrame:
     return held.withColumn("dense", F.array(*columns))
 
 
-def bin_lists(episodes: DataFrame, bins: int, *more: str) -> DataFrame:
-    """(episode_id, bins, more): the signed count of each bin that the episode's terms fall into, in order of bin; ``more`` columns of episodes travel along.
+def binned(column: pa.Array, bins: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of a column of texts: first row and end, where the bins of each row begin and the last end, the bins that its
+    terms fall into, in order, and the signed count of each.
 
-    Terms are the tokens and the pairs of adjacent ones, tagged; all of an episode's stand in its row, so nothing is
-    shuffled.  The hash of a pair goes on from that of its first token.
+    Terms are the tokens and the pairs of adjacent ones, tagged.  The hash of a pair goes on from that of its first token.
     """
-    check_bins(bins)
     one, two = np.uint64(fnv1a_of(b"w1:")), np.uint64(fnv1a_of(b"w2:"))
 
-    def counted(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def counted(n: int, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         single = fnv1a_on(np.full(len(row), one), data, starts, ends)
         pair = np.flatnonzero(row[1:] == row[:-1])
         double = (fnv1a_on(np.full(len(pair), two), data, starts[pair], ends[pair]) ^ np.uint64(0x1F)) * np.uint64(FNV_PRIME)
         double = fnv1a_on(double, data, starts[pair + 1], ends[pair + 1])
         h = np.concatenate([single, double])
-        key, place = np.unique(np.concatenate([row, row[pair]]) * bins + (h & np.uint64(bins - 1)).astype(np.int64), return_inverse=True)
-        return key, np.bincount(place, np.where(h >> np.uint64(63), -1.0, 1.0), len(key)).astype(np.int64)
+        place, minus = np.concatenate([row, row[pair]]) * bins + (h & np.uint64(bins - 1)).astype(np.int64), h >> np.uint64(63) > 0
+        if n * bins <= 4 * len(h):
+            each = np.bincount(place, minlength=n * bins)
+            key = np.flatnonzero(each)
+            return key, (each - 2 * np.bincount(place[minus], minlength=n * bins))[key]
+        key, place = np.unique(place, return_inverse=True)
+        return key, np.bincount(place, np.where(minus, -1.0, 1.0), len(key)).astype(np.int64)
+
+    data, at = marks.bytes_of(column)
+    for a, b in marks.blocks(at):
+        held, starts, ends, row = marks.tokens(data[at[a] : at[b]], at[a : b + 1] - at[a])
+        key, value = counted(b - a, held, starts, ends, row) if len(row) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        yield a, b, np.searchsorted(key, np.arange(b - a + 1) * bins), key % bins, value
+
+
+def term_lists(episodes: DataFrame, bins: int) -> DataFrame:
+    """(episode_id, bins): the signed count of each bin that the episode's terms fall into, in order of bin; all of an episode's terms stand in its row, so nothing is shuffled."""
+    check_bins(bins)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = marks.bytes_of(batch.column(1))
-            for a, b in marks.blocks(at):
-                held, starts, ends, row = marks.tokens(data[at[a] : at[b]], at[a : b + 1] - at[a])
-                key, value = counted(held, starts, ends, row) if len(row) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                bounds = pa.array(np.searchsorted(key, np.arange(b - a + 1) * bins), pa.int32())
-                pairs = pa.StructArray.from_arrays([pa.array(key % bins), pa.array(value)], ["bin", "value"])
-                others = [batch.column(i + 2).slice(a, b - a) for i in range(len(more))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(bounds, pairs), *others], ["episode_id", "bins", *more])
+            for a, b, bounds, key, value in binned(batch.column(1), bins):
+                pairs = pa.StructArray.from_arrays([pa.array(key), pa.array(value)], ["bin", "value"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pairs)], ["episode_id", "bins"])
 
-    held = episodes.select("episode_id", "text", *more)
-    shape = ", ".join(["episode_id string", "bins array<struct<bin:bigint,value:bigint>>", *(f"{c} {held.schema[c].dataType.simpleString()}" for c in more)])
-    return held.mapInArrow(run, shape)
+    return episodes.select("episode_id", "text").mapInArrow(run, "episode_id string, bins array<struct<bin:bigint,value:bigint>>")
 
 
 def term_counts(episodes: DataFrame, bins: int) -> DataFrame:
     """Signed count of each bin of each episode."""
-    return bin_lists(spread(episodes), bins).select("episode_id", F.inline("bins"))
+    return term_lists(spread(episodes), bins).select("episode_id", F.inline("bins"))
 
 
 def sparse_vectors(episodes: DataFrame, bins: int) -> DataFrame:
     """(episode_id, at, value): places and values of the features that may differ from 0, in order of place; the
     dense part first, then the bins scaled to unit length.  A row holds what its text has, whatever the number of bins."""
-    held = bin_lists(dense_features(spread(episodes)), bins, "dense")
-    square = F.aggregate("bins", F.lit(0.0), lambda s, b: s + (b["value"] * b["value"]).cast("double"))
-    held = held.withColumn("norm", F.greatest(F.sqrt(square), F.lit(0.0)))
-    at = F.concat(F.sequence(F.lit(0), F.lit(DENSE_FEATURES - 1)), F.transform("bins", lambda b: (b["bin"] + DENSE_FEATURES).cast("int")))
-    value = F.concat("dense", F.transform("bins", lambda b: b["value"].cast("double") / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)))
-    return held.select("episode_id", at.alias("at"), value.alias("value"))
+    check_bins(bins)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dense = batch.column(2).flatten()
+            numbers, none = dense.to_numpy(zero_copy_only=False), pc.is_null(dense).to_numpy(zero_copy_only=False)
+            for a, b, bounds, key, count in binned(batch.column(1), bins):
+                row = np.repeat(np.arange(b - a), np.diff(bounds))
+                norm = np.sqrt(np.bincount(row, count * count, b - a))
+                norm[norm == 0] = 1.0
+                first = bounds + DENSE_FEATURES * np.arange(b - a + 1)
+                plain, hashed = (first[:-1, None] + np.arange(DENSE_FEATURES)).ravel(), np.arange(len(key)) + DENSE_FEATURES * (row + 1)
+                at, value, empty = np.empty(first[-1], np.int32), np.empty(first[-1]), np.zeros(first[-1], bool)
+                at[plain], at[hashed] = np.tile(np.arange(DENSE_FEATURES), b - a), key + DENSE_FEATURES
+                own = slice(a * DENSE_FEATURES, b * DENSE_FEATURES)
+                value[plain], value[hashed], empty[plain] = numbers[own], count / norm[row], none[own]
+                lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), x) for x in (pa.array(at), pa.array(value, mask=empty))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *lists], ["episode_id", "at", "value"])
+
+    return dense_features(spread(episodes)).select("episode_id", "text", "dense").mapInArrow(run, "episode_id string, at array<int>, value array<double>")
 
 
 def dense_form(at: Column, value: Column, width: int) -> Column:
@@ -155,6 +177,58 @@ def added(total: np.ndarray, own: np.ndarray, a: tuple[np.ndarray, np.ndarray, n
         low = high
 
 
+#: Bytes of the strips into which a matrix is cut on its way, and of the matrices of folds that a task holds.
+STRIP, SUMS = 1 << 18, 1 << 26
+
+
+def summed_moments(rows: DataFrame, width: int) -> DataFrame:
+    """(fold, i, j, tile) of ``tiled_moments`` for widths of one tile: every task adds up its own rows, a few at a time as a
+    dense matrix, and sends one matrix for each fold, cut into strips; what travels doesn't grow with the entries of the rows."""
+    lines, most = max(1, STRIP // (8 * width)), max(1, SUMS // (8 * width * width))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for f, total in held.items():
+                for k in range(0, width, lines):
+                    yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([k], pa.int32()), pa.array([total[k : k + lines].tobytes()], pa.binary())], ["fold", "strip", "part"])
+            held.clear()
+
+        for batch in batches:
+            fold, size = batch.column(0).to_numpy(), pc.list_value_length(batch.column(1)).to_numpy()
+            first = np.append(0, np.cumsum(size))
+            at, value = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+            step = max(1, NUMBERS // width)
+            for a in range(0, len(fold), step):
+                own, entries = fold[a : a + step], slice(first[a], first[min(a + step, len(fold))])
+                x = np.bincount(np.repeat(np.arange(len(own)), size[a : a + step]) * width + at[entries], value[entries], len(own) * width).reshape(-1, width)
+                for f in np.unique(own).tolist():
+                    if f not in held and len(held) >= most:
+                        yield from sent()
+                    some = x[own == f]
+                    held[f] = held[f] + some.T @ some if f in held else some.T @ some
+        yield from sent()
+
+    def join(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for part in parts:
+            for blob in part.column("part"):
+                x = np.frombuffer(blob.as_buffer())
+                total = x.copy() if total is None else total + x
+        yield pa.RecordBatch.from_arrays([*(pa.array([k.as_py()], pa.int32()) for k in key), pa.array([total.tobytes()], pa.binary())], ["fold", "strip", "part"])
+
+    def whole(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strips = {}
+        for part in parts:
+            strips |= dict(zip(part.column("strip").to_pylist(), part.column("part").to_pylist(), strict=True))
+        yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in (key[0].as_py(), 0, 0)), pa.array([b"".join(strips[k] for k in sorted(strips))], pa.binary())], ["fold", "i", "j", "tile"])
+
+    shape = "fold int, strip int, part binary"
+    joined = rows.select("fold", "at", "value").mapInArrow(add, shape).groupBy("fold", "strip").applyInArrow(join, shape)
+    return joined.groupBy("fold").applyInArrow(whole, "fold int, i int, j int, tile binary")
+
+
 def tiled_moments(rows: DataFrame, width: int, tile: int = TILE, salts: int = 1) -> DataFrame:
     """(fold, i, j, tile): the tiles i <= j of Z'Z for each fold, from sparse rows (fold, at, value) of ``width`` columns.
 
@@ -222,10 +296,11 @@ class Moments:
 
     def __init__(self, rows: DataFrame, n_features: int, n_targets: int, folds: int, tile: int = TILE):
         self.width, self.folds, self.tile = 1 + n_features + n_targets, folds, tile
+        entries = sparse_rows(rows, n_features)
         tasks = rows.sparkSession.sparkContext.defaultParallelism
         n = -(-self.width // tile)
         salts = max(1, -(-tasks // (folds * n * (n + 1) // 2)))
-        self.tiles = written(tiled_moments(sparse_rows(rows, n_features), self.width, tile, salts), "moments")
+        self.tiles = written(summed_moments(entries, self.width) if n == 1 else tiled_moments(entries, self.width, tile, salts), "moments")
         self._kept: dict[int | None, np.ndarray] = {}
 
     def __getitem__(self, fold: int | None) -> np.ndarray:

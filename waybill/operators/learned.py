@@ -93,35 +93,39 @@ def parsed(document: dict, tiers: tuple[str, ...]) -> Router:
     return Router(document["hash_bins"], models, mean, scale, np.stack(columns, 1), np.array(intercepts), dict(safety), document["policy_sha256"], dict(document["training_summary"]), document["policy_id"])
 
 
-def predictions(vectors: DataFrame, heads: dict[int, tuple], models: tuple[str, ...]) -> DataFrame:
+def predictions(vectors: DataFrame, heads: dict[int, tuple], models: tuple[str, ...], *more: str) -> DataFrame:
     """score_<model> and cost_<model> of rows (episode_id, fold, at, value), each by the heads of its fold; clamped and in order of cost.
 
-    Means and scales are folded into the heads, so a row costs its own entries and no dense row is built.
+    Means and scales are folded into the heads, so a row costs its own entries and no dense row is built, however many
+    folds there are.  ``more`` columns of the rows travel along.
     """
-    m = len(models)
+    m, folds = len(models), sorted(heads)
     slopes = {f: ((coef / scale[:, None]), intercept - mean @ (coef / scale[:, None])) for f, (mean, scale, coef, intercept) in heads.items()}
-    shared = vectors.sparkSession.sparkContext.broadcast(slopes)
+    width = len(slopes[folds[0]][0])
+    shared = vectors.sparkSession.sparkContext.broadcast((np.concatenate([slopes[f][0] for f in folds]).T.copy(), np.stack([slopes[f][1] for f in folds])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slope, base = shared.value
         for batch in batches:
             fold = batch.column(1).to_numpy()
+            if unknown := set(np.unique(fold).tolist()) - set(folds):
+                raise KeyError(f"no heads for folds {sorted(unknown)}")
+            which = np.searchsorted(folds, fold)
             size = pc.list_value_length(batch.column(2)).to_numpy()
             row, at, value = np.repeat(np.arange(len(fold)), size), batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy()
-            out = np.zeros((len(fold), 2 * m))
-            for f in np.unique(fold):
-                slope, base = shared.value[int(f)]
-                own, some = fold == f, fold[row] == f
-                for t in range(2 * m):
-                    out[own, t] = np.bincount(row[some], value[some] * slope[at[some], t], len(fold))[own] + base[t]
+            place = np.repeat(which * width, size) + at
+            out = np.stack([np.bincount(row, value * slope[t][place], len(fold)) for t in range(2 * m)], 1) + base[which]
             out[:, :m] = np.clip(out[:, :m], 0, 1)
             out[:, m:] = np.exp(np.clip(out[:, m:], -50, 50))
             for i in range(1, m):
                 out[:, m + i] = np.maximum(out[:, m + i], out[:, m + i - 1] * (1 + 1e-12))
-            names = ["episode_id", *(f"score_{x}" for x in models), *(f"cost_{x}" for x in models)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, i]) for i in range(2 * m))], names)
+            names = ["episode_id", *(f"score_{x}" for x in models), *(f"cost_{x}" for x in models), *more]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, i]) for i in range(2 * m)), *batch.columns[4:]], names)
 
-    schema = ", ".join(["episode_id string", *(f"score_{x} double" for x in models), *(f"cost_{x} double" for x in models)])
-    return vectors.select("episode_id", F.col("fold").cast("int"), "at", "value").mapInArrow(run, schema)
+    held = vectors.select("episode_id", F.col("fold").cast("int"), "at", "value", *more)
+    kept = [f"`{c}` {held.schema[c].dataType.simpleString()}" for c in more]
+    schema = ", ".join(["episode_id string", *(f"`score_{x}` double" for x in models), *(f"`cost_{x}` double" for x in models), *kept])
+    return held.mapInArrow(run, schema)
 
 
 def learned_route(episodes: DataFrame, router: Router, policy: scoring.Policy = scoring.PUBLIC, vectors: DataFrame | None = None) -> DataFrame:
@@ -232,8 +236,8 @@ def train(
         return written(vectors.join(targets(outcomes, policy), "episode_id").withColumn("targets", columns), "rows")
 
     def with_truth(rows: DataFrame, heads: dict[int, tuple]) -> DataFrame:
-        truth = rows.select("episode_id", *[F.col(f"{x}_s").alias(f"true_score_{x}") for x in models], *[F.col(f"{x}_c").alias(f"true_cost_{x}") for x in models])
-        return written(predictions(rows, heads, tuple(models)).join(truth, "episode_id"), "predicted")
+        truth = {f"true_{kind}_{x}": F.col(f"{x}_{kind[0]}") for kind in ("score", "cost") for x in models}
+        return written(predictions(rows.withColumns(truth), heads, tuple(models), *truth), "predicted")
 
     rows = rows_of(episodes, outcomes, vectors)
     moments = learn.Moments(rows, n, 2 * m, folds)
