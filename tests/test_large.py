@@ -5,12 +5,13 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import uuid
 from collections import Counter
 
 import pytest
 
 from waybill.plans import inputs
-from waybill.sources import documents, large, selections
+from waybill.sources import documents, large, selections, shared
 
 HEADER = {"schema_version": 1, "challenge_id": "c", "split": "train"}
 
@@ -135,3 +136,20 @@ def test_sources_of_odd_documents_equal_their_sql(spark, tmp_path, name):
         names, want = [c[0] for c in found.description], Counter(found.fetchall())
     got = inputs.QUERIES[name](spark, str(tmp_path))
     assert Counter(map(tuple, got.select(*names).collect())) == want
+
+
+def test_disk_that_a_large_document_takes(spark, tmp_path, monkeypatch):
+    """Beside the file its elements are written once; what was written on the way is gone, and no text is shuffled."""
+    for module in (shared, large):
+        monkeypatch.setattr(module, "folder", lambda s, name: str(tmp_path / "shared" / uuid.uuid4().hex / name))
+    r = random.Random(5)
+    rows = [(i, f"e{i}", "%x" % r.getrandbits(16_000), None) for i in range(600)]
+    e = spark.createDataFrame(rows, "pos bigint, episode_id string, prompt string, messages array<struct<role:string,content:string>>")
+    used = lambda: sum(p.stat().st_size for p in (tmp_path / "shared").rglob("*") if p.is_file())
+    path = str(tmp_path / "a.json")
+    large.publish_input(e, path, HEADER)
+    size = (tmp_path / "a.json").stat().st_size
+    assert used() < size / 4
+    found = large.split(spark, path)
+    assert large.problems(spark, path, "input", found).count() == 0 and large.episodes(spark, path, found).count() == 600
+    assert used() < 1.5 * size

@@ -102,15 +102,21 @@ def problems(docs: DataFrame, kind: str, models: tuple[str, ...] = tuple(PUBLIC.
     """(path, rule) for every broken rule of documents (path, text) of a kind, top level and elements; a rule is named once for each document."""
     held = docs.withColumn("v", F.try_parse_json("text"))
     each = held.filter("v IS NOT NULL").select("path", F.explode(_array(F.col("v"), _elements(kind))).alias("e"))
-    return found_problems(held, each, kind, F.size(_array(F.col("v"), _elements(kind))) > 0, models, tiers)
+    return found_problems(held, checked(each, kind, models=models), kind, F.size(_array(F.col("v"), _elements(kind))) > 0, tiers)
 
 
 def _elements(kind: str) -> str:
     return "decisions" if kind == "submission" else "episodes"
 
 
-def found_problems(held: DataFrame, each: DataFrame, kind: str, some: Column, models: tuple[str, ...] = tuple(PUBLIC.models), tiers: tuple[str, ...] = tuple(PUBLIC.tiers)) -> DataFrame:
-    """``problems`` of documents (path, text, v), null where they are no JSON, and the elements (path, e) of the others; some: whether a document has elements."""
+def checked(each: DataFrame, kind: str, *more: str, models: tuple[str, ...] = tuple(PUBLIC.models)) -> DataFrame:
+    """(path, rules, id, none, more) of elements (path, e, more): the rules they break, their ids, and whether they are no JSON."""
+    e = F.col("e")
+    return each.select("path", failed(_element_rules(kind, e, models)).alias("rules"), _text(e, "episode_id").alias("id"), e.isNull().alias("none"), *more)
+
+
+def found_problems(held: DataFrame, each: DataFrame, kind: str, some: Column, tiers: tuple[str, ...] = tuple(PUBLIC.tiers)) -> DataFrame:
+    """``problems`` of documents (path, text, v), null where they are no JSON, and what ``checked`` found in the elements of the others; some: whether a document has elements."""
     parsed, v, array = held.filter("v IS NOT NULL"), F.col("v"), _elements(kind)
     bad = held.filter("v IS NULL").select("path", F.when(F.col("text").isNull(), "utf8").otherwise("json").alias("rule"))
     missing, extra = key_sets(F.json_object_keys("text"), KEYS[kind])
@@ -120,8 +126,8 @@ def found_problems(held: DataFrame, each: DataFrame, kind: str, some: Column, mo
     }
     if kind == "submission":
         rules |= {"policy_id": _is_text(v, "policy_id"), "tier": _text(v, "tier").isin(*tiers)}
-    inner = each.select("path", F.explode(failed(_element_rules(kind, F.col("e"), models))).alias("rule"))
-    twice = each.groupBy("path", _text(F.col("e"), "episode_id").alias("id")).count().filter("count > 1 AND id IS NOT NULL")
+    inner = each.select("path", F.explode("rules").alias("rule"))
+    twice = each.groupBy("path", "id").count().filter("count > 1 AND id IS NOT NULL")
     out = bad.unionByName(parsed.select("path", F.explode(failed(rules)).alias("rule"))).unionByName(inner)
     return out.unionByName(twice.select("path", F.lit("repeated_episode").alias("rule"))).distinct()
 

@@ -43,9 +43,26 @@ def clear(spark: SparkSession) -> int:
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """The rows, cut from their lineage by a Parquet table in the shared folder."""
+    return stored(df, name)[0]
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``written``, with the path of the table, for those who drop it."""
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nobody reads any more."""
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(held, True)
+    swept(spark)
+
+
+def swept(spark: SparkSession) -> None:
+    """Has Spark delete shuffles that nobody reads any more; else they stay until the driver happens to collect its garbage."""
+    spark._jvm.System.gc()
 
 
 SMALL_BYTES = 64 << 20
