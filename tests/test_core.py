@@ -581,6 +581,30 @@ def test_ridge_by_tiles_of_a_matrix_that_nobody_holds(spark, monkeypatch):
             assert np.allclose(a, b, atol=1e-9)
 
 
+def test_ridge_by_tiles_sends_strips(spark, monkeypatch):
+    """Several passes over the rows, long and short ones, and tiles of which no row of a table holds more than a strip."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(150, 45)) * (r.random((150, 45)) < np.where(np.arange(150) % 3, 0.04, 0.6)[:, None])
+    y = r.normal(size=(150, 2)) + x[:, :2]
+    rows = [(0, np.flatnonzero(a).tolist(), a[a != 0].tolist(), b.tolist()) for a, b in zip(x, y, strict=True)]
+    rows = spark.createDataFrame(rows, "fold int, at array<int>, value array<double>, targets array<double>").repartition(5)
+    z = (x - x.mean(0)) / np.where(x.std(0) < 1e-12, 1, x.std(0))
+    want = np.linalg.solve(z.T @ z + np.eye(45), z.T @ (y - y.mean(0)))
+    monkeypatch.setattr(learn, "STRIP", 3 * 16 * 8)
+    monkeypatch.setattr(learn, "PASS", 2 * 16 * 16 * 8)
+    sizes, keep = [], learn.written
+
+    def watched(df, name):
+        out = keep(df, name)
+        sizes.extend(x[0] or 0 for x in (out.select(F.max(F.octet_length(c))).first() for c in ("part", "tile") if c in out.columns))
+        return out
+
+    monkeypatch.setattr(learn, "written", watched)
+    got = learn.ridge_tiled(rows, 45, 2, 1.0, 16)
+    assert np.allclose(got[2], want, atol=1e-9) and np.allclose(got[3], y.mean(0))
+    assert len(sizes) > 5 and max(sizes) <= 3 * 16 * 8
+
+
 def test_narrow_moments_are_added_up_where_the_rows_are(spark, monkeypatch):
     """One tile: tasks send a matrix for each fold, in strips, and no entries; also with more folds than a task may hold."""
     rng = np.random.default_rng(11)

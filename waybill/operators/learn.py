@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from waybill.functions import marks
 from waybill.functions.hashing import FNV_PRIME, fnv1a_of, fnv1a_on
 from waybill.functions.text import CONSTRAINT, FORMAL, PROGRAM, TRANSFORM, count_where, has_where, with_features
-from waybill.sources.shared import spread, written
+from waybill.sources.shared import dropped, spread, stored, swept, written
 
 # Bounds of the hash bins, penalties, weight of the cost error, floor of a scale.
 LEAST_BINS, MOST_BINS = 16, 16384
@@ -145,17 +145,23 @@ def dense_rows(vectors: DataFrame, width: int, *more: str) -> DataFrame:
     return vectors.select("episode_id", "at", "value", *more).mapInArrow(run, f"episode_id string, features array<double>{kept}")
 
 
-def sparse_rows(rows: DataFrame, n_features: int) -> DataFrame:
-    """(fold, at, value) of Z = (1, features, targets) for rows (fold, features, targets) or (fold, at, value, targets)."""
+def sparse_features(rows: DataFrame, n_features: int) -> DataFrame:
+    """(fold, at, value, targets) of rows (fold, features, targets), or of rows that have this form."""
     if "at" not in rows.columns:
         rows = rows.withColumn("at", F.sequence(F.lit(0), F.lit(n_features - 1))).withColumn("value", F.transform("features", lambda x: x.cast("double")))
+    return rows.select(F.col("fold").cast("int").alias("fold"), "at", "value", "targets")
+
+
+def sparse_rows(rows: DataFrame, n_features: int) -> DataFrame:
+    """(fold, at, value) of Z = (1, features, targets) for rows (fold, features, targets) or (fold, at, value, targets)."""
+    rows = sparse_features(rows, n_features)
     behind = F.transform(F.sequence(F.lit(1), F.size("targets")), lambda i: i + n_features)
     at = F.concat(F.array(F.lit(0)), F.transform("at", lambda i: (i + 1).cast("int")), behind)
     return rows.select(F.col("fold").cast("int").alias("fold"), at.alias("at"), F.concat(F.array(F.lit(1.0)), "value", "targets").alias("value"))
 
 
 #: Columns of a tile, and products of pairs that are added up at a time.
-TILE, PRODUCTS = 2048, 1 << 22
+TILE, PRODUCTS = 2048, 1 << 21
 #: Rows whose square the driver holds for the dual form.
 MOST_DUAL = 4096
 
@@ -229,54 +235,116 @@ def summed_moments(rows: DataFrame, width: int) -> DataFrame:
     return joined.groupBy("fold").applyInArrow(whole, "fold int, i int, j int, tile binary")
 
 
-def tiled_moments(rows: DataFrame, width: int, tile: int = TILE, salts: int = 1) -> DataFrame:
-    """(fold, i, j, tile): the tiles i <= j of Z'Z for each fold, from sparse rows (fold, at, value) of ``width`` columns.
+#: Bytes of the tiles that a task adds up in one pass over the rows, rows that are made dense at a time, and the share of
+#: its columns from which a row is.
+PASS, LINES, SHARE = 1 << 27, 512, 1 / 16
+
+
+def with_ends(at: np.ndarray, value: np.ndarray, size: np.ndarray, targets: np.ndarray, n_features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, values and sizes of Z = (1, features, targets) from the entries of the features."""
+    n, m = targets.shape
+    first = np.append(0, np.cumsum(size + 1 + m))
+    places, numbers, inner = np.empty(first[-1], np.int32), np.empty(first[-1]), np.ones(first[-1], bool)
+    ends = first[1:, None] - m + np.arange(m)
+    inner[first[:-1]], inner[ends.ravel()] = False, False
+    places[first[:-1]], numbers[first[:-1]] = 0, 1.0
+    places[ends], numbers[ends] = 1 + n_features + np.arange(m), targets
+    places[inner], numbers[inner] = at + 1, value
+    return places, numbers, size + 1 + m
+
 
-    Entries travel by blocks of rows and columns to the tasks of the tiles that need them; a task holds one tile of
-    ``tile`` squared numbers whatever the width.  ``salts``: tasks that share a tile, whose parts are then added up.
+def strip_moments(rows: DataFrame, width: int, tile: int = TILE, folds: int = 1) -> DataFrame:
+    """(fold, i, j, strip, part): the tiles i <= j of Z'Z for each fold in strips of rows, from sparse rows (fold, at, value) of ``width`` columns, or
+    rows (fold, at, value, targets) of features and targets.
+
+    The rows are read as often as it takes to add up some tiles each time: every task adds its own rows to the tiles of the
+    pass and sends these, cut into strips, so neither what a task holds nor what travels grows with the entries.  Long rows are
+    multiplied as dense blocks, short ones entry by entry.  ``folds``: how many may meet in a task.
     """
-    n = -(-width // tile)
+    n, spark = -(-width // tile), rows.sparkSession
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    each = max(1, PASS // (8 * tile * tile * folds))
+    lines = strip_lines(tile)
+    names = ["fold", "i", "j", "strip", "part"]
+    kept = rows.select("fold", "at", "value", *(["targets"] if "targets" in rows.columns else [])).coalesce(max(1, spark.sparkContext.defaultParallelism))
+
+    def span(i: int) -> int:
+        return min(tile, width - i * tile)
+
+    def sums(own: list[tuple[int, int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        blocks = sorted({x for pair in own for x in pair})
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, dict[tuple[int, int], np.ndarray]] = {}
+            for batch in batches:
+                fold, size = batch.column(0).to_numpy(), pc.list_value_length(batch.column(1)).to_numpy()
+                at, value = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+                if batch.num_columns > 3:
+                    targets = batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1)
+                    at, value, size = with_ends(at, value, size, targets, width - 1 - targets.shape[1])
+                row = np.repeat(np.arange(len(size)), size)
+                some = (value != 0) & np.isin(at // tile, blocks)
+                row, at, value = row[some], at[some], value[some]
+                long = size >= SHARE * width
+                for f in np.unique(fold).tolist():
+                    total = held.setdefault(f, {(i, j): np.zeros((span(i), span(j))) for i, j in own})
+                    for dense in (False, True):
+                        ids = np.flatnonzero((fold == f) & (long == dense))
+                        step = LINES if dense else len(ids)
+                        for k in range(0, len(ids), step or 1):
+                            chosen = ids[k : k + step]
+                            number = np.full(len(size), -1)
+                            number[chosen] = np.arange(len(chosen))
+                            mine = number[row] >= 0
+                            r, c, v = number[row[mine]], at[mine], value[mine]
+                            parts = {}
+                            for x in blocks:
+                                here = c // tile == x
+                                part = r[here], (c[here] - x * tile).astype(np.int64), v[here]
+                                parts[x] = np.bincount(part[0] * span(x) + part[1], part[2], len(chosen) * span(x)).reshape(-1, span(x)) if dense else part
+                            for i, j in own:
+                                if dense:
+                                    total[i, j] += parts[i].T @ parts[j]
+                                elif len(parts[i][0]):
+                                    added(total[i, j], np.unique(parts[i][0]), parts[i], parts[j])
+            for f, total in held.items():
+                for i, j in own:
+                    for k in range(0, span(i), lines):
+                        yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in (f, i, j, k)), pa.array([total[i, j][k : k + lines].tobytes()], pa.binary())], names)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = 0
-        for batch in batches:
-            fold, size = batch.column(0).to_numpy(), pc.list_value_length(batch.column(1)).to_numpy()
-            row, at = np.repeat(np.arange(len(size)), size), batch.column(1).flatten().to_numpy()
-            value = batch.column(2).flatten().to_numpy()
-            some = value != 0
-            row, at, value = row[some], at[some], value[some]
-            for f in np.unique(fold).tolist():
-                own = fold[row] == f
-                blocks = []
-                for c in range(n):
-                    k = own & (at // tile == c)
-                    blocks.append((row[k].astype("<i4"), (at[k] - c * tile).astype("<i4"), value[k].astype("<f8")))
-                out = [(f, i, j, part % salts, *(x.tobytes() for x in (*blocks[i], *blocks[j]))) for i in range(n) for j in range(i, n) if len(blocks[i][0]) and len(blocks[j][0])]
-                part += 1
-                for row_ in out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x]) if isinstance(x, bytes) else pa.array([x], pa.int32()) for x in row_], ["fold", "i", "j", "salt", "a0", "a1", "a2", "b0", "b1", "b2"])
-
-    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold, i, j, _ = (k.as_py() for k in key)
-        total = np.zeros((min(tile, width - i * tile), min(tile, width - j * tile)))
-        for part in parts:
-            for row in part.select(["a0", "a1", "a2", "b0", "b1", "b2"]).to_pylist():
-                a, b = (tuple(np.frombuffer(row[f"{x}{k}"], "<f8" if k == 2 else "<i4").astype(float if k == 2 else np.int64) for k in range(3)) for x in "ab")
-                added(total, np.unique(a[0]), a, b)
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in (fold, i, j)] + [pa.array([total.tobytes()], pa.binary())], ["fold", "i", "j", "tile"])
+        return add
 
     def join(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for part in parts:
-            for blob in part.column("tile").to_pylist():
-                x = np.frombuffer(blob)
+            for blob in part.column("part"):
+                x = np.frombuffer(blob.as_buffer())
                 total = x.copy() if total is None else total + x
-        yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([total.tobytes()], pa.binary())], ["fold", "i", "j", "tile"])
+        yield pa.RecordBatch.from_arrays([*(pa.array([k.as_py()], pa.int32()) for k in key), pa.array([total.tobytes()], pa.binary())], names)
+
+    shape, out = "fold int, i int, j int, strip int, part binary", None
+    for k in range(0, len(pairs), each):
+        found = written(kept.mapInArrow(sums(pairs[k : k + each]), shape).groupBy("fold", "i", "j", "strip").applyInArrow(join, shape), "pass")
+        swept(spark)
+        out = found if out is None else out.unionByName(found)
+    return out
 
-    schema = "fold int, i int, j int, tile binary"
-    sent = rows.select("fold", "at", "value").mapInArrow(pack, "fold int, i int, j int, salt int, a0 binary, a1 binary, a2 binary, b0 binary, b1 binary, b2 binary")
-    found = sent.groupBy("fold", "i", "j", "salt").applyInArrow(add, schema)
-    return found if salts == 1 else found.groupBy("fold", "i", "j").applyInArrow(join, schema)
+
+def strip_lines(tile: int) -> int:
+    """Rows of a strip of a tile."""
+    return max(1, STRIP // (8 * tile))
+
+
+def tiled_moments(rows: DataFrame, width: int, tile: int = TILE, folds: int = 1) -> DataFrame:
+    """``strip_moments`` with whole tiles, (fold, i, j, tile)."""
+
+    def whole(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strips = {}
+        for part in parts:
+            strips |= dict(zip(part.column("strip").to_pylist(), part.column("part").to_pylist(), strict=True))
+        yield pa.RecordBatch.from_arrays([*(pa.array([k.as_py()], pa.int32()) for k in key), pa.array([b"".join(strips[k] for k in sorted(strips))], pa.binary())], ["fold", "i", "j", "tile"])
+
+    return written(strip_moments(rows, width, tile, folds).groupBy("fold", "i", "j").applyInArrow(whole, "fold int, i int, j int, tile binary"), "moments")
 
 
 def assembled(tiles: DataFrame, width: int, tile: int = TILE) -> np.ndarray:
@@ -296,11 +364,10 @@ class Moments:
 
     def __init__(self, rows: DataFrame, n_features: int, n_targets: int, folds: int, tile: int = TILE):
         self.width, self.folds, self.tile = 1 + n_features + n_targets, folds, tile
-        entries = sparse_rows(rows, n_features)
-        tasks = rows.sparkSession.sparkContext.defaultParallelism
-        n = -(-self.width // tile)
-        salts = max(1, -(-tasks // (folds * n * (n + 1) // 2)))
-        self.tiles = written(summed_moments(entries, self.width) if n == 1 else tiled_moments(entries, self.width, tile, salts), "moments")
+        if self.width <= tile:
+            self.tiles = written(summed_moments(sparse_rows(rows, n_features), self.width), "moments")
+        else:
+            self.tiles = tiled_moments(sparse_features(rows, n_features), self.width, tile, folds)
         self._kept: dict[int | None, np.ndarray] = {}
 
     def __getitem__(self, fold: int | None) -> np.ndarray:
@@ -339,44 +406,56 @@ def ridge_tiled(rows: DataFrame, n_features: int, n_targets: int, alpha: float,
     """``ridge`` of rows (fold, at, value, targets) for widths of which no process can hold the matrix.
 
     A Cholesky factor of the standardised moments is made tile by tile: a step factors one tile on the diagonal, tasks
-    solve the tiles beside it and take their products off those that are left.  A task holds three tiles, the driver one
-    and a few columns of numbers.
+    solve the tiles beside it and take their products off those that are left.  Tiles are kept and travel in strips, so no
+    row is large; a task holds three tiles, the driver one and a few columns of numbers.
     """
     spark, width = rows.sparkSession, 1 + n_features + n_targets
-    n_blocks, first = -(-width // tile), 1 + n_features
-    schema = "i int, j int, tile binary"
-    names, kinds = ["i", "j", "tile"], [pa.int32(), pa.int32(), pa.binary()]
+    n_blocks, first, lines = -(-width // tile), 1 + n_features, strip_lines(tile)
+    names, kinds = ["i", "j", "strip", "part"], [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    schema = "i int, j int, strip int, part binary"
 
     def span(i: int) -> slice:
         return slice(i * tile, min((i + 1) * tile, width))
 
-    def of(blob: bytes, i: int, j: int) -> np.ndarray:
-        return np.frombuffer(blob).reshape(span(i).stop - i * tile, span(j).stop - j * tile)
+    def size(i: int) -> int:
+        return span(i).stop - i * tile
 
     def batch(*found: tuple) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate(kinds)], names)
 
-    def each(df: DataFrame, run: object) -> DataFrame:
+    def strips(i: int, j: int, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(x), lines):
+            yield batch((i, j, k, x[k : k + lines].tobytes()))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        for b in batches:
+            for k in range(b.num_rows):
+                i, j, strip = (b.column(c)[k].as_py() for c in range(3))
+                yield i, j, strip, np.frombuffer(b.column(3)[k].as_buffer()).reshape(-1, size(j))
+
+    def each(df: DataFrame, run: Callable[[int, int, int, np.ndarray], np.ndarray]) -> DataFrame:
         def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for k in range(b.num_rows):
-                    i, j = b.column(0)[k].as_py(), b.column(1)[k].as_py()
-                    yield batch((i, j, np.ascontiguousarray(run(i, j, of(b.column(2)[k].as_py(), i, j))).tobytes()))
+            for i, j, strip, x in read(batches):
+                yield batch((i, j, strip, np.ascontiguousarray(run(i, j, strip, x)).tobytes()))
 
         return df.select(*names).mapInArrow(over, schema)
 
-    left = Moments(rows, n_features, n_targets, 1, tile).tiles.select(*names)
+    def found(df: DataFrame) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        for r in df.collect():
+            yield r["i"], r["j"], r["strip"], np.frombuffer(r["part"])
+
+    left = strip_moments(sparse_features(rows, n_features), width, tile).select(*names)
     top = np.zeros(width)
-    for r in each(left.filter("i = 0"), lambda i, j, x: x[0]).toLocalIterator():
-        top[span(r["j"])] = np.frombuffer(r["tile"])
+    for _, j, _, x in found(each(left.filter("i = 0 AND strip = 0"), lambda i, j, k, x: x[0])):
+        top[span(j)] = x
     square = np.zeros(width)
-    for r in each(left.filter("i = j"), lambda i, j, x: np.diag(x)).toLocalIterator():
-        square[span(r["i"])] = np.frombuffer(r["tile"])
+    for i, _, k, x in found(each(left.filter("i = j"), lambda i, j, k, x: np.diagonal(x, k))):
+        square[i * tile + k : i * tile + k + len(x)] = x
     cross = np.zeros((width, n_targets))
-    for r in each(left.filter(F.col("j") >= first // tile), lambda i, j, x: x[:, max(first - j * tile, 0) :]).toLocalIterator():
-        to = max(r["j"] * tile - first, 0)
-        part = np.frombuffer(r["tile"]).reshape(span(r["i"]).stop - r["i"] * tile, -1)
-        cross[span(r["i"]), to : to + part.shape[1]] = part
+    for i, j, k, x in found(each(left.filter(F.col("j") >= first // tile), lambda i, j, k, x: x[:, max(first - j * tile, 0) :])):
+        to, columns = max(j * tile - first, 0), span(j).stop - max(first, j * tile)
+        part = x.reshape(-1, columns)
+        cross[i * tile + k : i * tile + k + len(part), to : to + columns] = part
     n = top[0]
     mean = top / n
     scale = np.sqrt(np.maximum(square / n - mean * mean, 0))
@@ -386,43 +465,81 @@ def ridge_tiled(rows: DataFrame, n_features: int, n_targets: int, alpha: float,
     y_mean = mean[first:]
     right = np.where(own[:, None], (cross - n * np.outer(mean, y_mean)) / scale[:, None], 0.0)
 
-    def standard(i: int, j: int, x: np.ndarray) -> np.ndarray:
-        a, b = span(i), span(j)
+    def standard(i: int, j: int, k: int, x: np.ndarray) -> np.ndarray:
+        a, b = slice(i * tile + k, i * tile + k + len(x)), span(j)
         out = (x - n * np.outer(mean[a], mean[b])) / np.outer(scale[a], scale[b]) * np.outer(own[a], own[b])
-        return out + np.diag(np.where(own[a], alpha, 1.0)) if i == j else out
+        if i == j:
+            at = np.arange(len(x))
+            out[at, k + at] += np.where(own[a], alpha, 1.0)
+        return out
 
     def factor(k: int) -> np.ndarray:
-        r = corners[k].first()
-        return np.linalg.cholesky(of(r["tile"], k, k)).T
+        parts = sorted(found(corners[k]), key=lambda f: f[2])
+        return np.linalg.cholesky(np.concatenate([x.reshape(-1, size(k)) for *_, x in parts])).T
+
+    def solved(shared: object) -> Callable[[tuple, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            i, j = key[0].as_py(), key[1].as_py()
+            x = np.empty((size(i), size(j)))
+            for _, _, strip, part in read(p.select(names) for p in parts):
+                x[strip : strip + len(part)] = part
+            yield from strips(i, j, np.linalg.solve(shared.value.T, x))
+
+        return run
+
+    def projected(w: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for _, j, strip, x in read(batches):
+                total[j] = total.get(j, 0) + x.T @ w[strip : strip + len(x)]
+            for j, x in total.items():
+                yield batch((0, j, 0, x.tobytes()))
+
+        return run
 
     def less(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        i, j, held = key[0].as_py(), key[1].as_py(), {}
+        i, j = key[0].as_py(), key[1].as_py()
+        total, held = np.zeros((size(i), size(j))), ({}, {})
         for p in parts:
-            held |= dict(zip(p.column("role").to_pylist(), p.column("tile").to_pylist(), strict=True))
-        a, b = (np.frombuffer(held[r]).reshape(tile, -1) for r in (1, 2))
-        yield batch((i, j, (of(held[0], i, j) - a.T @ b).tobytes()))
-
-    left = written(each(left, standard), "standard")
+            for role, strip, blob in zip(p.column("role").to_pylist(), p.column("strip").to_pylist(), p.column("part"), strict=True):
+                x = np.frombuffer(blob.as_buffer())
+                if role:
+                    held[role - 1][strip] = x.reshape(-1, size(i if role == 1 else j)).copy()
+                else:
+                    x = x.reshape(-1, size(j))
+                    total[strip : strip + len(x)] += x
+        # both tiles of the panel have the same rows; they go as they are multiplied
+        at = sorted(held[0])
+        for low in range(0, len(at), 32):
+            a, b = (np.concatenate([h.pop(k) for k in at[low : low + 32]]) for h in held)
+            total -= a.T @ b
+        yield from strips(i, j, total)
+
+    left, stale = stored(each(left, standard), "standard")
     corners, panels = [], []
     for k in range(n_blocks):
-        corners.append(left.filter(f"i = {k} AND j = {k}"))
+        corners.append(written(left.filter(f"i = {k} AND j = {k}"), "corner"))
         upper = factor(k)
         right[span(k)] = np.linalg.solve(upper.T, right[span(k)])
         shared = spark.sparkContext.broadcast(upper)
-        panel = written(each(left.filter(f"i = {k} AND j > {k}"), lambda i, j, x, s=shared: np.linalg.solve(s.value.T, x)), "panel")
+        panel = written(left.filter(f"i = {k} AND j > {k}").groupBy("i", "j").applyInArrow(solved(shared), schema), "panel")
         panels.append(panel)
-        for r in each(panel, lambda i, j, x, w=right[span(k)].copy(): x.T @ w).toLocalIterator():
-            right[span(r["j"])] -= np.frombuffer(r["tile"]).reshape(-1, n_targets)
+        for _, j, _, x in found(panel.select(*names).mapInArrow(projected(right[span(k)].copy()), schema)):
+            right[span(j)] -= x.reshape(-1, n_targets)
         shared.unpersist()
         if k + 1 < n_blocks:
             last = F.lit(n_blocks - 1)
-            as_row = panel.select(F.col("j").alias("i"), F.explode(F.sequence("j", last)).alias("j"), F.lit(1).alias("role"), "tile")
-            as_column = panel.select(F.explode(F.sequence(F.lit(k + 1), "j")).alias("i"), "j", F.lit(2).alias("role"), "tile")
-            dealt = left.filter(f"i > {k}").select("i", "j", F.lit(0).alias("role"), "tile").unionByName(as_row).unionByName(as_column)
-            left = written(dealt.groupBy("i", "j").applyInArrow(less, schema), "left")
+            as_row = panel.select(F.col("j").alias("i"), F.explode(F.sequence("j", last)).alias("j"), F.lit(1).alias("role"), "strip", "part")
+            as_column = panel.select(F.explode(F.sequence(F.lit(k + 1), "j")).alias("i"), "j", F.lit(2).alias("role"), "strip", "part")
+            dealt = left.filter(f"i > {k}").select("i", "j", F.lit(0).alias("role"), "strip", "part").unionByName(as_row).unionByName(as_column)
+            left, path = stored(dealt.groupBy("i", "j").applyInArrow(less, schema), "left")
+            del dealt
+            dropped(spark, stale)  # what a step has left replaces what it began with
+            stale = path
     for k in reversed(range(n_blocks)):
-        for r in each(panels[k], lambda i, j, x, w=right.copy(): x @ w[span(j)]).toLocalIterator():
-            right[span(k)] -= np.frombuffer(r["tile"]).reshape(-1, n_targets)
+        for _, _, strip, x in found(each(panels[k], lambda i, j, s, x, w=right.copy(): x @ w[span(j)])):
+            part = x.reshape(-1, n_targets)
+            right[k * tile + strip : k * tile + strip + len(part)] -= part
         right[span(k)] = np.linalg.solve(factor(k), right[span(k)])
     return mean[1:first], scale[1:first], right[1:first], y_mean
 
